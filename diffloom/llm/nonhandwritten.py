@@ -68,7 +68,7 @@ def body_lines(content: str | None, additions: list[str | None] | None) -> list[
 
 
 def notice(lines: list[str]) -> str | None:
-    """generated or vendored, if a comment among the first lines says so."""
+    """generated or vendored, if a comment among the first lines (of a file's first hunk) says so."""
     for line in lines[:_TOP_LINES]:
         if not _COMMENT.match(line) or len(line) > 300:
             continue
@@ -129,15 +129,15 @@ def hunk_layout(hunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            cols = [batch.column(c).to_pylist() for c in ("changeset_id", "path", "hunk_ord", "new_start", "content", "additions")]
-            for cs, path, ord_, start, content, additions in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("changeset_id", "path", "hunk_ord", "content", "additions")]
+            for cs, path, ord_, content, additions in zip(*cols):
                 lines = body_lines(content, additions)
-                top = ord_ in (0, None) if start is None else start <= 3
+                top = ord_ in (0, None)
                 rows.append((cs, path, ord_, notice(lines) if top else None, *layout(lines)))
             columns = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
-    used = hunks.select("changeset_id", "path", "hunk_ord", "new_start", "content", "additions").where("changeset_id is not null and path is not null")
+    used = hunks.select("changeset_id", "path", "hunk_ord", "content", "additions").where("changeset_id is not null and path is not null")
     stats = used.mapInArrow(run, _STATS_SCHEMA)
     return stats.groupBy("changeset_id", "path", "hunk_ord").agg(F.max("says").alias("says"), *[F.max(c).alias(c) for c in _COUNTS])
 
