@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom.llm.credentials import credential_lines, scan_credentials
+from diffloom.llm.eval_leaks import find_leaks
 from diffloom.llm.nonhandwritten import classify_files
+from diffloom.llm.pack_containers import assign_containers, container_fill
 from diffloom.llm.split_oversized import split_oversized
 from diffloom.runtime import table
 
@@ -39,8 +41,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_classes(spark, d).select("changeset_id", "path")
 
 
+def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return assign_containers(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return container_fill(p6_assignment(spark, d), table(spark, d, "containers"))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_classes": p5_classes}
+    return {
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_classes": p5_classes,
+        "p6_assignment": p6_assignment, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
