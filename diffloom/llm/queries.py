@@ -11,6 +11,7 @@ from diffloom.llm.credentials import credential_lines, scan_credentials
 from diffloom.llm.eval_leaks import find_leaks
 from diffloom.llm.nonhandwritten import classify_files
 from diffloom.llm.pack_containers import assign_containers, container_fill
+from diffloom.llm.reading_level import demanding, grade, profile
 from diffloom.llm.split_oversized import split_oversized
 from diffloom.runtime import table
 
@@ -57,10 +58,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return grade(table(spark, d, "documents"), table(spark, d, "reading_labels"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return demanding(p8_levels(spark, d))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profile(p8_levels(spark, d), table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_classes": p5_classes,
         "p6_assignment": p6_assignment, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks,
+        "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
     }
 
 
