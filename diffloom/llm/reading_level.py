@@ -36,7 +36,7 @@ class LevelOptions:
     min_known: share of known words in a segment of prose; weights: of the trigram, bigram, unigram and
     uniform parts; hard_from: least level that counts as demanding."""
 
-    max_labelled: int = 20_000
+    max_labelled: int = 6_000
     folds: int = 4
     min_words: int = 40
     min_known: float = 0.6
