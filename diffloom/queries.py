@@ -5,29 +5,685 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from diffloom.functions import text as T
+from diffloom.operators import analyzers as A
+from diffloom.operators import identity as I
+from diffloom.operators import paths as P
+from diffloom.operators import scoring as S
+from diffloom.operators.chunks import chunk_by_budget
+from diffloom.operators.config_rules import RULES, config_findings, config_sql
 from diffloom.operators.nested_tables import flat_children, linked_results, node_table
-from diffloom.operators.snapshot_delta import snapshot_changes
+from diffloom.operators.snapshot_delta import relative_path, snapshot_changes
+from diffloom.oracle import any_sql, first_sql, prelude, q
 from diffloom.runtime import table
+from diffloom.sources import changesets as C
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_changes(table(spark, d, "facts_runs"), table(spark, d, "facts_findings")).select("facts_path", "finding_id", "change_kind").distinct()
+def _register(name: str, sql: str | None = None, with_prelude: bool = True):
+    def add(query: Query) -> Query:
+        _QUERIES[name] = query
+        if sql is not None:
+            _SQL[name] = (prelude() + "\n" if with_prelude else "") + sql
+        return query
 
+    return add
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return flat_children(table(spark, d, "sarif_logs"))
 
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return A.all_files(table(s, d, "files"), table(s, d, "hunks"))
 
-def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return linked_results(node_table(table(spark, d, "sarif_logs"), ("run", "result", "location", "fingerprint")))
+
+def _changes(s: SparkSession, d: str) -> DataFrame:
+    return A.all_changes(table(s, d, "files"), table(s, d, "hunks"))
+
+
+def _hunks(s: SparkSession, d: str) -> DataFrame:
+    return C.change_hunks(table(s, d, "hunks"))
+
+
+def _findings(s: SparkSession, d: str) -> DataFrame:
+    return S.findings(_files(s, d), _changes(s, d))
+
+
+# --- problems 2 and 4 ----------------------------------------------------------------
+
+
+@_register("p2_found")
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return snapshot_changes(table(s, d, "facts_runs"), table(s, d, "facts_findings")).select("facts_path", "finding_id", "change_kind").distinct()
+
+
+@_register("p4_found")
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return flat_children(table(s, d, "sarif_logs"))
+
+
+@_register("p4_nodes")
+def p4_nodes(s: SparkSession, d: str) -> DataFrame:
+    return linked_results(node_table(table(s, d, "sarif_logs"), ("run", "result", "location", "fingerprint")))
+
+
+# --- sources ----------------------------------------------------------------------------
+
+
+@_register("change_files", "select changeset_id, path, ord, status, old_path from files_c")
+def change_files(s: SparkSession, d: str) -> DataFrame:
+    return C.change_files(table(s, d, "files"))
+
+
+@_register(
+    "parse_name_status",
+    """select changeset_id, status, path, old_path from (select changeset_id, coalesce(status, 'modified') as status, path, case when status = 'renamed' then coalesce(old_path, path) end as old_path from files_c)""",
+)
+def parse_name_status(s: SparkSession, d: str) -> DataFrame:
+    f = C.change_files(table(s, d, "files"))
+    code = F.upper(F.substring(F.coalesce("status", F.lit("m")), 1, 1))
+    text = F.when(code == "R", F.concat_ws("\t", F.lit("R087"), F.coalesce("old_path", "path"), "path")).otherwise(F.concat_ws("\t", code, "path"))
+    return C.parse_name_status(f.select("changeset_id", F.col("ord").alias("line_no"), text.alias("text"))).drop("line_no")
+
+
+@_register(
+    "parse_num_stat",
+    f"""select changeset_id, path, case when bin then 0 else n_add end as added, case when bin then 0 else n_del end as removed, bin as is_binary from (
+        select changeset_id, path, list_contains({[*P.BINARY]!r}, lower(regexp_extract(path, '\\.([^./]*)$', 1))) as bin, sum(len(additions))::int as n_add, sum(len(deletions))::int as n_del
+        from hunks_c group by changeset_id, path)""",
+)
+def parse_num_stat(s: SparkSession, d: str) -> DataFrame:
+    stats = C.change_stats(_hunks(s, d))
+    count = lambda c: F.when(P.is_binary_path(F.col("path")), "-").otherwise(F.col(c).cast("string"))
+    return C.parse_num_stat(stats.select("changeset_id", F.concat_ws("\t", count("additions"), count("deletions"), "path").alias("text")))
+
+
+_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+
+
+def _header_sql(text: str) -> str:
+    names = ("old_start", "old_lines", "new_start", "new_lines")
+    part = lambda i, n: f"case when regexp_matches({text}, {q(_HEADER)}) then coalesce(nullif(regexp_extract({text}, {q(_HEADER)}, {i}), ''), '1') end::int as {n}"
+    return ", ".join(part(i + 1, n) for i, n in enumerate(names))
+
+
+@_register("parse_hunk_header", f"select hunk_id, {_header_sql('h')} from (select hunk_id, split_part(content, chr(10), 1) as h from hunks_c where content is not null)")
+def parse_hunk_header(s: SparkSession, d: str) -> DataFrame:
+    return _hunks(s, d).where("content is not null").select("hunk_id", *C.hunk_header(F.element_at(F.split("content", "\n", 2), 1)))
+
+
+@_register(
+    "parse_hunk_body",
+    f"""select changeset_id, path, hunk_ord, (row_number() over w - 1)::int as line_ord, kind,
+        case when kind <> 'add' then old_start + coalesce(sum((kind in ('del', 'ctx'))::int) over b, 0) end::int as old_no,
+        case when kind <> 'del' then new_start + coalesce(sum((kind in ('add', 'ctx'))::int) over b, 0) end::int as new_no, substr(raw, 2) as text
+        from (select *, case when left(raw, 1) = '+' then 'add' when left(raw, 1) = '-' then 'del' when left(raw, 1) in (' ', '') then 'ctx' end as kind from (
+            select changeset_id, path, hunk_ord, {_header_sql('ls[1]')}, unnest(ls) as raw, unnest(range(len(ls))) as pos
+            from (select changeset_id, path, hunk_ord, string_split(content, chr(10)) as ls from hunks_c where contains(content, chr(10)))) where pos > 0)
+        where kind is not null
+        window w as (partition by changeset_id, path, hunk_ord order by pos), b as (partition by changeset_id, path, hunk_ord order by pos rows between unbounded preceding and 1 preceding)""",
+)
+def parse_hunk_body(s: SparkSession, d: str) -> DataFrame:
+    return C.hunk_body(_hunks(s, d))
+
+
+@_register("parse_patch")
+def parse_patch(s: SparkSession, d: str) -> DataFrame:
+    """Patches written out from diff_lines, a line per row, and parsed again."""
+    lines = table(s, d, "diff_lines").dropDuplicates(["changeset_id", "path", "hunk_ord", "line_ord"])
+    at = lambda part, ord_: F.struct("path", part.alias("hunk_ord"), ord_.alias("line_ord"))
+    sign = F.when(F.col("kind") == "add", "+").when(F.col("kind") == "del", "-").otherwise(" ")
+    body = lines.select("changeset_id", at(F.col("hunk_ord"), F.col("line_ord")).alias("k"), F.concat(sign, F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ")).alias("text"))
+    first = lines.groupBy("changeset_id", "path", "hunk_ord").agg(F.coalesce(F.min("old_no"), F.lit(0)).alias("o"), F.coalesce(F.min("new_no"), F.lit(0)).alias("n"))
+    heads = first.select("changeset_id", at(F.col("hunk_ord"), F.lit(-1)).alias("k"), F.format_string("@@ -%d +%d @@", "o", "n").alias("text"))
+    paths = first.select("changeset_id", "path").distinct()
+    marks = F.array(F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"))
+    tops = paths.select("changeset_id", "path", F.posexplode(marks).alias("i", "text")).select("changeset_id", at(F.lit(-1), F.col("i")).alias("k"), "text")
+    return C.parse_patch(body.unionByName(heads).unionByName(tops).withColumnRenamed("k", "line_no"))
+
+
+@_register("untracked_hunks")
+def untracked_hunks(s: SparkSession, d: str) -> DataFrame:
+    """Documents of source text read as new files."""
+    texts = table(s, d, "documents").where("source = 'source_file'").select(F.concat_ws("-", F.lit("doc"), "doc_id").alias("changeset_id"), F.lit("file.txt").alias("path"), F.col("text").alias("content"))
+    return C.untracked_hunks(texts).select("changeset_id", "path", "hunk_ord", "new_lines", F.size("additions").alias("n_additions"))
+
+
+@_register(
+    "status_overlay",
+    """select h.changeset_id, h.path, h.hunk_ord, coalesce(f.status, case when h.old_lines = 0 then 'added' when h.new_lines = 0 then 'deleted' else 'modified' end) as status
+        from hunks_c h left join files_c f on h.changeset_id = f.changeset_id and h.path = f.path""",
+)
+def status_overlay(s: SparkSession, d: str) -> DataFrame:
+    return C.with_status(_hunks(s, d), C.change_files(table(s, d, "files"))).select("changeset_id", "path", "hunk_ord", "status")
+
+
+@_register("change_stats", "select changeset_id, path, count(*) as hunks, sum(len(additions))::bigint as additions, sum(len(deletions))::bigint as deletions from hunks_c group by changeset_id, path")
+def change_stats(s: SparkSession, d: str) -> DataFrame:
+    return C.change_stats(_hunks(s, d))
+
+
+_LINES = "(select distinct changeset_id, path, hunk_ord, line_ord, kind, old_no, new_no, coalesce(text, '') as text from diff_lines)"
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "diff_lines").dropDuplicates(["changeset_id", "path", "hunk_ord", "line_ord"]).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@_register("diff_stats", f"select changeset_id, count(distinct path) as files, count(*) filter (where kind = 'add') as additions, count(*) filter (where kind = 'del') as deletions from {_LINES} group by changeset_id")
+def diff_stats(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).groupBy("changeset_id").agg(F.count_distinct("path").alias("files"), F.count_if(F.col("kind") == "add").alias("additions"), F.count_if(F.col("kind") == "del").alias("deletions"))
+
+
+@_register("additions_with_line_no", f"select changeset_id, path, new_no as line, text from {_LINES} where kind = 'add'")
+def additions_with_line_no(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).where("kind = 'add'").select("changeset_id", "path", F.col("new_no").alias("line"), "text")
+
+
+@_register("match_with_line_no", f"select changeset_id, path, new_no as line, unnest(regexp_extract_all(text, '[A-Z][A-Z0-9]+_[A-Z0-9_]+')) as match from {_LINES} where kind = 'add'")
+def match_with_line_no(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).where("kind = 'add'").select("changeset_id", "path", F.col("new_no").alias("line"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Z0-9]+_[A-Z0-9_]+"), F.lit(0))).alias("match"))
+
+
+# --- paths -----------------------------------------------------------------------------
+
+_GLOBS = [P.glob_regex(g) for g in P.DEFAULT_GLOBS]
+_USER_EXCLUDE = ["docs/**", "**/*.svelte"]
+
+
+@_register(
+    "glob_filter",
+    f"select changeset_id, path, case when {any_sql('path', [P.glob_regex(g) for g in _USER_EXCLUDE])} then 'excluded-by-glob' when {any_sql('path', _GLOBS)} then 'excluded-by-default' else 'keep' end as decision from allf",
+)
+def glob_filter(s: SparkSession, d: str) -> DataFrame:
+    return _files(s, d).select("changeset_id", "path", P.path_decision(F.col("path"), exclude=_USER_EXCLUDE).alias("decision"))
+
+
+@_register("exclude_filter", f"select changeset_id, path from allf where not {any_sql('path', P.EXCLUDED)}")
+def exclude_filter(s: SparkSession, d: str) -> DataFrame:
+    return _files(s, d).where(~P.is_excluded(F.col("path"))).select("changeset_id", "path")
+
+
+@_register("skip_reasons", f"select changeset_id, path, {first_sql('path', P.SKIP)} as reason from allf where {first_sql('path', P.SKIP)} is not null")
+def skip_reasons(s: SparkSession, d: str) -> DataFrame:
+    return _files(s, d).select("changeset_id", "path", P.skip_reason(F.col("path")).alias("reason")).where("reason is not null")
+
+
+@_register("binary_files", f"select changeset_id, path from allf where list_contains({[*P.BINARY]!r}, lower(regexp_extract(path, '\\.([^./]*)$', 1)))")
+def binary_files(s: SparkSession, d: str) -> DataFrame:
+    return _files(s, d).where(P.is_binary_path(F.col("path"))).select("changeset_id", "path")
+
+
+@_register("file_category", f"select changeset_id, path, {first_sql('path', P.CATEGORIES, 'other')} as category from allf")
+def file_category(s: SparkSession, d: str) -> DataFrame:
+    return _files(s, d).select("changeset_id", "path", P.category(F.col("path")).alias("category"))
+
+
+@_register("category_counts", f"select changeset_id, {first_sql('path', P.CATEGORIES, 'other')} as category, count(*) as files from allf group by 1, 2")
+def category_counts(s: SparkSession, d: str) -> DataFrame:
+    return A.file_categories(_files(s, d))
+
+
+# --- text ---------------------------------------------------------------------------------
+
+
+@_register("redact_line")
+def redact_line(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).select("changeset_id", "path", "hunk_ord", "line_ord", T.redact_line(F.col("text")).alias("text"))
+
+
+@_register("redact_secrets")
+def redact_secrets(s: SparkSession, d: str) -> DataFrame:
+    items = table(s, d, "facts_findings").select("row_id", F.posexplode("evidence").alias("item", "e"))
+    return items.select("row_id", "item", T.redact_secrets(F.col("e.excerpt")).alias("excerpt"))
+
+
+_TRIMMED = "list_transform(additions, lambda x: regexp_replace(x, '^[\\s\\x{00A0}\\x{2003}]+|[\\s\\x{00A0}\\x{2003}]+$', '', 'g'))"
+
+
+@_register(
+    "representative_excerpt",
+    f"""select hunk_id, case when length(e) <= 200 then e else left(e, 197) || '...' end as excerpt from (select hunk_id, case when len(t) = 0 then '' else
+        coalesce(list_filter(t, lambda x: x <> '' and not starts_with(x, '//') and not starts_with(x, '/*') and not starts_with(x, '*') and not starts_with(x, '#'))[1], t[1]) end as e
+        from (select hunk_id, {_TRIMMED} as t from hunks_c))""",
+)
+def representative_excerpt(s: SparkSession, d: str) -> DataFrame:
+    return _hunks(s, d).select("hunk_id", T.representative_excerpt(F.col("additions")).alias("excerpt"))
+
+
+# --- analyzers ---------------------------------------------------------------------------------
+
+
+def _agg(expr: str, where: str = "") -> str:
+    return f"coalesce(string_agg(distinct {expr}, ',' order by {expr}){' filter (where ' + where + ')' if where else ''}, '')"
+
+
+@_register("file_summary", "select changeset_id, " + ", ".join(f"{_agg('path', f'status = {q(x)}')} as {x}" for x in ("added", "modified", "deleted", "renamed")) + f" from allf where not {any_sql('path', P.EXCLUDED)} group by changeset_id")
+def file_summary(s: SparkSession, d: str) -> DataFrame:
+    return A.file_summary(_files(s, d))
+
+
+_LARGE = """(select f.changeset_id, f.files_changed, coalesce(c.lines_changed, 0)::bigint as lines_changed from (select changeset_id, count(*) as files_changed from allf group by 1) f
+    left join (select changeset_id, sum(len(additions) + len(deletions)) as lines_changed from chg group by 1) c on f.changeset_id = c.changeset_id)"""
+
+
+@_register("large_diff", f"select * from {_LARGE} where files_changed > 30 or lines_changed > 1000")
+def large_diff(s: SparkSession, d: str) -> DataFrame:
+    return A.large_diffs(_files(s, d), _changes(s, d))
+
+
+_DEP_LINE = f"(regexp_matches(x, {q(A.DEPENDENCY_FIELD)}) or (regexp_matches(x, {q(A.FIELD_NAME)}) and not list_contains({A.NO_DEPENDENCY!r}, regexp_extract(x, {q(A.FIELD_NAME)}, 1)) and regexp_matches(x, {q(A.VERSION_VALUE)})))"
+
+
+@_register(
+    "lockfile_mismatch",
+    f"""select t.changeset_id, manifest_changed, lockfile_changed from (select changeset_id, bool_or(path = 'package.json') as manifest_changed, bool_or(regexp_matches(path, {q(A.LOCKFILE)})) as lockfile_changed,
+            bool_or(path = 'package.json' and status = 'added') as manifest_added from allf group by 1) t
+        left join (select changeset_id, bool_or(len(list_filter(list_concat(additions, deletions), lambda x: {_DEP_LINE})) > 0) as dep from chg where path = 'package.json' group by 1) l on t.changeset_id = l.changeset_id
+        where (manifest_changed and coalesce(dep, manifest_added) and not lockfile_changed) or (not manifest_changed and lockfile_changed)""",
+)
+def lockfile_mismatch(s: SparkSession, d: str) -> DataFrame:
+    return A.lockfile_mismatches(_files(s, d), _changes(s, d))
+
+
+@_register(
+    "env_vars",
+    f"""select changeset_id, name, {_agg('path')} as files from (
+        select changeset_id, path, unnest(list_concat(regexp_extract_all(add_text, {q(A.ENV_READ)}, 1), regexp_extract_all(add_text, {q(A.ENV_VITE)}, 1), regexp_extract_all(add_text, {q(A.ENV_PUBLIC)}, 1),
+            list_transform(flatten(list_transform(regexp_extract_all(add_text, {q(A.ENV_IMPORT)}, 1), lambda x: string_split(x, ','))), lambda v: regexp_replace(regexp_replace(trim(v), '\\s+as\\s+.*$', ''), '\\s+', '', 'g')))) as name
+        from chg where not {any_sql('path', P.EXCLUDED)} and not {any_sql('path', A.ENV_NO_SCAN)} and ({any_sql('path', A.ENV_CONFIG)} or regexp_matches(path, {q(A.CODE_PATH)})))
+        where name <> '' group by changeset_id, name""",
+)
+def env_vars(s: SparkSession, d: str) -> DataFrame:
+    return A.env_vars(_changes(s, d))
+
+
+@_register("security_files", f"select changeset_id, count(*) as n_files, {_agg('path')} as files, {_agg('reason')} as reasons from (select *, {first_sql('path', P.SECURITY)} as reason from allf) where reason is not null group by changeset_id")
+def security_files(s: SparkSession, d: str) -> DataFrame:
+    return A.security_files(_files(s, d))
+
+
+_SQL_RISK = f"""case when regexp_matches(add_text, {q(A.DESTRUCTIVE_SQL)}) then 'destructive' when regexp_matches(add_text, {q(A.SCHEMA_SQL)}) then 'schema_change'
+    when len(list_filter(regexp_extract_all(add_text, '(?i)(?:UPDATE|DELETE)\\s+[^;\\n]*'), lambda x: not regexp_matches(x, '(?i)\\bWHERE\\b'))) > 0 then 'unscoped_modification' end"""
+
+
+@_register("sql_risks", f"select changeset_id, path, hunk_ord, risk from (select changeset_id, path, hunk_ord, {_SQL_RISK} as risk from chg where {any_sql('path', P.MIGRATION_FILE)}) where risk is not null")
+def sql_risks(s: SparkSession, d: str) -> DataFrame:
+    return A.sql_risks(_changes(s, d))
+
+
+@_register(
+    "ci_workflows",
+    " union all ".join(f"select changeset_id, path, {q(k)} as risk, min(hunk_ord) as first_hunk from chg where {any_sql('path', P.CI_FILE)} and regexp_matches(add_text, {q(p)}) group by 1, 2" for k, p in {**A.WORKFLOW_RISKS, "pipeline_changed": ""}.items()),
+)
+def ci_workflows(s: SparkSession, d: str) -> DataFrame:
+    return A.ci_workflows(_changes(s, d))
+
+
+@_register("infra", f"select changeset_id, infra_type, {_agg('path')} as files from (select *, {first_sql('path', P.INFRA)} as infra_type from allf) where infra_type is not null group by 1, 2")
+def infra(s: SparkSession, d: str) -> DataFrame:
+    return A.infra_changes(_files(s, d))
+
+
+@_register("api_contracts", f"select changeset_id, {_agg('path')} as files from allf where {any_sql('path', P.API_CONTRACT)} group by 1")
+def api_contracts(s: SparkSession, d: str) -> DataFrame:
+    return A.api_contracts(_files(s, d))
+
+
+@_register(
+    "cloudflare",
+    f"""select changeset_id, area, {_agg('path')} as files from (select changeset_id, 'wrangler' as area, path from allf where regexp_matches(path, '^wrangler\\.(toml|json)$')
+        union all select changeset_id, 'ci', path from chg where regexp_matches(path, '^\\.github/workflows/.*\\.(yml|yaml)$') and regexp_matches(add_text, {q(A.CLOUDFLARE_WORDS)})) group by 1, 2""",
+)
+def cloudflare(s: SparkSession, d: str) -> DataFrame:
+    return A.cloudflare_changes(_files(s, d), _changes(s, d))
+
+
+@_register("test_changes", f"select changeset_id, {_agg('path')} as files, " + ", ".join(f"{_agg('path', f'status = {q(x)}')} as {x}" for x in ("added", "modified", "deleted")) + f" from allf where {any_sql('path', P.TEST_FILE + P.TEST_CONFIG)} group by 1")
+def test_changes(s: SparkSession, d: str) -> DataFrame:
+    return A.test_changes(_files(s, d))
+
+
+def _labels_sql(rules: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"case when regexp_matches(add_text, {q(p)}) then {q(n)} end" for n, p in rules.items()) + "], lambda x: x is not null)"
+
+
+def _risk_sql(chosen: str, rules: dict[str, str], schema: str, risk: str) -> str:
+    return f"""select changeset_id, tool, count(distinct path) as n_files, {_agg('path')} as files, case when {_agg('label')} <> '' then 'high' {risk} end as risk, {_agg('label')} as reasons from (
+        select changeset_id, path, tool, is_schema, unnest(case when len(found) > 0 then found else [null] end) as label from (
+            select f.changeset_id, f.path, f.tool, {schema} as is_schema, coalesce({_labels_sql(rules)}, []) as found
+            from ({chosen}) f left join chg c on f.changeset_id = c.changeset_id and f.path = c.path)) group by changeset_id, tool"""
+
+
+@_register(
+    "supabase_migrations",
+    _risk_sql(
+        "select s.changeset_id, s.path, 'supabase' as tool from allf s join (select changeset_id, bool_or(regexp_matches(path, '^supabase/migrations/.*\\.sql$')) as m from allf where starts_with(path, 'supabase/') group by 1) a on s.changeset_id = a.changeset_id where starts_with(s.path, 'supabase/') and (not a.m or regexp_matches(s.path, '^supabase/migrations/.*\\.sql$'))",
+        A.SUPABASE_DESTRUCTIVE, "true", "when bool_and(regexp_matches(path, '^supabase/(seed|config)')) then 'low' else 'medium'",
+    ),
+)
+def supabase_migrations(s: SparkSession, d: str) -> DataFrame:
+    return A.supabase_migrations(_files(s, d), _changes(s, d))
+
+
+@_register("python_migrations", _risk_sql(f"select * from (select changeset_id, path, {first_sql('path', A.PYTHON_MIGRATION)} as tool from allf) where tool is not null", A.PYTHON_DESTRUCTIVE, f"regexp_matches(add_text, {q(A.PYTHON_SCHEMA)})", "when coalesce(bool_or(is_schema), false) then 'medium' else 'low'"))
+def python_migrations(s: SparkSession, d: str) -> DataFrame:
+    return A.python_migrations(_files(s, d), _changes(s, d))
+
+
+@_register("config_findings", config_sql())
+def config_all(s: SparkSession, d: str) -> DataFrame:
+    return config_findings(_changes(s, d))
+
+
+def _config(name: str) -> None:
+    rules = [r for r in RULES if r.analyzer == name]
+    _register("config_" + name.replace("-", "_"), config_sql(rules))(lambda s, d: config_findings(_changes(s, d), rules))
+
+
+for _name in dict.fromkeys(r.analyzer for r in RULES):
+    _config(_name)
+
+
+def _sides_sql(groups: dict[str, tuple[str, dict[str, str]]], group: str, element: str, removed: str = "removed") -> str:
+    rows = []
+    for kind, (gate, elements) in groups.items():
+        for el, pattern in elements.items():
+            for text, mark in (("add_text", 1), ("del_text", 2)):
+                rows.append(f"select changeset_id, path, {q(kind)} as {group}, {q(el)} as {element}, unnest(regexp_extract_all({text}, {q(pattern)}, 1)) as name, {mark} as side from chg where regexp_matches(path, {q(gate)})")
+    return f"select changeset_id, path, {group}, {element}, name, case bit_or(side) when 1 then 'added' when 2 then {q(removed)} else 'modified' end as change from ({' union all '.join(rows)}) group by 1, 2, 3, 4, 5"
+
+
+@_register("schema_elements", _sides_sql(A.SCHEMA_ELEMENTS, "kind", "element"))
+def schema_elements(s: SparkSession, d: str) -> DataFrame:
+    return A.schema_elements(_changes(s, d))
+
+
+_BREAKS = " union all ".join(f"select changeset_id, path, {q(k)} as kind, {q(label)} as reason from chg where regexp_matches(path, {q(A.SCHEMA_ELEMENTS[k][0])}) and regexp_matches(del_text, {q(p)})" for k, rules in A.SCHEMA_BREAKS.items() for label, p in rules.items())
+
+
+@_register(
+    "schema_changes",
+    f""", el as ({_sides_sql(A.SCHEMA_ELEMENTS, "kind", "element")}),
+        per as (select changeset_id, path, kind, """
+    + ", ".join(f"{_agg(chr(40) + 'element || ' + q(':') + ' || name' + chr(41), f'change = {q(x)}')} as {x}" for x in ("added", "removed", "modified"))
+    + f""", bool_or(case when kind = 'tsconfig' then list_contains({A.CRITICAL_OPTIONS!r}, name) else change <> 'added' end) as breaks from el group by 1, 2, 3),
+        why as (select changeset_id, path, kind, {_agg('reason')} as reasons from ({_BREAKS}) group by 1, 2, 3)
+        select coalesce(p.changeset_id, w.changeset_id) as changeset_id, coalesce(p.path, w.path) as path, coalesce(p.kind, w.kind) as kind, coalesce(added, '') as added, coalesce(removed, '') as removed,
+            coalesce(modified, '') as modified, coalesce(reasons, '') as reasons, coalesce(breaks, false) or reasons is not null as is_breaking
+        from per p full join why w on p.changeset_id = w.changeset_id and p.path = w.path and p.kind = w.kind""",
+)
+def schema_changes(s: SparkSession, d: str) -> DataFrame:
+    return A.schema_changes(_changes(s, d))
+
+
+@_register("surface_changes", _sides_sql(A.SURFACES, "surface", "kind"))
+def surface_changes(s: SparkSession, d: str) -> DataFrame:
+    return A.surface_changes(_changes(s, d))
+
+
+def _risky_sql(table_: dict[str, list[str]]) -> str:
+    return "case " + " ".join(f"when list_contains({names!r}, name) then {q(k)}" for k, names in table_.items()) + " end"
+
+
+def _versions_sql(gate: str, pattern: str, skip: str) -> str:
+    rows = " union all ".join(f"select changeset_id, path, {q(mark)} as side, unnest({column}) as line from chg where regexp_matches(path, {q(gate)})" for column, mark in (("additions", "to"), ("deletions", "from")))
+    return f"""select changeset_id, path, name, max(version) filter (where side = 'from') as from_version, max(version) filter (where side = 'to') as to_version from (
+        select changeset_id, path, side, lower(regexp_extract(line, {q(pattern)}, 1)) as name, trim(regexp_extract(line, {q(pattern)}, 2)) as version from ({rows})
+        where regexp_matches(line, {q(pattern)}) and not regexp_matches(line, {q(skip)})) group by 1, 2, 3"""
+
+
+@_register(
+    "python_dependencies",
+    f"""select changeset_id, path, name, from_version, to_version, case when to_version is null then 'removed' when from_version is null then 'new' when from_version = '' or to_version = '' then 'unknown'
+        when coalesce(nullif(regexp_extract(to_version, '(\\d+)', 1), '')::int, 0) > coalesce(nullif(regexp_extract(from_version, '(\\d+)', 1), '')::int, 0) then 'major' else 'minor' end as impact,
+        {_risky_sql(A.RISKY_PYTHON)} as risk_category from ({_versions_sql(A.REQUIREMENTS_FILE, A.REQUIREMENT, '^[ ]*(#|-|$)')})""",
+)
+def python_dependencies(s: SparkSession, d: str) -> DataFrame:
+    return A.python_dependencies(_changes(s, d))
+
+
+_SEMVER = r"^v?(\d{1,9})\.(\d{1,9})\.(\d{1,9})(?:[-+][0-9A-Za-z.+-]+)?$"
+
+
+def _semver_sql(a: str, b: str) -> str:
+    part = lambda c, i: f"nullif(regexp_extract(trim(regexp_replace({c}, '^[\\^~>=<]+', '')), {q(_SEMVER)}, {i}), '')::int"
+    return " ".join(f"when {part(b, i)} > {part(a, i)} then {q(n)}" for i, n in ((1, "major"), (2, "minor"), (3, "patch")))
+
+
+@_register(
+    "node_dependencies",
+    f"""select changeset_id, path, name, from_version, to_version, case when to_version is null then 'removed' when from_version is null then 'new' {_semver_sql('from_version', 'to_version')} else 'unknown' end as impact,
+        {_risky_sql(A.RISKY_NODE)} as risk_category from ({_versions_sql('(^|/)package[.]json$', A.MANIFEST_LINE, A.FIELD_NAME.replace('([^' + chr(92) + '"]+)', '(' + '|'.join(A.NO_DEPENDENCY) + ')'))})
+        where from_version is null or to_version is null or from_version <> to_version""",
+)
+def node_dependencies(s: SparkSession, d: str) -> DataFrame:
+    return A.node_dependencies(_changes(s, d))
+
+
+def _steps_sql(framework: str) -> str:
+    out = "path"
+    for pattern, to in A.ROUTE_STEPS[framework]:
+        out = f"regexp_replace({out}, {q(pattern)}, {q(to.replace('$', chr(92)))}, 'g')"
+    return out
+
+
+@_register(
+    "file_routes",
+    f"""select r.changeset_id, r.path, framework, route_id, route_type, change, case when route_type = 'endpoint' then coalesce(methods, '') else '' end as methods from (
+        select changeset_id, path, status as change, framework, case framework {' '.join(f'when {q(k)} then {_steps_sql(k)}' for k in A.ROUTE_STEPS)} end as route_id,
+            case framework {' '.join(f'when {q(k)} then {first_sql("path", v, "unknown")}' for k, v in A.ROUTE_TYPES.items())} end as route_type
+        from (select *, {first_sql('path', A.ROUTE_GATES)} as framework from allf) where framework is not null) r
+        left join (select changeset_id, path, {_agg('m')} as methods from (select changeset_id, path, unnest(regexp_extract_all(add_text, {q(A.METHOD_EXPORT)}, 1)) as m from chg) group by 1, 2) m on r.changeset_id = m.changeset_id and r.path = m.path""",
+)
+def file_routes(s: SparkSession, d: str) -> DataFrame:
+    return A.file_routes(_files(s, d), _changes(s, d))
+
+
+_FRAMEWORK = """case when regexp_matches(path, 'urls\\.py$') then 'django' when regexp_matches(all_text, 'from fastapi|import fastapi|APIRouter') then 'fastapi' when regexp_matches(all_text, 'from django|urlpatterns') then 'django'
+    when regexp_matches(all_text, 'from flask|Flask\\(|Blueprint\\(') then 'flask' when regexp_matches(path, 'views\\.py$') then 'django' when regexp_matches(path, '(routers?|endpoints?|api|main|app|routes?)\\.py$') then 'fastapi' else 'flask' end"""
+_ROUTES_OF = lambda text: f"case framework when 'fastapi' then regexp_extract_all({text}, {q(A.FASTAPI_ROUTE)}, 2) when 'django' then regexp_extract_all({text}, {q(A.DJANGO_ROUTE)}, 1) else regexp_extract_all({text}, {q(A.FLASK_ROUTE)}, 1) end"
+
+
+@_register(
+    "python_routes",
+    f""", g as (select *, {_FRAMEWORK} as framework from chg where regexp_matches(path, {q(A.PYTHON_ROUTE_FILE)})),
+        r as (select changeset_id, path, framework, unnest({_ROUTES_OF('add_text')}) as route, 1 as side from g union all select changeset_id, path, framework, unnest({_ROUTES_OF('del_text')}), 2 from g),
+        p as (select changeset_id, path, framework, side, case when framework = 'django' then regexp_replace(regexp_replace(regexp_replace(route, '^\\^', ''), '\\$$', ''), '\\(\\?P<(\\w+)>[^)]+\\)', ':{{\\1}}', 'g') else route end as plain from r),
+        t as (select changeset_id, path, framework, side, case when starts_with(plain, '/') then plain else '/' || plain end as rooted from p)
+        select changeset_id, path, framework, case when rooted = '/' then rooted else regexp_replace(rooted, '/$', '') end as route_id, case bit_or(side) when 1 then 'added' when 2 then 'deleted' else 'modified' end as change from t group by 1, 2, 3, 4""",
+)
+def python_routes(s: SparkSession, d: str) -> DataFrame:
+    return A.python_routes(_changes(s, d))
+
+
+@_register(
+    "rsc_boundary",
+    ", f as (select changeset_id, path, "
+    + ", ".join(f"bool_or(regexp_matches({x}_text, {q(p)})) as {x}_{m}" for x in ("add", "del") for m, p in A.RSC_MARKS.items())
+    + f""" from chg where regexp_matches(path, {q(A.RSC_PATH)}) group by 1, 2),
+        b as (select *, case when add_use_server or add_server_only then 'server' when add_use_client or add_client_only then 'client' end as head, case when del_use_server or del_server_only then 'server' when del_use_client or del_client_only then 'client' end as base from f)
+        select changeset_id, path, case when del_use_server then 'use server' when del_use_client then 'use client' else '' end as from_directive, case when add_use_server then 'use server' when add_use_client then 'use client' else '' end as to_directive,
+            coalesce(head, base) as boundary, concat_ws('; ', case when not add_use_client and del_use_client then 'Removed client directive' end, case when not add_use_server and del_use_server then 'Removed server directive' end,
+            case when add_server_only and not del_server_only then 'Added server-only import' end, case when not add_client_only and del_client_only then 'Removed client-only import' end) as reasons
+        from b where head is not null or base is not null""",
+)
+def rsc_boundary(s: SparkSession, d: str) -> DataFrame:
+    return A.rsc_boundaries(_changes(s, d))
+
+
+@_register(
+    "impact_radius",
+    f"""select s.changeset_id, s.path, count(distinct u.path) as dependents, case when count(distinct u.path) > 10 then 'high' when count(distinct u.path) > 3 then 'medium' else 'low' end as blast_radius
+        from (select changeset_id, path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') as name from allf where status in ('modified', 'renamed') and regexp_matches(path, {q(A.CODE_FILE)})) s
+        join (select changeset_id, path, unnest(regexp_extract_all(all_text, '["''](?:[^"''\\s]*/)?([\\w.@-]+?)(?:\\.(?:ts|tsx|js|jsx|mjs|cjs|svelte|vue|astro))?["'']', 1)) as name from chg where regexp_matches(path, {q(A.CODE_FILE)})) u
+        on s.changeset_id = u.changeset_id and s.name = u.name and s.path <> u.path group by s.changeset_id, s.path""",
+)
+def impact_radius(s: SparkSession, d: str) -> DataFrame:
+    return A.impact_radius(_files(s, d), _changes(s, d))
+
+
+# --- identity, order, comparison ---------------------------------------------------------------------
+
+
+@_register("stable_hash", "select hunk_id, substr(sha256(replace(path, '\\', '/') || ':' || hunk_ord), 1, 12) as id from hunks_c", True)
+def stable_hash(s: SparkSession, d: str) -> DataFrame:
+    return _hunks(s, d).select("hunk_id", I.stable_hash(F.concat(I.posix(F.col("path")), F.lit(":"), F.col("hunk_ord").cast("string"))).alias("id"))
+
+
+_DEDUP = "(select * from facts_findings where facts_path is not null and finding_id is not null and finding_id <> '' qualify row_number() over (partition by facts_path, finding_id order by loaded_at desc nulls last, row_id desc) = 1)"
+
+
+def _dedup(s: SparkSession, d: str) -> DataFrame:
+    return I.last_wins(table(s, d, "facts_findings").where("finding_id <> ''"), ["facts_path", "finding_id"], ["loaded_at", "row_id"])
+
+
+@_register("dedup_last_wins", f"select facts_path, finding_id, row_id from {_DEDUP}", False)
+def dedup_last_wins(s: SparkSession, d: str) -> DataFrame:
+    return _dedup(s, d).select("facts_path", "finding_id", "row_id")
+
+
+@_register(
+    "sort_findings",
+    f"select row_id, row_number() over (partition by facts_path order by finding_type nulls first, coalesce(lower(replace(evidence[1].file, '\\', '/')), ''), coalesce(evidence[1].line, 0), row_id) as sort_rank from {_DEDUP}",
+    False,
+)
+def sort_findings(s: SparkSession, d: str) -> DataFrame:
+    return I.sort_rank(_dedup(s, d)).select("row_id", "sort_rank")
+
+
+_PAIRS = "(select distinct r.facts_path as newer, o.facts_path as older from facts_runs r join facts_runs o on regexp_replace(r.since_path, '^(\\./)+', '') = o.facts_path where r.facts_path <> o.facts_path)"
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    runs = table(s, d, "facts_runs")
+    old = runs.select(F.col("facts_path").alias("older"), relative_path(F.col("facts_path")).alias("at")).distinct()
+    return runs.select(F.col("facts_path").alias("newer"), relative_path(F.col("since_path")).alias("at")).distinct().join(old, "at").where("newer <> older").select("newer", "older")
+
+
+@_register(
+    "delta_confidence",
+    f""", x as (select facts_path, finding_id, confidence from {_DEDUP}), a as (select p.newer, x.finding_id, x.confidence from {_PAIRS} p join x on p.newer = x.facts_path), b as (select p.newer, x.finding_id, x.confidence from {_PAIRS} p join x on p.older = x.facts_path)
+        select newer, finding_id, change from (select coalesce(a.newer, b.newer) as newer, coalesce(a.finding_id, b.finding_id) as finding_id,
+            case when b.newer is null then 'added' when a.newer is null then 'removed' when a.confidence is distinct from b.confidence then 'changed' end as change
+            from a full join b on a.newer = b.newer and a.finding_id = b.finding_id) where change is not null""",
+)
+def delta_confidence(s: SparkSession, d: str) -> DataFrame:
+    """Findings added, removed or of another confidence between runs, by a plain full join."""
+    rows = _dedup(s, d).select("facts_path", "finding_id", "confidence")
+    pairs = _pairs(s, d)
+    side = lambda c: pairs.join(rows.withColumnRenamed("facts_path", c), c).select("newer", "finding_id", "confidence")
+    return I.delta_by_id(side("older"), side("newer"), ["newer", "finding_id"], "confidence")
+
+
+_SCOPE = ["repo_name", "profile"]
+
+
+@_register(
+    "scope_warnings",
+    f""", one as (select facts_path, repo_name, profile from facts_runs qualify row_number() over (partition by facts_path order by loaded_at desc nulls last) = 1)
+        select facts_path, field, before, after from (select p.newer as facts_path, unnest(['repo_name', 'profile']) as field, unnest([o.repo_name, o.profile]) as before, unnest([n.repo_name, n.profile]) as after
+            from {_PAIRS} p join one n on p.newer = n.facts_path join one o on p.older = o.facts_path) where before is distinct from after""",
+)
+def scope_warnings(s: SparkSession, d: str) -> DataFrame:
+    return I.scope_warnings(table(s, d, "facts_runs"), _pairs(s, d), _SCOPE)
+
+
+# --- scores and reports ------------------------------------------------------------------------------------
+
+
+@_register("findings")
+def findings(s: SparkSession, d: str) -> DataFrame:
+    return _findings(s, d)
+
+
+@_register("risk_factors")
+def risk_factors(s: SparkSession, d: str) -> DataFrame:
+    return S.risk_factors(_findings(s, d), _files(s, d))
+
+
+@_register("risk_score")
+def risk_score(s: SparkSession, d: str) -> DataFrame:
+    files = _files(s, d)
+    return S.risk_scores(S.risk_factors(_findings(s, d), files), files)
+
+
+@_register("risk_flags")
+def risk_flags(s: SparkSession, d: str) -> DataFrame:
+    return S.risk_flags(_findings(s, d))
+
+
+@_register("category_scores")
+def category_scores(s: SparkSession, d: str) -> DataFrame:
+    return S.category_scores(S.risk_flags(_findings(s, d)))
+
+
+def _sql_score() -> str:
+    """The flagship in SQL: sql risks to flags, category score and overall score."""
+    return f""", r as (select changeset_id, path, risk, substr(sha256('sql-risk:' || path || ':' || risk), 1, 12) as id from (select changeset_id, path, {_SQL_RISK} as risk from chg where {any_sql('path', P.MIGRATION_FILE)}) where risk is not null),
+        f as (select distinct changeset_id, id, case risk when 'destructive' then 41 when 'schema_change' then 26 else 26 end as eff from r),
+        c as (select changeset_id, least(100, sum(eff)) as db, count(*) as flags from f group by 1)
+        select changeset_id, floor(0.6 * db + 0.4 * db / 3.0 + 0.5)::int as overall, case when floor(0.6 * db + 0.4 * db / 3.0 + 0.5) >= 81 then 'critical' when floor(0.6 * db + 0.4 * db / 3.0 + 0.5) >= 61 then 'high'
+            when floor(0.6 * db + 0.4 * db / 3.0 + 0.5) >= 41 then 'elevated' when floor(0.6 * db + 0.4 * db / 3.0 + 0.5) >= 21 then 'moderate' else 'low' end as level, flags from c"""
+
+
+@_register("sql_risk_report", _sql_score())
+def sql_risk_report(s: SparkSession, d: str) -> DataFrame:
+    """Flagship: hunks to SQL risks, identities, flags, category scores and the overall score."""
+    risks = S._rows(A.sql_risks(_changes(s, d)), "sql-risk", "database", F.concat(F.lit("sql-risk:"), "path", F.lit(":"), "risk"), file=F.col("path"), risk=F.col("risk"))
+    return S.risk_report(S.risk_flags(risks.withColumn("finding_id", I.finding_id(F.col("type"), F.col("fingerprint")))))
+
+
+@_register("risk_report")
+def risk_report(s: SparkSession, d: str) -> DataFrame:
+    return S.risk_report(S.risk_flags(_findings(s, d)))
+
+
+@_register("category_aggregates")
+def category_aggregates(s: SparkSession, d: str) -> DataFrame:
+    found = _findings(s, d)
+    return S.category_aggregates(found, S.risk_factors(found, _files(s, d)))
+
+
+@_register("top_findings")
+def top_findings(s: SparkSession, d: str) -> DataFrame:
+    return S.top_findings(_findings(s, d))
+
+
+@_register("dependency_overview")
+def dependency_overview(s: SparkSession, d: str) -> DataFrame:
+    return S.dependency_overview(_findings(s, d))
+
+
+@_register("log_results")
+def log_results(s: SparkSession, d: str) -> DataFrame:
+    return S.log_results(_findings(s, d))
+
+
+BUDGET = 20_000
+
+
+@_register(
+    "chunk_by_budget",
+    f""", recursive_items as (select changeset_id, path, size, row_number() over (partition by changeset_id order by path) as k from (select changeset_id, path, sum(length(text) + 2)::bigint as size from {_LINES} group by 1, 2)),
+        walk as (select changeset_id, path, size, k, 0 as chunk, size as used, size > {BUDGET} as solo from recursive_items where k = 1
+            union all select i.changeset_id, i.path, i.size, i.k, w.chunk + (w.solo or w.used + i.size > {BUDGET})::int, case when w.solo or w.used + i.size > {BUDGET} then i.size else w.used + i.size end, i.size > {BUDGET}
+            from walk w join recursive_items i on i.changeset_id = w.changeset_id and i.k = w.k + 1)
+        select changeset_id, path, size, chunk from walk""",
+)
+def chunk_budget(s: SparkSession, d: str) -> DataFrame:
+    sizes = _lines(s, d).groupBy("changeset_id", "path").agg(F.sum(F.length("text") + 2).alias("size"))
+    return chunk_by_budget(sizes, BUDGET)
+
+
+_SQL["chunk_by_budget"] = _SQL["chunk_by_budget"].replace("with files_c", "with recursive files_c", 1)
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p4_nodes": p4_nodes}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
