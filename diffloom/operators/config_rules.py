@@ -162,6 +162,10 @@ def _flat(rule: ConfigRule) -> list[tuple[str, str, int, int, int, Need]]:
     return out
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def config_findings(changes: DataFrame, rules: list[ConfigRule] = RULES) -> DataFrame:
     """changeset_id, file, status, analyzer, type, category, tool, sections, reasons, is_breaking, confidence.
 
@@ -169,32 +173,38 @@ def config_findings(changes: DataFrame, rules: list[ConfigRule] = RULES) -> Data
     sorted and joined by '; '. Patterns are looked for within each hunk; what a reason
     needs may come from several hunks of a file.
     """
+    # One number per pattern; what it stands for is joined from a table of a few hundred fixed rows.
+    meanings: list[tuple[int, int, str, str, int, int, int]] = []
+    # The expression is written as SQL text: one parse instead of a thousand calls to build it.
     hits = []
     for k, rule in enumerate(rules):
-        checks = [F.struct(F.lit(k).alias("rule"), F.lit("file").alias("role"), F.lit("").alias("label"), F.lit(0).alias("alt"), F.lit(1).alias("needs"), F.lit(0).alias("need"))]
-        for role, label, alt, needs, need, (scope, pattern) in _flat(rule):
-            found = F.struct(F.lit(k).alias("rule"), F.lit(role).alias("role"), F.lit(label).alias("label"), F.lit(alt).alias("alt"), F.lit(needs).alias("needs"), F.lit(need).alias("need"))
-            checks.append(F.when(F.col(f"{scope}_text").rlike(pattern), found))
-        hits.append(F.when(any_of(F.col("path"), list(rule.gate)), F.array(*checks)))
+        checks = []
+        for role, label, alt, needs, need, (scope, pattern) in [("file", "", 0, 1, 0, ("any", "")), *_flat(rule)]:
+            number = len(meanings)
+            meanings.append((number, k, role, label, alt, needs, need))
+            checks.append(str(number) if scope == "any" else f"case when {scope}_text rlike {_literal(pattern)} then {number} end")
+        gate = " or ".join(f"path rlike {_literal(g)}" for g in rule.gate)
+        hits.append(f"case when {gate} then array({', '.join(checks)}) end")
+    table = changes.sparkSession.createDataFrame(meanings, "hit int, rule int, role string, label string, alt int, needs int, need int")
     gated = changes.where(any_of(F.col("path"), [g for r in rules for g in r.gate]))
-    matched = gated.select("changeset_id", F.col("path").alias("file"), "status", F.explode(F.flatten(F.filter(F.array(*hits), lambda x: x.isNotNull()))).alias("hit"))
+    matched = gated.select("changeset_id", F.col("path").alias("file"), "status", F.explode(F.expr(f"flatten(array_compact(array({', '.join(hits)})))")).alias("hit"))
     met = (
         matched.where("hit is not null")
-        .select("changeset_id", "file", "status", "hit.*")
+        .join(F.broadcast(table), "hit")
         .groupBy("changeset_id", "file", "rule", "role", "label", "alt", "needs")
         .agg(F.max("status").alias("status"), F.count_distinct("need").alias("found"))
         .where("found = needs")
     )
     joined = lambda role: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("label")))), "; ")
-    named = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(k), F.struct(*[F.lit(v).alias(n) for n, v in (("analyzer", r.analyzer), ("type", r.type), ("category", r.category), ("tool", r.tool), ("quiet", r.quiet), ("graded", r.graded), ("needs_more", r.required is not None))]))])
+    named = changes.sparkSession.createDataFrame([(k, r.analyzer, r.type, r.category, r.tool, r.quiet, r.graded, r.required is not None) for k, r in enumerate(rules)], "rule int, analyzer string, type string, category string, tool string, quiet boolean, graded boolean, needs_more boolean")
     found = met.groupBy("changeset_id", "file", "rule").agg(
         F.max("status").alias("status"), joined("section").alias("sections"), joined("reason").alias("reasons"), F.max((F.col("role") == "required").cast("int")).alias("has_required")
     )
-    labelled = found.withColumn("r", F.element_at(named, F.col("rule")))
-    kept = labelled.where("(not r.needs_more or has_required = 1) and (not r.quiet or sections <> '' or reasons <> '')")
+    labelled = found.join(F.broadcast(named), "rule")
+    kept = labelled.where("(not needs_more or has_required = 1) and (not quiet or sections <> '' or reasons <> '')")
     breaking = F.col("reasons") != ""
-    confidence = F.when(breaking, "high").when(F.col("r.graded") & (F.col("sections") == ""), "low").otherwise("medium")
-    return kept.select("changeset_id", "file", "status", "r.analyzer", "r.type", "r.category", "r.tool", "sections", "reasons", breaking.alias("is_breaking"), confidence.alias("confidence"))
+    confidence = F.when(breaking, "high").when(F.col("graded") & (F.col("sections") == ""), "low").otherwise("medium")
+    return kept.select("changeset_id", "file", "status", "analyzer", "type", "category", "tool", "sections", "reasons", breaking.alias("is_breaking"), confidence.alias("confidence"))
 
 
 def config_sql(rules: list[ConfigRule] = RULES) -> str:

@@ -48,7 +48,8 @@ def _hunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(s: SparkSession, d: str) -> DataFrame:
-    return S.findings(_files(s, d), _changes(s, d))
+    """Seventeen analyzers read the same files and hunks, so both are kept (spilling to disk) for this query."""
+    return S.findings(_files(s, d).persist(), _changes(s, d).persist())
 
 
 # --- problems 2 and 4 ----------------------------------------------------------------
