@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.runtime import cut_lineage
@@ -178,14 +178,12 @@ def document_scores(models: Models, documents: list[list[list[str]]], options: L
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step function that fits y best (pool adjacent violators)."""
-    order = np.argsort(x, kind="stable")
+    at, place = np.unique(x, return_inverse=True)
+    mass = np.bincount(place, weights=w)
+    mean = np.bincount(place, weights=w * y) / mass
     blocks: list[list[float]] = []
-    for xi, yi, wi in zip(x[order], y[order], w[order]):
-        if blocks and blocks[-1][0] == xi:
-            b = blocks.pop()
-            blocks.append([xi, (b[1] * b[2] + yi * wi) / (b[2] + wi), b[2] + wi, b[3]])
-        else:
-            blocks.append([xi, yi, wi, xi])
+    for xi, yi, wi in zip(at, mean, mass):
+        blocks.append([xi, yi, wi, xi])
         while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
             b, a = blocks.pop(), blocks.pop()
             blocks.append([b[0], (a[1] * a[2] + b[1] * b[2]) / (a[2] + b[2]), a[2] + b[2], a[3]])
@@ -200,6 +198,10 @@ _COUNT_SCHEMA = "fold int, model int, slot bigint, n bigint"
 LEVEL_SCHEMA = "doc_id bigint, prose_words int, score double, reading_level double"
 
 
+def _fold(options: LevelOptions) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(options.folds)).cast("int")
+
+
 def _labelled(documents: DataFrame, labels: DataFrame, options: LevelOptions) -> DataFrame:
     """doc_id, text, level (mean over raters), raters, fold of a bounded sample of labelled documents."""
     rated = (
@@ -210,9 +212,8 @@ def _labelled(documents: DataFrame, labels: DataFrame, options: LevelOptions) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(options.max_labelled)
     )
-    fold = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(options.folds)).cast("int")
     # At most max_labelled rows of three numbers are broadcast.
-    return documents.where("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id").withColumn("fold", fold)
+    return documents.where("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id").withColumn("fold", _fold(options))
 
 
 def _dense(keys: np.ndarray, models: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -232,9 +233,9 @@ class LevelModel:
     options: LevelOptions
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
-    def without(self, fold: int | None) -> Models:
+    def without(self, fold: int) -> Models:
         """Models trained on all folds but one."""
-        keep = slice(None) if fold is None else self.folds != fold
+        keep = self.folds != fold
         return Models.of(_dense(self.slots[keep], self.models[keep], self.counts[keep]), self.options.weights)
 
     def level(self, score: np.ndarray) -> np.ndarray:
@@ -296,25 +297,30 @@ def grade(documents: DataFrame, labels: DataFrame, items: DataFrame | None = Non
     reading_level and score are null where there is less prose than min_words, as in
     code, logs, listings and texts of other languages, and for null or empty texts.
     Whole texts are read. Ratings outside 1 to 5 and null ones are ignored, repeated
-    ones count once. Without usable ratings no document is graded.
+    ones count once. Without usable ratings no document is graded. Every document is
+    scored by models trained on other folds, so a rating never grades its own document.
     """
-    named = documents.select("doc_id", "text").where("doc_id is not null")
+    named = documents.select("doc_id", "text").where("doc_id is not null").withColumn("fold", _fold(options))
     model = fit(documents, labels, items, options)
     if model is None:
         return named.select("doc_id", F.lit(0).alias("prose_words"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("reading_level"))
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = None
+        models: dict[int, Models] = {}
         for batch in batches:
-            models = models or sent.value.without(None)
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                score, words = document_scores(models, [prose_segments(t) if t else [] for t in texts[at : at + 500]], options)
-                graded = (words >= options.min_words) & ~np.isnan(score)
-                level = sent.value.level(np.where(graded, score, 0.0))
-                arrays = [ids.slice(at, 500).cast(pa.int64()), pa.array(words, pa.int32()), pa.array(score, pa.float64(), mask=~graded), pa.array(level, pa.float64(), mask=~graded)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "prose_words", "score", "reading_level"])
+            ids, texts, folds = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist(), batch.column("fold").to_numpy()
+            for fold in range(options.folds):
+                mine = np.flatnonzero(folds == fold)
+                for at in range(0, len(mine), 500):
+                    if fold not in models:
+                        models[fold] = sent.value.without(fold)
+                    part = mine[at : at + 500]
+                    score, words = document_scores(models[fold], [prose_segments(texts[i]) if texts[i] else [] for i in part], options)
+                    graded = (words >= options.min_words) & ~np.isnan(score)
+                    level = sent.value.level(np.where(graded, score, 0.0))
+                    arrays = [pa.array(ids[part], pa.int64()), pa.array(words, pa.int32()), pa.array(score, pa.float64(), mask=~graded), pa.array(level, pa.float64(), mask=~graded)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "prose_words", "score", "reading_level"])
 
     return named.mapInArrow(run, LEVEL_SCHEMA)
 
