@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom.functions import text as T
+from diffloom.functions.code_reader import source_changes
 from diffloom.operators import analyzers as A
 from diffloom.operators import identity as I
 from diffloom.operators import paths as P
@@ -17,8 +18,10 @@ from diffloom.operators.config_rules import RULES, config_findings, config_sql
 from diffloom.operators.nested_tables import flat_children, linked_results, node_table
 from diffloom.operators.snapshot_delta import relative_path, snapshot_changes
 from diffloom.oracle import any_sql, first_sql, prelude, q
+from diffloom.plans import documents as D
 from diffloom.runtime import table
 from diffloom.sources import changesets as C
+from diffloom.sources.blobs import template_blobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -663,6 +666,53 @@ def log_results(s: SparkSession, d: str) -> DataFrame:
     return S.log_results(_findings(s, d))
 
 
+@_register("source_changes")
+def source_change_rows(s: SparkSession, d: str) -> DataFrame:
+    """Routes, component members, exports and translation keys read from both sides of source files."""
+    return source_changes(template_blobs(table(s, d, "files")))
+
+
+@_register("actions")
+def actions(s: SparkSession, d: str) -> DataFrame:
+    return D.actions(_findings(s, d))
+
+
+@_register("highlights")
+def highlights(s: SparkSession, d: str) -> DataFrame:
+    return D.highlights(_findings(s, d))
+
+
+@_register(
+    "profile_detect",
+    "select changeset_id, coalesce(" + ", ".join(f"case when bool_or({any_sql('path', m)}) then {q(n)} end" for n, m, _ in D.PROFILES) + ", 'auto') as profile, coalesce(" + ", ".join(f"case when bool_or({any_sql('path', m)}) then {q(c)} end" for _, m, c in D.PROFILES) + ", 'low') as confidence from allf group by changeset_id",
+)
+def profile_detect(s: SparkSession, d: str) -> DataFrame:
+    return D.profiles(_files(s, d))
+
+
+@_register("finding_lines")
+def finding_lines(s: SparkSession, d: str) -> DataFrame:
+    return D.finding_lines(_findings(s, d))
+
+
+@_register("facts_documents")
+def facts_documents(s: SparkSession, d: str) -> DataFrame:
+    found, files = _findings(s, d).persist(), _files(s, d)
+    factors = S.risk_factors(found, files)
+    return D.facts_documents(files, found, S.risk_scores(factors, files), S.category_aggregates(found, factors))
+
+
+@_register("markdown")
+def markdown(s: SparkSession, d: str) -> DataFrame:
+    found, files = _findings(s, d).persist(), _files(s, d)
+    return D.markdown(files, found, S.risk_scores(S.risk_factors(found, files), files))
+
+
+@_register("result_lines")
+def result_lines(s: SparkSession, d: str) -> DataFrame:
+    return D.result_lines(S.log_results(_findings(s, d)))
+
+
 BUDGET = 20_000
 
 
