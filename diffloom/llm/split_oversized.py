@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from diffloom.runtime import cut_lineage
+
 #: Lines of one hunk are gathered in chunks of this many line places.
 CHUNK_LINES = 512
 #: Hunks per first level of the prefix sum.
@@ -177,16 +179,15 @@ def split_oversized(lines: DataFrame, options: DataFrame) -> DataFrame:
     item. text has a sign and a line end for each line, so its length is the size.
     """
     keys = ["changeset_id", "path"]
-    chunks = (
-        lines.where("changeset_id is not null and path is not null and hunk_ord is not null and line_ord is not null")
-        .select(*keys, "hunk_ord", F.floor(F.col("line_ord") / F.lit(CHUNK_LINES)).alias("part"), F.struct("line_ord", "kind", F.coalesce("text", F.lit("")).alias("text")).alias("line"))
-        .groupBy(*keys, "hunk_ord", "part")
-        .agg(F.collect_set("line").alias("lines"))
-        .withColumn("n_lines", F.size("lines"))
-        .withColumn("size", F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["text"]) + F.lit(2)))
+    usable = lines.where("changeset_id is not null and path is not null and hunk_ord is not null and line_ord is not null").select(
+        *keys, "hunk_ord", F.floor(F.col("line_ord") / F.lit(CHUNK_LINES)).alias("part"), "line_ord", "kind", F.coalesce("text", F.lit("")).alias("text")
     )
+    in_chunks = lambda line: usable.groupBy(*keys, "hunk_ord", "part").agg(F.collect_set(line).alias("lines"))
+    # Sizes need lengths only; the texts are gathered once, below.
+    sizes = in_chunks(F.struct("line_ord", F.length("text").alias("n")))
+    places = cut_lineage(sizes.select(*keys, "hunk_ord", "part", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"] + F.lit(2)).alias("size")))
+    places = places.withColumn("run", F.floor(F.col("hunk_ord") / F.lit(HUNK_RUN)))
     limits = options.where("changeset_id is not null and max_chars is not null").groupBy("changeset_id").agg(F.min("max_chars").alias("max_chars"), F.max(F.coalesce("overlap_lines", F.lit(0))).alias("overlap"))
-    places = chunks.select(*keys, "hunk_ord", "part", "size", "n_lines").withColumn("run", F.floor(F.col("hunk_ord") / F.lit(HUNK_RUN)))
     runs = places.groupBy(*keys, "run").agg(F.sum("size").alias("run_size"), F.sum("n_lines").alias("run_lines"))
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -211,7 +212,7 @@ def split_oversized(lines: DataFrame, options: DataFrame) -> DataFrame:
         .select(*keys, "hunk_ord", "part", "max_chars", "overlap", F.explode(F.filter(F.array(F.struct(F.col("block"), F.lit(False).alias("halo")), F.when(F.col("halo"), F.struct((F.col("block") + 1).alias("block"), F.lit(True).alias("halo")))), lambda x: x.isNotNull())).alias("to"))
     )
     blocks = (
-        chunks.select(*keys, "hunk_ord", "part", "lines")
+        in_chunks(F.struct("line_ord", "kind", "text"))
         .join(assigned, [*keys, "hunk_ord", "part"])
         .groupBy(*keys, F.col("to.block").alias("block"))
         .agg(F.max("max_chars").alias("max_chars"), F.max("overlap").alias("overlap"), F.collect_list(F.struct("hunk_ord", "part", F.col("to.halo").alias("halo"), "lines")).alias("chunks"))
