@@ -48,7 +48,7 @@ ISSUER = [
 KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _JOINED = re.compile(r"""(["'`])\s*\+?\s*\1""")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"`<>]*:([^\s'\"`<>]+)@[A-Za-z0-9\[$({]")
+_URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"`<>]*:([^\s'\"`<>]+)@[A-Za-z0-9\[$({]")
 _AUTH = re.compile(r"(?i)\b(basic|bearer|token)\s+([A-Za-z0-9+/_.~=-]{8,})")
 _AUTH_NEAR = re.compile(r"(?i)auth|bearer|basic")
 
@@ -58,7 +58,7 @@ _NAME = (
     r"client|service|webhook|deploy|license)[-_]?key|apikey|token|credentials?|auth)"
 )
 _ASSIGNED = re.compile(
-    r"(?i)(?<![A-Za-z0-9])((?:[A-Za-z0-9$@]+[-_.])*(?:[A-Za-z0-9]*?)" + _NAME + r")[\"'`]?\]?\s*(?::=|=>|:|=)\s*"
+    r"(?i)(?<![A-Za-z0-9])[A-Za-z0-9]*?" + _NAME + r"[\"'`]?\]?\s*(?::=|=>|:|=)\s*"
     r"(?:(?P<q>[\"'`])(?P<quoted>(?:\\.|(?!(?P=q)).)*)(?P=q)|(?P<bare>[^\s\"'`,;<>(){}\[\]]+)(?P<next>[(\[{]?))"
 )
 _NAMED_VALUE = re.compile(r"(?i)\b(?:key|name|id)\s*=\s*[\"'][^\"']*?" + _NAME + r"[\"'][^<>]*?\bvalue\s*=\s*([\"'])(?P<value>[^\"']*)\1")
@@ -214,7 +214,8 @@ def _joined(line: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-_cached = lru_cache(maxsize=100_000)(find_credentials)
+_cached = lru_cache(maxsize=50_000)(find_credentials)
+_CACHED_LENGTH = 300
 
 
 def mask(text: str) -> str:
@@ -244,7 +245,7 @@ def scan_lines(lines: list[str | None], wanted: list[int], sign: int = 0) -> lis
         line = lines[i]
         if line is None or i <= skip_to:
             continue
-        spans = _cached(line)
+        spans = _cached(line) if len(line) <= _CACHED_LENGTH else find_credentials(line)
         if not spans:
             continue
         out.append((i, ",".join(dict.fromkeys(s[2] for s in spans)), len(spans), mask_spans(line, spans)))

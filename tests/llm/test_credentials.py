@@ -1,4 +1,5 @@
 import base64
+import time
 
 import pytest
 
@@ -56,6 +57,13 @@ def test_places_and_key_blocks(spark):
     assert scan_credentials(hunks.where("false"), findings.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("part", ["a-", "a.b_", "Ab3+/", "token", "x=1;", "key=\"", "://", "password "])
+def test_long_lines_take_linear_time(part):
+    began = time.time()
+    find_credentials(part * (200_000 // len(part)))
+    assert time.time() - began < 5
+
+
 def test_very_long_line():
     line = "var a=1;" * 50_000 + "k='sk_live_gzhOWM62UAhsyHCTsuGT';"
     assert len(find_credentials(line)) == 1
