@@ -117,26 +117,48 @@ def _object_routes(array: str, parent: str) -> Iterator[tuple[str, str, tuple[st
             yield from _object_routes(kids, full)
 
 
-_ROUTE_TAG = re.compile(r"<(/?)Route\b((?:\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{[^{}]*\})*\}|[^>\"'{}])*?)(/?)>", re.S)
+_ROUTE_START = re.compile(r"<(/?)Route\b")
+#: A tag longer than this is not read.
+_TAG_LENGTH = 2000
+
+
+def _tags(text: str) -> list[tuple[bool, str, bool]]:
+    """(is an end tag, attribute text, closes itself) of the Route tags of a text."""
+    out = []
+    for m in _ROUTE_START.finditer(text):
+        window, i = text[m.end() : m.end() + _TAG_LENGTH], 0
+        while i < len(window) and window[i] not in "><":
+            if window[i] in "\"'`":
+                end = window.find(window[i], i + 1)
+                i = len(window) if end < 0 else end
+            elif window[i] in _OPEN:
+                i = closing(window, i)
+            i += 1
+        if i < len(window) and window[i] == ">":
+            inner = window[:i]
+            out.append((bool(m[1]), inner.rstrip("/"), inner.endswith("/")))
+    return out
+
+
 _ATTRIBUTE = re.compile(r"(\w+)(?:\s*=\s*(?:\{?\s*[\"']([^\"']*)[\"']\s*\}?|\{))?")
 
 
 def _tag_routes(text: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
     stack = ["/"]
-    found = list(_ROUTE_TAG.finditer(text))
-    for k, m in enumerate(found):
-        if m[1]:
+    found = _tags(text)
+    for k, (is_end, inner, alone) in enumerate(found):
+        if is_end:
             if len(stack) > 1:
                 stack.pop()
             continue
-        attributes = {a[1]: a[2] for a in _ATTRIBUTE.finditer(m[2])}
+        attributes = {a[1]: a[2] for a in _ATTRIBUTE.finditer(inner)}
         path, index = attributes.get("path"), "index" in attributes
         full = stack[-1] if path is None else join_paths(stack[-1], path)
-        has_children = not m[3] and k + 1 < len(found) and not found[k + 1][1]
+        has_children = not alone and k + 1 < len(found) and not found[k + 1][0]
         if path is not None or index:
             kind = "error" if "errorElement" in attributes else "catch-all" if path == "*" else "layout" if has_children and path else "page"
             yield full, kind, tuple(sorted(a for a in attributes if a in ("loader", "action", "lazy", "errorElement", "handle", "Component")))
-        if not m[3]:
+        if not alone:
             stack.append(full)
 
 
@@ -149,15 +171,17 @@ def routes(text: str | None) -> list[tuple[str, str, tuple[str, ...]]]:
         return []
     clean = without_comments(text)
     out = list(_tag_routes(clean))
-    for m in _TABLE.finditer(clean):
-        out += _object_routes(clean[m.end() : closing(clean, m.end()) + 1], "/")
+    at = 0
+    while m := _TABLE.search(clean, at):
+        at = closing(clean, m.end()) + 1
+        out += _object_routes(clean[m.end() : at], "/")
     return list(dict.fromkeys(out))
 
 
 _DECORATOR = re.compile(r"@(Component|Directive|Injectable|NgModule|Pipe|Prop|Event|Method|State|Input|Output)\s*\(")
 _CLASS = re.compile(r"\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)")
 _MEMBER = re.compile(r"\s*(?:(?:public|private|readonly|async|static)\s+)*(\w+)[!?]?\s*(?::\s*([^=;{\n]+))?")
-_SLOT = re.compile(r"<slot\b(?:[^>]*?\bname\s*=\s*[\"']([^\"']*)[\"'])?[^>]*>")
+_SLOT = re.compile(r"<slot\b(?:[^<>]*?\bname\s*=\s*[\"']([^\"'<>]*)[\"'])?[^<>]*>")
 
 
 def members(text: str | None) -> list[tuple[str, str, str, str]]:
@@ -169,10 +193,12 @@ def members(text: str | None) -> list[tuple[str, str, str, str]]:
     if not text or "@" not in text:
         return []
     clean = without_comments(text)
-    owner, out = "", []
-    for m in _DECORATOR.finditer(clean):
+    owner, out, end = "", [], -1
+    while m := _DECORATOR.search(clean, end + 1):
         end = closing(clean, m.end() - 1)
-        argument, after = clean[m.end() : end].strip(), clean[end + 1 :]
+        if end - m.end() > 50_000 or end == len(clean):
+            break
+        argument, after = clean[m.end() : end].strip(), clean[end + 1 : end + 400]
         options = fields(argument) if argument.startswith("{") else {}
         kind = m[1].lower()
         if kind in ("component", "directive", "injectable", "ngmodule", "pipe"):
@@ -181,7 +207,8 @@ def members(text: str | None) -> list[tuple[str, str, str, str]]:
             detail = ",".join(f"{k}={options[k]}" for k in ("shadow", "standalone", "changeDetection", "providedIn") if k in options)
             out.append((owner, kind, c[1] if c else "", detail))
             if kind == "component" and "tag" in options:
-                body = after[: next((n.start() for n in re.finditer(r"@Component\s*\(", after)), len(after))]
+                following = re.compile(r"@Component\s*\(").search(clean, end)
+                body = clean[end : following.start() if following else len(clean)]
                 out += [(owner, "slot", s[1] or "", "") for s in _SLOT.finditer(body)]
         elif (n := _MEMBER.match(after)) and owner:
             name = string(options.get("eventName")) or n[1]

@@ -1,3 +1,5 @@
+import time
+
 from diffloom.functions.code_reader import export_paths, flatten_keys, join_paths, members, routes, source_changes
 
 BLOBS = "changeset_id string, path string, side string, content string, name string"
@@ -34,3 +36,11 @@ def test_changes(spark):
     got = sorted((r.path, r.relation, r.name, r.change) for r in source_changes(spark.createDataFrame(rows * 2, BLOBS)).collect())
     assert got == [("l/a.json", "key", "y", "removed"), ("l/a.json", "key", "z", "added")]
     assert source_changes(spark.createDataFrame([], BLOBS)).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    for part in ("<Route path=", "@Prop(", "[(", "createBrowserRouter([", "@Prop() a; ", "<slot "):
+        began = time.time()
+        routes("Route " + part * 20_000)
+        members("@Component({tag: 'a'}) class X { } " + part * 20_000)
+        assert time.time() - began < 10, part
