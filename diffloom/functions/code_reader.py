@@ -162,7 +162,7 @@ def _tag_routes(text: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
             stack.append(full)
 
 
-_TABLE = re.compile(r"(?:create(?:Browser|Hash|Memory)Router|useRoutes|RouterModule\.for(?:Root|Child)|provideRouter)\s*\(\s*(?=\[)|(?:const|let|var)\s+\w+\s*:\s*(?:Routes?|RouteObject)(?:\[\])?\s*=\s*(?=\[)")
+_TABLE = re.compile(r"(?:create(?:Browser|Hash|Memory)Router|useRoutes|RouterModule\.for(?:Root|Child)|provideRouter)\s*\(\s*(?=\[)|(?:const|let|var)\s+\w+\s*:\s*(?:Routes?|RouteObject)(?:\[\])?\s*=\s*(?=\[)|\broutes\s*:\s*(?=\[)")
 
 
 def routes(text: str | None) -> list[tuple[str, str, tuple[str, ...]]]:

@@ -19,7 +19,7 @@ from diffloom.operators.nested_tables import flat_children, linked_results, node
 from diffloom.operators.snapshot_delta import relative_path, snapshot_changes
 from diffloom.oracle import any_sql, first_sql, prelude, q
 from diffloom.plans import documents as D
-from diffloom.runtime import table
+from diffloom.runtime import cut_lineage, table
 from diffloom.sources import changesets as C
 from diffloom.sources.blobs import template_blobs
 
@@ -51,8 +51,12 @@ def _hunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(s: SparkSession, d: str) -> DataFrame:
-    """Seventeen analyzers read the same files and hunks, so both are kept (spilling to disk) for this query."""
-    return S.findings(_files(s, d).persist(), _changes(s, d).persist())
+    """Seventeen analyzers read the same files and hunks, so both are kept (spilling to disk) until the findings,
+    which are few beside the hunks, stand in the shared checkpoint folder."""
+    files, changes = cut_lineage(_files(s, d)), _changes(s, d).persist()
+    found = cut_lineage(S.findings(files, changes))
+    changes.unpersist()
+    return found
 
 
 # --- problems 2 and 4 ----------------------------------------------------------------
@@ -697,14 +701,14 @@ def finding_lines(s: SparkSession, d: str) -> DataFrame:
 
 @_register("facts_documents")
 def facts_documents(s: SparkSession, d: str) -> DataFrame:
-    found, files = _findings(s, d).persist(), _files(s, d)
+    found, files = _findings(s, d), _files(s, d)
     factors = S.risk_factors(found, files)
     return D.facts_documents(files, found, S.risk_scores(factors, files), S.category_aggregates(found, factors))
 
 
 @_register("markdown")
 def markdown(s: SparkSession, d: str) -> DataFrame:
-    found, files = _findings(s, d).persist(), _files(s, d)
+    found, files = _findings(s, d), _files(s, d)
     return D.markdown(files, found, S.risk_scores(S.risk_factors(found, files), files))
 
 

@@ -15,6 +15,7 @@ def test_route_tables():
     text = "const routes: Routes = [{ path: '', redirectTo: 'home' }, /* { path: 'x' } */ { path: 'a', children: [{ path: 'b, c', canActivate: [g] }] }, ...more, { path: computed }];"
     assert routes(text) == [("/", "redirect", ("redirectTo",)), ("/a", "layout", ()), ("/a/b, c", "page", ("canActivate",))]
     assert routes("createBrowserRouter([{ path: '/' , index: true") == [("/", "page", ())]
+    assert routes("createRouter({ history: h(), routes: [{ path: '/v', children: [{ path: ':id' }] }] })") == [("/v", "layout", ()), ("/v/:id", "page", ())]
     assert routes(None) == [] and routes("") == [] and routes("x" * 100_000) == []
 
 
