@@ -3,6 +3,9 @@
 Word pairs that occur in one evaluation item only are the seeds. Documents are joined
 with items that share seeds on about one diagonal, and each such meeting is aligned
 by Smith-Waterman over words, so passages with words changed or left out are found.
+Passages without enough such pairs are reached by cuts: every passage crosses the
+rarest place of its words by one of three pairs, whichever single words are changed;
+its equal words must then tell the item from others.
 A passage counts if its words stand in a row in the item apart from single words, and
 are not wording that several items share.
 """
@@ -12,6 +15,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("part", p
 class LeakOptions:
     """min_run: words in a row that make a leak; min_matched: share of them that must be equal;
     shared_words: wording of this many words in several items counts as shared; min_seeds: seeds that
-    must meet before an alignment; block_words: item words that one pass over the documents takes, which
+    must meet before an alignment, or that tell the item of a passage found by a cut; block_words: item words that one pass over the documents takes, which
     bounds what is broadcast."""
 
     min_run: int = 12
@@ -75,6 +79,105 @@ def seed_index(sequences: list[Sequence]) -> dict[tuple[str, str], list[tuple[in
     return {p: at for p, at in places.items() if len(items[p]) == 1}
 
 
+def cut_index(sequences: list[Sequence], n: int) -> dict[tuple[str, str], list[tuple[int, int, int]]]:
+    """Word pairs that no passage can avoid -> their (sequence, place, words from the first to the second).
+
+    A passage leaves out at most single words, so it goes from word j or before to a word after j by one of
+    the pairs (j, j + 1), (j - 1, j + 1), (j, j + 2). Of every n own words the place j with the rarest such
+    pairs is taken, whether or not other items hold them.
+    """
+    count: Counter[tuple[str, str]] = Counter()
+    for seq in sequences:
+        for step in (1, 2):
+            count.update(zip(seq.words, seq.words[step:]))
+    places: dict[tuple[str, str], list[tuple[int, int, int]]] = defaultdict(list)
+    for s, seq in enumerate(sequences):
+        words_, own = seq.words, seq.own
+        crossing = [[(a, b) for a, b in ((j, j + 1), (j - 1, j + 1), (j, j + 2)) if a >= 0 and b < len(own) and own[a] and own[b]] for j in range(len(own) - 1)]
+        cost = [sum(count[words_[a], words_[b]] for a, b in c) for c in crossing]
+        chosen, row = set(), 0
+        for end, o in enumerate(own):
+            row = row + 1 if o else 0
+            if row >= n:
+                chosen.update(crossing[min(range(end - n + 1, end), key=cost.__getitem__)])
+        for a, b in sorted(chosen):
+            places[words_[a], words_[b]].append((s, a, b - a))
+    return dict(places)
+
+
+def single_wording(sequences: list[Sequence]) -> dict[tuple, int | None]:
+    """Pairs, pairs with a word between (None) and trigrams -> the item that holds them, None if several do."""
+    holder: dict[tuple, int | None] = {}
+    for seq in sequences:
+        w = seq.words
+        for gram in (*zip(w, w[1:]), *((x, None, y) for x, y in zip(w, w[2:])), *zip(w, w[1:], w[2:])):
+            if holder.setdefault(gram, seq.item_id) != seq.item_id:
+                holder[gram] = None
+    return holder
+
+
+def tells_item(equal: set[tuple[int, int]], item: list[str], single: dict[tuple, int | None], options: LeakOptions) -> bool:
+    """Whether equal (document, item) places tell the item from others: shared_words own words in a row, or
+    min_seeds pairs, skipping pairs or trigrams that only this item holds and that have no word in common."""
+    spans = []
+    for d, i in equal:
+        if (d - 1, i - 1) not in equal and all((d + k, i + k) in equal for k in range(options.shared_words)):
+            return True
+        near, far = (d + 1, i + 1) in equal, (d + 2, i + 2) in equal
+        if near and single[item[i], item[i + 1]] is not None:
+            spans.append((i + 1, i))
+        elif far and (single[item[i], None, item[i + 2]] is not None or near and single[item[i], item[i + 1], item[i + 2]] is not None):
+            spans.append((i + 2, i))
+    told, last = 0, -1
+    for end, start in sorted(spans):
+        if start > last:
+            told, last = told + 1, end
+    return told >= options.min_seeds
+
+
+@dataclass
+class Block:
+    """Sequences with their indexes, built once where they are used."""
+
+    sequences: list[Sequence]
+    options: LeakOptions
+
+    @cached_property
+    def seeds(self) -> dict[tuple[str, str], list[tuple[int, int]]]:
+        return seed_index(self.sequences)
+
+    @cached_property
+    def cuts(self) -> dict[tuple[str, str], list[tuple[int, int, int]]]:
+        return cut_index(self.sequences, self.options.min_run)
+
+    @cached_property
+    def single(self) -> dict[tuple, int | None]:
+        return single_wording(self.sequences)
+
+
+def chain(seq: Sequence, doc: list[str], first: tuple[int, int], second: tuple[int, int], n: int) -> set[tuple[int, int]] | None:
+    """The equal (document, item) places that two of them lead to in the steps best_run allows, or None if
+    they cover fewer than n item words."""
+    item, own = seq.words, seq.own
+
+    def reach(at: tuple[int, int], way: int) -> set[tuple[int, int]]:
+        seen, todo = {at}, [at]
+        while todo:
+            d, i = todo.pop()
+            for i2 in (i + way, i + 2 * way):
+                if not (0 <= i2 < len(item) and own[i2] and abs(i2 - at[1]) <= 2 * n):
+                    continue
+                for d2 in (d + way, d + 2 * way, d + 3 * way):
+                    if 0 <= d2 < len(doc) and doc[d2] == item[i2] and (d2, i2) not in seen:
+                        seen.add((d2, i2))
+                        todo.append((d2, i2))
+        return seen
+
+    met = reach(first, -1) | reach(second, 1)
+    places = [i for _, i in met]
+    return met if max(places) - min(places) + 1 >= n else None
+
+
 def align(item: list[str], own: list[bool], doc: list[str]) -> tuple[int, list[tuple[int, int]]]:
     """Smith-Waterman over words: score and the equal (document, item) places of the best local alignment.
 
@@ -121,16 +224,17 @@ def best_run(path: list[tuple[int, int]], options: LeakOptions) -> tuple[int, in
     return best
 
 
-def leaks_of(doc: list[str], sequences: list[Sequence], seeds: dict, options: LeakOptions) -> list[tuple[int, str, int, int, int, int]]:
+def leaks_of(doc: list[str], block: Block) -> list[tuple[int, str, int, int, int, int]]:
     """(item_id, part, words in a row, equal words, score, first word) of every passage of a document."""
-    hits = [(d, at) for d, at in enumerate(map(seeds.get, zip(doc, doc[1:]))) if at is not None]
+    options, sequences = block.options, block.sequences
+    out = _crossing(doc, block)
+    hits = [(d, at) for d, at in enumerate(map(block.seeds.get, zip(doc, doc[1:]))) if at is not None]
     if len(hits) < options.min_seeds:
-        return []
+        return out
     by_sequence: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for d, at in hits:
         for s, i in at:
             by_sequence[s].append((d, i))
-    out = []
     for s, met in by_sequence.items():
         seq, group = sequences[s], []
         for k, (d, i) in enumerate(met):
@@ -147,6 +251,50 @@ def leaks_of(doc: list[str], sequences: list[Sequence], seeds: dict, options: Le
     return out
 
 
+def widest(equal: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the ways through equal places in the steps best_run allows the one over most item words, then of most places."""
+    best: dict[tuple[int, int], tuple[int, int, tuple[int, int] | None]] = {}
+    for d, i in sorted(equal, key=lambda m: (m[1], m[0])):
+        before = [(best[d - x, i - y][0], best[d - x, i - y][1] + 1, (d - x, i - y)) for y in (1, 2) for x in (1, 2, 3) if (d - x, i - y) in best]
+        best[d, i] = max(before, key=lambda b: (-b[0], b[1]), default=(i, 1, None))
+    at: tuple[int, int] | None = max(best, key=lambda m: (m[1] - best[m][0], best[m][1]))
+    path = []
+    while at is not None:
+        path.append(at)
+        at = best[at][2]
+    return path[::-1]
+
+
+def _crossing(doc: list[str], block: Block) -> list[tuple[int, str, int, int, int, int]]:
+    """Passages that cross a cut, whatever seeds they hold, if their equal words tell the item."""
+    options, out = block.options, []
+    done: set[tuple[int, int, int]] = set()
+    for step in (1, 2, 3):
+        for d, at in enumerate(map(block.cuts.get, zip(doc, doc[step:]))):
+            for s, i, length in at or ():
+                seq = block.sequences[s]
+                if (s, d, i) in done:
+                    continue
+                met = chain(seq, doc, (d, i), (d + step, i + length), options.min_run)
+                if met is None or not tells_item(met, seq.words, block.single, options):
+                    continue
+                done.update((s, *m) for m in met)
+                places, items = zip(*met)
+                low, start = min(places), min(items)
+                score, path = align(seq.words[start : max(items) + 1], seq.own[start : max(items) + 1], doc[low : max(places) + 1])
+                path = [(x + low, y + start) for x, y in path]
+                if (run := best_run(path, options)) is None:
+                    # Repeated words can be aligned as well with fewer item words.
+                    path = widest(met)
+                    run = best_run(path, options)
+                    score = 3 * len(path) - sum(max(b[0] - a[0], b[1] - a[1]) for a, b in zip(path, path[1:])) - 1
+                if run:
+                    k = next(k for k, m in enumerate(path) if m[0] == run[2])
+                    if tells_item(set(path[k : k + run[1]]), seq.words, block.single, options):
+                        out.append((seq.item_id, seq.part, run[0], run[1], score, run[2]))
+    return out
+
+
 def _blocks(items: DataFrame, options: LeakOptions) -> Iterator[list[Sequence]]:
     """Sequences of all items in blocks of bounded size; wording shared between any items is marked first."""
     parts: list[tuple[int, str, list[str]]] = []
@@ -179,15 +327,13 @@ def find_leaks(documents: DataFrame, items: DataFrame, options: LeakOptions = Le
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     found = None
     for block in _blocks(items, options):
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast(Block(block, options))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            sequences = held.value
-            seeds = seed_index(sequences)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    rows += [(doc_id, *leak) for leak in leaks_of(words(text), sequences, seeds, options)]
+                    rows += [(doc_id, *leak) for leak in leaks_of(words(text), held.value)]
                 columns = list(zip(*rows)) if rows else [()] * len(_RESULT)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _RESULT)], schema=_RESULT)
 

@@ -70,3 +70,28 @@ def test_shared_wording_and_words():
     seqs = mark_shared([(1, "t", words(SHARED + " " + ITEM)), (2, "t", words(SHARED))], 6)
     assert not any(seqs[1].own) and sum(seqs[0].own) == len(words(ITEM))
     assert words("Été  für 10%20<b>A</b>") == ["ete", "fur", "10", "20", "a"] and words(None) == []
+
+
+def test_passages_of_word_pairs_that_other_items_hold(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(14)]
+    items = [(i, "s", " ".join(rng.choice(vocabulary) for _ in range(40)), None, "") for i in range(30)]
+    own = {seq.item_id: seq for seq in mark_shared([(i, "item_text", words(t)) for i, _, t, *_ in items], 6)}
+    docs, want = [], set()
+    for i, seq in own.items():
+        for start in range(0, 28, 4):
+            if all(seq.own[start : start + 12]):
+                for changed in (None, 2, 9):
+                    passage = [w if k != changed else "other" for k, w in enumerate(seq.words[start : start + 12])]
+                    want.add((len(docs), i))
+                    docs.append((len(docs), " ".join(["before"] * 20 + passage + ["after"] * 20), 0))
+    found = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert len(want) > 300 and {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_frames_that_items_fill_differently_are_no_passages(spark):
+    frame = "so {} of its {} ended {} overnight while the {} kept {} of them for every {} in the {} and {} more"
+    rng = random.Random(5)
+    filled = [frame.format(*(f"{rng.choice('bdfg')}{rng.randrange(10**6)}" for _ in range(8))) for _ in range(9)]
+    items = spark.createDataFrame([(i, "s", t, None, "") for i, t in enumerate(filled[:8])], ITEMS)
+    assert find_leaks(spark.createDataFrame([(1, filled[8], 0)], DOCS), items).count() == 0
