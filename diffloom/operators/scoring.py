@@ -7,6 +7,8 @@ aggregation; nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,80 @@ def _count(files: str) -> Column:
     return F.size(F.split(files, ","))
 
 
-def findings(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """Findings of the core, database, dependency, route and configuration analyzers with their ids."""
+# Type, category and the fingerprint's part between file and changes, by surface.
+SURFACE_TYPES = {
+    "docker": ("docker-change", "infra", "dockerfile:{breaking}"), "trpc": ("trpc-router", "api", "{router}:{breaking}"), "runes": ("svelte5-runes", "api", ""), "websocket": ("websocket-change", "api", "{library}:{breaking}"),
+    "i18n": ("i18n-change", "api", "{locale}:{breaking}"), "css": ("css-change", "config_env", "{style}:{breaking}"), "query": ("tanstack-query", "api", ""), "next-config": ("next-config-change", "config_env", ""),
+}
+
+
+def surface_findings(changes: DataFrame) -> DataFrame:
+    """One finding per file and surface; removed names are breaking, for runes only state and props."""
+    c, lit = F.col, F.lit
+    breaks = F.when(c("surface") == "runes", (c("change") == "removed") & c("name").isin("$state", "$props")).when(c("surface") == "next-config", lit(False)).otherwise(c("change") == "removed")
+    told = F.concat_ws(":", "name", "kind", "change", breaks.cast("string"))
+    per_file = A.surface_changes(changes).groupBy("changeset_id", "path", "surface").agg(A.listed(told).alias("told"), A.listed("name").alias("names"), F.bool_or(breaks).alias("breaks"))
+    stem = F.regexp_replace(P.file_name(c("path")), r"\.[^.]+$", "")
+    fill = {
+        "{breaking}": c("breaks").cast("string"), "{router}": stem, "{library}": lit("unknown"),
+        "{locale}": F.regexp_extract("path", r"(?i)(?:^|/)(?:locales?|i18n|lang|translations?|messages)/([^/.]+)", 1),
+        "{style}": F.when(c("path").rlike(r"\.module\."), "css-module").when(c("path").rlike(r"(?i)(theme|tokens|variables)[^/]*$"), "theme").otherwise("global"),
+    }
+    rows = []
+    for surface, (type_, category, between) in SURFACE_TYPES.items():
+        listed = c("names") if surface in ("docker", "next-config") else c("told")
+        fingerprint = F.concat_ws(":", lit(type_), "path", *[fill.get(x, lit(x)) for x in between.split(":") if x], listed)
+        rows.append(_rows(per_file.where(c("surface") == surface), type_, category, fingerprint, file=c("path"), name=lit(surface), detail=listed, risk=F.when(c("breaks"), "breaking")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+# Type and category by kind of schema file.
+SCHEMA_TYPES = {"graphql": ("graphql-change", "api"), "prisma": ("prisma-schema", "database"), "drizzle": ("drizzle-schema", "database"), "tsconfig": ("typescript-config", "config_env")}
+
+
+def schema_findings(changes: DataFrame) -> DataFrame:
+    """One finding per schema file, naming its added, removed and modified elements and the reasons that break."""
+    c, cat, lit = F.col, F.concat, F.lit
+    found = A.schema_changes(changes)
+    breaking = c("is_breaking").cast("string")
+    rows = []
+    for kind, (type_, category) in SCHEMA_TYPES.items():
+        parts = {"graphql": [c("removed"), c("added")], "tsconfig": [cat(lit("a="), "added"), cat(lit("r="), "removed"), cat(lit("m="), "modified")]}.get(kind, [c("added"), c("removed")])
+        detail = F.concat_ws("; ", *[F.when(c(x) != "", cat(lit(x + " "), x)) for x in ("added", "removed", "modified")], F.nullif("reasons", lit("")))
+        rows.append(_rows(found.where(c("kind") == kind), type_, category, F.concat_ws(":", lit(type_), "path", breaking, *parts), file=c("path"), name=lit(kind), detail=detail, risk=F.when(c("is_breaking"), "breaking")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def source_findings(sources: DataFrame) -> DataFrame:
+    """Findings of source_changes: routes, decorated classes and their members, exports and translation keys."""
+    c, cat, lit = F.col, F.concat, F.lit
+    member = c("relation") == "member"
+    angular = c("path").rlike(r"\.(component|directive|service|module|pipe)\.ts$") | c("kind").isin("directive", "injectable", "ngmodule", "pipe", "input", "output")
+    routes, members = sources.where(c("relation") == "route"), sources.where(member)
+    change = F.when(c("change") == "removed", "deleted").when(c("change") == "changed", "modified").otherwise(c("change"))
+    owner, own = F.substring_index("name", ".", 1), F.expr("substring(name, instr(name, '.') + 1)")
+    stencil = cat(lit("stencil-"), F.when(c("kind").isin("prop", "event", "method", "slot", "state"), c("kind")).otherwise("component"), lit("-change"))
+    stencils = members.where(~angular).select("*", stencil.alias("stencil"))
+    stencil_rows = [
+        _rows(stencils.where(c("stencil") == t), t, "api", cat(lit(t + ":"), owner, lit(":"), F.when(c("stencil") == "stencil-component-change", "").otherwise(cat(own, lit(":"))), "change", lit(":"), "path"), file=c("path"), name=c("name"), detail=c("kind"), change=c("change"))
+        for t in [f"stencil-{k}-change" for k in ("component", "prop", "event", "method", "slot", "state")]
+    ]
+    removed = F.bool_or(c("change") == "removed")
+    keys = sources.where(c("relation") == "key").groupBy("changeset_id", "path").agg(A.listed(F.concat_ws(":", "name", "change", (c("change") == "removed").cast("string"))).alias("told"), removed.alias("breaks"))
+    exports = sources.where(c("relation") == "export").groupBy("changeset_id", "path").agg(A.listed("name", c("change") == "added").alias("added"), A.listed("name", c("change") == "removed").alias("removed"), removed.alias("breaks"))
+    text = lambda x: F.coalesce(c(x), lit(""))
+    locale = F.regexp_extract("path", r"(?i)(?:^|/)(?:locales?|i18n|lang|translations?|messages)/([^/.]+)", 1)
+    return reduce(DataFrame.unionByName, [
+        _rows(routes, "route-change", "routes", cat(lit("route-change:"), "name", lit(":"), change, lit(":page")), file=c("path"), name=c("name"), detail=lit("page"), change=change),
+        _rows(members.where(angular), "angular-component-change", "api", F.concat_ws(":", lit("angular-component-change"), "path", change, "kind", "name"), file=c("path"), name=c("name"), detail=c("kind"), change=change),
+        *stencil_rows,
+        _rows(keys, "i18n-change", "api", F.concat_ws(":", lit("i18n-change"), "path", locale, c("breaks").cast("string"), "told"), file=c("path"), name=lit("i18n"), detail=c("told"), risk=F.when(c("breaks"), "breaking")),
+        _rows(exports, "package-exports", "api", F.concat_ws(":", lit("package-exports"), c("breaks").cast("string"), cat(lit("a="), text("added")), cat(lit("r="), text("removed"))), file=c("path"), detail=F.concat_ws("; ", cat(lit("added "), "added"), cat(lit("removed "), "removed")), risk=F.when(c("breaks"), "breaking")),
+    ])
+
+
+def findings(files: DataFrame, changes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Findings of all analyzers with their ids; sources: what source_changes read, if source texts are at hand."""
     c, cat = F.col, F.concat
     lit = F.lit
     parts = [
@@ -52,6 +126,15 @@ def findings(files: DataFrame, changes: DataFrame) -> DataFrame:
         _rows(A.impact_radius(files, changes), "impact-analysis", "impact", cat(lit("impact-analysis:"), c("path"), lit(":"), c("dependents")), file=c("path"), risk=c("blast_radius"), n_files=c("dependents")),
         config_findings(changes).select("changeset_id", "type", "category", "file", F.col("tool").alias("name"), F.col("reasons").alias("detail"), F.col("status").alias("change"), F.lit(None).cast("string").alias("risk"), F.lit(1).cast("long").alias("n_files"), cat(c("type"), lit(":"), c("file"), lit(":"), c("is_breaking").cast("string"), lit(":"), c("sections")).alias("fingerprint")),
     ]
+    rsc = A.rsc_boundaries(changes).where("from_directive <> to_directive or reasons <> ''")
+    none = lambda x: F.coalesce(F.nullif(c(x), lit("")), lit("none"))
+    parts += [
+        _rows(A.python_routes(changes), "route-change", "routes", cat(lit("route-change:"), c("route_id"), lit(":"), c("change"), lit(":endpoint")), file=c("path"), name=c("route_id"), detail=lit("endpoint"), change=c("change")),
+        _rows(rsc, "rsc-boundary", "routes", F.concat_ws(":", lit("rsc-boundary"), "path", "boundary", none("from_directive"), none("to_directive"), (c("reasons") != "").cast("string")), file=c("path"), name=c("boundary"), detail=c("reasons"), risk=F.when(c("reasons") != "", "breaking")),
+        schema_findings(changes),
+        surface_findings(changes),
+        *([source_findings(sources)] if sources is not None else []),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -70,6 +153,7 @@ def risk_factors(found: DataFrame, files: DataFrame) -> DataFrame:
         .when(c("type") == "env-var", 5)
         .when(c("type") == "security-file", 15)
         .when(c("type") == "large-diff", F.when(c("detail").cast("long") > 1000, 15).when(c("detail").cast("long") > 500, 10).otherwise(5))
+        .when(c("type") == "next-config-change", F.when(F.array_contains(F.split("detail", ","), "experimental"), 15).when(F.array_contains(F.split("detail", ","), "output"), 10).otherwise(5))
         .when((c("type") == "impact-analysis") & ~P.category(c("file")).isin("docs", "tests", "config"), F.when(c("risk") == "high", 20).when(c("risk") == "medium", 10).otherwise(0))
         .otherwise(0)
     )

@@ -51,10 +51,10 @@ def _hunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(s: SparkSession, d: str) -> DataFrame:
-    """Seventeen analyzers read the same files and hunks, so both are kept (spilling to disk) until the findings,
+    """Many analyzers read the same files and hunks, so both are kept (spilling to disk) until the findings,
     which are few beside the hunks, stand in the shared checkpoint folder."""
     files, changes = cut_lineage(_files(s, d)), _changes(s, d).persist()
-    found = cut_lineage(S.findings(files, changes))
+    found = cut_lineage(S.findings(files, changes, source_changes(template_blobs(table(s, d, "files")))))
     changes.unpersist()
     return found
 

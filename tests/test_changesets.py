@@ -79,3 +79,27 @@ def test_chunks(spark):
     got = sorted((r.changeset_id, r.path, r.chunk) for r in chunk_by_budget(df, 10).collect())
     assert got == [("c", f"p{i}", k) for i, k in enumerate([0, 0, 1, 2, 3, 3, 4])] + [("d", "x", 0)]
     assert chunk_by_budget(df.where("false"), 10).count() == 0
+
+
+def test_findings_hold_every_analyzer(spark):
+    from diffloom.functions.code_reader import source_changes
+    from diffloom.operators import analyzers as A
+    from diffloom.operators import scoring as S
+    from diffloom.sources.blobs import template_blobs
+
+    lines = {
+        "api/routes.py": (["from fastapi import APIRouter", "@router.get('/items')"], []), "a/schema.graphql": (["type Item {"], ["enum Old {"]), "prisma/schema.prisma": (["model A {"], []), "db/x.schema.ts": (["export const t = pgTable('t'"], []),
+        "tsconfig.json": (['"strict": true'], []), "Dockerfile": (["FROM a:2"], ["FROM a:1"]), "src/routers/item.ts": (["all: publicProcedure.query("], ["x = useQuery("]), "src/A.svelte": (["let a = $state(1)"], []),
+        "src/socket.ts": (["s.on('open'"], []), "locales/de/a.json": (['"k": "v"'], []), "src/a.module.css": ([".a {"], []), "next.config.js": (["experimental: {}"], []), "app/page.tsx": (["'use client'"], ["'use server'"]),
+    }
+    schema = "changeset_id string, path string, hunk_ord int, status string, additions array<string>, deletions array<string>"
+    rows = spark.createDataFrame([("c", p, 0, "modified", a, d) for p, (a, d) in lines.items()], schema)
+    text = lambda *cols: F.concat_ws("\n", *cols)
+    changes = rows.withColumns({"add_text": text("additions"), "del_text": text("deletions"), "all_text": text("additions", "deletions")})
+    files = rows.select("changeset_id", "path", "status", F.lit(None).cast("string").alias("old_path"))
+    found = S.findings(files, changes, source_changes(template_blobs(files.crossJoin(spark.range(40).select(F.col("id").cast("string").alias("n"))).withColumn("changeset_id", F.col("n"))))).select("type", "fingerprint", "finding_id").collect()
+    wanted = {"graphql-change", "prisma-schema", "drizzle-schema", "typescript-config", "docker-change", "trpc-router", "tanstack-query", "svelte5-runes", "websocket-change", "i18n-change", "css-change", "next-config-change", "rsc-boundary",
+              "angular-component-change", "stencil-component-change", "stencil-prop-change", "stencil-event-change", "stencil-method-change", "stencil-slot-change", "package-exports"}
+    assert wanted <= {r.type for r in found} and all(r.fingerprint and r.finding_id for r in found)
+    prints = {r.fingerprint for r in found}
+    assert {"route-change:/items:added:endpoint", "graphql-change:a/schema.graphql:true:enum:Old:type:Item", "rsc-boundary:app/page.tsx:client:use server:use client:true", "docker-change:Dockerfile:dockerfile:true:a:1,a:2"} <= prints
