@@ -208,8 +208,10 @@ def split_oversized(lines: DataFrame, options: DataFrame) -> DataFrame:
         .withColumn("lines_to", F.col("lines_before") + F.sum("n_lines").over(up_to))
         .withColumn("block", F.floor((F.col("size_to") - F.col("size")) / step))
         .withColumn("block_end", F.max("lines_to").over(Window.partitionBy(*keys, "block")))
-        .withColumn("halo", (F.col("block_end") - F.col("lines_to") < F.col("overlap")) & (F.col("item_size") > step))
-        .select(*keys, "hunk_ord", "part", "max_chars", "overlap", F.explode(F.filter(F.array(F.struct(F.col("block"), F.lit(False).alias("halo")), F.when(F.col("halo"), F.struct((F.col("block") + 1).alias("block"), F.lit(True).alias("halo")))), lambda x: x.isNotNull())).alias("to"))
+        # The next chunk starts where the last of the block ends, more than one block on if that is larger than a step.
+        .withColumn("next", F.floor(F.max("size_to").over(Window.partitionBy(*keys, "block")) / step))
+        .withColumn("halo", (F.col("block_end") - F.col("lines_to") < F.col("overlap")) & (F.col("next") > F.col("block")))
+        .select(*keys, "hunk_ord", "part", "max_chars", "overlap", F.explode(F.filter(F.array(F.struct(F.col("block"), F.lit(False).alias("halo")), F.when(F.col("halo"), F.struct(F.col("next").alias("block"), F.lit(True).alias("halo")))), lambda x: x.isNotNull())).alias("to"))
     )
     blocks = (
         in_chunks(F.struct("line_ord", "kind", "text"))

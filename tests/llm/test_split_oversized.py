@@ -72,3 +72,12 @@ def test_one_very_long_line(spark):
     rows = [("c", "p", 0, 0, "add", None, None, "word " * 2000, "")]
     pieces = split_oversized(spark.createDataFrame(rows, LINES), spark.createDataFrame([("c", 500, 3, 3)], OPTIONS)).collect()
     assert all(p.size <= 500 for p in pieces) and len(pieces) >= 20
+
+
+def test_overlap_after_chunks_larger_than_a_block(spark):
+    n = 1600
+    rows = [("c", "p", 0, i, "add", None, None, f"line number {i} " + "x" * 30, "") for i in range(n)]
+    pieces = sorted(split_oversized(spark.createDataFrame(rows, LINES), spark.createDataFrame([("c", 120, 1, 3)], OPTIONS)).collect(), key=lambda p: p.piece_ord)
+    assert len({p.block for p in pieces}) == 4 and 512 * 45 > 120 * BLOCK_LIMITS
+    for a, b in zip(pieces, pieces[1:]):
+        assert b.repeated_lines == 1 and a.text.split("\n")[-2] == b.text.split("\n")[0]
