@@ -21,7 +21,7 @@ _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}[^%\s]{0,40}){3,}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
-_ENCODED = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n?)+={0,2}")
+_ENCODED = re.compile(r"((?:[A-Za-z0-9+/]{60,}\r?\n?)+)([A-Za-z0-9+/]{0,59}={0,2})")
 _HYPHENATED = re.compile(r"([A-Za-z])-[ \t]*\r?\n[ \t>#/|*]*([a-z])")
 _COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]")
 _OTHER_LETTERS = re.compile("[\u0370-\u052f\u0251\u0261\u0131\u0269\xdf\xf8\u0111\u0142]")
@@ -29,12 +29,16 @@ _SPLIT = bytes(c if chr(c).isascii() and chr(c).isalnum() else 32 for c in range
 
 
 def _decoded(m: re.Match) -> str:
-    raw = re.sub(r"\s", "", m[0])
-    try:
-        text = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True).decode("utf-8")
-    except (binascii.Error, ValueError):
-        return m[0]
-    return f" {text} " if text.isprintable() or "\n" in text else m[0]
+    # The shorter last line may be no part of the run but text behind it.
+    for encoded, rest in ((m[0], ""), (m[1], m[2])):
+        raw = re.sub(r"\s", "", encoded)
+        try:
+            text = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True).decode("utf-8")
+        except (binascii.Error, ValueError):
+            continue
+        if text.isprintable() or "\n" in text:
+            return f" {text} {rest}"
+    return m[0]
 
 
 def plain_text(text: str) -> str:

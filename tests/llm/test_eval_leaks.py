@@ -1,3 +1,4 @@
+import base64
 import random
 
 from diffloom.llm.eval_leaks import LeakOptions, align, find_leaks, mark_shared
@@ -95,3 +96,13 @@ def test_frames_that_items_fill_differently_are_no_passages(spark):
     filled = [frame.format(*(f"{rng.choice('bdfg')}{rng.randrange(10**6)}" for _ in range(8))) for _ in range(9)]
     items = spark.createDataFrame([(i, "s", t, None, "") for i, t in enumerate(filled[:8])], ITEMS)
     assert find_leaks(spark.createDataFrame([(1, filled[8], 0)], DOCS), items).count() == 0
+
+
+def test_last_line_of_wrapped_base64_is_read():
+    for text in (ITEM, " ".join(TOK[:12])):
+        for width in (60, 64, 76):
+            raw = base64.b64encode(text.encode()).decode()
+            lines = [raw[i : i + width] for i in range(0, len(raw), width)]
+            assert " ".join(words(text)) in " ".join(words("see\n" + "\n".join(lines) + "\nend")) and " ".join(words(text)) in " ".join(words("\r\n".join(lines)))
+    raw = base64.b64encode(b"x" * 45 + b" of plain text ").decode()
+    assert len(raw) % 4 == 0 and words(raw + "\nhello there")[-2:] == ["hello", "there"] and "plain" in words(raw + "\nhello there")
