@@ -7,8 +7,6 @@ aggregation; nothing is collected.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from diffloom.operators.identity import finding_id, flag_id
 FINDING_COLUMNS = ["changeset_id", "type", "category", "file", "name", "detail", "change", "risk", "n_files", "fingerprint"]
 
 
-def _rows(df: DataFrame, type_: str, category: str, fingerprint: Column, **columns: Column) -> DataFrame:
+def _rows(df: DataFrame, type_: str | Column, category: str | Column, fingerprint: Column, **columns: Column) -> DataFrame:
     empty = F.lit(None).cast("string")
     named = {c: columns.get(c, empty) for c in ("file", "name", "detail", "change", "risk")}
     n_files = columns.get("n_files", F.lit(1)).cast("long")
@@ -50,12 +48,10 @@ def surface_findings(changes: DataFrame) -> DataFrame:
         "{locale}": F.regexp_extract("path", r"(?i)(?:^|/)(?:locales?|i18n|lang|translations?|messages)/([^/.]+)", 1),
         "{style}": F.when(c("path").rlike(r"\.module\."), "css-module").when(c("path").rlike(r"(?i)(theme|tokens|variables)[^/]*$"), "theme").otherwise("global"),
     }
-    rows = []
-    for surface, (type_, category, between) in SURFACE_TYPES.items():
-        listed = c("names") if surface in ("docker", "next-config") else c("told")
-        fingerprint = F.concat_ws(":", lit(type_), "path", *[fill.get(x, lit(x)) for x in between.split(":") if x], listed)
-        rows.append(_rows(per_file.where(c("surface") == surface), type_, category, fingerprint, file=c("path"), name=lit(surface), detail=listed, risk=F.when(c("breaks"), "breaking")))
-    return reduce(DataFrame.unionByName, rows)
+    listed = F.when(c("surface").isin("docker", "next-config"), c("names")).otherwise(c("told"))
+    of = lambda get: F.coalesce(*[F.when(c("surface") == k, get(*v)) for k, v in SURFACE_TYPES.items()])
+    fingerprint = of(lambda type_, _, between: F.concat_ws(":", lit(type_), "path", *[fill.get(x, lit(x)) for x in between.split(":") if x], listed))
+    return _rows(per_file, of(lambda t, *_: lit(t)), of(lambda _, category, __: lit(category)), fingerprint, file=c("path"), name=c("surface"), detail=listed, risk=F.when(c("breaks"), "breaking"))
 
 
 # Type and category by kind of schema file.
@@ -67,12 +63,11 @@ def schema_findings(changes: DataFrame) -> DataFrame:
     c, cat, lit = F.col, F.concat, F.lit
     found = A.schema_changes(changes)
     breaking = c("is_breaking").cast("string")
-    rows = []
-    for kind, (type_, category) in SCHEMA_TYPES.items():
-        parts = {"graphql": [c("removed"), c("added")], "tsconfig": [cat(lit("a="), "added"), cat(lit("r="), "removed"), cat(lit("m="), "modified")]}.get(kind, [c("added"), c("removed")])
-        detail = F.concat_ws("; ", *[F.when(c(x) != "", cat(lit(x + " "), x)) for x in ("added", "removed", "modified")], F.nullif("reasons", lit("")))
-        rows.append(_rows(found.where(c("kind") == kind), type_, category, F.concat_ws(":", lit(type_), "path", breaking, *parts), file=c("path"), name=lit(kind), detail=detail, risk=F.when(c("is_breaking"), "breaking")))
-    return reduce(DataFrame.unionByName, rows)
+    detail = F.concat_ws("; ", *[F.when(c(x) != "", cat(lit(x + " "), x)) for x in ("added", "removed", "modified")], F.nullif("reasons", lit("")))
+    special = {"graphql": [c("removed"), c("added")], "tsconfig": [cat(lit("a="), "added"), cat(lit("r="), "removed"), cat(lit("m="), "modified")]}
+    of = lambda get: F.coalesce(*[F.when(c("kind") == k, get(k, *v)) for k, v in SCHEMA_TYPES.items()])
+    fingerprint = of(lambda kind, type_, _: F.concat_ws(":", lit(type_), "path", breaking, *special.get(kind, [c("added"), c("removed")])))
+    return _rows(found, of(lambda _, t, __: lit(t)), of(lambda _, __, k: lit(k)), fingerprint, file=c("path"), name=c("kind"), detail=detail, risk=F.when(c("is_breaking"), "breaking"))
 
 
 def source_findings(sources: DataFrame) -> DataFrame:
@@ -80,27 +75,26 @@ def source_findings(sources: DataFrame) -> DataFrame:
     c, cat, lit = F.col, F.concat, F.lit
     member = c("relation") == "member"
     angular = c("path").rlike(r"\.(component|directive|service|module|pipe)\.ts$") | c("kind").isin("directive", "injectable", "ngmodule", "pipe", "input", "output")
-    routes, members = sources.where(c("relation") == "route"), sources.where(member)
     change = F.when(c("change") == "removed", "deleted").when(c("change") == "changed", "modified").otherwise(c("change"))
     owner, own = F.substring_index("name", ".", 1), F.expr("substring(name, instr(name, '.') + 1)")
-    stencil = cat(lit("stencil-"), F.when(c("kind").isin("prop", "event", "method", "slot", "state"), c("kind")).otherwise("component"), lit("-change"))
-    stencils = members.where(~angular).select("*", stencil.alias("stencil"))
-    stencil_rows = [
-        _rows(stencils.where(c("stencil") == t), t, "api", cat(lit(t + ":"), owner, lit(":"), F.when(c("stencil") == "stencil-component-change", "").otherwise(cat(own, lit(":"))), "change", lit(":"), "path"), file=c("path"), name=c("name"), detail=c("kind"), change=c("change"))
-        for t in [f"stencil-{k}-change" for k in ("component", "prop", "event", "method", "slot", "state")]
-    ]
+    is_part = c("kind").isin("prop", "event", "method", "slot", "state")
+    stencil = cat(lit("stencil-"), F.when(is_part, c("kind")).otherwise("component"), lit("-change"))
+    single = sources.where(c("relation").isin("route", "member")).withColumns({"is_route": c("relation") == "route", "angular": member & angular})
+    pick = lambda route, ng, st: F.when(c("is_route"), route).when(c("angular"), ng).otherwise(st)
+    fingerprint = pick(
+        cat(lit("route-change:"), "name", lit(":"), change, lit(":page")), F.concat_ws(":", lit("angular-component-change"), "path", change, "kind", "name"), F.concat_ws(":", stencil, owner, F.when(is_part, own), "change", "path")
+    )
     removed = F.bool_or(c("change") == "removed")
-    keys = sources.where(c("relation") == "key").groupBy("changeset_id", "path").agg(A.listed(F.concat_ws(":", "name", "change", (c("change") == "removed").cast("string"))).alias("told"), removed.alias("breaks"))
-    exports = sources.where(c("relation") == "export").groupBy("changeset_id", "path").agg(A.listed("name", c("change") == "added").alias("added"), A.listed("name", c("change") == "removed").alias("removed"), removed.alias("breaks"))
+    told = F.concat_ws(":", "name", "change", (c("change") == "removed").cast("string"))
+    per_file = sources.where(c("relation").isin("key", "export")).groupBy("changeset_id", "path", "relation").agg(A.listed(told).alias("told"), A.listed("name", c("change") == "added").alias("added"), A.listed("name", c("change") == "removed").alias("removed"), removed.alias("breaks"))
     text = lambda x: F.coalesce(c(x), lit(""))
     locale = F.regexp_extract("path", r"(?i)(?:^|/)(?:locales?|i18n|lang|translations?|messages)/([^/.]+)", 1)
-    return reduce(DataFrame.unionByName, [
-        _rows(routes, "route-change", "routes", cat(lit("route-change:"), "name", lit(":"), change, lit(":page")), file=c("path"), name=c("name"), detail=lit("page"), change=change),
-        _rows(members.where(angular), "angular-component-change", "api", F.concat_ws(":", lit("angular-component-change"), "path", change, "kind", "name"), file=c("path"), name=c("name"), detail=c("kind"), change=change),
-        *stencil_rows,
-        _rows(keys, "i18n-change", "api", F.concat_ws(":", lit("i18n-change"), "path", locale, c("breaks").cast("string"), "told"), file=c("path"), name=lit("i18n"), detail=c("told"), risk=F.when(c("breaks"), "breaking")),
-        _rows(exports, "package-exports", "api", F.concat_ws(":", lit("package-exports"), c("breaks").cast("string"), cat(lit("a="), text("added")), cat(lit("r="), text("removed"))), file=c("path"), detail=F.concat_ws("; ", cat(lit("added "), "added"), cat(lit("removed "), "removed")), risk=F.when(c("breaks"), "breaking")),
-    ])
+    key = lambda x, y: F.when(c("relation") == "key", x).otherwise(y)
+    breaks = c("breaks").cast("string")
+    prints = key(F.concat_ws(":", lit("i18n-change"), "path", locale, breaks, "told"), F.concat_ws(":", lit("package-exports"), breaks, cat(lit("a="), text("added")), cat(lit("r="), text("removed"))))
+    return _rows(single, pick(lit("route-change"), lit("angular-component-change"), stencil), pick(lit("routes"), lit("api"), lit("api")), fingerprint, file=c("path"), name=c("name"), detail=pick(lit("page"), c("kind"), c("kind")), change=F.when(c("is_route") | c("angular"), change).otherwise(c("change"))).unionByName(
+        _rows(per_file, key(lit("i18n-change"), lit("package-exports")), lit("api"), prints, file=c("path"), name=key(lit("i18n"), lit(None)), detail=c("told"), risk=F.when(c("breaks"), "breaking"))
+    )
 
 
 def findings(files: DataFrame, changes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
