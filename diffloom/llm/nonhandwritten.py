@@ -1,11 +1,12 @@
 """Generated, minified or vendored source files (problem 5).
 
-Layout statistics of every hunk (longest and mean line, shares of white space, letters
-and digits and code marks in long lines, lines of numeric literals and encoded runs)
-are summed per file and held against thresholds tuned per language. Paths that only
-tools or package managers write, notices at the top of a file, and the notes of
-skipped entries decide where the layout says nothing. No text is shuffled: only the
-few numbers of each hunk.
+Layout statistics come first: of every hunk the longest line, lines, characters, white
+space, letters and digits, code marks, numeric literals and encoded runs are counted,
+summed per file, and held as shares against thresholds tuned per language; that tells
+minified files and data dumped as code. A tool's or a third party's text that is laid out
+like any other is told by paths that only tools write, by notices in the comments at the
+top of a file, and by the notes of skipped entries, in this order. No text is shuffled:
+only the few numbers of each hunk.
 """
 
 from __future__ import annotations
@@ -39,18 +40,18 @@ _VENDORED = re.compile(
 )
 #: A notice that speaks of what the file makes, or says that it is kept by hand.
 _BY_HAND = re.compile(r"(?i)edit (?:this file )?freely|hand[- ](?:maintained|written|edited)|by hand|own work|\bprints\b|\bemits\b|\bwrites the\b|\boutput of this\b|['\"`]do not edit")
+# What opens a comment of several lines, and what closes it.
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
 _COMMENT = re.compile(r"^\s*(?://|#(?!\[)|/\*|\*|--|<!--|;|%|\"\"\"|''')")
-_DATA_LINE = re.compile(
-    r"^[\s'\"b({\[]*(?:[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:e[-+]?\d+)?)\s*[,;]\s*){4,}|^\s*(?:[0-9a-fA-F]{2}[\s,:]+){7,}[0-9a-fA-F]{0,2}[\s'\",;]*$|"
-    r"^[\s'\"b(]*[A-Za-z0-9+/_-]{48,}={0,2}[\s'\",;+\\)]*$|^\s*(?:\\x[0-9a-fA-F]{2}){8,}|^\s*\d+(?:[;\t|,][^;\t|,\s]+){3,}\s*$"
-)
-_NUMBER_LIST = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?)\s*,\s*){24,}")
-_ENCODED_RUN = re.compile(r"[A-Za-z0-9+/]{200,}={0,2}")
+#: A numeric literal, a byte escape or a byte written as two hexadecimal digits.
+_NUMBER = re.compile(r"(?<![A-Za-z_\d])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![A-Za-z_\d])|\\x[0-9a-fA-F]{2}|(?<![0-9A-Za-z_])[0-9a-fA-F]{2}(?![0-9A-Za-z_])")
+#: An encoded run: 40 or more letters and digits of base64 or base16, capitals and small letters or digits mixed.
+_RUN = re.compile(r"(?=[A-Za-z+/_-]{0,60}\d|[a-z+/]{0,60}[A-Z][A-Za-z+/]{0,60}[a-z])[A-Za-z0-9+/_-]{40,}={0,2}")
 _KEY_EDGE = re.compile(r"-----(BEGIN|END) ")
-_MARKS = re.compile(r"[;{}(),=:<>!&|?+\[\]]")
-_STRUCTURE = re.compile(r"[;{}=]")
-_TOP_LINES = 8
-LONG_LINE = 240
+_INLINE_DATA = re.compile(r"data:[\w/+.;=-]+,|sourceMapping")
+_MARKS = re.compile(r"[;{}=]")
+#: So many lines of code may stand before a notice; comment and empty lines are read without limit.
+_TOP_CODE = 8
 
 
 def body_lines(content: str | None, additions: list[str | None] | None) -> list[str]:
@@ -68,11 +69,22 @@ def body_lines(content: str | None, additions: list[str | None] | None) -> list[
 
 
 def notice(lines: list[str]) -> str | None:
-    """generated or vendored, if a comment among the first lines (of a file's first hunk) says so."""
-    for line in lines[:_TOP_LINES]:
-        if not _COMMENT.match(line) or len(line) > 300:
-            continue
+    """generated or vendored, if a comment at the top of a file (the lines of its first hunk) says so."""
+    code, closing = 0, None
+    for line in lines:
         text = line.strip()
+        if not text:
+            continue
+        if closing:
+            inside, closing = True, None if closing in text else closing
+        else:
+            inside = bool(_COMMENT.match(line))
+            closing = next((end for start, end in _BLOCKS if text.startswith(start) and end not in text[len(start) :]), None)
+        if not inside:
+            code += 1
+            if code > _TOP_CODE:
+                return None
+            continue
         if _BY_HAND.search(text):
             continue
         text = re.sub(r"^\s*(?://+!?|#+|/\*+!?|\*+|--+|<!--|;+|%+|\"\"\"|''')\s*", "", text)
@@ -83,47 +95,40 @@ def notice(lines: list[str]) -> str | None:
     return None
 
 
-def layout(lines: list[str]) -> tuple[int, int, int, int, int, int, int, int, int, int]:
-    """Counts of one hunk: lines, characters, longest line, blanks, letters and digits, then of long lines
-    characters, blanks, code marks, and data lines and their characters. Key blocks are no data."""
-    chars = longest = blanks = alnum = long_chars = long_blanks = long_marks = data_lines = data_chars = 0
-    in_key = False
-    for line in lines:
-        n = len(line)
-        chars += n
-        longest = max(longest, n)
-        blank = line.count(" ") + line.count("\t")
-        blanks += blank
-        if "-----" in line and (m := _KEY_EDGE.search(line)):
-            in_key = m[1] == "BEGIN" and "-----END" not in line
-            continue
-        if n < 12:
-            continue
-        if n >= LONG_LINE:
-            number_chars = sum(len(m[0]) for m in _NUMBER_LIST.finditer(line))
-            run_chars = sum(len(m[0]) for m in _ENCODED_RUN.finditer(line)) if "data:" not in line and "sourceMapping" not in line else 0
-            if number_chars + run_chars > n * 0.6:
-                data_lines += max(4, n // 80)
-                data_chars += n
-                continue
-            if len(_STRUCTURE.findall(line)) > n * 0.03:
-                long_chars += n
-                long_blanks += blank
-                long_marks += len(_MARKS.findall(line))
-        elif not in_key and _DATA_LINE.match(line):
-            data_lines += 1
-            data_chars += n
-    text = "".join(lines)
-    alnum = sum(map(str.isalnum, text)) if longest >= LONG_LINE else 0
-    return len(lines), chars, longest, blanks, alnum, long_chars, long_blanks, long_marks, data_lines, data_chars
-
-
-_COUNTS = ("n_lines", "chars", "longest", "blanks", "alnum", "long_chars", "long_blanks", "long_marks", "data_lines", "data_chars")
+def layout(lines: list[str]) -> tuple[int, int, int, int, int, int, int, int]:
+    """Counts of one hunk: lines, characters, longest line, white space, letters and digits, statement
+    marks, characters of numeric literals and of encoded runs. Key blocks and inline images are no encoded runs."""
+    text = "\n".join(lines)
+    chars = sum(map(len, lines))
+    longest = max(map(len, lines), default=0)
+    blanks = max(0, chars - sum(map(len, text.split())))
+    alnum = sum(map(str.isalnum, text))
+    if "-----" in text:
+        kept, in_key = [], False
+        for line in lines:
+            if m := _KEY_EDGE.search(line):
+                in_key = m[1] == "BEGIN" and "-----END" not in line
+            elif not in_key:
+                kept.append(line)
+    else:
+        kept = lines
+    body = "\n".join(x for x in kept if not _INLINE_DATA.search(x)) if _INLINE_DATA.search(text) else "\n".join(kept)
+    runs = 0
+    if longest >= 40:
+        runs = sum(len(m[0]) for m in _RUN.finditer(body))
+    numbers = sum(len(m[0]) for m in _NUMBER.finditer(body))
+    return len(lines), chars, longest, blanks, alnum, len(_MARKS.findall(text)), numbers, runs
+
+
+_COUNTS = ("n_lines", "chars", "longest", "blanks", "alnum", "marks", "numbers", "runs")
 _STATS_SCHEMA = "changeset_id string, path string, hunk_ord int, says string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
 
 
 def hunk_layout(hunks: DataFrame) -> DataFrame:
-    """Layout counts of every hunk, one row per key; repeated rows count once."""
+    """Layout counts of every hunk, one row per key; repeated rows count once.
+
+    says: what a notice at the top of the hunk tells, which holds for the file if it is its first hunk.
+    """
     schema = pa.schema([("changeset_id", pa.string()), ("path", pa.string()), ("hunk_ord", pa.int32()), ("says", pa.string()), *((c, pa.int64()) for c in _COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +137,7 @@ def hunk_layout(hunks: DataFrame) -> DataFrame:
             cols = [batch.column(c).to_pylist() for c in ("changeset_id", "path", "hunk_ord", "content", "additions")]
             for cs, path, ord_, content, additions in zip(*cols):
                 lines = body_lines(content, additions)
-                top = ord_ in (0, None)
-                rows.append((cs, path, ord_, notice(lines) if top else None, *layout(lines)))
+                rows.append((cs, path, ord_, notice(lines), *layout(lines)))
             columns = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
@@ -153,14 +157,15 @@ def _language(path: Column) -> Column:
     )
 
 
-# Thresholds by language: share of characters in long code lines, least mean of all lines, most white space and
-# least code marks in long lines (minified); least data lines and share of characters in data lines (data).
+# Thresholds by language, set between the files of sf0.1 on either side (README: how, and the margins).
+# minified: least longest line, least mean line, most white space, most and least letters and digits, least
+# statement marks. data: least characters and share of numeric literals beside white space, least characters and share of encoded runs.
 THRESHOLDS = {
-    "script": (0.5, 60, 0.2, 0.12, 4, 0.6),
-    "style": (0.5, 60, 0.2, 0.08, 4, 0.6),
-    "code": (0.7, 120, 0.12, 0.15, 4, 0.6),
-    "markup": (2.0, 0, 0.0, 1.0, 40, 0.9),
-    "prose": (2.0, 0, 0.0, 1.0, 40, 0.9),
+    "script": (240, 155.0, 0.075, 0.90, 0.35, 0.03, 120, 0.17, 400, 0.80),
+    "style": (240, 107.0, 0.040, 0.92, 0.35, 0.03, 120, 0.35, 400, 0.80),
+    "code": (240, 155.0, 0.075, 0.92, 0.35, 0.03, 120, 0.35, 400, 0.80),
+    "markup": (800, 300.0, 0.050, 0.92, 0.25, 0.03, 400, 0.50, 800, 0.85),
+    "prose": (2000, 1000.0, 0.030, 0.92, 0.35, 0.03, 400, 0.50, 800, 0.85),
 }
 
 # Notes of skipped entries that name the kind of file.
@@ -175,29 +180,31 @@ _NOTE_RULES = {
 def classify_files(files: DataFrame, hunks: DataFrame, skipped: DataFrame) -> DataFrame:
     """changeset_id, path, file_class, evidence of every file that is not written by hand.
 
-    file_class is lock, source_map, minified, generated, vendored or data, evidence path,
-    notice, layout or note. One row per file of the change set; files without hunks are
+    file_class is lock, source_map, minified, generated, vendored or data, evidence layout,
+    path, notice or note. One row per file of the change set; files without hunks are
     judged by path and note alone. Images, archives and fonts are never cases. Null paths
     and change sets are ignored, null texts say nothing, repeated rows count once.
     """
     keys = ["changeset_id", "path"]
-    stats = hunk_layout(hunks).groupBy(*keys).agg(F.max("says").alias("says"), *[(F.max if c == "longest" else F.sum)(c).alias(c) for c in _COUNTS])
+    per_hunk = hunk_layout(hunks)
+    stats = per_hunk.groupBy(*keys).agg(F.min_by(F.struct("says"), F.coalesce("hunk_ord", F.lit(0))).getField("says").alias("says"), *[(F.max if c == "longest" else F.sum)(c).alias(c) for c in _COUNTS])
     notes = skipped.where("changeset_id is not null and path is not null").groupBy(*keys).agg(F.concat_ws("\n", F.collect_set("note"), F.collect_set("reason")).alias("note"))
     path = F.lower(F.regexp_replace(F.col("path"), r"\\", "/"))
     chosen = F.create_map(*[x for lang, t in THRESHOLDS.items() for x in (F.lit(lang), F.array(*[F.lit(float(v)) for v in t]))])
     limit = lambda i: F.element_at(chosen, _language(path))[i]
-    some = F.greatest(F.col("chars"), F.lit(1))
-    some_long = F.greatest(F.col("long_chars"), F.lit(1))
+    c = F.col
+    some = F.greatest(c("chars"), F.lit(1))
     minified = (
-        (F.col("long_chars") >= limit(0) * some)
-        & (some >= limit(1) * F.greatest(F.col("n_lines"), F.lit(1)))
-        & (F.col("long_blanks") <= limit(2) * some_long)
-        & (F.col("long_marks") >= limit(3) * some_long)
+        (c("longest") >= limit(0))
+        & (some >= limit(1) * F.greatest(c("n_lines"), F.lit(1)))
+        & (c("blanks") <= limit(2) * some)
+        & c("alnum").between(limit(4) * some, limit(3) * some)
+        & (c("marks") >= limit(5) * some)
     )
-    data = (F.col("data_lines") >= limit(4)) & (F.col("data_chars") >= limit(5) * some)
+    data = ((c("chars") >= limit(6)) & (c("numbers") >= limit(7) * (some - c("blanks")))) | ((c("chars") >= limit(8)) & (c("runs") >= limit(9) * some))
     by_path = F.coalesce(*[F.when(path.rlike(rule), F.lit(kind)) for kind, rule in PATH_RULES.items()])
     by_note = F.coalesce(*[F.when(F.col("note").rlike(rule), F.lit(kind)) for kind, rule in _NOTE_RULES.items()])
-    by_layout = F.when(minified, "minified").when(data, "data")
+    by_layout = F.when(data, "data").when(minified, "minified")
     judged = (
         files.where("changeset_id is not null and path is not null")
         .select(*keys)
@@ -208,8 +215,8 @@ def classify_files(files: DataFrame, hunks: DataFrame, skipped: DataFrame) -> Da
         .withColumn("by_path", by_path)
         .withColumn("by_layout", by_layout)
         .withColumn("by_note", by_note)
-        .withColumn("file_class", F.coalesce("by_path", "says", "by_layout", "by_note"))
+        .withColumn("file_class", F.coalesce("by_layout", "by_path", "says", "by_note"))
         .where("file_class is not null")
     )
-    evidence = F.when(F.col("by_path").isNotNull(), "path").when(F.col("says").isNotNull(), "notice").when(F.col("by_layout").isNotNull(), "layout").otherwise("note")
+    evidence = F.when(F.col("by_layout").isNotNull(), "layout").when(F.col("by_path").isNotNull(), "path").when(F.col("says").isNotNull(), "notice").otherwise("note")
     return judged.select(*keys, "file_class", evidence.alias("evidence"))

@@ -29,3 +29,30 @@ def test_body_and_notice():
     assert body_lines("@@ -1 +1 @@", ["x", None]) == ["x"] and body_lines(None, None) == []
     assert body_lines("@@ -1 +0,0 @@\n-gone", []) == ["gone"]
     assert notice(["x", "// Package emits generated code for callers."]) is None and notice([]) is None
+
+
+def _classes(spark, rows):
+    """path -> (class, evidence) of files given as (path, hunk_ord, lines)."""
+    files = spark.createDataFrame([("c", p, "added", None) for p in dict.fromkeys(p for p, *_ in rows)], FILES)
+    hunks = spark.createDataFrame([(i, "c", p, o, 1, None, lines) for i, (p, o, lines) in enumerate(rows)], HUNKS)
+    return {r.path: (r.file_class, r.evidence) for r in classify_files(files, hunks, spark.createDataFrame([], SKIPPED)).collect()}
+
+
+def test_notices_are_read_to_the_end_of_the_leading_comments(spark):
+    note = "// Code generated by tool v1. DO NOT EDIT."
+    late = ["// line of the licence"] * 30 + [note, *CODE]
+    long = ["// " + "words of a long licence sentence " * 12 + "; this file was generated by the tool", *CODE]
+    inside = ["/*", "The licence.", "This file was generated by the tool.", "*/", *CODE]
+    after_code = [*CODE * 3, note]
+    got = _classes(spark, [("src/late.go", 0, late), ("src/long.ts", 0, long), ("src/in.ts", 0, inside), ("src/low.ts", 0, after_code), ("src/second.ts", 3, CODE), ("src/second.ts", 2, [note, *CODE])])
+    assert got == {p: ("generated", "notice") for p in ("src/late.go", "src/long.ts", "src/in.ts", "src/second.ts")}
+
+
+def test_layout_comes_first_and_each_statistic_counts(spark):
+    prose = "const TEXT = '" + "a line of plain words that goes on; x = {y} " * 20 + "';"
+    marks = "const LIST = 'alpha" + ",beta,gamma" * 60 + "';"
+    signs = "/*" + "=-;{}" * 200 + "*/"
+    rows = [("web/a.min.js", 0, [MINIFIED]), ("src/a.ts", 0, [MINIFIED, "", *CODE]), ("src/short.py", 0, ["DATA = ["] + [f"  {i % 9}," for i in range(90)] + ["]"]), ("src/prose.ts", 0, [prose]), ("src/marks.ts", 0, [marks]), ("src/signs.ts", 0, [signs]),
+            ("src/many.ts", 0, [MINIFIED[:300]] + CODE * 30), ("src/tiny.py", 0, ["  61,", "  5,"]), ("a/data.json", 0, ['{"a": 1, "b": 2}'] * 40), ("a/one.json", 0, ["[" + '{"a":{"b":"xyz"}},' * 90 + "{}]"])]
+    got = _classes(spark, rows)
+    assert got == {"web/a.min.js": ("minified", "layout"), "src/a.ts": ("minified", "layout"), "src/short.py": ("data", "layout"), "a/one.json": ("minified", "layout")}
