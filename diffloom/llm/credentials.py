@@ -1,7 +1,7 @@
 """Credentials embedded in source code (problem 3).
 
 A keyword automaton finds the lines worth looking at. On those, issuer formats are
-matched and their structure is validated, and values given to names that mean a
+matched, their published checksums or structures are validated, and values given to names that mean a
 secret are judged: placeholders, masked values, references to variables or vaults,
 plain words and type names are no credentials. Every credential is replaced by a
 placeholder of the same length and alphabet, so the code around it stays as it was.
@@ -13,6 +13,7 @@ import base64
 import binascii
 import json
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -99,8 +100,8 @@ def _decoded(value: str) -> str | None:
 
 def is_masked(value: str) -> bool:
     """All letters and digits are the fillers of mask(), or hardly any character differs."""
-    body = [c for c in value if c.isalnum()]
-    return not body or set(body) <= {"x", "X", "0"} or len(value) >= 8 and len(set(body)) <= 2
+    body = {c for c in value if c.isalnum()}
+    return not body or body <= {"x", "X", "0"} or len(value) >= 8 and (len(body) <= 2 or body <= {"a", "A", "0"})
 
 
 def is_placeholder(value: str) -> bool:
@@ -145,6 +146,39 @@ def _jwt_ok(token: str) -> bool:
         return False
 
 
+#: Fixed value: digits of the checksums at the end of forge and registry tokens, in order.
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_PYPI_SITE = "AgEIcHlwaS5vcmc"
+
+
+def _crc_ok(body: str) -> bool:
+    """Whether the last six characters are the CRC-32 of the others in base 62, as some issuers publish it."""
+    n, digits = zlib.crc32(body[:-6].encode()), ""
+    while n:
+        n, r = divmod(n, 62)
+        digits = _BASE62[r] + digits
+    return digits.rjust(6, "0") == body[-6:]
+
+
+def check_token(line: str, start: int, end: int, kind: str) -> str:
+    """passed, failed or none: whether the checksum or structure that the issuer publishes holds.
+
+    A failed check is told, but the token stays a credential: revoked, test-mode and mistyped ones count too.
+    """
+    body, before = line[start:end], line[max(0, start - 12) : start]
+    if kind == "aws_access_key_id":
+        return "passed" if re.fullmatch("[A-Z2-7]{16}", body) else "failed"
+    if len(body) == 36 and (kind == "forge_token" and re.search("gh[pousr]_$", before) or kind == "registry_token" and before.endswith("npm_")):
+        return "passed" if _crc_ok(body) else "failed"
+    if kind == "registry_token" and before.endswith("pypi-"):
+        return "passed" if body.startswith(_PYPI_SITE) else "failed"
+    if kind == "signed_token":
+        return "passed" if _jwt_ok(body) else "failed"
+    if kind == "authorization" and before.lower().rstrip().endswith("basic"):
+        return "passed"
+    return "none"
+
+
 def _basic_ok(value: str) -> bool:
     plain = _decoded(value)
     return plain is not None and ":" in plain and not is_placeholder(plain.split(":", 1)[1])
@@ -153,9 +187,12 @@ def _basic_ok(value: str) -> bool:
 def find_credentials(line: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every credential of one line, in order, not overlapping."""
     spans: list[tuple[int, int, str]] = []
-    if m := KEY_BEGIN.search(line):
-        end = KEY_END.search(line, m.end())
-        spans.append((m.end(), end.start() if end else len(line), "private_key"))
+    at = 0
+    while m := KEY_BEGIN.search(line, at):
+        end, after = KEY_END.search(line, m.end()), KEY_BEGIN.search(line, m.end())
+        stop = min(x.start() for x in (end, after) if x) if end or after else len(line)
+        spans.append((m.end(), stop, "private_key"))
+        at = stop if stop < len(line) else len(line) + 1
     for kind, pattern in ISSUER:
         for m in pattern.finditer(line):
             if is_placeholder(m[1]) or kind == "signed_token" and not _jwt_ok(m[1]):
@@ -220,8 +257,20 @@ _CACHED_LENGTH = 300
 
 
 def mask(text: str) -> str:
-    """A placeholder of the same length and alphabet: x, X and 0 for letters and digits, other characters stay."""
-    return "".join("x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c for c in text)
+    """A placeholder of the same length and alphabet; characters that are no letters or digits stay.
+
+    Hexadecimal values get a, A and 0, base-32 ones (capitals and 2 to 7) X and 2, all others x, X and 0.
+    """
+    body = {c for c in text if c.isalnum()}
+    letters, digit = ("x", "X"), "0"
+    if body <= _HEX and any(c.isdigit() for c in body):
+        letters = ("a", "A")
+    elif body <= _BASE32 and body & _LOW_DIGITS:
+        digit = "2"
+    return "".join(letters[0] if c.islower() else letters[1] if c.isupper() else digit if c.isdigit() else letters[0] if c.isalpha() else c for c in text)
+
+
+_HEX, _BASE32, _LOW_DIGITS = set("0123456789abcdefABCDEF"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), set("234567")
 
 
 def mask_spans(line: str, spans: list[tuple[int, int, str]]) -> str:
@@ -233,14 +282,13 @@ def mask_spans(line: str, spans: list[tuple[int, int, str]]) -> str:
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{8,}")
 
 
-def scan_lines(lines: list[str | None], wanted: list[int], sign: int = 0) -> list[tuple[int, str, int, str]]:
-    """(place, kinds, spans, masked line) of lines with credentials.
+def scan_lines(lines: list[str | None], wanted: list[int]) -> list[tuple[int, str, int, str, str]]:
+    """(place, kinds, spans, checks, masked line) of lines with credentials.
 
     wanted: places the automaton found, ascending. Lines inside a key block come out
     masked with the kind key_body; the block's first line has the kind private_key.
-    sign: characters before the text of each line, kept as they are.
     """
-    out: list[tuple[int, str, int, str]] = []
+    out: list[tuple[int, str, int, str, str]] = []
     skip_to = -1
     for i in wanted:
         line = lines[i]
@@ -249,12 +297,13 @@ def scan_lines(lines: list[str | None], wanted: list[int], sign: int = 0) -> lis
         spans = _cached(line) if len(line) <= _CACHED_LENGTH else find_credentials(line)
         if not spans:
             continue
-        out.append((i, ",".join(dict.fromkeys(s[2] for s in spans)), len(spans), mask_spans(line, spans)))
-        if spans[-1][2] == "private_key" and not KEY_END.search(line):
+        checks = dict.fromkeys(check_token(line, *s) for s in spans)
+        out.append((i, ",".join(dict.fromkeys(s[2] for s in spans)), len(spans), ",".join(checks), mask_spans(line, spans)))
+        if spans[-1][2] == "private_key" and spans[-1][1] == len(line):
             j = i + 1
             while j < len(lines) and lines[j] is not None and not KEY_END.search(lines[j]) and not KEY_BEGIN.search(lines[j]):
                 if _KEY_BODY.search(lines[j]):
-                    out.append((j, "key_body", 1, _KEY_BODY.sub(lambda m: mask(m[0]), lines[j])))
+                    out.append((j, "key_body", 1, "none", _KEY_BODY.sub(lambda m: mask(m[0]), lines[j])))
                 elif lines[j].strip(" +-#/*") and not re.match(r"^[ +-]?\s*(?:#|//|\*)?\s*[A-Za-z-]+: ", lines[j]):
                     break
                 j += 1
@@ -292,8 +341,8 @@ def _keyword_lines(automaton: ahocorasick.Automaton, low: str) -> list[int]:
     return sorted({bisect_right(starts, h) - 1 for h in hits})
 
 
-RESULT_SCHEMA = "origin string, record_id bigint, item_ord int, line_ord int, kinds string, spans int, masked string"
-_RESULT = pa.schema([("origin", pa.string()), ("record_id", pa.int64()), ("item_ord", pa.int32()), ("line_ord", pa.int32()), ("kinds", pa.string()), ("spans", pa.int32()), ("masked", pa.string())])
+RESULT_SCHEMA = "origin string, record_id bigint, item_ord int, line_ord int, kinds string, spans int, checks string, masked string"
+_RESULT = pa.schema([("origin", pa.string()), ("record_id", pa.int64()), ("item_ord", pa.int32()), ("line_ord", pa.int32()), ("kinds", pa.string()), ("spans", pa.int32()), ("checks", pa.string()), ("masked", pa.string())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -301,6 +350,39 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _RESULT)], schema=_RESULT)
 
 
+def scan_items(automaton: ahocorasick.Automaton, items: list[str | None]) -> list[tuple[int, str, int, str, str]]:
+    """scan_lines of an array whose entries are lines; line feeds inside an entry part no line and stay as they are."""
+    plain = [x if x is None or "\n" not in x else x.replace("\n", "\r") for x in items]
+    found = scan_lines(plain, _candidates(automaton, "\n".join([x or "" for x in plain])))
+    return [(i, *rest, masked if plain[i] is items[i] else "".join("\n" if o == "\n" else m for o, m in zip(items[i], masked))) for i, *rest, masked in found]
+
+
+def scan_text(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, str, int, str, str]]:
+    """scan_lines of a text parted at line feeds."""
+    found = _candidates(automaton, text)
+    return scan_lines(text.split("\n"), found) if found else []
+
+
+def redact_text(automaton: ahocorasick.Automaton, text: str | None) -> str | None:
+    """The text with every credential masked, of the same length."""
+    if not text or not (found := scan_text(automaton, text)):
+        return text
+    lines = text.split("\n")
+    for i, *_, masked in found:
+        lines[i] = masked
+    return "\n".join(lines)
+
+
+def redact_items(automaton: ahocorasick.Automaton, items: list[str | None] | None) -> list[str | None] | None:
+    """The array with every credential in its entries masked."""
+    if not items or not (found := scan_items(automaton, items)):
+        return items
+    out = list(items)
+    for i, *_, masked in found:
+        out[i] = masked
+    return out
+
+
 def _scan_arrays(origin: str, key: str, column: str):
     """Each entry of an array column is one line (additions)."""
 
@@ -311,9 +393,7 @@ def _scan_arrays(origin: str, key: str, column: str):
             for record, items in zip(batch.column(key).to_pylist(), batch.column(column).to_pylist()):
                 if not items:
                     continue
-                items = [x if x is None or "\n" not in x else x.replace("\n", "\r") for x in items]
-                found = _candidates(automaton, "\n".join([x or "" for x in items]))
-                out += [(origin, record, i, 0, *rest) for i, *rest in scan_lines(items, found)]
+                out += [(origin, record, i, 0, *rest) for i, *rest in scan_items(automaton, items)]
             yield _batch(out)
 
     return run
@@ -328,8 +408,8 @@ def _scan_texts(origin: str, key: str, column: str):
             out = []
             for record, items in zip(batch.column(key).to_pylist(), batch.column(column).to_pylist()):
                 for item, text in enumerate(items if isinstance(items, list) else [items]):
-                    if text and (found := _candidates(automaton, text)):
-                        out += [(origin, record, item, i, *rest) for i, *rest in scan_lines(text.split("\n"), found)]
+                    if text:
+                        out += [(origin, record, item, i, *rest) for i, *rest in scan_text(automaton, text)]
             yield _batch(out)
 
     return run
@@ -339,7 +419,7 @@ def scan_credentials(hunks: DataFrame, findings: DataFrame) -> DataFrame:
     """Every line of additions, content and evidence excerpts that holds a credential, with its masked form.
 
     Result: RESULT_SCHEMA, distinct. kinds lists what was found, key_body marks the
-    further lines of a key block. Places count from 0; lines are parted at line feeds.
+    further lines of a key block; checks tells whether published checksums or structures hold. Places count from 0; lines are parted at line feeds.
     Null texts, arrays and entries hold nothing but keep their place; repeated rows
     count once. The scan needs no shuffle but for dropping repeats of its few rows.
     """
@@ -354,3 +434,45 @@ def scan_credentials(hunks: DataFrame, findings: DataFrame) -> DataFrame:
 def credential_lines(scanned: DataFrame) -> DataFrame:
     """origin, record_id, item_ord, line_ord: a key block counts once, at its first line."""
     return scanned.where("kinds <> 'key_body'").select("origin", "record_id", "item_ord", "line_ord").distinct()
+
+
+def _redactor(columns: dict[str, bool]):
+    """Masks the named columns (whether each is an array of lines) and passes all others through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton()
+        for batch in batches:
+            for name, is_array in columns.items():
+                at = batch.schema.get_field_index(name)
+                mask_one = redact_items if is_array else redact_text
+                kept = batch.column(at)
+                masked = pa.array([mask_one(automaton, v) for v in kept.to_pylist()], kept.type)
+                batch = batch.set_column(at, batch.schema.field(at), masked)
+            yield batch
+
+    return run
+
+
+def redact_hunks(hunks: DataFrame) -> DataFrame:
+    """The hunks with every credential in content, additions and deletions masked; all else, extra columns too, stays.
+
+    One pass without shuffle. Null texts, arrays and entries stay null, repeated rows stay repeated.
+    """
+    return hunks.mapInArrow(_redactor({"content": False, "additions": True, "deletions": True}), hunks.schema)
+
+
+def redact_findings(findings: DataFrame) -> DataFrame:
+    """The findings with every credential in their evidence excerpts masked; all else stays."""
+    texts = findings.withColumn("_excerpts", F.col("evidence.excerpt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton()
+        for batch in batches:
+            at = batch.schema.get_field_index("_excerpts")
+            kept = batch.column(at)
+            masked = pa.array([v and [redact_text(automaton, x) for x in v] for v in kept.to_pylist()], kept.type)
+            yield batch.set_column(at, batch.schema.field(at), masked)
+
+    masked = texts.mapInArrow(run, texts.schema)
+    replaced = F.transform("evidence", lambda e, i: F.when(e.isNotNull(), e.withField("excerpt", F.get("_excerpts", i))))
+    return masked.withColumn("evidence", replaced).drop("_excerpts")

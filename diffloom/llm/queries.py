@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm.credentials import credential_lines, scan_credentials
+from diffloom.llm.credentials import credential_lines, redact_findings, redact_hunks, scan_credentials
 from diffloom.llm.eval_leaks import find_leaks
 from diffloom.llm.nonhandwritten import classify_files
 from diffloom.llm.pack_containers import assign_containers, container_fill
@@ -34,6 +34,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return credential_lines(p3_redacted(spark, d))
 
 
+def p3_hunks(spark: SparkSession, d: str) -> DataFrame:
+    return redact_hunks(table(spark, d, "hunks"))
+
+
+def p3_findings(spark: SparkSession, d: str) -> DataFrame:
+    return redact_findings(table(spark, d, "facts_findings"))
+
+
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return classify_files(table(spark, d, "files"), table(spark, d, "hunks"), table(spark, d, "skipped_entries"))
 
@@ -72,7 +80,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_classes": p5_classes,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_hunks": p3_hunks, "p3_findings": p3_findings, "p5_found": p5_found, "p5_classes": p5_classes,
         "p6_assignment": p6_assignment, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks,
         "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
     }
