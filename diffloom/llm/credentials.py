@@ -69,7 +69,7 @@ _SQL = re.compile(r"(?i)\b(?:password|identified\s+by)\s+([\"'`])([^\"'`]+)\1")
 _NETRC = re.compile(r"(?i)\blogin\s+\S+\s+password\s+(\S+)")
 _DB_CLIENT = re.compile(r"\b(?:mysql|mysqldump|mariadb|mysqladmin|sshpass)\b.*?\s-p\s*([^\s'\"-][^\s'\"]*)")
 _HTTP_CLIENT = re.compile(r"\b(?:curl|wget|http)\b.*?\s(?:-u|--user)[ =]['\"]?[^\s:'\"]+:([^\s'\"]+)")
-_TOLD = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|passcode|login|secret|token|pass|credentials?)(?:\s+for\s+\S+)?(?:\s+(?:is|was)\s*:?|:)?\s+[\"'`]?([^\s\"'`]+)")
+_TOLD = re.compile(r"(?i)\b(?:password|passwd|pwd|pw|passphrase|passcode|login|secret|token|pass|credentials?)(?:\s+for\s+\S+)?(?:\s+(?:is|was)\s*:?|:)?\s+[\"'`]?([^\s\"'`]+)")
 
 # Placeholder words and the starts of references.
 _PLACEHOLDER = re.compile(
