@@ -12,7 +12,7 @@ from diffloom.llm.eval_leaks import find_leaks
 from diffloom.llm.nonhandwritten import classify_files
 from diffloom.llm.pack_containers import assign_containers, container_fill
 from diffloom.llm.reading_level import demanding, grade, profile
-from diffloom.llm.split_oversized import split_oversized
+from diffloom.llm.split_oversized import piece_checks, split_oversized
 from diffloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "diff_lines"), table(spark, d, "dump_options"))
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    return piece_checks(p1_pieces(spark, d))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).select("changeset_id", "path").distinct()
 
@@ -80,7 +84,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_hunks": p3_hunks, "p3_findings": p3_findings, "p5_found": p5_found, "p5_classes": p5_classes,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_checks": p1_checks, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_hunks": p3_hunks, "p3_findings": p3_findings, "p5_found": p5_found, "p5_classes": p5_classes,
         "p6_assignment": p6_assignment, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks,
         "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
     }
@@ -93,4 +97,11 @@ def oracle_sql() -> dict[str, str]:
                  s as (select changeset_id, path, sum(size) as size from l group by changeset_id, path)
             select distinct s.changeset_id, s.path from s join dump_options o on s.changeset_id = o.changeset_id
             where s.size > o.max_chars""",
+        "p1_checks": """
+            with l as (select distinct changeset_id, path, hunk_ord, line_ord, coalesce(length(text), 0) as n from diff_lines),
+                 s as (select changeset_id, path, sum(n)::bigint as chars, sum(n + 2) as size, arg_min(hunk_ord, hunk_ord * 1000000::bigint + line_ord) as first_hunk, arg_min(line_ord, hunk_ord * 1000000::bigint + line_ord) as first_line,
+                        arg_max(hunk_ord, hunk_ord * 1000000::bigint + line_ord) as last_hunk, arg_max(line_ord, hunk_ord * 1000000::bigint + line_ord) as last_line from l group by changeset_id, path),
+                 o as (select distinct changeset_id, max_chars from dump_options)
+            select s.changeset_id, s.path, chars, first_hunk, first_line, last_hunk, last_line, 0::bigint as faults
+            from s join o on s.changeset_id = o.changeset_id where s.size > o.max_chars""",
     }
