@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.llm.normalise import words
+from diffloom.runtime import cut_lineage
 
 MATCH_SCHEMA = "doc_id bigint, item_id bigint, part string, run_words int, matched_words int, score int, first_word int"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("part", pa.string()), ("run_words", pa.int32()), ("matched_words", pa.int32()), ("score", pa.int32()), ("first_word", pa.int32())])
@@ -32,51 +33,81 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("part", p
 class LeakOptions:
     """min_run: words in a row that make a leak; min_matched: share of them that must be equal;
     shared_words: wording of this many words in several items counts as shared; min_seeds: seeds that
-    must meet before an alignment, or that tell the item of a passage found by a cut; block_words: item words that one pass over the documents takes, which
-    bounds what is broadcast."""
+    must meet before an alignment, or that tell the item of a passage found by a cut; block_words: item words that
+    one pass over the documents takes, which bounds what is broadcast; tile_words: words of a document and of an
+    item that one alignment takes, beside the overlap of tiles."""
 
     min_run: int = 12
     min_matched: float = 0.6
     shared_words: int = 6
     min_seeds: int = 2
     block_words: int = 2_000_000
+    tile_words: int = 512
 
 
 @dataclass
 class Sequence:
+    """Words of one text of an item; own: they lie in no wording of several items; one, skip, three: the pair,
+    the pair with a word between, the trigram that starts at a word is held by this item only."""
+
     item_id: int
     part: str
     words: list[str]
     own: list[bool]
+    one: list[bool]
+    skip: list[bool]
+    three: list[bool]
 
+    @classmethod
+    def of(cls, item_id: int, part: str, words_: list[str], shared: dict[str, set[int]], n: int) -> Sequence:
+        """shared: by kind of gram the places where one starts that other items hold too."""
+        own = [True] * len(words_)
+        for i in shared.get("window", ()):
+            own[i : i + n] = [False] * n
+        free = lambda kind: [i not in shared.get(kind, ()) for i in range(len(words_))]
+        return cls(item_id, part, words_, own, free("one"), free("skip"), free("three"))
 
-def mark_shared(parts: list[tuple[int, str, list[str]]], n: int) -> list[Sequence]:
-    """The sequences, with words marked that lie in n words which several items hold."""
-    holders: dict[tuple[str, ...], set[int]] = defaultdict(set)
-    for item, _, seq in parts:
-        for i in range(len(seq) - n + 1):
-            holders[tuple(seq[i : i + n])].add(item)
-    out = []
-    for item, part, seq in parts:
-        own = [True] * len(seq)
-        for i in range(len(seq) - n + 1):
-            if len(holders[tuple(seq[i : i + n])]) > 1:
-                own[i : i + n] = [False] * n
-        out.append(Sequence(item, part, seq, own))
-    return out
+
+_WORDS_SCHEMA = "item_id bigint, part string, words array<string>"
+_WORDS = pa.schema([("item_id", pa.int64()), ("part", pa.string()), ("words", pa.list_(pa.string()))])
+
+
+def item_words(items: DataFrame, options: LeakOptions) -> DataFrame:
+    """item_id, part, words of the texts of evaluation items with at least min_run words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [(i, p, words(t)) for i, p, t in zip(*(batch.column(c).to_pylist() for c in ("item_id", "part", "text")))]
+            columns = list(zip(*(q for q in seqs if len(q[2]) >= options.min_run))) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WORDS)], schema=_WORDS)
+
+    texts = F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in ("item_text", "answer_text")])
+    return items.where("item_id is not null").select("item_id", F.explode(texts).alias("t")).select("item_id", "t.*").where("text is not null").mapInArrow(run, _WORDS_SCHEMA)
+
+
+def shared_grams(sequences: DataFrame, options: LeakOptions) -> DataFrame:
+    """item_id, part, kind, places: where grams start that several items hold, counted over all items.
+
+    kind: window (shared_words words), one (a pair), skip (a pair with a word between), three (a trigram).
+    """
+    n, c = options.shared_words, F.col
+    gram = lambda kind, size, *at: F.transform(
+        F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.concat_ws(" ", *([F.get("words", i + k) for k in at] or [F.slice("words", i + 1, n)])).alias("gram")),
+    )
+    grams = sequences.select("item_id", "part", F.explode(F.concat(gram("window", n), gram("one", 2, 0, 1), gram("skip", 3, 0, 2), gram("three", 3, 0, 1, 2))).alias("g")).select("item_id", "part", "g.*")
+    several = grams.groupBy("kind", "gram").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b").select("kind", "gram")
+    return grams.join(several, ["kind", "gram"], "left_semi").groupBy("item_id", "part", "kind").agg(F.collect_list(c("place")).alias("places"))
 
 
 def seed_index(sequences: list[Sequence]) -> dict[tuple[str, str], list[tuple[int, int]]]:
-    """Pairs of neighbouring words of a single item -> their (sequence, place)."""
-    items: dict[tuple[str, str], set[int]] = defaultdict(set)
+    """Pairs of neighbouring own words of a single item -> their (sequence, place)."""
     places: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
     for s, seq in enumerate(sequences):
         for i in range(len(seq.words) - 1):
-            pair = (seq.words[i], seq.words[i + 1])
-            items[pair].add(seq.item_id)
-            if seq.own[i] and seq.own[i + 1]:
-                places[pair].append((s, i))
-    return {p: at for p, at in places.items() if len(items[p]) == 1}
+            if seq.one[i] and seq.own[i] and seq.own[i + 1]:
+                places[seq.words[i], seq.words[i + 1]].append((s, i))
+    return dict(places)
 
 
 def cut_index(sequences: list[Sequence], n: int) -> dict[tuple[str, str], list[tuple[int, int, int]]]:
@@ -105,18 +136,7 @@ def cut_index(sequences: list[Sequence], n: int) -> dict[tuple[str, str], list[t
     return dict(places)
 
 
-def single_wording(sequences: list[Sequence]) -> dict[tuple, int | None]:
-    """Pairs, pairs with a word between (None) and trigrams -> the item that holds them, None if several do."""
-    holder: dict[tuple, int | None] = {}
-    for seq in sequences:
-        w = seq.words
-        for gram in (*zip(w, w[1:]), *((x, None, y) for x, y in zip(w, w[2:])), *zip(w, w[1:], w[2:])):
-            if holder.setdefault(gram, seq.item_id) != seq.item_id:
-                holder[gram] = None
-    return holder
-
-
-def tells_item(equal: set[tuple[int, int]], item: list[str], single: dict[tuple, int | None], options: LeakOptions) -> bool:
+def tells_item(equal: set[tuple[int, int]], seq: Sequence, options: LeakOptions) -> bool:
     """Whether equal (document, item) places tell the item from others: shared_words own words in a row, or
     min_seeds pairs, skipping pairs or trigrams that only this item holds and that have no word in common."""
     spans = []
@@ -124,9 +144,9 @@ def tells_item(equal: set[tuple[int, int]], item: list[str], single: dict[tuple,
         if (d - 1, i - 1) not in equal and all((d + k, i + k) in equal for k in range(options.shared_words)):
             return True
         near, far = (d + 1, i + 1) in equal, (d + 2, i + 2) in equal
-        if near and single[item[i], item[i + 1]] is not None:
+        if near and seq.one[i]:
             spans.append((i + 1, i))
-        elif far and (single[item[i], None, item[i + 2]] is not None or near and single[item[i], item[i + 1], item[i + 2]] is not None):
+        elif far and (seq.skip[i] or near and seq.three[i]):
             spans.append((i + 2, i))
     told, last = 0, -1
     for end, start in sorted(spans):
@@ -150,10 +170,6 @@ class Block:
     def cuts(self) -> dict[tuple[str, str], list[tuple[int, int, int]]]:
         return cut_index(self.sequences, self.options.min_run)
 
-    @cached_property
-    def single(self) -> dict[tuple, int | None]:
-        return single_wording(self.sequences)
-
 
 def chain(seq: Sequence, doc: list[str], first: tuple[int, int], second: tuple[int, int], n: int) -> set[tuple[int, int]] | None:
     """The equal (document, item) places that two of them lead to in the steps best_run allows, or None if
@@ -224,6 +240,57 @@ def best_run(path: list[tuple[int, int]], options: LeakOptions) -> tuple[int, in
     return best
 
 
+def _spans(places: list[int], length: int, size: int, margin: int) -> list[tuple[int, int]]:
+    """Overlapping spans of at most size places, and a margin on both sides, that hold all places (ascending)."""
+    out, at = [], 0
+    while at < len(places):
+        low = places[at]
+        end = at
+        while end + 1 < len(places) and places[end + 1] - low < size:
+            end += 1
+        out.append((max(0, low - margin), min(length, places[end] + margin + 1)))
+        if end + 1 == len(places):
+            break
+        # The next span starts a margin before the last place of this one, so that a passage over both is joined.
+        back = end
+        while back > at + 1 and places[end] - places[back - 1] <= margin:
+            back -= 1
+        at = back if back > at else end + 1
+    return out
+
+
+def aligned(seq: Sequence, doc: list[str], met: list[tuple[int, int]], options: LeakOptions) -> tuple[int, int, int, int] | None:
+    """(item words in a row, equal words, score, first word) of the longest passage near seeds (document, item).
+
+    Tiles of bounded size are aligned; where the best alignment of a tile is no passage the next best is tried,
+    and places of neighbouring tiles are joined.
+    """
+    margin, floor = 2 * options.min_run, options.min_run
+    equal: set[tuple[int, int]] = set()
+    scores = []
+    for low, high in _spans(sorted({d for d, _ in met}), len(doc), options.tile_words, margin):
+        here = sorted({i for d, i in met if low <= d < high})
+        for first, last in _spans(here, len(seq.words), options.tile_words, margin):
+            own, text = seq.own[first:last], list(doc[low:high])
+            while True:
+                score, path = align(seq.words[first:last], own, text)
+                if not path or score < floor:
+                    break
+                if best_run(path, options):
+                    scores.append(score)
+                    equal.update((low + d, first + i) for d, i in path)
+                    break
+                for d, _ in path:
+                    text[d] = ""
+    if not equal:
+        return None
+    path = sorted(equal) if len(scores) == 1 else widest(equal)
+    if (run := best_run(path, options)) is None:
+        return None
+    score = scores[0] if len(scores) == 1 else 3 * len(path) - sum(max(b[0] - a[0], b[1] - a[1]) for a, b in zip(path, path[1:])) - 1
+    return run[0], run[1], score, run[2]
+
+
 def leaks_of(doc: list[str], block: Block) -> list[tuple[int, str, int, int, int, int]]:
     """(item_id, part, words in a row, equal words, score, first word) of every passage of a document."""
     options, sequences = block.options, block.sequences
@@ -242,11 +309,8 @@ def leaks_of(doc: list[str], block: Block) -> list[tuple[int, str, int, int, int
             if k + 1 < len(met) and met[k + 1][0] - d <= 3 * options.min_run:
                 continue
             diagonals = Counter((d - i) // 8 for d, i in group)
-            if any(diagonals[x] + diagonals[x + 1] >= options.min_seeds for x in list(diagonals)):
-                low, high = max(0, group[0][0] - 2 * options.min_run), group[-1][0] + 2 * options.min_run
-                score, path = align(seq.words, seq.own, doc[low:high])
-                if run := best_run(path, options):
-                    out.append((seq.item_id, seq.part, run[0], run[1], score, low + run[2]))
+            if any(diagonals[x] + diagonals[x + 1] >= options.min_seeds for x in list(diagonals)) and (found := aligned(seq, doc, group, options)):
+                out.append((seq.item_id, seq.part, *found))
             group = []
     return out
 
@@ -276,7 +340,7 @@ def _crossing(doc: list[str], block: Block) -> list[tuple[int, str, int, int, in
                 if (s, d, i) in done:
                     continue
                 met = chain(seq, doc, (d, i), (d + step, i + length), options.min_run)
-                if met is None or not tells_item(met, seq.words, block.single, options):
+                if met is None or not tells_item(met, seq, options):
                     continue
                 done.update((s, *m) for m in met)
                 places, items = zip(*met)
@@ -290,27 +354,23 @@ def _crossing(doc: list[str], block: Block) -> list[tuple[int, str, int, int, in
                     score = 3 * len(path) - sum(max(b[0] - a[0], b[1] - a[1]) for a, b in zip(path, path[1:])) - 1
                 if run:
                     k = next(k for k, m in enumerate(path) if m[0] == run[2])
-                    if tells_item(set(path[k : k + run[1]]), seq.words, block.single, options):
+                    if tells_item(set(path[k : k + run[1]]), seq, options):
                         out.append((seq.item_id, seq.part, run[0], run[1], score, run[2]))
     return out
 
 
 def _blocks(items: DataFrame, options: LeakOptions) -> Iterator[list[Sequence]]:
-    """Sequences of all items in blocks of bounded size; wording shared between any items is marked first."""
-    parts: list[tuple[int, str, list[str]]] = []
-    for row in items.where("item_id is not null").select("item_id", "item_text", "answer_text").toLocalIterator():
-        for part in ("item_text", "answer_text"):
-            seq = words(row[part])
-            if len(seq) >= options.min_run:
-                parts.append((row["item_id"], part, seq))
+    """Sequences of all items in blocks of bounded size; what several items hold is counted on the executors."""
+    sequences = cut_lineage(item_words(items, options))
+    places = shared_grams(sequences, options).groupBy("item_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("kind", "places"))).alias("shared"))
     block: list[Sequence] = []
     size = 0
-    for seq in mark_shared(parts, options.shared_words):
-        if size + len(seq.words) > options.block_words and block:
+    for row in sequences.join(places, ["item_id", "part"], "left").toLocalIterator():
+        if size + len(row.words) > options.block_words and block:
             yield block
             block, size = [], 0
-        block.append(seq)
-        size += len(seq.words)
+        block.append(Sequence.of(row.item_id, row.part, row.words, {k: set(v) for k, v in (row.shared or {}).items()}, options.shared_words))
+        size += len(row.words)
     if block:
         yield block
 
@@ -318,9 +378,9 @@ def _blocks(items: DataFrame, options: LeakOptions) -> Iterator[list[Sequence]]:
 def find_leaks(documents: DataFrame, items: DataFrame, options: LeakOptions = LeakOptions()) -> DataFrame:
     """Passages of evaluation items in documents (MATCH_SCHEMA), the longest run per document, item and part.
 
-    The evaluation items are a held-out set of fixed size that fits the driver as word
-    lists; documents are read once per block of items, whole, and never shuffled but for
-    their few matches. Null or empty texts hold nothing, parts shorter than min_run words
+    Wording that several items hold is counted on the executors; the driver holds one
+    block of items at a time, each broadcast. Documents are read once per block, whole,
+    and never shuffled but for their few matches. Null or empty texts hold nothing, parts shorter than min_run words
     are never found, repeated documents are each reported.
     """
     spark = documents.sparkSession

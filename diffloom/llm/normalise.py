@@ -18,10 +18,13 @@ LOOKALIKES = str.maketrans(
     }
 )
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}[^%\s]{0,40}){3,}")
+#: A tag, of any length if it has an attribute with a value; a comment.
+_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|<[A-Za-z][\w:-]*+\s[^<>=]*+=[^<>]*+>|<!--[^<>]*+>")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}[^%\s]*+){3,}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
-_ENCODED = re.compile(r"((?:[A-Za-z0-9+/]{60,}\r?\n?)+)([A-Za-z0-9+/]{0,59}={0,2})")
+_ENCODED = re.compile(r"((?:[A-Za-z0-9+/]{20,}\r?\n?)+)([A-Za-z0-9+/]{0,59}={0,2})")
+#: Twelve words of two characters with blanks between, encoded.
+_LEAST_ENCODED = 44
 _HYPHENATED = re.compile(r"([A-Za-z])-[ \t]*\r?\n[ \t>#/|*]*([a-z])")
 _COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]")
 _OTHER_LETTERS = re.compile("[\u0370-\u052f\u0251\u0261\u0131\u0269\xdf\xf8\u0111\u0142]")
@@ -30,6 +33,8 @@ _SPLIT = bytes(c if chr(c).isascii() and chr(c).isalnum() else 32 for c in range
 
 def _decoded(m: re.Match) -> str:
     # The shorter last line may be no part of the run but text behind it.
+    if len(m[0]) < _LEAST_ENCODED:
+        return m[0]
     for encoded, rest in ((m[0], ""), (m[1], m[2])):
         raw = re.sub(r"\s", "", encoded)
         try:

@@ -1,7 +1,7 @@
 import base64
 import random
 
-from diffloom.llm.eval_leaks import LeakOptions, align, find_leaks, mark_shared
+from diffloom.llm.eval_leaks import LeakOptions, _blocks, align, aligned, best_run, find_leaks
 from diffloom.llm.normalise import words
 
 DOCS = "doc_id long, text string, item_id int"
@@ -12,6 +12,17 @@ SHARED = "Read the change summary below and answer in one or two sentences, usin
 TOK = ITEM.split()
 
 
+def marked(parts, n):
+    """item_id, words and own of texts, by looking at every window of every text."""
+    windows = [{tuple(seq[i : i + n]) for i in range(len(seq) - n + 1)} for _, seq in parts]
+    out = []
+    for k, (item, seq) in enumerate(parts):
+        others = set().union(*(w for j, w in enumerate(windows) if parts[j][0] != item))
+        own = [not any(tuple(seq[j : j + n]) in others for j in range(max(0, i - n + 1), min(i, len(seq) - n) + 1)) for i in range(len(seq))]
+        out.append((item, seq, own))
+    return out
+
+
 def variants():
     drop = [w for i, w in enumerate(TOK) if i % 4 != 2]
     swap = [w if i % 5 else "zzz" for i, w in enumerate(TOK)]
@@ -68,8 +79,8 @@ def test_alignment_against_brute_force():
 
 
 def test_shared_wording_and_words():
-    seqs = mark_shared([(1, "t", words(SHARED + " " + ITEM)), (2, "t", words(SHARED))], 6)
-    assert not any(seqs[1].own) and sum(seqs[0].own) == len(words(ITEM))
+    seqs = marked([(1, words(SHARED + " " + ITEM)), (2, words(SHARED))], 6)
+    assert not any(seqs[1][2]) and sum(seqs[0][2]) == len(words(ITEM))
     assert words("Été  für 10%20<b>A</b>") == ["ete", "fur", "10", "20", "a"] and words(None) == []
 
 
@@ -77,13 +88,21 @@ def test_passages_of_word_pairs_that_other_items_hold(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(14)]
     items = [(i, "s", " ".join(rng.choice(vocabulary) for _ in range(40)), None, "") for i in range(30)]
-    own = {seq.item_id: seq for seq in mark_shared([(i, "item_text", words(t)) for i, _, t, *_ in items], 6)}
     docs, want = [], set()
-    for i, seq in own.items():
+    told = marked([(i, words(t)) for i, _, t, *_ in items], 6)
+    blocks = [seq for block in _blocks(spark.createDataFrame(items, ITEMS), LeakOptions(block_words=200)) for seq in block]
+    assert sorted((s.item_id, s.words, s.own) for s in blocks) == sorted(told)
+    for s in blocks:
+        for kind, gram in (("one", lambda w, i: w[i : i + 2]), ("skip", lambda w, i: w[i : i + 3 : 2]), ("three", lambda w, i: w[i : i + 3])):
+            n = len(gram(s.words, 0))
+            for i in range(len(s.words) - 2):
+                others = any(gram(o, j) == gram(s.words, i) for k, o, _ in told if k != s.item_id for j in range(len(o) - 1) if len(gram(o, j)) == n)
+                assert getattr(s, kind)[i] == (not others)
+    for i, seq, own in told:
         for start in range(0, 28, 4):
-            if all(seq.own[start : start + 12]):
+            if all(own[start : start + 12]):
                 for changed in (None, 2, 9):
-                    passage = [w if k != changed else "other" for k, w in enumerate(seq.words[start : start + 12])]
+                    passage = [w if k != changed else "other" for k, w in enumerate(seq[start : start + 12])]
                     want.add((len(docs), i))
                     docs.append((len(docs), " ".join(["before"] * 20 + passage + ["after"] * 20), 0))
     found = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
@@ -106,3 +125,30 @@ def test_last_line_of_wrapped_base64_is_read():
             assert " ".join(words(text)) in " ".join(words("see\n" + "\n".join(lines) + "\nend")) and " ".join(words(text)) in " ".join(words("\r\n".join(lines)))
     raw = base64.b64encode(b"x" * 45 + b" of plain text ").decode()
     assert len(raw) % 4 == 0 and words(raw + "\nhello there")[-2:] == ["hello", "there"] and "plain" in words(raw + "\nhello there")
+
+
+def test_passages_over_several_tiles_and_second_best_ones(spark):
+    seq = [f"w{i}" for i in range(700)]
+    items = spark.createDataFrame([(1, "s", " ".join(seq), None, "")], ITEMS)
+    doc = ["x"] * 50 + seq[20:660] + ["y"] * 50
+    got = [find_leaks(spark.createDataFrame([(1, " ".join(doc), 0)], DOCS), items, LeakOptions(tile_words=t)).collect() for t in (5000, 100)]
+    assert [(r.run_words, r.matched_words, r.first_word) for g in got for r in g] == [(640, 640, 50)] * 2
+    block = next(_blocks(items, LeakOptions()))[0]
+    # Equal words far apart make the better alignment, but no passage.
+    scattered = [w for i in range(100, 145) for w in (seq[i], *(["z"] if i % 4 else ["z"] * 4))]
+    doc = scattered + ["q"] * 30 + seq[300:312]
+    met = [(d, int(w[1:])) for d, w in enumerate(doc) if w in seq[300:311] or w in seq[100:145]]
+    found = aligned(block, doc, met, LeakOptions())
+    assert found and found[0] >= 12
+
+
+def test_markup_and_encodings_of_any_length():
+    tag = '<img alt="' + "x " * 400 + '">'
+    assert words(f"one {tag}two") == ["one", "two"] and words("one <!-- " + "z " * 400 + "-->two") == ["one", "two"]
+    spread = "%41" + "a" * 80 + "%42" + "b" * 80 + "%43"
+    assert words(spread) == ["a" + "a" * 80 + "b" + "b" * 80 + "c"]
+    raw = base64.b64encode(" ".join(TOK[:12]).encode()).decode()
+    for width in (24, 40, 48):
+        lines = "\n".join(raw[i : i + width] for i in range(0, len(raw), width))
+        assert " ".join(words(" ".join(TOK[:12]))) in " ".join(words("see\n" + lines + "\nend"))
+    assert words("if a <b and c> d") == ["if", "a", "d"] and len(words("<a " * 20_000 + "= " * 20_000)) == 20_000

@@ -55,7 +55,7 @@ def test_cuts_at_hunks_then_blocks():
     pieces = cut_block(lines, 120, 0)
     assert [p[8] for p in pieces] == ["hunk"] * 4
     block = [(0, i, "add", "" if i % 5 == 4 else f"    value {i}", False) for i in range(20)]
-    assert all(p[8] in ("block", "hunk") for p in cut_block(block, 110, 1))
+    assert all(p[8] in ("block", "hunk") for p in cut_block(block, 120, 1))
 
 
 def rebuilt(rows):
