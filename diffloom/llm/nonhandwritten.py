@@ -45,11 +45,16 @@ _BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
 _COMMENT = re.compile(r"^\s*(?://|#(?!\[)|/\*|\*|--|<!--|;|%|\"\"\"|''')")
 #: A numeric literal, a byte escape or a byte written as two hexadecimal digits.
 _NUMBER = re.compile(r"(?<![A-Za-z_\d])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![A-Za-z_\d])|\\x[0-9a-fA-F]{2}|(?<![0-9A-Za-z_])[0-9a-fA-F]{2}(?![0-9A-Za-z_])")
-#: An encoded run: 40 or more letters and digits of base64 or base16, capitals and small letters or digits mixed.
-_RUN = re.compile(r"(?=[A-Za-z+/_-]{0,60}\d|[a-z+/]{0,60}[A-Z][A-Za-z+/]{0,60}[a-z])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: An encoded run: 40 or more characters of base64 or base16 that hold a digit, or letters of both cases.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_MIXED = re.compile(r"\d|[a-z].*[A-Z]|[A-Z].*[a-z]")
+#: Of so many characters one is a digit before numeric literals are looked for.
+_DIGIT_IN = 12
+_NO_DIGIT = bytes(c for c in range(256) if not 48 <= c <= 57)
+_NO_ALNUM = bytes(c for c in range(128) if not chr(c).isalnum())
 _KEY_EDGE = re.compile(r"-----(BEGIN|END) ")
 _INLINE_DATA = re.compile(r"data:[\w/+.;=-]+,|sourceMapping")
-_MARKS = re.compile(r"[;{}=]")
+_MARKS = ";{}="
 #: So many lines of code may stand before a notice; comment and empty lines are read without limit.
 _TOP_CODE = 8
 
@@ -97,12 +102,13 @@ def notice(lines: list[str]) -> str | None:
 
 def layout(lines: list[str]) -> tuple[int, int, int, int, int, int, int, int]:
     """Counts of one hunk: lines, characters, longest line, white space, letters and digits, statement
-    marks, characters of numeric literals and of encoded runs. Key blocks and inline images are no encoded runs."""
+    marks, characters of numeric literals (digits only where these are few) and of encoded runs. Key blocks and
+    inline images are no encoded runs."""
     text = "\n".join(lines)
     chars = sum(map(len, lines))
     longest = max(map(len, lines), default=0)
     blanks = max(0, chars - sum(map(len, text.split())))
-    alnum = sum(map(str.isalnum, text))
+    alnum = len(text.encode().translate(None, _NO_ALNUM)) if text.isascii() else sum(map(str.isalnum, text))
     if "-----" in text:
         kept, in_key = [], False
         for line in lines:
@@ -115,9 +121,11 @@ def layout(lines: list[str]) -> tuple[int, int, int, int, int, int, int, int]:
     body = "\n".join(x for x in kept if not _INLINE_DATA.search(x)) if _INLINE_DATA.search(text) else "\n".join(kept)
     runs = 0
     if longest >= 40:
-        runs = sum(len(m[0]) for m in _RUN.finditer(body))
-    numbers = sum(len(m[0]) for m in _NUMBER.finditer(body))
-    return len(lines), chars, longest, blanks, alnum, len(_MARKS.findall(text)), numbers, runs
+        runs = sum(len(m[0]) for m in _RUN.finditer(body) if _MIXED.search(m[0]))
+    numbers = len(body.encode("ascii", "replace").translate(None, _NO_DIGIT))
+    if numbers * _DIGIT_IN >= len(body):
+        numbers = sum(len(m[0]) for m in _NUMBER.finditer(body))
+    return len(lines), chars, longest, blanks, alnum, sum(map(text.count, _MARKS)), numbers, runs
 
 
 _COUNTS = ("n_lines", "chars", "longest", "blanks", "alnum", "marks", "numbers", "runs")

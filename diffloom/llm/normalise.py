@@ -19,7 +19,7 @@ LOOKALIKES = str.maketrans(
 )
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 #: A tag, of any length if it has an attribute with a value; a comment.
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|<[A-Za-z][\w:-]*+\s[^<>=]*+=[^<>]*+>|<!--[^<>]*+>")
+TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|<[A-Za-z][\w:-]*+\s[^<>=]*+=[^<>]*+>|<!--[^<>]*+>")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}[^%\s]*+){3,}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 _ENCODED = re.compile(r"((?:[A-Za-z0-9+/]{20,}\r?\n?)+)([A-Za-z0-9+/]{0,59}={0,2})")
@@ -55,7 +55,7 @@ def plain_text(text: str) -> str:
     if "\\u" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = TAG.sub(" ", text)
     if "*" in text:
         text = text.replace("*", "")
     if "`" in text:

@@ -2,8 +2,10 @@
 
 Interpolated word trigram models are trained on labelled documents, one for each level
 of the scale and one for evaluation wording. Every segment of a document's prose gets
-its surprisal under each model; the levels expected from the segments are averaged over
-the whole document, and an isotonic regression fitted on held-out labels maps that
+its surprisal per word under each model; over the whole document these make, for each
+model, a distribution of surprisal weighted by words. Its quantiles are averaged, which
+gives the document's surprisal under each level, and the score is the level expected
+from these five. An isotonic regression fitted on held-out labels maps the score
 monotonically to the scale. Segments of words the models do not know (code, logs, other
 languages) or of evaluation wording are no prose and are not graded.
 """
@@ -18,9 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.llm.normalise import TAG
 from diffloom.runtime import cut_lineage
 
 LEVELS = 5
@@ -34,13 +38,16 @@ class LevelOptions:
     """max_labelled: labelled documents used at most, chosen by hash; folds: parts of them, each scored by
     models of the others to fit the regression; min_words: words of prose that a graded document has;
     min_known: share of known words in a segment of prose; weights: of the trigram, bigram, unigram and
-    uniform parts; hard_from: least level that counts as demanding."""
+    uniform parts; quantiles: of the surprisal distribution of a document; sharpness: how much more a level
+    counts for one nat of surprisal per word less; hard_from: least level that counts as demanding."""
 
     max_labelled: int = 6_000
     folds: int = 4
     min_words: int = 40
     min_known: float = 0.6
     weights: tuple[float, float, float, float] = (0.45, 0.3, 0.2, 0.05)
+    quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)
+    sharpness: float = 5.0
     hard_from: float = 3.5
 
 
@@ -49,7 +56,6 @@ class LevelOptions:
 _FENCED = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _LINK = re.compile(r"[a-z][a-z0-9+.-]*://\S+|\]\([^)\s]*\)")
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
 _TABLE = re.compile(r"(?m)^[ \t]*(?:\|.*|#{1,6} .*)$")
 _SEGMENT = re.compile(r"[.!?;:]+(?=[\s\"')*_]|$)|\r?\n[ \t]*\r?\n|\r?\n[ \t]*(?=[-*+>#]|\d+[.)])")
 _WORD = re.compile(r"(?<![\w./\\@$#=-])[A-Za-z]+(?:['-][A-Za-z]+)*(?![\w/\\@$=(]|\.\w)")
@@ -68,7 +74,7 @@ def prose_segments(text: str) -> list[list[str]]:
     if "://" in text or "](" in text:
         text = _LINK.sub(" ", text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = TAG.sub(" ", text)
     if "|" in text or "#" in text:
         text = _TABLE.sub("\n", text)
     if not text.isascii():
@@ -158,8 +164,28 @@ class Models:
         return np.add.reduceat(-np.log(p), starts, axis=0), np.add.reduceat(known, starts), lengths
 
 
+def surprisal_quantiles(per_word: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int, quantiles: tuple[float, ...]) -> np.ndarray:
+    """quantile x document x model of the surprisal per word of the segments of each document, weighted by words.
+
+    owner: the document of each segment, ascending; documents without segments get nan.
+    """
+    out = np.full((len(quantiles), n, per_word.shape[1]), np.nan)
+    mass = np.bincount(owner, weights=weight, minlength=n)
+    has = mass > 0
+    before = np.cumsum(mass) - mass
+    for model in range(per_word.shape[1]):
+        order = np.lexsort((per_word[:, model], owner))
+        reached = np.cumsum(weight[order])
+        value = per_word[order, model]
+        for k, q in enumerate(quantiles):
+            # Half a word less, so that sums of words that are a little off stay in their document.
+            at = np.searchsorted(reached, before[has] + np.maximum(q * mass[has] - 0.5, 0.25))
+            out[k, has, model] = value[at]
+    return out
+
+
 def document_scores(models: Models, documents: list[list[list[str]]], options: LevelOptions) -> tuple[np.ndarray, np.ndarray]:
-    """Expected level averaged over the prose of each document (nan without prose), and its words of prose."""
+    """The level expected from the surprisal distributions of each document (nan without prose), and its words of prose."""
     flat = [s for d in documents for s in d]
     owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
     total, known, lengths = models.surprisal(flat)
@@ -167,13 +193,16 @@ def document_scores(models: Models, documents: list[list[list[str]]], options: L
     if not len(flat):
         return score, words
     prose = (known >= options.min_known * lengths) & (total.argmin(axis=1) != EVALUATION)
-    level = total[:, :LEVELS]
-    weight = np.exp(-(level - level.min(axis=1, keepdims=True)))
-    expected = (weight * np.arange(1, LEVELS + 1)).sum(axis=1) / weight.sum(axis=1)
-    words = np.bincount(owner[prose], weights=lengths[prose], minlength=len(documents))
-    mass = np.bincount(owner[prose], weights=(lengths * expected)[prose], minlength=len(documents))
-    score[words > 0] = mass[words > 0] / words[words > 0]
-    return score, words.astype(np.int64)
+    if not prose.any():
+        return score, words
+    owner, weight = owner[prose], lengths[prose].astype(np.int64)
+    words = np.bincount(owner, weights=weight, minlength=len(documents)).astype(np.int64)
+    per_word = total[prose][:, :LEVELS] / weight[:, None]
+    level = surprisal_quantiles(per_word, weight, owner, len(documents), options.quantiles).mean(axis=0)
+    has = words > 0
+    share = np.exp(-options.sharpness * (level[has] - level[has].min(axis=1, keepdims=True)))
+    score[has] = (share * np.arange(1, LEVELS + 1)).sum(axis=1) / share.sum(axis=1)
+    return score, words
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,26 +253,25 @@ def _dense(keys: np.ndarray, models: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LevelModel:
-    """Sparse counts by fold (model of evaluation wording in every fold's total) and the regression's knots."""
+    """Sparse counts by fold (those of evaluation wording in every fold's total)."""
 
     folds: np.ndarray
     models: np.ndarray
     slots: np.ndarray
     counts: np.ndarray
     options: LevelOptions
-    knots: tuple[np.ndarray, np.ndarray] | None = None
 
     def without(self, fold: int) -> Models:
         """Models trained on all folds but one."""
         keep = self.folds != fold
         return Models.of(_dense(self.slots[keep], self.models[keep], self.counts[keep]), self.options.weights)
 
-    def level(self, score: np.ndarray) -> np.ndarray:
-        return np.interp(score, *self.knots)
 
+def fit(documents: DataFrame, labels: DataFrame, items: DataFrame | None, options: LevelOptions = LevelOptions()) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray]] | None:
+    """The broadcast LevelModel trained on the labelled documents, and the knots of the regression; None without prose.
 
-def fit(documents: DataFrame, labels: DataFrame, items: DataFrame | None, options: LevelOptions = LevelOptions()) -> LevelModel | None:
-    """Train on the labelled documents; None if there are none with prose.
+    At most max_labelled documents are counted, and however many those are there is one
+    number for each fold, level and table slot, so the model has a fixed greatest size.
 
     items: evaluation items (item_text, answer_text), a held-out set of fixed size.
     """
@@ -282,13 +310,12 @@ def fit(documents: DataFrame, labels: DataFrame, items: DataFrame | None, option
                 scores[at] = np.where(words > 0, found, np.nan)
             yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), batch.column("level"), batch.column("raters")], names=["score", "level", "raters"])
 
-    held_out = sample.repartition(8, "doc_id").mapInArrow(score, "score double, level double, raters bigint").toArrow()
+    held_out = sample.repartition(documents.sparkSession.sparkContext.defaultParallelism, "doc_id").mapInArrow(score, "score double, level double, raters bigint").toArrow()
     x, y, w = (held_out.column(c).to_numpy() for c in ("score", "level", "raters"))
     use = ~np.isnan(x)
     if not use.any():
         return None
-    model.knots = isotonic(x[use], y[use], w[use].astype(float))
-    return model
+    return sent, isotonic(x[use], y[use], w[use].astype(float))
 
 
 def grade(documents: DataFrame, labels: DataFrame, items: DataFrame | None = None, options: LevelOptions = LevelOptions()) -> DataFrame:
@@ -301,10 +328,10 @@ def grade(documents: DataFrame, labels: DataFrame, items: DataFrame | None = Non
     scored by models trained on other folds, so a rating never grades its own document.
     """
     named = documents.select("doc_id", "text").where("doc_id is not null").withColumn("fold", _fold(options))
-    model = fit(documents, labels, items, options)
-    if model is None:
+    fitted = fit(documents, labels, items, options)
+    if fitted is None:
         return named.select("doc_id", F.lit(0).alias("prose_words"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("reading_level"))
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent, knots = fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: dict[int, Models] = {}
@@ -318,7 +345,7 @@ def grade(documents: DataFrame, labels: DataFrame, items: DataFrame | None = Non
                     part = mine[at : at + 500]
                     score, words = document_scores(models[fold], [prose_segments(texts[i]) if texts[i] else [] for i in part], options)
                     graded = (words >= options.min_words) & ~np.isnan(score)
-                    level = sent.value.level(np.where(graded, score, 0.0))
+                    level = np.interp(np.where(graded, score, 0.0), *knots)
                     arrays = [pa.array(ids[part], pa.int64()), pa.array(words, pa.int32()), pa.array(score, pa.float64(), mask=~graded), pa.array(level, pa.float64(), mask=~graded)]
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "prose_words", "score", "reading_level"])
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from diffloom.llm.reading_level import LevelOptions, demanding, grade, isotonic, profile, prose_segments
+from diffloom.llm.reading_level import LevelOptions, demanding, fit, grade, isotonic, profile, prose_segments, surprisal_quantiles
 
 DOCS = "doc_id long, text string, lang string, source string, score int"
 LABELS = "doc_id long, reading_level int, rater string"
@@ -63,3 +63,36 @@ def test_prose_leaves_out_code_links_and_tables():
     text = "# Title\nPlain words here. See `code` and https://x.example/a?b=c now.\n| a | b |\n```\nx = 1\n```\nLast one"
     assert prose_segments(text) == [["plain", "words", "here"], ["see", "and", "now"], ["last", "one"]]
     assert prose_segments("") == [] and LevelOptions().max_labelled > 0
+
+
+def test_surprisal_quantiles_against_brute_force():
+    rng = np.random.default_rng(8)
+    n, quantiles = 6, (0.1, 0.25, 0.5, 0.75, 0.9)
+    owner = np.sort(rng.choice([0, 1, 3, 4], 40))
+    weight, value = rng.integers(1, 30, 40), rng.normal(size=(40, 5))
+    got = surprisal_quantiles(value, weight, owner, n, quantiles)
+    for d in range(n):
+        for model in range(5):
+            words = np.sort(np.repeat(value[owner == d, model], weight[owner == d]))
+            for k, q in enumerate(quantiles):
+                if len(words):
+                    place = max(0, int(np.ceil(q * len(words) - 0.5)) - 1)
+                    assert got[k, d, model] == words[place]
+                else:
+                    assert np.isnan(got[k, d, model])
+
+
+def test_a_bound_on_labelled_documents_bounds_what_is_sent(spark):
+    rng = random.Random(2)
+    rows = [(i, document((1, 3, 5)[i % 3], rng), "xx", "essay", 0) for i in range(240)]
+    sizes = []
+    for n in (120, 240):
+        docs = spark.createDataFrame(rows[:n], DOCS)
+        labels = spark.createDataFrame([(i, (1, 3, 5)[i % 3], "r") for i in range(n)], LABELS)
+        options = LevelOptions(max_labelled=60)
+        sent, _ = fit(docs, labels, None, options)
+        sizes.append(sent.value.counts.sum())
+        got = {r.doc_id: r.reading_level for r in grade(docs, labels, None, options).collect()}
+        assert all(abs(got[i] - (1, 3, 5)[i % 3]) < 0.5 for i in range(n))
+    # Sixty documents of 120 words: as many n-grams of each order, however many documents are labelled.
+    assert sizes == [60 * 120 * 3] * 2
