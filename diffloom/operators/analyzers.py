@@ -1,10 +1,9 @@
 """Rule operators over change sets: each turns files or hunks into typed rows.
 
-``files`` has changeset_id, path, status; ``changes`` has one row per hunk with
-changeset_id, path, status, hunk_ord, additions, deletions and the joined add_text,
-del_text, all_text. Patterns are looked for within a hunk, so no file is gathered in one
-place; what concerns a whole file or change set is aggregated from small rows. Lists are
-sorted and joined by ','. Null paths are ignored; empty inputs give no rows.
+``files`` has changeset_id, path, status. ``changes`` (labels.Changes) gives what rules
+find in the lines of hunks; patterns are looked for within a hunk, so no file is gathered
+in one place, and what concerns a whole file or change set is aggregated from labels.
+Lists are sorted and joined by ','. Null paths are ignored; empty inputs give no rows.
 """
 
 from __future__ import annotations
@@ -13,28 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.operators import paths as P
-from diffloom.sources.changesets import change_files, change_hunks
-from diffloom.sources.templates import template_hunks
-
-
-def all_files(files: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Delivered and templated files; an unknown status counts as modified."""
-    delivered = change_files(files).select("changeset_id", "path", F.coalesce("status", F.lit("modified")).alias("status"))
-    templated = template_hunks(hunks).groupBy("changeset_id", "path").agg(F.min_by("status", "hunk_ord").alias("status"))
-    return delivered.unionByName(templated).groupBy("changeset_id", "path").agg(F.min("status").alias("status"))
-
-
-def all_changes(files: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Delivered and templated hunks with the status of their file and joined texts."""
-    columns = ["changeset_id", "path", "hunk_ord", "additions", "deletions"]
-    rows = change_hunks(hunks).select(*columns).unionByName(template_hunks(hunks).select(*columns))
-    return (
-        rows.join(all_files(files, hunks), ["changeset_id", "path"], "left")
-        .withColumn("status", F.coalesce("status", F.lit("modified")))
-        .withColumn("add_text", F.array_join("additions", "\n"))
-        .withColumn("del_text", F.array_join("deletions", "\n"))
-        .withColumn("all_text", F.array_join(F.concat("additions", "deletions"), "\n"))
-    )
+from diffloom.operators.labels import TEXTS, Changes, Rule, any_path, both_sides, label, listed_files, lit, marks, names
+from diffloom.runtime import semi_join
+
+RULES: dict[str, Rule] = {"lines": Rule([""], f"array({label('lines', 'cast(size(additions) as string)', 'cast(size(deletions) as string)')})")}
+
+
+def changes_of(files: DataFrame, hunks: DataFrame) -> Changes:
+    """The hunks of delivered files under the rules of all analyzers."""
+    return Changes(listed_files(files), hunks, RULES)
 
 
 def listed(column: str | Column, when: Column | None = None) -> Column:
@@ -57,10 +43,10 @@ def file_categories(files: DataFrame) -> DataFrame:
     return files.groupBy("changeset_id", P.category(F.col("path")).alias("category")).agg(F.count("*").alias("files"))
 
 
-def large_diffs(files: DataFrame, changes: DataFrame, max_files: int = 30, max_lines: int = 1000) -> DataFrame:
+def large_diffs(files: DataFrame, changes: Changes, max_files: int = 30, max_lines: int = 1000) -> DataFrame:
     """Change sets with more files or changed lines than the limits."""
     n_files = files.groupBy("changeset_id").agg(F.count("*").alias("files_changed"))
-    n_lines = changes.groupBy("changeset_id").agg(F.sum(F.size("additions") + F.size("deletions")).alias("lines_changed"))
+    n_lines = changes.counts().groupBy("changeset_id").agg(F.sum(F.col("additions") + F.col("deletions")).alias("lines_changed"))
     both = n_files.join(n_lines, "changeset_id", "left").select("changeset_id", "files_changed", F.coalesce("lines_changed", F.lit(0)).alias("lines_changed"))
     return both.where((F.col("files_changed") > max_files) | (F.col("lines_changed") > max_lines))
 
@@ -73,12 +59,15 @@ VERSION_VALUE = r"\"\s*[\^~>=<]?\d+\.\d+|\"\s*[*x]\s*\"|\"\s*\d+\.x|\"\s*npm:|\"
 FIELD_NAME = r"^\s*\"([^\"]+)\"\s*:\s*\""
 
 
-def lockfile_mismatches(files: DataFrame, changes: DataFrame) -> DataFrame:
+_IS_DEPENDENCY = f"x rlike {lit(DEPENDENCY_FIELD)} or (x rlike {lit(FIELD_NAME)} and not array_contains(array({', '.join(map(lit, NO_DEPENDENCY))}), regexp_extract(x, {lit(FIELD_NAME)}, 1)) and x rlike {lit(VERSION_VALUE)})"
+RULES["dependency-line"] = Rule([r"^package\.json$"], f"array({label('dependency-line', f'cast(exists(concat(additions, deletions), x -> {_IS_DEPENDENCY}) as string)')})")
+
+
+def lockfile_mismatches(files: DataFrame, changes: Changes) -> DataFrame:
     """Change sets whose manifest changes dependencies without a lock file, or a lock file without the manifest."""
-    line_is_dependency = lambda x: x.rlike(DEPENDENCY_FIELD) | (x.rlike(FIELD_NAME) & ~F.regexp_extract(x, FIELD_NAME, 1).isin(*NO_DEPENDENCY) & x.rlike(VERSION_VALUE))
     manifest = F.col("path") == "package.json"
     touched = files.groupBy("changeset_id").agg(F.bool_or(manifest).alias("manifest_changed"), F.bool_or(F.col("path").rlike(LOCKFILE)).alias("lockfile_changed"), F.bool_or(manifest & (F.col("status") == "added")).alias("manifest_added"))
-    lines = changes.where(manifest).groupBy("changeset_id").agg(F.bool_or(F.exists(F.concat("additions", "deletions"), line_is_dependency)).alias("dependency_lines"))
+    lines = changes.rows("dependency-line").groupBy("changeset_id").agg(F.bool_or(F.col("kind") == "true").alias("dependency_lines"))
     both = touched.join(lines, "changeset_id", "left").withColumn("dependencies_changed", F.col("manifest_changed") & F.coalesce("dependency_lines", "manifest_added"))
     return both.where("(dependencies_changed and not lockfile_changed) or (not manifest_changed and lockfile_changed)").select("changeset_id", "manifest_changed", "lockfile_changed")
 
@@ -92,15 +81,17 @@ ENV_PUBLIC = r"\b(PUBLIC_[A-Z0-9_]+)"
 ENV_IMPORT = r"import\s*\{([^}]+)\}\s*from\s*[\"']\$env/(?:static|dynamic)/(?:public|private)[\"']"
 
 
-def env_vars(changes: DataFrame) -> DataFrame:
+_IMPORTED = f"transform(flatten(transform(regexp_extract_all(add_text, {lit(ENV_IMPORT)}, 1), x -> split(x, ','))), v -> regexp_replace(trim(regexp_replace(v, {lit(r'\s+as\s+.*$')}, '')), {lit(r'\s+')}, ''))"
+_ENV_NAMES = ", ".join(f"regexp_extract_all(add_text, {lit(p)}, 1)" for p in (ENV_READ, ENV_VITE, ENV_PUBLIC))
+RULES["env"] = Rule(
+    [*ENV_CONFIG, CODE_PATH],
+    f"case when not {any_path(P.EXCLUDED + ENV_NO_SCAN)} then transform(array_distinct(filter(concat({_ENV_NAMES}, {_IMPORTED}), v -> v <> '')), n -> {label('env', name='n')}) end",
+)
+
+
+def env_vars(changes: Changes) -> DataFrame:
     """changeset_id, name, files: environment variables that added code reads or imports."""
-    path = F.col("path")
-    scanned = changes.where(~P.is_excluded(path) & ~P.any_of(path, ENV_NO_SCAN) & (P.any_of(path, ENV_CONFIG) | path.rlike(CODE_PATH)))
-    direct = F.concat(*[F.regexp_extract_all("add_text", F.lit(p), F.lit(1)) for p in (ENV_READ, ENV_VITE, ENV_PUBLIC)])
-    lists = F.flatten(F.transform(F.regexp_extract_all("add_text", F.lit(ENV_IMPORT), F.lit(1)), lambda x: F.split(x, ",")))
-    imported = F.transform(lists, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+as\s+.*$", "")), r"\s+", ""))
-    names = scanned.select("changeset_id", "path", F.explode(F.concat(direct, imported)).alias("name")).where("name <> ''")
-    return names.groupBy("changeset_id", "name").agg(listed("path").alias("files"))
+    return changes.rows("env").groupBy("changeset_id", "name").agg(listed("path").alias("files"))
 
 
 def security_files(files: DataFrame) -> DataFrame:
@@ -114,11 +105,15 @@ SCHEMA_SQL = r"(?i)ALTER\s+TABLE[^;]+\b(ALTER\s+COLUMN|TYPE)\b"
 UNSCOPED_SQL = r"(?i)(UPDATE|DELETE)\s+(?![^;\n]*\bWHERE\b)"
 
 
-def sql_risks(changes: DataFrame) -> DataFrame:
+RULES["sql-risk"] = Rule(
+    P.MIGRATION_FILE,
+    "array_compact(array(" + "case " + " ".join(f"when add_text rlike {lit(p)} then {label('sql-risk', lit(k))}" for k, p in (("destructive", DESTRUCTIVE_SQL), ("schema_change", SCHEMA_SQL), ("unscoped_modification", UNSCOPED_SQL))) + " end))",
+)
+
+
+def sql_risks(changes: Changes) -> DataFrame:
     """changeset_id, path, hunk_ord, risk of migration hunks: destructive, schema_change or unscoped_modification."""
-    text = F.col("add_text")
-    risk = F.when(text.rlike(DESTRUCTIVE_SQL), "destructive").when(text.rlike(SCHEMA_SQL), "schema_change").when(text.rlike(UNSCOPED_SQL), "unscoped_modification")
-    return changes.where(P.any_of(F.col("path"), P.MIGRATION_FILE)).select("changeset_id", "path", "hunk_ord", risk.alias("risk")).where("risk is not null")
+    return changes.rows("sql-risk").select("changeset_id", "path", "hunk_ord", F.col("kind").alias("risk"))
 
 
 # Patterns of risky workflow lines.
@@ -129,12 +124,12 @@ WORKFLOW_RISKS = {
 }
 
 
-def ci_workflows(changes: DataFrame) -> DataFrame:
+RULES["ci"] = Rule(P.CI_FILE, marks("ci", {**WORKFLOW_RISKS, "pipeline_changed": ""}, 1))
+
+
+def ci_workflows(changes: Changes) -> DataFrame:
     """changeset_id, path, risk, first_hunk: risks of each pipeline file, and pipeline_changed for every one."""
-    kinds = [F.struct(F.lit(k).alias("risk"), F.col("add_text").rlike(p).alias("hit")) for k, p in WORKFLOW_RISKS.items()]
-    kinds.append(F.struct(F.lit("pipeline_changed").alias("risk"), F.lit(True).alias("hit")))
-    rows = changes.where(P.any_of(F.col("path"), P.CI_FILE)).select("changeset_id", "path", "hunk_ord", F.explode(F.array(*kinds)).alias("k"))
-    return rows.where("k.hit").groupBy("changeset_id", "path", F.col("k.risk").alias("risk")).agg(F.min("hunk_ord").alias("first_hunk"))
+    return changes.rows("ci").groupBy("changeset_id", "path", F.col("name").alias("risk")).agg(F.min("hunk_ord").alias("first_hunk"))
 
 
 def infra_changes(files: DataFrame) -> DataFrame:
@@ -150,10 +145,13 @@ def api_contracts(files: DataFrame) -> DataFrame:
 CLOUDFLARE_WORDS = r"(?i)\b(wrangler|cloudflare|workers|pages)\b"
 
 
-def cloudflare_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
+RULES["cloudflare"] = Rule([r"^\.github/workflows/.*\.(yml|yaml)$"], marks("cloudflare", {"ci": CLOUDFLARE_WORDS}, 1))
+
+
+def cloudflare_changes(files: DataFrame, changes: Changes) -> DataFrame:
     """changeset_id, area (wrangler or ci), files."""
     wrangler = files.where(F.col("path").rlike(r"^wrangler\.(toml|json)$")).select("changeset_id", F.lit("wrangler").alias("area"), "path")
-    ci = changes.where(F.col("path").rlike(r"^\.github/workflows/.*\.(yml|yaml)$") & F.col("add_text").rlike(CLOUDFLARE_WORDS)).select("changeset_id", F.lit("ci").alias("area"), "path")
+    ci = changes.rows("cloudflare").select("changeset_id", F.lit("ci").alias("area"), "path")
     return wrangler.unionByName(ci).groupBy("changeset_id", "area").agg(listed("path").alias("files"))
 
 
@@ -193,34 +191,36 @@ PYTHON_SCHEMA = r"(?i)(op\.(alter_column|create_table|add_column|create_index|cr
 PYTHON_MIGRATION = [("alembic", [r"alembic/versions/.*\.py$", r"/versions/.*\.py$"]), ("django", [r"/migrations/\d{4}_.*\.py$"])]
 
 
-def _labels(text: Column, rules: dict[str, str]) -> Column:
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in rules.items()]), lambda x: x.isNotNull())
+RULES["supabase"] = Rule(["^supabase/"], marks("supabase", SUPABASE_DESTRUCTIVE, 1))
+_PYTHON_MIGRATIONS = [g for _, gates in PYTHON_MIGRATION for g in gates]
+RULES["python-migration"] = Rule(_PYTHON_MIGRATIONS, marks("python-migration", PYTHON_DESTRUCTIVE, 1))
+RULES["python-schema"] = Rule(_PYTHON_MIGRATIONS, marks("python-schema", {"schema": PYTHON_SCHEMA}, 1))
 
 
-def _risk(files: DataFrame, changes: DataFrame, rules: dict[str, str], schema: str | None, low: Column) -> DataFrame:
+def _risk(files: DataFrame, destructive: DataFrame, schema: DataFrame | None, low: Column) -> DataFrame:
     """changeset_id, tool, n_files, files, risk, reasons of migration files (path, tool) of each change set."""
-    text = F.col("add_text")
-    per_hunk = changes.select("changeset_id", "path", _labels(text, rules).alias("found"), (text.rlike(schema) if schema else F.lit(True)).alias("is_schema"))
-    joined = files.join(per_hunk, ["changeset_id", "path"], "left").withColumn("label", F.explode_outer("found"))
-    grouped = joined.groupBy("changeset_id", "tool").agg(
+    found = destructive.select("changeset_id", "path", F.col("name").alias("label"), F.lit(False).alias("is_schema"))
+    if schema is not None:
+        found = found.unionByName(schema.select("changeset_id", "path", F.lit(None).cast("string").alias("label"), F.lit(True).alias("is_schema")))
+    grouped = files.join(found, ["changeset_id", "path"], "left").groupBy("changeset_id", "tool").agg(
         F.count_distinct("path").alias("n_files"), listed("path").alias("files"), listed("label").alias("reasons"), F.coalesce(F.bool_or("is_schema"), F.lit(False)).alias("is_schema"), F.bool_and(low).alias("is_low")
     )
     risk = F.when(F.col("reasons") != "", "high").when(F.col("is_low"), "low").when(F.col("is_schema") | F.lit(schema is None), "medium").otherwise("low")
     return grouped.select("changeset_id", "tool", "n_files", "files", risk.alias("risk"), "reasons")
 
 
-def supabase_migrations(files: DataFrame, changes: DataFrame) -> DataFrame:
+def supabase_migrations(files: DataFrame, changes: Changes) -> DataFrame:
     """Migration risk of change sets that touch supabase/: of its migrations, else of its other files."""
     own = files.where(F.col("path").startswith("supabase/")).withColumn("migration", F.col("path").rlike(r"^supabase/migrations/.*\.sql$"))
     has = own.groupBy("changeset_id").agg(F.bool_or("migration").alias("any_migration"))
     chosen = own.join(has, "changeset_id").where("migration or not any_migration").select("changeset_id", "path", F.lit("supabase").alias("tool"))
-    return _risk(chosen, changes, SUPABASE_DESTRUCTIVE, None, F.col("path").rlike(r"^supabase/(seed|config)"))
+    return _risk(chosen, changes.rows("supabase"), None, F.col("path").rlike(r"^supabase/(seed|config)"))
 
 
-def python_migrations(files: DataFrame, changes: DataFrame) -> DataFrame:
+def python_migrations(files: DataFrame, changes: Changes) -> DataFrame:
     """Migration risk per change set and tool (alembic, django)."""
     chosen = files.withColumn("tool", P.first_of(F.col("path"), PYTHON_MIGRATION)).where("tool is not null").select("changeset_id", "path", "tool")
-    return _risk(chosen, changes, PYTHON_DESTRUCTIVE, PYTHON_SCHEMA, F.lit(False))
+    return _risk(chosen, changes.rows("python-migration"), changes.rows("python-schema"), F.lit(False))
 
 
 # Elements of schema files by kind: path gate, element -> pattern with its name.
@@ -232,20 +232,30 @@ SCHEMA_ELEMENTS = {
 }
 
 
-def schema_elements(changes: DataFrame) -> DataFrame:
+def _by_gate(rule: str, groups: dict[str, tuple[str, dict[str, str]]]) -> Rule:
+    """Labels (kind: group, more: kind of thing, name) of both sides, each group behind its gate."""
+    each = []
+    for group, (gate, kinds) in groups.items():
+        found = [f"transform(array_distinct(regexp_extract_all({TEXTS[side]}, {lit(p)}, 1)), n -> {label(rule, lit(group), 'n', lit(kind), side)})" for kind, p in kinds.items() for side in (1, 2)]
+        each.append(f"case when path rlike {lit(gate)} then concat({', '.join(found)}) end")
+    return Rule([g for g, _ in groups.values()], f"flatten(array_compact(array({', '.join(each)})))")
+
+
+def _two_sides(rows: DataFrame, group: str, element: str, removed: str = "removed") -> DataFrame:
+    """changeset_id, path, group, element, name, change: what is on both sides of a file is modified."""
+    found = rows.groupBy("changeset_id", "path", F.col("kind").alias(group), F.col("more").alias(element), "name").agg(F.bit_or("side").alias("sides"))
+    return found.withColumn("change", F.when(F.col("sides") == 1, "added").when(F.col("sides") == 2, removed).otherwise("modified")).drop("sides")
+
+
+RULES["schema"] = _by_gate("schema", SCHEMA_ELEMENTS)
+
+
+def schema_elements(changes: Changes) -> DataFrame:
     """changeset_id, path, kind, element, name, change: elements added, removed or modified in schema files.
 
     An element both in added and deleted lines of a file is modified.
     """
-    sides = []
-    for kind, (gate, elements) in SCHEMA_ELEMENTS.items():
-        for element, pattern in elements.items():
-            side = lambda text, mark: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), F.lit(element).alias("element"), n.alias("name"), F.lit(mark).alias("side")))  # noqa: E731, B023
-            sides.append(F.when(F.col("path").rlike(gate), F.concat(side("add_text", 1), side("del_text", 2))))
-    gated = changes.where(P.any_of(F.col("path"), [g for g, _ in SCHEMA_ELEMENTS.values()]))
-    rows = gated.select("changeset_id", "path", F.explode(F.flatten(F.filter(F.array(*sides), lambda x: x.isNotNull()))).alias("e")).select("changeset_id", "path", "e.*")
-    found = rows.groupBy("changeset_id", "path", "kind", "element", "name").agg(F.bit_or("side").alias("sides"))
-    return found.withColumn("change", F.when(F.col("sides") == 1, "added").when(F.col("sides") == 2, "removed").otherwise("modified")).drop("sides")
+    return _two_sides(changes.rows("schema"), "kind", "element")
 
 
 # Reasons that make a schema change breaking, by kind, looked for in deleted lines.
@@ -263,22 +273,20 @@ SCHEMA_BREAKS = {
 CRITICAL_OPTIONS = "strict strictNullChecks strictFunctionTypes strictBindCallApply strictPropertyInitialization noImplicitAny noImplicitThis noImplicitReturns noUncheckedIndexedAccess target module moduleResolution lib jsx esModuleInterop allowSyntheticDefaultImports skipLibCheck isolatedModules verbatimModuleSyntax baseUrl paths outDir rootDir declaration declarationMap sourceMap composite incremental emitDecoratorMetadata experimentalDecorators".split()
 
 
-def schema_changes(changes: DataFrame) -> DataFrame:
+RULES["schema-break"] = Rule(
+    [SCHEMA_ELEMENTS[k][0] for k in SCHEMA_BREAKS],
+    "flatten(array_compact(array(" + ", ".join(f"case when path rlike {lit(SCHEMA_ELEMENTS[k][0])} then {marks('schema-break', rules, 2, k)} end" for k, rules in SCHEMA_BREAKS.items()) + ")))",
+)
+
+
+def schema_changes(changes: Changes) -> DataFrame:
     """Per schema file: added, removed and modified elements, reasons, is_breaking."""
     elements = schema_elements(changes)
     label = F.concat_ws(":", "element", "name")
     per_file = elements.groupBy("changeset_id", "path", "kind").agg(
         *[listed(label, F.col("change") == c).alias(c) for c in ("added", "removed", "modified")], F.bool_or(F.when(F.col("kind") == "tsconfig", F.col("name").isin(*CRITICAL_OPTIONS)).otherwise(F.col("change") != "added")).alias("breaks")
     )
-    reasons = []
-    for kind, rules in SCHEMA_BREAKS.items():
-        reasons.append(F.when(F.col("path").rlike(SCHEMA_ELEMENTS[kind][0]), F.transform(_labels(F.col("del_text"), rules), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("reason")))))  # noqa: B023
-    why = (
-        changes.where(P.any_of(F.col("path"), [SCHEMA_ELEMENTS[k][0] for k in SCHEMA_BREAKS]))
-        .select("changeset_id", "path", F.explode(F.flatten(F.filter(F.array(*reasons), lambda x: x.isNotNull()))).alias("r"))
-        .groupBy("changeset_id", "path", F.col("r.kind").alias("kind"))
-        .agg(listed("r.reason").alias("reasons"))
-    )
+    why = changes.rows("schema-break").groupBy("changeset_id", "path", "kind").agg(listed("name").alias("reasons"))
     both = per_file.join(why, ["changeset_id", "path", "kind"], "full")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return both.select("changeset_id", "path", "kind", text("added"), text("removed"), text("modified"), text("reasons"), (F.coalesce("breaks", F.lit(False)) | F.col("reasons").isNotNull()).alias("is_breaking"))
@@ -302,13 +310,18 @@ REQUIREMENTS_FILE = r"(^|/)requirements[^/]*\.txt$"
 MANIFEST_LINE = r"^\s*\"([^\"]+)\"\s*:\s*\"([\^~>=<]*\d[^\"]*)\""
 
 
-def _versions(changes: DataFrame, gate: str, pattern: str, skip: str) -> DataFrame:
+def _version_rule(rule: str, gate: str, pattern: str, skip: str) -> Rule:
+    side = lambda column, mark: f"transform(filter({column}, x -> x rlike {lit(pattern)} and not x rlike {lit(skip)}), x -> {label(rule, f'trim(regexp_extract(x, {lit(pattern)}, 2))', f'lower(regexp_extract(x, {lit(pattern)}, 1))', side=mark)})"
+    return Rule([gate], f"concat({side('additions', 1)}, {side('deletions', 2)})")
+
+
+def _versions(rows: DataFrame) -> DataFrame:
     """changeset_id, path, name, from_version, to_version of dependency lines; the greatest version of a side counts."""
-    side = lambda c, mark: F.transform(F.filter(c, lambda x: x.rlike(pattern) & ~x.rlike(skip)), lambda x: F.struct(F.lower(F.regexp_extract(x, pattern, 1)).alias("name"), F.trim(F.regexp_extract(x, pattern, 2)).alias("version"), F.lit(mark).alias("side")))
-    rows = changes.where(F.col("path").rlike(gate)).select("changeset_id", "path", F.explode(F.concat(side("additions", "to"), side("deletions", "from"))).alias("d")).select("changeset_id", "path", "d.*")
-    return rows.groupBy("changeset_id", "path", "name").agg(
-        F.max(F.when(F.col("side") == "from", F.col("version"))).alias("from_version"), F.max(F.when(F.col("side") == "to", F.col("version"))).alias("to_version")
-    )
+    return rows.groupBy("changeset_id", "path", "name").agg(F.max(F.when(F.col("side") == 2, F.col("kind"))).alias("from_version"), F.max(F.when(F.col("side") == 1, F.col("kind"))).alias("to_version"))
+
+
+RULES["requirement"] = _version_rule("requirement", REQUIREMENTS_FILE, REQUIREMENT, r"^\s*(#|-|$)")
+RULES["manifest-line"] = _version_rule("manifest-line", r"(^|/)package\.json$", MANIFEST_LINE, FIELD_NAME.replace("([^\"]+)", "(" + "|".join(NO_DEPENDENCY) + ")"))
 
 
 def _risky(name: Column, table: dict[str, list[str]]) -> Column:
@@ -318,12 +331,12 @@ def _risky(name: Column, table: dict[str, list[str]]) -> Column:
     return out
 
 
-def python_dependencies(changes: DataFrame) -> DataFrame:
+def python_dependencies(changes: Changes) -> DataFrame:
     """changeset_id, path, name, from_version, to_version, impact, risk_category of requirement lines."""
     major = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
     a, b = F.col("from_version"), F.col("to_version")
     impact = F.when(b.isNull(), "removed").when(a.isNull(), "new").when((a == "") | (b == ""), "unknown").when(major(b) > major(a), "major").otherwise("minor")
-    return _versions(changes, REQUIREMENTS_FILE, REQUIREMENT, r"^\s*(#|-|$)").withColumn("impact", impact).withColumn("risk_category", _risky(F.col("name"), RISKY_PYTHON))
+    return _versions(changes.rows("requirement")).withColumn("impact", impact).withColumn("risk_category", _risky(F.col("name"), RISKY_PYTHON))
 
 
 def semver_impact(old: Column, new: Column) -> Column:
@@ -334,11 +347,11 @@ def semver_impact(old: Column, new: Column) -> Column:
     return F.when(part(new, 1) > part(old, 1), "major").when(part(new, 2) > part(old, 2), "minor").when(part(new, 3) > part(old, 3), "patch").otherwise("unknown")
 
 
-def node_dependencies(changes: DataFrame) -> DataFrame:
+def node_dependencies(changes: Changes) -> DataFrame:
     """changeset_id, path, name, from_version, to_version, impact, risk_category of manifest lines."""
     a, b = F.col("from_version"), F.col("to_version")
     impact = F.when(b.isNull(), "removed").when(a.isNull(), "new").otherwise(semver_impact(a, b))
-    lines = _versions(changes, r"(^|/)package\.json$", MANIFEST_LINE, FIELD_NAME.replace("([^\\\"]+)", "(" + "|".join(NO_DEPENDENCY) + ")"))
+    lines = _versions(changes.rows("manifest-line"))
     return lines.where("from_version is null or to_version is null or from_version <> to_version").withColumn("impact", impact).withColumn("risk_category", _risky(F.col("name"), RISKY_NODE))
 
 
@@ -373,17 +386,15 @@ def route_id(path: Column, framework: str) -> Column:
     return path
 
 
-def file_routes(files: DataFrame, changes: DataFrame) -> DataFrame:
+RULES["method"] = Rule([g for _, gates in ROUTE_GATES for g in gates], names("method", METHOD_EXPORT, 1))
+
+
+def file_routes(files: DataFrame, changes: Changes) -> DataFrame:
     """changeset_id, path, framework, route_id, route_type, change, methods of file-based routes."""
     path = F.col("path")
     routed = files.withColumn("framework", P.first_of(path, ROUTE_GATES)).where("framework is not null")
     pick = lambda of: F.coalesce(*[F.when(F.col("framework") == k, of(k)) for k in ROUTE_STEPS])
-    methods = (
-        changes.where(P.any_of(path, [g for _, gs in ROUTE_GATES for g in gs]))
-        .select("changeset_id", "path", F.explode(F.regexp_extract_all("add_text", F.lit(METHOD_EXPORT), F.lit(1))).alias("method"))
-        .groupBy("changeset_id", "path")
-        .agg(listed("method").alias("methods"))
-    )
+    methods = changes.rows("method").groupBy("changeset_id", "path").agg(listed("name").alias("methods"))
     named = routed.select("changeset_id", "path", "framework", pick(lambda k: route_id(path, k)).alias("route_id"), pick(lambda k: P.first_of(path, ROUTE_TYPES[k], "unknown")).alias("route_type"), F.col("status").alias("change"))
     return named.join(methods, ["changeset_id", "path"], "left").withColumn("methods", F.when(F.col("route_type") == "endpoint", F.coalesce("methods", F.lit(""))).otherwise(""))
 
@@ -394,29 +405,29 @@ DJANGO_ROUTE = r"(?i)(?:path|re_path|url)\s*\(\s*(?:r)?[\"']([^\"']+)[\"']"
 FLASK_ROUTE = r"(?i)@\w+\.route\s*\(\s*[\"']([^\"']+)[\"']"
 
 
-def python_framework(path: Column, text: Column) -> Column:
-    name = P.file_name(path)
-    return (
-        F.when(name.rlike(r"urls\.py$"), "django")
-        .when(text.rlike("from fastapi|import fastapi|APIRouter"), "fastapi")
-        .when(text.rlike("from django|urlpatterns"), "django")
-        .when(text.rlike(r"from flask|Flask\(|Blueprint\("), "flask")
-        .when(name.rlike(r"views\.py$"), "django")
-        .when(name.rlike(r"(routers?|endpoints?|api|main|app|routes?)\.py$"), "fastapi")
-        .otherwise("flask")
-    )
+# How the framework of a Python file is told, first match first: by its name or its lines.
+PYTHON_FRAMEWORK = [
+    ("path", r"urls\.py$", "django"),
+    ("all_text", "from fastapi|import fastapi|APIRouter", "fastapi"),
+    ("all_text", "from django|urlpatterns", "django"),
+    ("all_text", r"from flask|Flask\(|Blueprint\(", "flask"),
+    ("path", r"views\.py$", "django"),
+    ("path", r"(routers?|endpoints?|api|main|app|routes?)\.py$", "fastapi"),
+]
+_FRAMEWORK_OF = "case " + " ".join(f"when {c} rlike {lit(p)} then '{k}'" for c, p, k in PYTHON_FRAMEWORK) + " else 'flask' end"
+_ROUTES = {"fastapi": (FASTAPI_ROUTE, 2), "django": (DJANGO_ROUTE, 1), "flask": (FLASK_ROUTE, 1)}
+RULES["python-route"] = Rule(
+    [PYTHON_ROUTE_FILE],
+    f"case {_FRAMEWORK_OF} " + " ".join(f"when '{k}' then concat({names('python-route', p, 1, k, g)}, {names('python-route', p, 2, k, g)})" for k, (p, g) in _ROUTES.items()) + " end",
+)
 
 
-def python_routes(changes: DataFrame) -> DataFrame:
+def python_routes(changes: Changes) -> DataFrame:
     """changeset_id, path, framework, route_id, change: routes in added and deleted lines of Python files.
 
     The framework is read from each hunk; a route on both sides of a file is modified.
     """
-    gated = changes.where(F.col("path").rlike(PYTHON_ROUTE_FILE)).withColumn("framework", python_framework(F.col("path"), F.col("all_text")))
-    pattern = {"fastapi": (FASTAPI_ROUTE, 2), "django": (DJANGO_ROUTE, 1), "flask": (FLASK_ROUTE, 1)}
-    find = lambda text: F.coalesce(*[F.when(F.col("framework") == k, F.regexp_extract_all(text, F.lit(p), F.lit(g))) for k, (p, g) in pattern.items()])
-    side = lambda text, mark: F.transform(find(text), lambda r: F.struct(r.alias("route"), F.lit(mark).alias("side")))
-    rows = gated.select("changeset_id", "path", "framework", F.explode(F.concat(side("add_text", 1), side("del_text", 2))).alias("r")).select("changeset_id", "path", "framework", "r.*")
+    rows = changes.rows("python-route").select("changeset_id", "path", F.col("kind").alias("framework"), F.col("name").alias("route"), "side")
     django = F.regexp_replace(F.regexp_replace(F.regexp_replace("route", r"^\^", ""), r"\$$", ""), r"\(\?P<(\w+)>[^)]+\)", ":{$1}")
     plain = F.when(F.col("framework") == "django", django).otherwise(F.col("route"))
     rooted = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit("/"), plain))
@@ -440,27 +451,24 @@ SURFACES = {
 }
 
 
-def surface_changes(changes: DataFrame) -> DataFrame:
+RULES["surface"] = _by_gate("surface", SURFACES)
+
+
+def surface_changes(changes: Changes) -> DataFrame:
     """changeset_id, path, surface, kind, name, change: named API surfaces added, removed or modified per file."""
-    sides = []
-    for surface, (gate, kinds) in SURFACES.items():
-        for kind, pattern in kinds.items():
-            side = lambda text, mark: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(surface).alias("surface"), F.lit(kind).alias("kind"), n.alias("name"), F.lit(mark).alias("side")))  # noqa: E731, B023
-            sides.append(F.when(F.col("path").rlike(gate), F.concat(side("add_text", 1), side("del_text", 2))))
-    gated = changes.where(P.any_of(F.col("path"), [g for g, _ in SURFACES.values()]))
-    rows = gated.select("changeset_id", "path", F.explode(F.flatten(F.filter(F.array(*sides), lambda x: x.isNotNull()))).alias("e")).select("changeset_id", "path", "e.*")
-    found = rows.groupBy("changeset_id", "path", "surface", "kind", "name").agg(F.bit_or("side").alias("sides"))
-    return found.withColumn("change", F.when(F.col("sides") == 1, "added").when(F.col("sides") == 2, "removed").otherwise("modified")).drop("sides")
+    return _two_sides(changes.rows("surface"), "surface", "kind")
 
 
 RSC_PATH = r"(?:^|/)app/.*\.(ts|tsx|js|jsx)$|\.(server|client)\.(ts|tsx|js|jsx)$"
 RSC_MARKS = {"use_server": "[\"']use server[\"']", "use_client": "[\"']use client[\"']", "server_only": "(?:import\\s+|from\\s+)[\"']server-only[\"']", "client_only": "(?:import\\s+|from\\s+)[\"']client-only[\"']"}
 
 
-def rsc_boundaries(changes: DataFrame) -> DataFrame:
+RULES["rsc"] = Rule([RSC_PATH], f"concat({marks('rsc', RSC_MARKS, 1)}, {marks('rsc', RSC_MARKS, 2)})")
+
+
+def rsc_boundaries(changes: Changes) -> DataFrame:
     """changeset_id, path, from_directive, to_directive, boundary, reasons of files whose directives or imports change."""
-    flags = [F.bool_or(F.col(f"{s}_text").rlike(p)).alias(f"{s}_{m}") for s in ("add", "del") for m, p in RSC_MARKS.items()]
-    seen = changes.where(F.col("path").rlike(RSC_PATH)).groupBy("changeset_id", "path").agg(*flags)
+    seen = changes.rows("rsc").groupBy("changeset_id", "path").agg(*[F.bool_or((F.col("side") == i) & (F.col("name") == m)).alias(f"{s}_{m}") for i, s in ((1, "add"), (2, "del")) for m in RSC_MARKS])
     c = F.col
     directive = lambda s: F.when(c(f"{s}_use_server"), "use server").when(c(f"{s}_use_client"), "use client").otherwise("")
     bound = lambda s: F.when(c(f"{s}_use_server") | c(f"{s}_server_only"), "server").when(c(f"{s}_use_client") | c(f"{s}_client_only"), "client")
@@ -475,7 +483,11 @@ def rsc_boundaries(changes: DataFrame) -> DataFrame:
 CODE_FILE = r"\.(ts|tsx|js|jsx|mjs|cjs|svelte|vue|astro|py)$"
 
 
-def impact_radius(files: DataFrame, changes: DataFrame) -> DataFrame:
+QUOTED_MODULE = r"[\"'](?:[^\"'\s]*/)?([\w.@-]+?)(?:\.(?:ts|tsx|js|jsx|mjs|cjs|svelte|vue|astro))?[\"']"
+RULES["uses"] = Rule([CODE_FILE], names("uses", QUOTED_MODULE, 3))
+
+
+def impact_radius(files: DataFrame, changes: Changes) -> DataFrame:
     """changeset_id, path, dependents, blast_radius of modified and renamed code files.
 
     A dependent is another file of the change set with a changed line that imports the
@@ -484,7 +496,25 @@ def impact_radius(files: DataFrame, changes: DataFrame) -> DataFrame:
     """
     base = lambda p: F.regexp_replace(P.file_name(p), r"\.[^.]*$", "")
     sources = files.where(F.col("status").isin("modified", "renamed") & F.col("path").rlike(CODE_FILE)).select("changeset_id", "path", base(F.col("path")).alias("name"))
-    quoted = F.regexp_extract_all("all_text", F.lit(r"[\"'](?:[^\"'\s]*/)?([\w.@-]+?)(?:\.(?:ts|tsx|js|jsx|mjs|cjs|svelte|vue|astro))?[\"']"), F.lit(1))
-    uses = changes.where(F.col("path").rlike(CODE_FILE)).select("changeset_id", F.col("path").alias("user"), F.explode(F.array_distinct(quoted)).alias("name")).distinct()
+    uses = changes.rows("uses").select("changeset_id", F.col("path").alias("user"), "name").distinct()
     counted = sources.join(uses, ["changeset_id", "name"]).where("user <> path").groupBy("changeset_id", "path").agg(F.count_distinct("user").alias("dependents"))
     return counted.withColumn("blast_radius", F.when(F.col("dependents") > 10, "high").when(F.col("dependents") > 3, "medium").otherwise("low"))
+
+
+# What the lines of a file hold that nested source text is read for, and path gates.
+SOURCE_FILE = [r"\.(tsx|ts|jsx|js|mjs)$", r"(^|/)package\.json$", r"(?i)(^|/)(locales?|i18n|lang|translations?|messages)/.*\.json$"]
+SOURCE_MARK = r"<Route\b|createBrowserRouter|createHashRouter|createMemoryRouter|useRoutes|:\s*Routes\b|@(?:Component|Directive|Injectable|NgModule|Pipe|Prop|Event|Method|State|Input|Output)\s*\(|\"exports\"\s*:|^\s*\{?\s*\""
+RULES["source"] = Rule(SOURCE_FILE, marks("source", {"marked": SOURCE_MARK}, 3))
+
+
+def source_sides(changes: Changes) -> DataFrame:
+    """changeset_id, path, side, content: deleted (base) and added (head) lines of files with routes, decorators, exports or keys.
+
+    Only files with such a mark are gathered, each by itself.
+    """
+    marked = changes.rows("source").select("changeset_id", "path").distinct()
+    texts = semi_join(changes.texts().where(P.any_of(F.col("path"), SOURCE_FILE)), marked, ["changeset_id", "path"])
+    each = texts.groupBy("changeset_id", "path").agg(F.array_sort(F.collect_set(F.struct("hunk_ord", "del_text", "add_text"))).alias("hunks"))
+    joined = lambda c: F.array_join(F.filter(F.transform("hunks", lambda h: h[c]), lambda t: t != ""), "\n")
+    sides = F.array(F.struct(F.lit("base").alias("side"), joined("del_text").alias("content")), F.struct(F.lit("head").alias("side"), joined("add_text").alias("content")))
+    return each.select("changeset_id", "path", F.explode(sides).alias("s")).select("changeset_id", "path", "s.*")

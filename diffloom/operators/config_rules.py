@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.operators.paths import any_of
+from diffloom.operators.analyzers import RULES as LABEL_RULES
+from diffloom.operators.labels import Changes, Rule, any_path, label, lit
 
 Need = tuple[str, str]  # scope (add, del or all) and pattern
 
@@ -162,45 +163,51 @@ def _flat(rule: ConfigRule) -> list[tuple[str, str, int, int, int, Need]]:
     return out
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+#: What every pattern of every rule stands for: number, rule, role, label, alternative, number of needs, need.
+_MEANINGS: list[tuple[int, int, str, str, int, int, int]] = []
 
 
-def config_findings(changes: DataFrame, rules: list[ConfigRule] = RULES) -> DataFrame:
+def _label_rule() -> Rule:
+    """Labels named after the numbers of the patterns that match."""
+    hits = []
+    for k, rule in enumerate(RULES):
+        checks = []
+        for role, text, alt, needs, need, (scope, pattern) in [("file", "", 0, 1, 0, ("any", "")), *_flat(rule)]:
+            number = len(_MEANINGS)
+            _MEANINGS.append((number, k, role, text, alt, needs, need))
+            made = label("config", name=f"'{number}'")
+            checks.append(made if scope == "any" else f"case when {scope}_text rlike {lit(pattern)} then {made} end")
+        hits.append(f"case when {any_path(list(rule.gate))} then array({', '.join(checks)}) end")
+    return Rule([g for r in RULES for g in r.gate], f"array_compact(flatten(array_compact(array({', '.join(hits)}))))")
+
+
+LABEL_RULES["config"] = _label_rule()
+
+
+def config_findings(changes: Changes, rules: list[ConfigRule] = RULES) -> DataFrame:
     """changeset_id, file, status, analyzer, type, category, tool, sections, reasons, is_breaking, confidence.
 
-    changes: hunks with status, add_text, del_text, all_text. Sections and reasons are
-    sorted and joined by '; '. Patterns are looked for within each hunk; what a reason
-    needs may come from several hunks of a file.
+    Sections and reasons are sorted and joined by '; '. Patterns are looked for within
+    each hunk; what a reason needs may come from several hunks of a file. One label per
+    pattern comes from the hunks; what it stands for is joined from a table of fixed rows.
     """
-    # One number per pattern; what it stands for is joined from a table of a few hundred fixed rows.
-    meanings: list[tuple[int, int, str, str, int, int, int]] = []
-    # The expression is written as SQL text: one parse instead of a thousand calls to build it.
-    hits = []
-    for k, rule in enumerate(rules):
-        checks = []
-        for role, label, alt, needs, need, (scope, pattern) in [("file", "", 0, 1, 0, ("any", "")), *_flat(rule)]:
-            number = len(meanings)
-            meanings.append((number, k, role, label, alt, needs, need))
-            checks.append(str(number) if scope == "any" else f"case when {scope}_text rlike {_literal(pattern)} then {number} end")
-        gate = " or ".join(f"path rlike {_literal(g)}" for g in rule.gate)
-        hits.append(f"case when {gate} then array({', '.join(checks)}) end")
-    table = changes.sparkSession.createDataFrame(meanings, "hit int, rule int, role string, label string, alt int, needs int, need int")
-    gated = changes.where(any_of(F.col("path"), [g for r in rules for g in r.gate]))
-    matched = gated.select("changeset_id", F.col("path").alias("file"), "status", F.explode(F.expr(f"flatten(array_compact(array({', '.join(hits)})))")).alias("hit"))
+    spark = changes.files.sparkSession
+    wanted = [k for k, r in enumerate(RULES) if r in rules]
+    table = spark.createDataFrame([m for m in _MEANINGS if m[1] in wanted], "hit int, rule int, role string, label string, alt int, needs int, need int")
+    matched = changes.rows("config").select("changeset_id", "path", F.col("name").cast("int").alias("hit")).distinct()
     met = (
-        matched.where("hit is not null")
-        .join(F.broadcast(table), "hit")
-        .groupBy("changeset_id", "file", "rule", "role", "label", "alt", "needs")
-        .agg(F.max("status").alias("status"), F.count_distinct("need").alias("found"))
+        matched.join(F.broadcast(table), "hit")
+        .groupBy("changeset_id", F.col("path").alias("file"), "rule", "role", "label", "alt", "needs")
+        .agg(F.count_distinct("need").alias("found"))
         .where("found = needs")
     )
     joined = lambda role: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("label")))), "; ")
-    named = changes.sparkSession.createDataFrame([(k, r.analyzer, r.type, r.category, r.tool, r.quiet, r.graded, r.required is not None) for k, r in enumerate(rules)], "rule int, analyzer string, type string, category string, tool string, quiet boolean, graded boolean, needs_more boolean")
+    named = spark.createDataFrame([(k, r.analyzer, r.type, r.category, r.tool, r.quiet, r.graded, r.required is not None) for k, r in enumerate(rules)], "rule int, analyzer string, type string, category string, tool string, quiet boolean, graded boolean, needs_more boolean")
     found = met.groupBy("changeset_id", "file", "rule").agg(
-        F.max("status").alias("status"), joined("section").alias("sections"), joined("reason").alias("reasons"), F.max((F.col("role") == "required").cast("int")).alias("has_required")
+        joined("section").alias("sections"), joined("reason").alias("reasons"), F.max((F.col("role") == "required").cast("int")).alias("has_required")
     )
-    labelled = found.join(F.broadcast(named), "rule")
+    listed = changes.files.select("changeset_id", F.col("path").alias("file"), "status")
+    labelled = found.join(F.broadcast(named), "rule").join(listed, ["changeset_id", "file"], "left").withColumn("status", F.coalesce("status", F.lit("modified")))
     kept = labelled.where("(not needs_more or has_required = 1) and (not quiet or sections <> '' or reasons <> '')")
     breaking = F.col("reasons") != ""
     confidence = F.when(breaking, "high").when(F.col("graded") & (F.col("sections") == ""), "low").otherwise("medium")

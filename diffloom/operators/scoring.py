@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from diffloom.operators import analyzers as A
 from diffloom.operators import paths as P
 from diffloom.operators.config_rules import config_findings
+from diffloom.operators.labels import Changes
 from diffloom.operators.identity import finding_id, flag_id
 
 FINDING_COLUMNS = ["changeset_id", "type", "category", "file", "name", "detail", "change", "risk", "n_files", "fingerprint"]
@@ -36,7 +37,7 @@ SURFACE_TYPES = {
 }
 
 
-def surface_findings(changes: DataFrame) -> DataFrame:
+def surface_findings(changes: Changes) -> DataFrame:
     """One finding per file and surface; removed names are breaking, for runes only state and props."""
     c, lit = F.col, F.lit
     breaks = F.when(c("surface") == "runes", (c("change") == "removed") & c("name").isin("$state", "$props")).when(c("surface") == "next-config", lit(False)).otherwise(c("change") == "removed")
@@ -58,7 +59,7 @@ def surface_findings(changes: DataFrame) -> DataFrame:
 SCHEMA_TYPES = {"graphql": ("graphql-change", "api"), "prisma": ("prisma-schema", "database"), "drizzle": ("drizzle-schema", "database"), "tsconfig": ("typescript-config", "config_env")}
 
 
-def schema_findings(changes: DataFrame) -> DataFrame:
+def schema_findings(changes: Changes) -> DataFrame:
     """One finding per schema file, naming its added, removed and modified elements and the reasons that break."""
     c, cat, lit = F.col, F.concat, F.lit
     found = A.schema_changes(changes)
@@ -97,7 +98,7 @@ def source_findings(sources: DataFrame) -> DataFrame:
     )
 
 
-def findings(files: DataFrame, changes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def findings(files: DataFrame, changes: Changes, sources: DataFrame | None = None) -> DataFrame:
     """Findings of all analyzers with their ids; sources: what source_changes read, if source texts are at hand."""
     c, cat = F.col, F.concat
     lit = F.lit

@@ -19,13 +19,16 @@ from diffloom.operators.nested_tables import flat_children, linked_results, node
 from diffloom.operators.snapshot_delta import relative_path, snapshot_changes
 from diffloom.oracle import any_sql, first_sql, prelude, q
 from diffloom.plans import documents as D
+from diffloom.operators.labels import Changes, listed_files
 from diffloom.runtime import cut_lineage, table
 from diffloom.sources import changesets as C
-from diffloom.sources.blobs import template_blobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+RuleQuery = Callable[[Changes], DataFrame]
+#: Queries over change sets with their SQL over the views allf and chg.
+RULE_QUERIES: dict[str, tuple[RuleQuery, str | None]] = {}
 
 
 def _register(name: str, sql: str | None = None, with_prelude: bool = True):
@@ -38,25 +41,27 @@ def _register(name: str, sql: str | None = None, with_prelude: bool = True):
     return add
 
 
-def _files(s: SparkSession, d: str) -> DataFrame:
-    return A.all_files(table(s, d, "files"), table(s, d, "hunks"))
+def _rule(name: str, sql: str | None = None):
+    """A query over the files and hunks of change sets; diffloom.checks runs the same over made-up hunks."""
 
+    def add(query: RuleQuery) -> RuleQuery:
+        RULE_QUERIES[name] = (query, sql)
+        _QUERIES[name] = lambda s, d: query(A.changes_of(table(s, d, "files"), table(s, d, "hunks")))
+        if sql is not None:
+            _SQL[name] = prelude() + "\n" + sql
+        return query
 
-def _changes(s: SparkSession, d: str) -> DataFrame:
-    return A.all_changes(table(s, d, "files"), table(s, d, "hunks"))
+    return add
 
 
-def _hunks(s: SparkSession, d: str) -> DataFrame:
-    return C.change_hunks(table(s, d, "hunks"))
+def _findings(changes: Changes) -> DataFrame:
+    """Findings of all analyzers from one pass over the hunks; they are few and are written as a table for what reads them."""
+    kept = changes.keep()
+    return cut_lineage(S.findings(kept.files, kept, source_changes(A.source_sides(changes))))
 
 
-def _findings(s: SparkSession, d: str) -> DataFrame:
-    """Many analyzers read the same files and hunks, so both are kept (spilling to disk) until the findings,
-    which are few beside the hunks, stand in the shared checkpoint folder."""
-    files, changes = cut_lineage(_files(s, d)), _changes(s, d).persist()
-    found = cut_lineage(S.findings(files, changes, source_changes(template_blobs(table(s, d, "files")))))
-    changes.unpersist()
-    return found
+def _hunks(s: SparkSession, d: str) -> DataFrame:
+    return C.change_hunks(table(s, d, "hunks"))
 
 
 # --- problems 2 and 4 ----------------------------------------------------------------
@@ -201,37 +206,37 @@ _GLOBS = [P.glob_regex(g) for g in P.DEFAULT_GLOBS]
 _USER_EXCLUDE = ["docs/**", "**/*.svelte"]
 
 
-@_register(
+@_rule(
     "glob_filter",
     f"select changeset_id, path, case when {any_sql('path', [P.glob_regex(g) for g in _USER_EXCLUDE])} then 'excluded-by-glob' when {any_sql('path', _GLOBS)} then 'excluded-by-default' else 'keep' end as decision from allf",
 )
-def glob_filter(s: SparkSession, d: str) -> DataFrame:
-    return _files(s, d).select("changeset_id", "path", P.path_decision(F.col("path"), exclude=_USER_EXCLUDE).alias("decision"))
+def glob_filter(changes: Changes) -> DataFrame:
+    return changes.files.select("changeset_id", "path", P.path_decision(F.col("path"), exclude=_USER_EXCLUDE).alias("decision"))
 
 
-@_register("exclude_filter", f"select changeset_id, path from allf where not {any_sql('path', P.EXCLUDED)}")
-def exclude_filter(s: SparkSession, d: str) -> DataFrame:
-    return _files(s, d).where(~P.is_excluded(F.col("path"))).select("changeset_id", "path")
+@_rule("exclude_filter", f"select changeset_id, path from allf where not {any_sql('path', P.EXCLUDED)}")
+def exclude_filter(changes: Changes) -> DataFrame:
+    return changes.files.where(~P.is_excluded(F.col("path"))).select("changeset_id", "path")
 
 
-@_register("skip_reasons", f"select changeset_id, path, {first_sql('path', P.SKIP)} as reason from allf where {first_sql('path', P.SKIP)} is not null")
-def skip_reasons(s: SparkSession, d: str) -> DataFrame:
-    return _files(s, d).select("changeset_id", "path", P.skip_reason(F.col("path")).alias("reason")).where("reason is not null")
+@_rule("skip_reasons", f"select changeset_id, path, {first_sql('path', P.SKIP)} as reason from allf where {first_sql('path', P.SKIP)} is not null")
+def skip_reasons(changes: Changes) -> DataFrame:
+    return changes.files.select("changeset_id", "path", P.skip_reason(F.col("path")).alias("reason")).where("reason is not null")
 
 
-@_register("binary_files", f"select changeset_id, path from allf where list_contains({[*P.BINARY]!r}, lower(regexp_extract(path, '\\.([^./]*)$', 1)))")
-def binary_files(s: SparkSession, d: str) -> DataFrame:
-    return _files(s, d).where(P.is_binary_path(F.col("path"))).select("changeset_id", "path")
+@_rule("binary_files", f"select changeset_id, path from allf where list_contains({[*P.BINARY]!r}, lower(regexp_extract(path, '\\.([^./]*)$', 1)))")
+def binary_files(changes: Changes) -> DataFrame:
+    return changes.files.where(P.is_binary_path(F.col("path"))).select("changeset_id", "path")
 
 
-@_register("file_category", f"select changeset_id, path, {first_sql('path', P.CATEGORIES, 'other')} as category from allf")
-def file_category(s: SparkSession, d: str) -> DataFrame:
-    return _files(s, d).select("changeset_id", "path", P.category(F.col("path")).alias("category"))
+@_rule("file_category", f"select changeset_id, path, {first_sql('path', P.CATEGORIES, 'other')} as category from allf")
+def file_category(changes: Changes) -> DataFrame:
+    return changes.files.select("changeset_id", "path", P.category(F.col("path")).alias("category"))
 
 
-@_register("category_counts", f"select changeset_id, {first_sql('path', P.CATEGORIES, 'other')} as category, count(*) as files from allf group by 1, 2")
-def category_counts(s: SparkSession, d: str) -> DataFrame:
-    return A.file_categories(_files(s, d))
+@_rule("category_counts", f"select changeset_id, {first_sql('path', P.CATEGORIES, 'other')} as category, count(*) as files from allf group by 1, 2")
+def category_counts(changes: Changes) -> DataFrame:
+    return A.file_categories(changes.files)
 
 
 # --- text ---------------------------------------------------------------------------------
@@ -268,35 +273,35 @@ def _agg(expr: str, where: str = "") -> str:
     return f"coalesce(string_agg(distinct {expr}, ',' order by {expr}){' filter (where ' + where + ')' if where else ''}, '')"
 
 
-@_register("file_summary", "select changeset_id, " + ", ".join(f"{_agg('path', f'status = {q(x)}')} as {x}" for x in ("added", "modified", "deleted", "renamed")) + f" from allf where not {any_sql('path', P.EXCLUDED)} group by changeset_id")
-def file_summary(s: SparkSession, d: str) -> DataFrame:
-    return A.file_summary(_files(s, d))
+@_rule("file_summary", "select changeset_id, " + ", ".join(f"{_agg('path', f'status = {q(x)}')} as {x}" for x in ("added", "modified", "deleted", "renamed")) + f" from allf where not {any_sql('path', P.EXCLUDED)} group by changeset_id")
+def file_summary(changes: Changes) -> DataFrame:
+    return A.file_summary(changes.files)
 
 
 _LARGE = """(select f.changeset_id, f.files_changed, coalesce(c.lines_changed, 0)::bigint as lines_changed from (select changeset_id, count(*) as files_changed from allf group by 1) f
     left join (select changeset_id, sum(len(additions) + len(deletions)) as lines_changed from chg group by 1) c on f.changeset_id = c.changeset_id)"""
 
 
-@_register("large_diff", f"select * from {_LARGE} where files_changed > 30 or lines_changed > 1000")
-def large_diff(s: SparkSession, d: str) -> DataFrame:
-    return A.large_diffs(_files(s, d), _changes(s, d))
+@_rule("large_diff", f"select * from {_LARGE} where files_changed > 30 or lines_changed > 1000")
+def large_diff(changes: Changes) -> DataFrame:
+    return A.large_diffs(changes.files, changes)
 
 
 _DEP_LINE = f"(regexp_matches(x, {q(A.DEPENDENCY_FIELD)}) or (regexp_matches(x, {q(A.FIELD_NAME)}) and not list_contains({A.NO_DEPENDENCY!r}, regexp_extract(x, {q(A.FIELD_NAME)}, 1)) and regexp_matches(x, {q(A.VERSION_VALUE)})))"
 
 
-@_register(
+@_rule(
     "lockfile_mismatch",
     f"""select t.changeset_id, manifest_changed, lockfile_changed from (select changeset_id, bool_or(path = 'package.json') as manifest_changed, bool_or(regexp_matches(path, {q(A.LOCKFILE)})) as lockfile_changed,
             bool_or(path = 'package.json' and status = 'added') as manifest_added from allf group by 1) t
         left join (select changeset_id, bool_or(len(list_filter(list_concat(additions, deletions), lambda x: {_DEP_LINE})) > 0) as dep from chg where path = 'package.json' group by 1) l on t.changeset_id = l.changeset_id
         where (manifest_changed and coalesce(dep, manifest_added) and not lockfile_changed) or (not manifest_changed and lockfile_changed)""",
 )
-def lockfile_mismatch(s: SparkSession, d: str) -> DataFrame:
-    return A.lockfile_mismatches(_files(s, d), _changes(s, d))
+def lockfile_mismatch(changes: Changes) -> DataFrame:
+    return A.lockfile_mismatches(changes.files, changes)
 
 
-@_register(
+@_rule(
     "env_vars",
     f"""select changeset_id, name, {_agg('path')} as files from (
         select changeset_id, path, unnest(list_concat(regexp_extract_all(add_text, {q(A.ENV_READ)}, 1), regexp_extract_all(add_text, {q(A.ENV_VITE)}, 1), regexp_extract_all(add_text, {q(A.ENV_PUBLIC)}, 1),
@@ -304,54 +309,54 @@ def lockfile_mismatch(s: SparkSession, d: str) -> DataFrame:
         from chg where not {any_sql('path', P.EXCLUDED)} and not {any_sql('path', A.ENV_NO_SCAN)} and ({any_sql('path', A.ENV_CONFIG)} or regexp_matches(path, {q(A.CODE_PATH)})))
         where name <> '' group by changeset_id, name""",
 )
-def env_vars(s: SparkSession, d: str) -> DataFrame:
-    return A.env_vars(_changes(s, d))
+def env_vars(changes: Changes) -> DataFrame:
+    return A.env_vars(changes)
 
 
-@_register("security_files", f"select changeset_id, count(*) as n_files, {_agg('path')} as files, {_agg('reason')} as reasons from (select *, {first_sql('path', P.SECURITY)} as reason from allf) where reason is not null group by changeset_id")
-def security_files(s: SparkSession, d: str) -> DataFrame:
-    return A.security_files(_files(s, d))
+@_rule("security_files", f"select changeset_id, count(*) as n_files, {_agg('path')} as files, {_agg('reason')} as reasons from (select *, {first_sql('path', P.SECURITY)} as reason from allf) where reason is not null group by changeset_id")
+def security_files(changes: Changes) -> DataFrame:
+    return A.security_files(changes.files)
 
 
 _SQL_RISK = f"""case when regexp_matches(add_text, {q(A.DESTRUCTIVE_SQL)}) then 'destructive' when regexp_matches(add_text, {q(A.SCHEMA_SQL)}) then 'schema_change'
     when len(list_filter(regexp_extract_all(add_text, '(?i)(?:UPDATE|DELETE)\\s+[^;\\n]*'), lambda x: not regexp_matches(x, '(?i)\\bWHERE\\b'))) > 0 then 'unscoped_modification' end"""
 
 
-@_register("sql_risks", f"select changeset_id, path, hunk_ord, risk from (select changeset_id, path, hunk_ord, {_SQL_RISK} as risk from chg where {any_sql('path', P.MIGRATION_FILE)}) where risk is not null")
-def sql_risks(s: SparkSession, d: str) -> DataFrame:
-    return A.sql_risks(_changes(s, d))
+@_rule("sql_risks", f"select changeset_id, path, hunk_ord, risk from (select changeset_id, path, hunk_ord, {_SQL_RISK} as risk from chg where {any_sql('path', P.MIGRATION_FILE)}) where risk is not null")
+def sql_risks(changes: Changes) -> DataFrame:
+    return A.sql_risks(changes)
 
 
-@_register(
+@_rule(
     "ci_workflows",
     " union all ".join(f"select changeset_id, path, {q(k)} as risk, min(hunk_ord) as first_hunk from chg where {any_sql('path', P.CI_FILE)} and regexp_matches(add_text, {q(p)}) group by 1, 2" for k, p in {**A.WORKFLOW_RISKS, "pipeline_changed": ""}.items()),
 )
-def ci_workflows(s: SparkSession, d: str) -> DataFrame:
-    return A.ci_workflows(_changes(s, d))
+def ci_workflows(changes: Changes) -> DataFrame:
+    return A.ci_workflows(changes)
 
 
-@_register("infra", f"select changeset_id, infra_type, {_agg('path')} as files from (select *, {first_sql('path', P.INFRA)} as infra_type from allf) where infra_type is not null group by 1, 2")
-def infra(s: SparkSession, d: str) -> DataFrame:
-    return A.infra_changes(_files(s, d))
+@_rule("infra", f"select changeset_id, infra_type, {_agg('path')} as files from (select *, {first_sql('path', P.INFRA)} as infra_type from allf) where infra_type is not null group by 1, 2")
+def infra(changes: Changes) -> DataFrame:
+    return A.infra_changes(changes.files)
 
 
-@_register("api_contracts", f"select changeset_id, {_agg('path')} as files from allf where {any_sql('path', P.API_CONTRACT)} group by 1")
-def api_contracts(s: SparkSession, d: str) -> DataFrame:
-    return A.api_contracts(_files(s, d))
+@_rule("api_contracts", f"select changeset_id, {_agg('path')} as files from allf where {any_sql('path', P.API_CONTRACT)} group by 1")
+def api_contracts(changes: Changes) -> DataFrame:
+    return A.api_contracts(changes.files)
 
 
-@_register(
+@_rule(
     "cloudflare",
     f"""select changeset_id, area, {_agg('path')} as files from (select changeset_id, 'wrangler' as area, path from allf where regexp_matches(path, '^wrangler\\.(toml|json)$')
         union all select changeset_id, 'ci', path from chg where regexp_matches(path, '^\\.github/workflows/.*\\.(yml|yaml)$') and regexp_matches(add_text, {q(A.CLOUDFLARE_WORDS)})) group by 1, 2""",
 )
-def cloudflare(s: SparkSession, d: str) -> DataFrame:
-    return A.cloudflare_changes(_files(s, d), _changes(s, d))
+def cloudflare(changes: Changes) -> DataFrame:
+    return A.cloudflare_changes(changes.files, changes)
 
 
-@_register("test_changes", f"select changeset_id, {_agg('path')} as files, " + ", ".join(f"{_agg('path', f'status = {q(x)}')} as {x}" for x in ("added", "modified", "deleted")) + f" from allf where {any_sql('path', P.TEST_FILE + P.TEST_CONFIG)} group by 1")
-def test_changes(s: SparkSession, d: str) -> DataFrame:
-    return A.test_changes(_files(s, d))
+@_rule("test_changes", f"select changeset_id, {_agg('path')} as files, " + ", ".join(f"{_agg('path', f'status = {q(x)}')} as {x}" for x in ("added", "modified", "deleted")) + f" from allf where {any_sql('path', P.TEST_FILE + P.TEST_CONFIG)} group by 1")
+def test_changes(changes: Changes) -> DataFrame:
+    return A.test_changes(changes.files)
 
 
 def _labels_sql(rules: dict[str, str]) -> str:
@@ -365,30 +370,30 @@ def _risk_sql(chosen: str, rules: dict[str, str], schema: str, risk: str) -> str
             from ({chosen}) f left join chg c on f.changeset_id = c.changeset_id and f.path = c.path)) group by changeset_id, tool"""
 
 
-@_register(
+@_rule(
     "supabase_migrations",
     _risk_sql(
         "select s.changeset_id, s.path, 'supabase' as tool from allf s join (select changeset_id, bool_or(regexp_matches(path, '^supabase/migrations/.*\\.sql$')) as m from allf where starts_with(path, 'supabase/') group by 1) a on s.changeset_id = a.changeset_id where starts_with(s.path, 'supabase/') and (not a.m or regexp_matches(s.path, '^supabase/migrations/.*\\.sql$'))",
         A.SUPABASE_DESTRUCTIVE, "true", "when bool_and(regexp_matches(path, '^supabase/(seed|config)')) then 'low' else 'medium'",
     ),
 )
-def supabase_migrations(s: SparkSession, d: str) -> DataFrame:
-    return A.supabase_migrations(_files(s, d), _changes(s, d))
+def supabase_migrations(changes: Changes) -> DataFrame:
+    return A.supabase_migrations(changes.files, changes)
 
 
-@_register("python_migrations", _risk_sql(f"select * from (select changeset_id, path, {first_sql('path', A.PYTHON_MIGRATION)} as tool from allf) where tool is not null", A.PYTHON_DESTRUCTIVE, f"regexp_matches(add_text, {q(A.PYTHON_SCHEMA)})", "when coalesce(bool_or(is_schema), false) then 'medium' else 'low'"))
-def python_migrations(s: SparkSession, d: str) -> DataFrame:
-    return A.python_migrations(_files(s, d), _changes(s, d))
+@_rule("python_migrations", _risk_sql(f"select * from (select changeset_id, path, {first_sql('path', A.PYTHON_MIGRATION)} as tool from allf) where tool is not null", A.PYTHON_DESTRUCTIVE, f"regexp_matches(add_text, {q(A.PYTHON_SCHEMA)})", "when coalesce(bool_or(is_schema), false) then 'medium' else 'low'"))
+def python_migrations(changes: Changes) -> DataFrame:
+    return A.python_migrations(changes.files, changes)
 
 
-@_register("config_findings", config_sql())
-def config_all(s: SparkSession, d: str) -> DataFrame:
-    return config_findings(_changes(s, d))
+@_rule("config_findings", config_sql())
+def config_all(changes: Changes) -> DataFrame:
+    return config_findings(changes)
 
 
 def _config(name: str) -> None:
     rules = [r for r in RULES if r.analyzer == name]
-    _register("config_" + name.replace("-", "_"), config_sql(rules))(lambda s, d: config_findings(_changes(s, d), rules))
+    _rule("config_" + name.replace("-", "_"), config_sql(rules))(lambda changes: config_findings(changes, rules))
 
 
 for _name in dict.fromkeys(r.analyzer for r in RULES):
@@ -404,15 +409,15 @@ def _sides_sql(groups: dict[str, tuple[str, dict[str, str]]], group: str, elemen
     return f"select changeset_id, path, {group}, {element}, name, case bit_or(side) when 1 then 'added' when 2 then {q(removed)} else 'modified' end as change from ({' union all '.join(rows)}) group by 1, 2, 3, 4, 5"
 
 
-@_register("schema_elements", _sides_sql(A.SCHEMA_ELEMENTS, "kind", "element"))
-def schema_elements(s: SparkSession, d: str) -> DataFrame:
-    return A.schema_elements(_changes(s, d))
+@_rule("schema_elements", _sides_sql(A.SCHEMA_ELEMENTS, "kind", "element"))
+def schema_elements(changes: Changes) -> DataFrame:
+    return A.schema_elements(changes)
 
 
 _BREAKS = " union all ".join(f"select changeset_id, path, {q(k)} as kind, {q(label)} as reason from chg where regexp_matches(path, {q(A.SCHEMA_ELEMENTS[k][0])}) and regexp_matches(del_text, {q(p)})" for k, rules in A.SCHEMA_BREAKS.items() for label, p in rules.items())
 
 
-@_register(
+@_rule(
     "schema_changes",
     f""", el as ({_sides_sql(A.SCHEMA_ELEMENTS, "kind", "element")}),
         per as (select changeset_id, path, kind, """
@@ -423,13 +428,13 @@ _BREAKS = " union all ".join(f"select changeset_id, path, {q(k)} as kind, {q(lab
             coalesce(modified, '') as modified, coalesce(reasons, '') as reasons, coalesce(breaks, false) or reasons is not null as is_breaking
         from per p full join why w on p.changeset_id = w.changeset_id and p.path = w.path and p.kind = w.kind""",
 )
-def schema_changes(s: SparkSession, d: str) -> DataFrame:
-    return A.schema_changes(_changes(s, d))
+def schema_changes(changes: Changes) -> DataFrame:
+    return A.schema_changes(changes)
 
 
-@_register("surface_changes", _sides_sql(A.SURFACES, "surface", "kind"))
-def surface_changes(s: SparkSession, d: str) -> DataFrame:
-    return A.surface_changes(_changes(s, d))
+@_rule("surface_changes", _sides_sql(A.SURFACES, "surface", "kind"))
+def surface_changes(changes: Changes) -> DataFrame:
+    return A.surface_changes(changes)
 
 
 def _risky_sql(table_: dict[str, list[str]]) -> str:
@@ -443,14 +448,14 @@ def _versions_sql(gate: str, pattern: str, skip: str) -> str:
         where regexp_matches(line, {q(pattern)}) and not regexp_matches(line, {q(skip)})) group by 1, 2, 3"""
 
 
-@_register(
+@_rule(
     "python_dependencies",
     f"""select changeset_id, path, name, from_version, to_version, case when to_version is null then 'removed' when from_version is null then 'new' when from_version = '' or to_version = '' then 'unknown'
         when coalesce(nullif(regexp_extract(to_version, '(\\d+)', 1), '')::int, 0) > coalesce(nullif(regexp_extract(from_version, '(\\d+)', 1), '')::int, 0) then 'major' else 'minor' end as impact,
         {_risky_sql(A.RISKY_PYTHON)} as risk_category from ({_versions_sql(A.REQUIREMENTS_FILE, A.REQUIREMENT, '^[ ]*(#|-|$)')})""",
 )
-def python_dependencies(s: SparkSession, d: str) -> DataFrame:
-    return A.python_dependencies(_changes(s, d))
+def python_dependencies(changes: Changes) -> DataFrame:
+    return A.python_dependencies(changes)
 
 
 _SEMVER = r"^v?(\d{1,9})\.(\d{1,9})\.(\d{1,9})(?:[-+][0-9A-Za-z.+-]+)?$"
@@ -461,14 +466,14 @@ def _semver_sql(a: str, b: str) -> str:
     return " ".join(f"when {part(b, i)} > {part(a, i)} then {q(n)}" for i, n in ((1, "major"), (2, "minor"), (3, "patch")))
 
 
-@_register(
+@_rule(
     "node_dependencies",
     f"""select changeset_id, path, name, from_version, to_version, case when to_version is null then 'removed' when from_version is null then 'new' {_semver_sql('from_version', 'to_version')} else 'unknown' end as impact,
         {_risky_sql(A.RISKY_NODE)} as risk_category from ({_versions_sql('(^|/)package[.]json$', A.MANIFEST_LINE, A.FIELD_NAME.replace('([^' + chr(92) + '"]+)', '(' + '|'.join(A.NO_DEPENDENCY) + ')'))})
         where from_version is null or to_version is null or from_version <> to_version""",
 )
-def node_dependencies(s: SparkSession, d: str) -> DataFrame:
-    return A.node_dependencies(_changes(s, d))
+def node_dependencies(changes: Changes) -> DataFrame:
+    return A.node_dependencies(changes)
 
 
 def _steps_sql(framework: str) -> str:
@@ -478,7 +483,7 @@ def _steps_sql(framework: str) -> str:
     return out
 
 
-@_register(
+@_rule(
     "file_routes",
     f"""select r.changeset_id, r.path, framework, route_id, route_type, change, case when route_type = 'endpoint' then coalesce(methods, '') else '' end as methods from (
         select changeset_id, path, status as change, framework, case framework {' '.join(f'when {q(k)} then {_steps_sql(k)}' for k in A.ROUTE_STEPS)} end as route_id,
@@ -486,8 +491,8 @@ def _steps_sql(framework: str) -> str:
         from (select *, {first_sql('path', A.ROUTE_GATES)} as framework from allf) where framework is not null) r
         left join (select changeset_id, path, {_agg('m')} as methods from (select changeset_id, path, unnest(regexp_extract_all(add_text, {q(A.METHOD_EXPORT)}, 1)) as m from chg) group by 1, 2) m on r.changeset_id = m.changeset_id and r.path = m.path""",
 )
-def file_routes(s: SparkSession, d: str) -> DataFrame:
-    return A.file_routes(_files(s, d), _changes(s, d))
+def file_routes(changes: Changes) -> DataFrame:
+    return A.file_routes(changes.files, changes)
 
 
 _FRAMEWORK = """case when regexp_matches(path, 'urls\\.py$') then 'django' when regexp_matches(all_text, 'from fastapi|import fastapi|APIRouter') then 'fastapi' when regexp_matches(all_text, 'from django|urlpatterns') then 'django'
@@ -495,7 +500,7 @@ _FRAMEWORK = """case when regexp_matches(path, 'urls\\.py$') then 'django' when
 _ROUTES_OF = lambda text: f"case framework when 'fastapi' then regexp_extract_all({text}, {q(A.FASTAPI_ROUTE)}, 2) when 'django' then regexp_extract_all({text}, {q(A.DJANGO_ROUTE)}, 1) else regexp_extract_all({text}, {q(A.FLASK_ROUTE)}, 1) end"
 
 
-@_register(
+@_rule(
     "python_routes",
     f""", g as (select *, {_FRAMEWORK} as framework from chg where regexp_matches(path, {q(A.PYTHON_ROUTE_FILE)})),
         r as (select changeset_id, path, framework, unnest({_ROUTES_OF('add_text')}) as route, 1 as side from g union all select changeset_id, path, framework, unnest({_ROUTES_OF('del_text')}), 2 from g),
@@ -503,11 +508,11 @@ _ROUTES_OF = lambda text: f"case framework when 'fastapi' then regexp_extract_al
         t as (select changeset_id, path, framework, side, case when starts_with(plain, '/') then plain else '/' || plain end as rooted from p)
         select changeset_id, path, framework, case when rooted = '/' then rooted else regexp_replace(rooted, '/$', '') end as route_id, case bit_or(side) when 1 then 'added' when 2 then 'deleted' else 'modified' end as change from t group by 1, 2, 3, 4""",
 )
-def python_routes(s: SparkSession, d: str) -> DataFrame:
-    return A.python_routes(_changes(s, d))
+def python_routes(changes: Changes) -> DataFrame:
+    return A.python_routes(changes)
 
 
-@_register(
+@_rule(
     "rsc_boundary",
     ", f as (select changeset_id, path, "
     + ", ".join(f"bool_or(regexp_matches({x}_text, {q(p)})) as {x}_{m}" for x in ("add", "del") for m, p in A.RSC_MARKS.items())
@@ -518,19 +523,19 @@ def python_routes(s: SparkSession, d: str) -> DataFrame:
             case when add_server_only and not del_server_only then 'Added server-only import' end, case when not add_client_only and del_client_only then 'Removed client-only import' end) as reasons
         from b where head is not null or base is not null""",
 )
-def rsc_boundary(s: SparkSession, d: str) -> DataFrame:
-    return A.rsc_boundaries(_changes(s, d))
+def rsc_boundary(changes: Changes) -> DataFrame:
+    return A.rsc_boundaries(changes)
 
 
-@_register(
+@_rule(
     "impact_radius",
     f"""select s.changeset_id, s.path, count(distinct u.path) as dependents, case when count(distinct u.path) > 10 then 'high' when count(distinct u.path) > 3 then 'medium' else 'low' end as blast_radius
         from (select changeset_id, path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') as name from allf where status in ('modified', 'renamed') and regexp_matches(path, {q(A.CODE_FILE)})) s
         join (select changeset_id, path, unnest(regexp_extract_all(all_text, '["''](?:[^"''\\s]*/)?([\\w.@-]+?)(?:\\.(?:ts|tsx|js|jsx|mjs|cjs|svelte|vue|astro))?["'']', 1)) as name from chg where regexp_matches(path, {q(A.CODE_FILE)})) u
         on s.changeset_id = u.changeset_id and s.name = u.name and s.path <> u.path group by s.changeset_id, s.path""",
 )
-def impact_radius(s: SparkSession, d: str) -> DataFrame:
-    return A.impact_radius(_files(s, d), _changes(s, d))
+def impact_radius(changes: Changes) -> DataFrame:
+    return A.impact_radius(changes.files, changes)
 
 
 # --- identity, order, comparison ---------------------------------------------------------------------
@@ -602,30 +607,30 @@ def scope_warnings(s: SparkSession, d: str) -> DataFrame:
 # --- scores and reports ------------------------------------------------------------------------------------
 
 
-@_register("findings")
-def findings(s: SparkSession, d: str) -> DataFrame:
-    return _findings(s, d)
+@_rule("findings")
+def findings(changes: Changes) -> DataFrame:
+    return _findings(changes)
 
 
-@_register("risk_factors")
-def risk_factors(s: SparkSession, d: str) -> DataFrame:
-    return S.risk_factors(_findings(s, d), _files(s, d))
+@_rule("risk_factors")
+def risk_factors(changes: Changes) -> DataFrame:
+    return S.risk_factors(_findings(changes), changes.files)
 
 
-@_register("risk_score")
-def risk_score(s: SparkSession, d: str) -> DataFrame:
-    files = _files(s, d)
-    return S.risk_scores(S.risk_factors(_findings(s, d), files), files)
+@_rule("risk_score")
+def risk_score(changes: Changes) -> DataFrame:
+    files = changes.files
+    return S.risk_scores(S.risk_factors(_findings(changes), files), files)
 
 
-@_register("risk_flags")
-def risk_flags(s: SparkSession, d: str) -> DataFrame:
-    return S.risk_flags(_findings(s, d))
+@_rule("risk_flags")
+def risk_flags(changes: Changes) -> DataFrame:
+    return S.risk_flags(_findings(changes))
 
 
-@_register("category_scores")
-def category_scores(s: SparkSession, d: str) -> DataFrame:
-    return S.category_scores(S.risk_flags(_findings(s, d)))
+@_rule("category_scores")
+def category_scores(changes: Changes) -> DataFrame:
+    return S.category_scores(S.risk_flags(_findings(changes)))
 
 
 def _sql_score() -> str:
@@ -637,84 +642,84 @@ def _sql_score() -> str:
             when floor(0.6 * db + 0.4 * db / 3.0 + 0.5) >= 41 then 'elevated' when floor(0.6 * db + 0.4 * db / 3.0 + 0.5) >= 21 then 'moderate' else 'low' end as level, flags from c"""
 
 
-@_register("sql_risk_report", _sql_score())
-def sql_risk_report(s: SparkSession, d: str) -> DataFrame:
+@_rule("sql_risk_report", _sql_score())
+def sql_risk_report(changes: Changes) -> DataFrame:
     """Flagship: hunks to SQL risks, identities, flags, category scores and the overall score."""
-    risks = S._rows(A.sql_risks(_changes(s, d)), "sql-risk", "database", F.concat(F.lit("sql-risk:"), "path", F.lit(":"), "risk"), file=F.col("path"), risk=F.col("risk"))
+    risks = S._rows(A.sql_risks(changes), "sql-risk", "database", F.concat(F.lit("sql-risk:"), "path", F.lit(":"), "risk"), file=F.col("path"), risk=F.col("risk"))
     return S.risk_report(S.risk_flags(risks.withColumn("finding_id", I.finding_id(F.col("type"), F.col("fingerprint")))))
 
 
-@_register("risk_report")
-def risk_report(s: SparkSession, d: str) -> DataFrame:
-    return S.risk_report(S.risk_flags(_findings(s, d)))
+@_rule("risk_report")
+def risk_report(changes: Changes) -> DataFrame:
+    return S.risk_report(S.risk_flags(_findings(changes)))
 
 
-@_register("category_aggregates")
-def category_aggregates(s: SparkSession, d: str) -> DataFrame:
-    found = _findings(s, d)
-    return S.category_aggregates(found, S.risk_factors(found, _files(s, d)))
+@_rule("category_aggregates")
+def category_aggregates(changes: Changes) -> DataFrame:
+    found = _findings(changes)
+    return S.category_aggregates(found, S.risk_factors(found, changes.files))
 
 
-@_register("top_findings")
-def top_findings(s: SparkSession, d: str) -> DataFrame:
-    return S.top_findings(_findings(s, d))
+@_rule("top_findings")
+def top_findings(changes: Changes) -> DataFrame:
+    return S.top_findings(_findings(changes))
 
 
-@_register("dependency_overview")
-def dependency_overview(s: SparkSession, d: str) -> DataFrame:
-    return S.dependency_overview(_findings(s, d))
+@_rule("dependency_overview")
+def dependency_overview(changes: Changes) -> DataFrame:
+    return S.dependency_overview(_findings(changes))
 
 
-@_register("log_results")
-def log_results(s: SparkSession, d: str) -> DataFrame:
-    return S.log_results(_findings(s, d))
+@_rule("log_results")
+def log_results(changes: Changes) -> DataFrame:
+    return S.log_results(_findings(changes))
 
 
-@_register("source_changes")
-def source_change_rows(s: SparkSession, d: str) -> DataFrame:
+@_rule("source_changes")
+def source_change_rows(changes: Changes) -> DataFrame:
     """Routes, component members, exports and translation keys read from both sides of source files."""
-    return source_changes(template_blobs(table(s, d, "files")))
+    return source_changes(A.source_sides(changes))
 
 
-@_register("actions")
-def actions(s: SparkSession, d: str) -> DataFrame:
-    return D.actions(_findings(s, d))
+@_rule("actions")
+def actions(changes: Changes) -> DataFrame:
+    return D.actions(_findings(changes))
 
 
-@_register("highlights")
-def highlights(s: SparkSession, d: str) -> DataFrame:
-    return D.highlights(_findings(s, d))
+@_rule("highlights")
+def highlights(changes: Changes) -> DataFrame:
+    return D.highlights(_findings(changes))
 
 
-@_register(
+@_rule(
     "profile_detect",
     "select changeset_id, coalesce(" + ", ".join(f"case when bool_or({any_sql('path', m)}) then {q(n)} end" for n, m, _ in D.PROFILES) + ", 'auto') as profile, coalesce(" + ", ".join(f"case when bool_or({any_sql('path', m)}) then {q(c)} end" for _, m, c in D.PROFILES) + ", 'low') as confidence from allf group by changeset_id",
 )
-def profile_detect(s: SparkSession, d: str) -> DataFrame:
-    return D.profiles(_files(s, d))
+def profile_detect(changes: Changes) -> DataFrame:
+    return D.profiles(changes.files)
 
 
-@_register("finding_lines")
-def finding_lines(s: SparkSession, d: str) -> DataFrame:
-    return D.finding_lines(_findings(s, d))
+@_rule("finding_lines")
+def finding_lines(changes: Changes) -> DataFrame:
+    return D.finding_lines(_findings(changes))
 
 
-@_register("facts_documents")
-def facts_documents(s: SparkSession, d: str) -> DataFrame:
-    found, files = _findings(s, d), _files(s, d)
+@_rule("facts_documents")
+def facts_documents(changes: Changes) -> DataFrame:
+    found, files = _findings(changes), changes.files
     factors = S.risk_factors(found, files)
     return D.facts_documents(files, found, S.risk_scores(factors, files), S.category_aggregates(found, factors))
 
 
-@_register("markdown")
-def markdown(s: SparkSession, d: str) -> DataFrame:
-    found, files = _findings(s, d), _files(s, d)
+@_rule("markdown")
+def markdown(changes: Changes) -> DataFrame:
+    found, files = _findings(changes), changes.files
     return D.markdown(files, found, S.risk_scores(S.risk_factors(found, files), files))
 
 
-@_register("result_lines")
-def result_lines(s: SparkSession, d: str) -> DataFrame:
-    return D.result_lines(S.log_results(_findings(s, d)))
+@_rule("result_lines")
+def result_lines(changes: Changes) -> DataFrame:
+    return D.result_lines(S.log_results(_findings(changes)))
 
 
 BUDGET = 20_000
