@@ -27,7 +27,7 @@ def made_up(s: SparkSession, d: str) -> Changes:
     """The made-up hunks as change sets."""
     hunks = template_hunks(table(s, d, "hunks"))
     files = hunks.groupBy("changeset_id", "path").agg(F.min_by("status", "hunk_ord").alias("status"))
-    return Changes(files, hunks.drop("status"), A.RULES)
+    return Changes(files, hunks.drop("status"), A.RULES, with_sources=False)
 
 
 def made_up_source_changes(s: SparkSession, d: str) -> DataFrame:

@@ -53,7 +53,7 @@ def large_diffs(files: DataFrame, changes: Changes, max_files: int = 30, max_lin
 
 LOCKFILE = r"^(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|bun\.lockb?)$"
 # Manifest fields whose string values are no dependency versions.
-NO_DEPENDENCY = "name version description main module types typings exports bin scripts repository keywords author license bugs homepage funding files engines os cpu private publishConfig workspaces packageManager type sideEffects browser unpkg jsdelivr".split()
+NO_DEPENDENCY = ["name", "version", "description", "main", "module", "types", "typings", "exports", "bin", "scripts", "repository", "keywords", "author", "license", "bugs", "homepage", "funding", "files", "engines", "os", "cpu", "private", "publishConfig", "workspaces", "packageManager", "type", "sideEffects", "browser", "unpkg", "jsdelivr"]
 DEPENDENCY_FIELD = r"\"(dependencies|devDependencies|peerDependencies|optionalDependencies|bundledDependencies|bundleDependencies)\""
 VERSION_VALUE = r"\"\s*[\^~>=<]?\d+\.\d+|\"\s*[*x]\s*\"|\"\s*\d+\.x|\"\s*npm:|\"\s*git(\+https?|\+ssh)?:|\"\s*github:|\"\s*(file|link):|\"\s*workspace:|\"\s*https?://"
 FIELD_NAME = r"^\s*\"([^\"]+)\"\s*:\s*\""
@@ -270,7 +270,7 @@ SCHEMA_BREAKS = {
     },
 }
 # Compiler options whose change can break a build.
-CRITICAL_OPTIONS = "strict strictNullChecks strictFunctionTypes strictBindCallApply strictPropertyInitialization noImplicitAny noImplicitThis noImplicitReturns noUncheckedIndexedAccess target module moduleResolution lib jsx esModuleInterop allowSyntheticDefaultImports skipLibCheck isolatedModules verbatimModuleSyntax baseUrl paths outDir rootDir declaration declarationMap sourceMap composite incremental emitDecoratorMetadata experimentalDecorators".split()
+CRITICAL_OPTIONS = ["strict", "strictNullChecks", "strictFunctionTypes", "strictBindCallApply", "strictPropertyInitialization", "noImplicitAny", "noImplicitThis", "noImplicitReturns", "noUncheckedIndexedAccess", "target", "module", "moduleResolution", "lib", "jsx", "esModuleInterop", "allowSyntheticDefaultImports", "skipLibCheck", "isolatedModules", "verbatimModuleSyntax", "baseUrl", "paths", "outDir", "rootDir", "declaration", "declarationMap", "sourceMap", "composite", "incremental", "emitDecoratorMetadata", "experimentalDecorators"]
 
 
 RULES["schema-break"] = Rule(
@@ -279,12 +279,24 @@ RULES["schema-break"] = Rule(
 )
 
 
+# Compiler options that make type checks stricter.
+STRICTNESS_OPTIONS = [
+    "strict", "strictNullChecks", "strictFunctionTypes", "strictBindCallApply", "strictPropertyInitialization", "noImplicitAny", "noImplicitThis", "noImplicitReturns", "noUncheckedIndexedAccess",
+    "noUnusedLocals", "noUnusedParameters", "exactOptionalPropertyTypes",
+]
+
+
+def strictness_changes(changes: Changes) -> DataFrame:
+    """changeset_id, path, name, change of the compiler options that concern strictness."""
+    return schema_elements(changes).where("kind = 'tsconfig'").where(F.expr(f"name in ({', '.join(map(lit, STRICTNESS_OPTIONS))})")).select("changeset_id", "path", "name", "change")
+
+
 def schema_changes(changes: Changes) -> DataFrame:
     """Per schema file: added, removed and modified elements, reasons, is_breaking."""
     elements = schema_elements(changes)
     label = F.concat_ws(":", "element", "name")
     per_file = elements.groupBy("changeset_id", "path", "kind").agg(
-        *[listed(label, F.col("change") == c).alias(c) for c in ("added", "removed", "modified")], F.bool_or(F.when(F.col("kind") == "tsconfig", F.col("name").isin(*CRITICAL_OPTIONS)).otherwise(F.col("change") != "added")).alias("breaks")
+        *[listed(label, F.col("change") == c).alias(c) for c in ("added", "removed", "modified")], F.bool_or(F.when(F.col("kind") == "tsconfig", F.expr(f"name in ({', '.join(map(lit, CRITICAL_OPTIONS))})")).otherwise(F.col("change") != "added")).alias("breaks")
     )
     why = changes.rows("schema-break").groupBy("changeset_id", "path", "kind").agg(listed("name").alias("reasons"))
     both = per_file.join(why, ["changeset_id", "path", "kind"], "full")
@@ -294,16 +306,16 @@ def schema_changes(changes: Changes) -> DataFrame:
 
 # Packages whose change needs care.
 RISKY_PYTHON = {
-    "auth": "django-allauth python-social-auth authlib oauthlib python-jose pyjwt passlib argon2-cffi bcrypt".split(),
-    "database": "django sqlalchemy alembic psycopg2 psycopg2-binary asyncpg pymysql mysqlclient pymongo motor redis aioredis tortoise-orm peewee sqlmodel databases prisma".split(),
-    "native": "numpy pandas scipy pillow opencv-python tensorflow torch cryptography pycryptodome pynacl".split(),
-    "payment": "stripe braintree paypalrestsdk".split(),
+    "auth": ["django-allauth", "python-social-auth", "authlib", "oauthlib", "python-jose", "pyjwt", "passlib", "argon2-cffi", "bcrypt"],
+    "database": ["django", "sqlalchemy", "alembic", "psycopg2", "psycopg2-binary", "asyncpg", "pymysql", "mysqlclient", "pymongo", "motor", "redis", "aioredis", "tortoise-orm", "peewee", "sqlmodel", "databases", "prisma"],
+    "native": ["numpy", "pandas", "scipy", "pillow", "opencv-python", "tensorflow", "torch", "cryptography", "pycryptodome", "pynacl"],
+    "payment": ["stripe", "braintree", "paypalrestsdk"],
 }
 RISKY_NODE = {
-    "auth": "passport jsonwebtoken bcrypt bcryptjs oauth auth0 @auth0/auth0-spa-js clerk @clerk/clerk-sdk-node @clerk/nextjs next-auth @auth/core @auth/sveltekit lucia lucia-auth arctic oslo express-session cookie-session passport-local passport-jwt passport-oauth2 jose jwks-rsa supertokens-node @supabase/auth-helpers-sveltekit @supabase/ssr".split(),
-    "database": "prisma @prisma/client drizzle-orm typeorm sequelize knex mongoose pg mysql mysql2 sqlite3 better-sqlite3 mongodb redis ioredis @neondatabase/serverless @planetscale/database @libsql/client kysely".split(),
-    "native": "sharp canvas node-gyp node-pre-gyp node-addon-api nan ffi-napi ref-napi argon2 libsodium-wrappers sodium-native cpu-features usb serialport".split(),
-    "payment": "stripe @stripe/stripe-js paypal-rest-sdk @paypal/checkout-server-sdk braintree square @square/web-sdk adyen-api-library razorpay mollie-api-node lemon-squeezy @polar-sh/sdk polar-sdk".split(),
+    "auth": ["passport", "jsonwebtoken", "bcrypt", "bcryptjs", "oauth", "auth0", "@auth0/auth0-spa-js", "clerk", "@clerk/clerk-sdk-node", "@clerk/nextjs", "next-auth", "@auth/core", "@auth/sveltekit", "lucia", "lucia-auth", "arctic", "oslo", "express-session", "cookie-session", "passport-local", "passport-jwt", "passport-oauth2", "jose", "jwks-rsa", "supertokens-node", "@supabase/auth-helpers-sveltekit", "@supabase/ssr"],
+    "database": ["prisma", "@prisma/client", "drizzle-orm", "typeorm", "sequelize", "knex", "mongoose", "pg", "mysql", "mysql2", "sqlite3", "better-sqlite3", "mongodb", "redis", "ioredis", "@neondatabase/serverless", "@planetscale/database", "@libsql/client", "kysely"],
+    "native": ["sharp", "canvas", "node-gyp", "node-pre-gyp", "node-addon-api", "nan", "ffi-napi", "ref-napi", "argon2", "libsodium-wrappers", "sodium-native", "cpu-features", "usb", "serialport"],
+    "payment": ["stripe", "@stripe/stripe-js", "paypal-rest-sdk", "@paypal/checkout-server-sdk", "braintree", "square", "@square/web-sdk", "adyen-api-library", "razorpay", "mollie-api-node", "lemon-squeezy", "@polar-sh/sdk", "polar-sdk"],
 }
 REQUIREMENT = r"^\s*([a-zA-Z0-9_-]+)(?:\[[^\]]+\])?(?:[><=~!]+(.+))?"
 REQUIREMENTS_FILE = r"(^|/)requirements[^/]*\.txt$"
@@ -311,32 +323,47 @@ MANIFEST_LINE = r"^\s*\"([^\"]+)\"\s*:\s*\"([\^~>=<]*\d[^\"]*)\""
 
 
 def _version_rule(rule: str, gate: str, pattern: str, skip: str) -> Rule:
-    side = lambda column, mark: f"transform(filter({column}, x -> x rlike {lit(pattern)} and not x rlike {lit(skip)}), x -> {label(rule, f'trim(regexp_extract(x, {lit(pattern)}, 2))', f'lower(regexp_extract(x, {lit(pattern)}, 1))', side=mark)})"
+    side = lambda column, mark: f"transform(filter({column}, x -> x rlike {lit(pattern)} and not x rlike {lit(skip)}), x -> {label(rule, f'trim(regexp_extract(x, {lit(pattern)}, 2))', f'lower(regexp_extract(x, {lit(pattern)}, 1))', lit('dependencies'), mark)})"
+    return Rule([gate], f"concat({side('additions', 1)}, {side('deletions', 2)})")
+
+
+#: An object opened in a manifest; the lines below belong to it until the next one.
+MANIFEST_SECTION = r"^\s*\"([^\"]+)\"\s*:\s*\{"
+#: Manifest sections that are compared.
+SECTIONS = ["dependencies", "devDependencies"]
+
+
+def _manifest_rule(rule: str, gate: str, pattern: str, skip: str) -> Rule:
+    """Dependency lines with the section above them on the same side of the hunk, else dependencies."""
+    entry = "struct<section:string,line:string>"
+    start = f"named_struct('now', 'dependencies', 'out', cast(array() as array<{entry}>))"
+    now = f"if(x rlike {lit(MANIFEST_SECTION)}, regexp_extract(x, {lit(MANIFEST_SECTION)}, 1), a.now)"
+    wanted = f"x rlike {lit(pattern)} and not x rlike {lit(skip)} and a.now in ({', '.join(map(lit, SECTIONS))})"
+    step = f"named_struct('now', {now}, 'out', if({wanted}, concat(a.out, array(named_struct('section', a.now, 'line', x))), a.out))"
+    lines = lambda column: f"aggregate({column}, {start}, (a, x) -> {step}, a -> a.out)"
+    side = lambda column, mark: f"transform({lines(column)}, e -> {label(rule, f'trim(regexp_extract(e.line, {lit(pattern)}, 2))', f'lower(regexp_extract(e.line, {lit(pattern)}, 1))', 'e.section', mark)})"
     return Rule([gate], f"concat({side('additions', 1)}, {side('deletions', 2)})")
 
 
 def _versions(rows: DataFrame) -> DataFrame:
-    """changeset_id, path, name, from_version, to_version of dependency lines; the greatest version of a side counts."""
-    return rows.groupBy("changeset_id", "path", "name").agg(F.max(F.when(F.col("side") == 2, F.col("kind"))).alias("from_version"), F.max(F.when(F.col("side") == 1, F.col("kind"))).alias("to_version"))
+    """changeset_id, path, name, section, from_version, to_version of dependency lines; the greatest version of a side counts."""
+    return rows.groupBy("changeset_id", "path", "name", F.col("more").alias("section")).agg(F.max(F.when(F.col("side") == 2, F.col("kind"))).alias("from_version"), F.max(F.when(F.col("side") == 1, F.col("kind"))).alias("to_version"))
 
 
 RULES["requirement"] = _version_rule("requirement", REQUIREMENTS_FILE, REQUIREMENT, r"^\s*(#|-|$)")
-RULES["manifest-line"] = _version_rule("manifest-line", r"(^|/)package\.json$", MANIFEST_LINE, FIELD_NAME.replace("([^\"]+)", "(" + "|".join(NO_DEPENDENCY) + ")"))
+RULES["manifest-line"] = _manifest_rule("manifest-line", r"(^|/)package\.json$", MANIFEST_LINE, FIELD_NAME.replace("([^\"]+)", "(" + "|".join(NO_DEPENDENCY) + ")"))
 
 
-def _risky(name: Column, table: dict[str, list[str]]) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for kind, names in table.items():
-        out = out.when(name.isin(*names), kind)
-    return out
+def _risky(table: dict[str, list[str]]) -> Column:
+    return F.expr("case " + " ".join(f"when name in ({', '.join(map(lit, names_))}) then {lit(kind)}" for kind, names_ in table.items()) + " end")
 
 
 def python_dependencies(changes: Changes) -> DataFrame:
-    """changeset_id, path, name, from_version, to_version, impact, risk_category of requirement lines."""
+    """changeset_id, path, name, section, from_version, to_version, impact, risk_category of requirement lines."""
     major = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
     a, b = F.col("from_version"), F.col("to_version")
     impact = F.when(b.isNull(), "removed").when(a.isNull(), "new").when((a == "") | (b == ""), "unknown").when(major(b) > major(a), "major").otherwise("minor")
-    return _versions(changes.rows("requirement")).withColumn("impact", impact).withColumn("risk_category", _risky(F.col("name"), RISKY_PYTHON))
+    return _versions(changes.rows("requirement")).withColumn("impact", impact).withColumn("risk_category", _risky(RISKY_PYTHON))
 
 
 def semver_impact(old: Column, new: Column) -> Column:
@@ -348,11 +375,11 @@ def semver_impact(old: Column, new: Column) -> Column:
 
 
 def node_dependencies(changes: Changes) -> DataFrame:
-    """changeset_id, path, name, from_version, to_version, impact, risk_category of manifest lines."""
+    """changeset_id, path, name, section, from_version, to_version, impact, risk_category of manifest lines."""
     a, b = F.col("from_version"), F.col("to_version")
     impact = F.when(b.isNull(), "removed").when(a.isNull(), "new").otherwise(semver_impact(a, b))
     lines = _versions(changes.rows("manifest-line"))
-    return lines.where("from_version is null or to_version is null or from_version <> to_version").withColumn("impact", impact).withColumn("risk_category", _risky(F.col("name"), RISKY_NODE))
+    return lines.where("from_version is null or to_version is null or from_version <> to_version").withColumn("impact", impact).withColumn("risk_category", _risky(RISKY_NODE))
 
 
 # --- routes ---------------------------------------------------------------------------
@@ -360,13 +387,15 @@ def node_dependencies(changes: Changes) -> DataFrame:
 # Route files by framework: path gate.
 ROUTE_GATES = [
     ("kit", [r"^src/routes/(.*/)?\+(page|layout|server|error)[^/]*\.(svelte|ts)$"]),
-    ("next", [r"^(src/)?app/(.*/)?(page|layout|template|default|loading|error|global-error|not-found|route)\.(ts|tsx|js|jsx)$"]),
+    ("next", [r"^(src/)?app/(.*/)?(page|layout|template|default|loading|error|global-error|not-found|route)\.(ts|tsx|js|jsx)$", r"^(src/)?app/(.*/)?(opengraph-image|twitter-image|icon|apple-icon|sitemap|robots|manifest)\.(ts|tsx|js|jsx)$", r"^(src/)?app/(.*/)?(opengraph-image|twitter-image|icon|apple-icon)\.(png|jpg|jpeg|svg|gif|ico)$"]),
+    ("next-root", [r"^(src/)?middleware\.(ts|tsx|js|jsx)$", r"^(src/)?instrumentation\.(ts|js)$"]),
     ("astro", [r"^src/pages/.+\.(astro|md|mdx|html|ts|js)$", r"^src/layouts/.+\.astro$", r"^src/content/.+\.(md|mdx|json|yaml|yml)$"]),
     ("nuxt", [r"^(app/)?pages/.+\.vue$", r"^server/(api|routes)/.+\.(ts|js|mjs)$"]),
 ]
 ROUTE_TYPES = {
     "kit": [("page", [r"\+page\.(svelte|ts|server\.ts)$"]), ("layout", [r"\+layout\.(svelte|ts|server\.ts)$"]), ("endpoint", [r"\+server\.ts$"]), ("error", [r"\+error\.svelte$"])],
-    "next": [("endpoint", [r"/route\.[a-z]+$"]), ("error", [r"/(error|global-error|not-found)\.[a-z]+$"]), ("page", [r"/page\.[a-z]+$"]), ("layout", [r"/layout\.[a-z]+$"]), ("template", [r"/template\.[a-z]+$"]), ("default", [r"/default\.[a-z]+$"]), ("loading", [r"/loading\.[a-z]+$"])],
+    "next": [("endpoint", [r"/route\.[a-z]+$"]), ("error", [r"/(error|global-error|not-found)\.[a-z]+$"]), ("page", [r"/page\.[a-z]+$"]), ("layout", [r"/layout\.[a-z]+$"]), ("template", [r"/template\.[a-z]+$"]), ("default", [r"/default\.[a-z]+$"]), ("loading", [r"/loading\.[a-z]+$"]), ("metadata", [r"/(opengraph-image|twitter-image|icon|apple-icon|sitemap|robots|manifest)\.[a-z]+$"])],
+    "next-root": [("middleware", [r"middleware\."]), ("instrumentation", [r"instrumentation\."])],
     "astro": [("layout", [r"^src/layouts/"]), ("endpoint", [r"^src/pages/.*\.(ts|js)$"]), ("error", [r"404\.", r"500\."]), ("page", [r"."])],
     "nuxt": [("endpoint", [r"^server/"]), ("page", [r"."])],
 }
@@ -375,6 +404,7 @@ METHOD_EXPORT = r"export\s+(?:async\s+)?(?:const|function)\s+(GET|POST|PUT|PATCH
 ROUTE_STEPS = {
     "kit": [(r"^src/routes", ""), (r"/[^/]*$", ""), (r"^$", "/")],
     "next": [(r"^(src/)?app", ""), (r"/[^/]*$", ""), (r"/\([^.)][^)]*\)", ""), (r"/@[^/]+", ""), (r"^$", "/")],
+    "next-root": [(r"^(src/)?middleware\..*$", "/"), (r"^(src/)?instrumentation\..*$", "/instrumentation")],
     "astro": [(r"^src/content/", "/content/"), (r"^(src/layouts/.*)$", "$1"), (r"^src/pages(/.*)\.(astro|md|mdx|html|ts|js)$", "$1"), (r"/index$", ""), (r"\[\.\.\.(\w+)\]", ":$1*"), (r"\[(\w+)\]", ":$1"), (r"^$", "/")],
     "nuxt": [(r"^(?:app/)?pages", ""), (r"^server/api", "/api"), (r"^server/routes", ""), (r"\.(vue|ts|js|mjs)$", ""), (r"\.(get|post|put|patch|delete|head|options)$", ""), (r"/index$", ""), (r"\[\.\.\.(\w+)\]", ":$1*"), (r"\[\[?(\w+)\]?\]", ":$1"), (r"^$", "/")],
 }
@@ -459,6 +489,55 @@ def surface_changes(changes: Changes) -> DataFrame:
     return _two_sides(changes.rows("surface"), "surface", "kind")
 
 
+def surface_files(changes: Changes) -> DataFrame:
+    """changeset_id, path, surface, names, told (name:kind:change:breaking), breaks: one row per file and surface.
+
+    Removed names are breaking, for runes only state and props, for configuration features none.
+    """
+    breaks = F.expr("change = 'removed' and surface <> 'next-config' and (surface <> 'runes' or name in ('$state', '$props'))")
+    told = F.concat_ws(":", "name", "kind", "change", breaks.cast("string"))
+    return surface_changes(changes).groupBy("changeset_id", "path", "surface").agg(listed("name").alias("names"), listed(told).alias("told"), F.bool_or(breaks).alias("breaks"))
+
+
+# Configuration files of Python projects by kind and category: names of files, first match.
+PYTHON_CONFIGS = [
+    ("pyproject:build", [r"(^|/)pyproject\.toml$"]), ("setup:build", [r"(^|/)setup\.cfg$", r"(^|/)setup\.py$"]), ("manifest:build", [r"(^|/)MANIFEST\.in$"]), ("tox:testing", [r"(^|/)tox\.ini$"]), ("pytest:testing", [r"(^|/)pytest\.ini$", r"(^|/)conftest\.py$"]),
+    ("coverage:testing", [r"(^|/)\.coveragerc$"]), ("nox:testing", [r"(^|/)\.noxfile\.py$"]), ("mypy:typing", [r"(^|/)\.?mypy\.ini$"]), ("pyright:typing", [r"(^|/)pyrightconfig\.json$"]), ("flake8:linting", [r"(^|/)\.flake8$"]), ("pylint:linting", [r"(^|/)\.pylintrc$"]),
+    ("ruff:linting", [r"(^|/)\.ruff\.toml$", r"(^|/)ruff\.toml$"]), ("isort:linting", [r"(^|/)\.isort\.cfg$"]), ("bandit:security", [r"(^|/)\.bandit$"]), ("black:formatting", [r"(^|/)\.?black$"]), ("editorconfig:formatting", [r"(^|/)\.editorconfig$"]),
+    ("pre-commit:hooks", [r"(^|/)\.pre-commit-config\.yaml$"]), ("python-version:environment", [r"(^|/)\.python-version$"]), ("runtime:environment", [r"(^|/)runtime\.txt$"]),
+]
+# Reasons that make a change of pyproject breaking, looked for in added lines.
+PYPROJECT_BREAKS = {
+    "Python version constraint changed": r"(?i)python\s*=\s*[\"'][<>=!~]+\s*3\.",
+    "requires-python changed": r"(?i)requires-python\s*=\s*[\"'][<>=!~]+",
+    "Poetry dependencies section changed": r"(?i)\[tool\.poetry\.dependencies\]",
+    "Project dependencies section changed": r"(?i)\[project\.dependencies\]",
+    "Build system configuration changed": r"(?i)\[build-system\]",
+    "CLI scripts changed": r"(?i)\[project\.scripts\]",
+    "Entry points changed": r"(?i)\[project\.entry-points\]",
+    "[project] section modified": r"\[project\]",
+    "[tool.poetry] section modified": r"\[tool\.poetry\]",
+    "[build-system] section modified": r"\[build-system\]",
+    "[project.scripts] section modified": r"\[project\.scripts\]",
+    "[project.entry-points] section modified": r"\[project\.entry-points\]",
+    "[project.optional-dependencies] section modified": r"\[project\.optional-dependencies\]",
+}
+_PYTHON_CONFIG_GATES = [g for _, gates in PYTHON_CONFIGS for g in gates]
+CONFIG_SECTION = r"(?m)^\s*\[([^\]\n]+)\]"
+RULES["python-section"] = Rule(_PYTHON_CONFIG_GATES, names("python-section", CONFIG_SECTION, 1))
+RULES["python-break"] = Rule([r"(^|/)pyproject\.toml$"], marks("python-break", PYPROJECT_BREAKS, 1))
+
+
+def python_configs(files: DataFrame, changes: Changes) -> DataFrame:
+    """changeset_id, path, status, config_type, config_category, sections, reasons, is_breaking of Python configuration files."""
+    kinds = files.withColumn("kind", P.first_of(F.col("path"), PYTHON_CONFIGS)).where("kind is not null")
+    found = changes.rows("python-section", "python-break").groupBy("changeset_id", "path").agg(listed(F.trim("name"), F.col("rule") == "python-section").alias("sections"), listed("name", F.col("rule") == "python-break").alias("reasons"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return kinds.join(found, ["changeset_id", "path"], "left").select(
+        "changeset_id", "path", "status", F.substring_index("kind", ":", 1).alias("config_type"), F.substring_index("kind", ":", -1).alias("config_category"), text("sections").alias("sections"), text("reasons").alias("reasons"), (text("reasons") != "").alias("is_breaking")
+    )
+
+
 RSC_PATH = r"(?:^|/)app/.*\.(ts|tsx|js|jsx)$|\.(server|client)\.(ts|tsx|js|jsx)$"
 RSC_MARKS = {"use_server": "[\"']use server[\"']", "use_client": "[\"']use client[\"']", "server_only": "(?:import\\s+|from\\s+)[\"']server-only[\"']", "client_only": "(?:import\\s+|from\\s+)[\"']client-only[\"']"}
 
@@ -488,7 +567,7 @@ RULES["uses"] = Rule([CODE_FILE], names("uses", QUOTED_MODULE, 3))
 
 
 def impact_radius(files: DataFrame, changes: Changes) -> DataFrame:
-    """changeset_id, path, dependents, blast_radius of modified and renamed code files.
+    """changeset_id, path, dependents, users (their paths), blast_radius of modified and renamed code files.
 
     A dependent is another file of the change set with a changed line that imports the
     file's base name (the last part of a quoted module path), found by an equi-join on
@@ -497,7 +576,7 @@ def impact_radius(files: DataFrame, changes: Changes) -> DataFrame:
     base = lambda p: F.regexp_replace(P.file_name(p), r"\.[^.]*$", "")
     sources = files.where(F.col("status").isin("modified", "renamed") & F.col("path").rlike(CODE_FILE)).select("changeset_id", "path", base(F.col("path")).alias("name"))
     uses = changes.rows("uses").select("changeset_id", F.col("path").alias("user"), "name").distinct()
-    counted = sources.join(uses, ["changeset_id", "name"]).where("user <> path").groupBy("changeset_id", "path").agg(F.count_distinct("user").alias("dependents"))
+    counted = sources.join(uses, ["changeset_id", "name"]).where("user <> path").groupBy("changeset_id", "path").agg(F.count_distinct("user").alias("dependents"), listed("user").alias("users"))
     return counted.withColumn("blast_radius", F.when(F.col("dependents") > 10, "high").when(F.col("dependents") > 3, "medium").otherwise("low"))
 
 

@@ -27,7 +27,7 @@ class ConfigRule:
     sections: label -> pattern over all changed lines. reasons: label -> alternatives,
     each a list of needs that must all be met. quiet: no finding without a section or
     reason. graded: confidence is low where nothing matched. required: a need without
-    which the file is none of this kind.
+    which the file is none of this kind. plugins: name -> pattern over all changed lines.
     """
 
     analyzer: str
@@ -40,6 +40,7 @@ class ConfigRule:
     quiet: bool = False
     graded: bool = False
     required: Need | None = None
+    plugins: dict[str, str] | None = None
 
 
 def _quoted(names: Iterable[str], after: str = r"[:{\[]") -> dict[str, str]:
@@ -130,6 +131,30 @@ RULES = [
             "SSR configuration changed (affects server rendering)": [[("all", r"\bssr\s*[:{]")]],
         },
         graded=True,
+        plugins={
+            "React": r"@vitejs/plugin-react", "Vue": r"@vitejs/plugin-vue", "Vue JSX": r"@vitejs/plugin-vue-jsx", "Legacy Browser Support": r"@vitejs/plugin-legacy", "Svelte": r"@sveltejs/vite-plugin-svelte", "PWA": "vite-plugin-pwa",
+            "TypeScript Paths": "vite-tsconfig-paths", "Vitest": "vitest", "Angular": "@angular/build", "Solid": "vite-plugin-solid", "Qwik": "vite-plugin-qwik",
+        },
+    ),
+    ConfigRule(
+        "docker", "docker-change", "infra", "dockerfile", (r"(?i)Dockerfile(\.[a-z0-9-]+)?$",), {},
+        {"Base image changed": [[("del", r"(?im)^\s*FROM\s+"), ("add", r"(?im)^\s*FROM\s+")]], "Default command changed": [[("del", r"CMD\s+"), ("add", r"CMD\s+")]]}
+        | _one("del", {"Exposed ports changed": r"EXPOSE\s+\d+", "Entrypoint changed": r"ENTRYPOINT\s+"}),
+    ),
+    ConfigRule(
+        "docker", "docker-change", "infra", "compose", (r"^docker-compose(\.[a-z0-9-]+)?\.(yml|yaml)$", r"^compose(\.[a-z0-9-]+)?\.(yml|yaml)$"), {},
+        _one("del", {"Service definition changed": r"(?m)^\s{2}\w+:\s*$", "Port mappings changed": r"(?i)ports:", "Volume mappings changed": r"(?i)volumes:", "Network configuration changed": r"(?i)networks:"}),
+    ),
+    ConfigRule("docker", "docker-change", "infra", "dockerignore", (r"^\.dockerignore$",), {}, {}),
+    ConfigRule(
+        "cypress", "cypress-config", "tests", "cypress", (r"(^|/)cypress\.config\.(ts|js|mjs|cjs)$",),
+        {n: rf"\b{n}\s*:" for n in ("baseUrl", "env", "viewportWidth", "viewportHeight", "defaultCommandTimeout", "pageLoadTimeout", "requestTimeout", "responseTimeout", "retries", "video", "screenshot", "chromeWebSecurity", "watchForFileChanges")},
+        {
+            "baseUrl changed (tests may target wrong environment)": [[("del", r"\bbaseUrl\s*:"), ("add", r"\bbaseUrl\s*:")]],
+            "Environment variables removed from config": [[("del", r"env\s*:\s*\{([^}]+)\}"), ("del", r"\b\w+\s*:")]],
+            "Viewport dimensions changed (may affect visual tests)": [[("del", r"viewportWidth\s*:|viewportHeight\s*:"), ("add", r"viewportWidth\s*:|viewportHeight\s*:")]],
+        },
+        graded=True,
     ),
     ConfigRule(
         "turborepo", "turborepo-config", "config_env", "turborepo", (r"^turbo\.jsonc?$",),
@@ -158,6 +183,7 @@ def _flat(rule: ConfigRule) -> list[tuple[str, str, int, int, int, Need]]:
     out = [("section", label, 0, 1, 0, ("all", p)) for label, p in rule.sections.items()]
     for label, alternatives in rule.reasons.items():
         out += [("reason", label, a, len(needs), i, need) for a, needs in enumerate(alternatives) for i, need in enumerate(needs)]
+    out += [("plugin", label, 0, 1, 0, ("all", p)) for label, p in (rule.plugins or {}).items()]
     if rule.required:
         out.append(("required", "required", 0, 1, 0, rule.required))
     return out
@@ -185,7 +211,7 @@ LABEL_RULES["config"] = _label_rule()
 
 
 def config_findings(changes: Changes, rules: list[ConfigRule] = RULES) -> DataFrame:
-    """changeset_id, file, status, analyzer, type, category, tool, sections, reasons, is_breaking, confidence.
+    """changeset_id, file, status, analyzer, type, category, tool, sections, reasons, plugins, is_breaking, confidence.
 
     Sections and reasons are sorted and joined by '; '. Patterns are looked for within
     each hunk; what a reason needs may come from several hunks of a file. One label per
@@ -204,14 +230,14 @@ def config_findings(changes: Changes, rules: list[ConfigRule] = RULES) -> DataFr
     joined = lambda role: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("label")))), "; ")
     named = spark.createDataFrame([(k, r.analyzer, r.type, r.category, r.tool, r.quiet, r.graded, r.required is not None) for k, r in enumerate(rules)], "rule int, analyzer string, type string, category string, tool string, quiet boolean, graded boolean, needs_more boolean")
     found = met.groupBy("changeset_id", "file", "rule").agg(
-        joined("section").alias("sections"), joined("reason").alias("reasons"), F.max((F.col("role") == "required").cast("int")).alias("has_required")
+        joined("section").alias("sections"), joined("reason").alias("reasons"), joined("plugin").alias("plugins"), F.max((F.col("role") == "required").cast("int")).alias("has_required")
     )
     listed = changes.files.select("changeset_id", F.col("path").alias("file"), "status")
     labelled = found.join(F.broadcast(named), "rule").join(listed, ["changeset_id", "file"], "left").withColumn("status", F.coalesce("status", F.lit("modified")))
     kept = labelled.where("(not needs_more or has_required = 1) and (not quiet or sections <> '' or reasons <> '')")
     breaking = F.col("reasons") != ""
     confidence = F.when(breaking, "high").when(F.col("graded") & (F.col("sections") == ""), "low").otherwise("medium")
-    return kept.select("changeset_id", "file", "status", "analyzer", "type", "category", "tool", "sections", "reasons", breaking.alias("is_breaking"), confidence.alias("confidence"))
+    return kept.select("changeset_id", "file", "status", "analyzer", "type", "category", "tool", "sections", "reasons", "plugins", breaking.alias("is_breaking"), confidence.alias("confidence"))
 
 
 def config_sql(rules: list[ConfigRule] = RULES) -> str:
@@ -235,8 +261,9 @@ def config_sql(rules: list[ConfigRule] = RULES) -> str:
         per_file as (select changeset_id, file, rule, max(status) as status,
             coalesce(string_agg(distinct label, '; ' order by label) filter (where role = 'section'), '') as sections,
             coalesce(string_agg(distinct label, '; ' order by label) filter (where role = 'reason'), '') as reasons,
+            coalesce(string_agg(distinct label, '; ' order by label) filter (where role = 'plugin'), '') as plugins,
             bool_or(role = 'required') as has_required from met group by changeset_id, file, rule)
-        select p.changeset_id, p.file, p.status, n.analyzer, n.type, n.category, n.tool, p.sections, p.reasons, p.reasons <> '' as is_breaking,
+        select p.changeset_id, p.file, p.status, n.analyzer, n.type, n.category, n.tool, p.sections, p.reasons, p.plugins, p.reasons <> '' as is_breaking,
             case when p.reasons <> '' then 'high' when n.graded and p.sections = '' then 'low' else 'medium' end as confidence
         from per_file p join rule_names n on p.rule = n.rule
         where (not n.needs_more or p.has_required) and (not n.quiet or p.sections <> '' or p.reasons <> '')"""

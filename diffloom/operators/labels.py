@@ -60,12 +60,14 @@ class Rule:
 
 @dataclass
 class Changes:
-    """Hunks of change sets under rules. files: changeset_id, path, status; hunks as delivered."""
+    """Hunks of change sets under rules. files: changeset_id, path, status; hunks as delivered;
+    with_sources: whether nested source texts are read for findings too."""
 
     files: DataFrame
     hunks: DataFrame
     rules: dict[str, Rule]
     kept: DataFrame | None = None
+    with_sources: bool = True
 
     def texts(self) -> DataFrame:
         """Hunks with their lines joined; null arrays are empty and null lines are left out of them."""

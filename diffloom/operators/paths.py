@@ -19,6 +19,7 @@ CATEGORIES = [
     ("artifacts", [r"(?i)\.(tgz|tar\.gz|zip|whl|jar|war|gem|nupkg|deb|rpm|dmg|exe|dll|so|dylib|a|o|wasm)$"]),
     ("product", [r"^src/", r"^lib/", r"^app/", r"^pages/", r"^components/", r"^hooks/", r"^utils/", r"^services/", r"^api/", r"^server/", r"^client/", r"\.[jt]sx?$", r"\.svelte$", r"\.vue$", r"\.astro$"]),
 ]
+# Ordered reasons why a path is sensitive.
 SECURITY = [
     ("auth-path", [r"(?i)\bauth\b", r"(?i)\blogin\b", r"(?i)\blogout\b", r"(?i)\bsignin\b", r"(?i)\bsignout\b", r"(?i)\bsignup\b", r"(?i)\bregister\b"]),
     ("session-path", [r"(?i)\bsession\b", r"(?i)\bjwt\b", r"(?i)\btoken\b", r"(?i)\bcookie\b", r"(?i)\boauth\b"]),
@@ -27,36 +28,48 @@ SECURITY = [
     ("guard", [r"(?i)guard\.[jt]sx?$", r"/guards?/"]),
     ("policy", [r"(?i)policy\.[jt]sx?$", r"/policies/"]),
 ]
+# What a reader is told of each reason.
 SECURITY_LABELS = {"auth-path": "Authentication", "session-path": "Session/Token", "permission-path": "Permissions/RBAC", "middleware": "Middleware", "guard": "Route Guard", "policy": "Policy"}
+# Paths of build output.
 EXCLUDED = [r"^dist/", r"^build/", r"^\.next/", r"^\.svelte-kit/", r"^\.nuxt/", r"^out/", r"^node_modules/", r"^vendor/", r"\.map$", r"\.d\.ts$", r"\.min\.(js|css)$", r"^\.cache/", r"^\.parcel-cache/"]
+# Reasons to skip a path.
 SKIP = [
     ("lockfile", [r"^(pnpm-lock\.yaml|package-lock\.json|yarn\.lock|bun\.lockb)$"]),
     ("generated file", [r"\.d\.ts$"]),
     ("log file", [r"\.log$"]),
     ("build artifact", [r"dist/", r"build/", r"coverage/", r"\.turbo/", r"\.next/", r"out/", r"\.cache/"]),
 ]
+# Globs left out unless asked for.
 DEFAULT_GLOBS = ["**/pnpm-lock.yaml", "**/package-lock.json", "**/yarn.lock", "**/bun.lock", "**/bun.lockb", "**/*.d.ts", "**/*.log", "**/*.logs", "**/dist/**", "**/build/**", "**/.svelte-kit/**", "**/.next/**", "**/.turbo/**", "**/coverage/**", "**/.cache/**", "**/*.min.*", "**/*.map"]
-BINARY = "png jpg jpeg gif webp ico svg woff woff2 ttf eot otf zip tar gz tgz rar pdf doc docx xls xlsx exe dll so dylib mp3 mp4 wav avi mov lockb".split()
+# Extensions of binary files.
+BINARY = ["png", "jpg", "jpeg", "gif", "webp", "ico", "svg", "woff", "woff2", "ttf", "eot", "otf", "zip", "tar", "gz", "tgz", "rar", "pdf", "doc", "docx", "xls", "xlsx", "exe", "dll", "so", "dylib", "mp3", "mp4", "wav", "avi", "mov", "lockb"]
+# Kinds of infrastructure files, first match.
 INFRA = [("dockerfile", [r"(?i)dockerfile"]), ("terraform", [r"\.tf$", r"\.tfvars$"]), ("k8s", [r"kubernetes/", r"k8s/", r"(?:deployment|service|ingress).*\.yaml$"])]
+# Paths of API contracts.
 API_CONTRACT = [r"openapi", r"swagger", r"\.proto$", r"/api/.*\.(?:yaml|yml|json)$"]
+# Test files.
 TEST_FILE = [r"\.test\.ts$", r"\.spec\.ts$", r"\.test\.js$", r"\.spec\.js$", r"^tests?/"]
+# Test configuration.
 TEST_CONFIG = [r"^vitest\.config(\.[a-z0-9]+)?\.(ts|js|mts|mjs)$", r"^vite\.config(\.[a-z0-9]+)?\.(ts|js|mts|mjs)$"]
-DOCKER_KINDS = [("dockerfile", [r"(?i)Dockerfile(\.[a-z0-9-]+)?$"]), ("compose", [r"^docker-compose(\.[a-z0-9-]+)?\.(yml|yaml)$", r"^compose(\.[a-z0-9-]+)?\.(yml|yaml)$"]), ("dockerignore", [r"^\.dockerignore$"])]
+# Files with migrations.
 MIGRATION_FILE = [r"/migrations/", r"/migrate/", r"\.sql$"]
+# Pipeline files.
 CI_FILE = [r"\.github/workflows/.*\.ya?ml$", r"^\.gitlab-ci\.yml$", r"^Jenkinsfile$", r"^azure-pipelines\.yml$"]
 
 
+def one_pattern(patterns: list[str]) -> str:
+    """One pattern that matches where any of several does."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def any_of(text: Column, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | text.rlike(p)
-    return out
+    return text.rlike(one_pattern(patterns))
 
 
 def first_of(text: Column, rules: list[tuple[str, list[str]]], otherwise: str | None = None) -> Column:
     """The name of the first rule with a matching pattern."""
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, patterns in rules:
+    out = F.when(any_of(text, rules[0][1]), rules[0][0])
+    for name, patterns in rules[1:]:
         out = out.when(any_of(text, patterns), name)
     return out.otherwise(F.lit(otherwise))
 
@@ -125,3 +138,10 @@ def path_decision(path: Column, include: list[str] | None = None, exclude: list[
     if include:
         return out.when(globs(include), "keep").otherwise("not-included")
     return out.when(globs(default_exclude), "excluded-by-default").otherwise("keep")
+
+
+# Globs that a findings run reports as left out by default.
+FACTS_GLOBS = [
+    "**/*.d.ts", "**/*.map", "**/*.min.js", "**/*.min.css", "**/node_modules/**", "**/dist/**", "**/build/**", "**/.next/**", "**/.svelte-kit/**", "**/.nuxt/**", "**/out/**", "**/.cache/**", "**/.parcel-cache/**", "**/vendor/**", "**/*.log",
+    "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml", "**/bun.lock", "**/*.tgz", "**/*.tar.gz", "**/*.zip",
+]

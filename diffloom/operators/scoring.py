@@ -15,152 +15,146 @@ from diffloom.operators import paths as P
 from diffloom.operators.config_rules import config_findings
 from diffloom.operators.labels import Changes
 from diffloom.operators.identity import finding_id, flag_id
+from diffloom.operators.paths import SECURITY_LABELS
 
 FINDING_COLUMNS = ["changeset_id", "type", "category", "file", "name", "detail", "change", "risk", "n_files", "fingerprint"]
-
-
-def _rows(df: DataFrame, type_: str | Column, category: str | Column, fingerprint: Column, **columns: Column) -> DataFrame:
-    empty = F.lit(None).cast("string")
-    named = {c: columns.get(c, empty) for c in ("file", "name", "detail", "change", "risk")}
-    n_files = columns.get("n_files", F.lit(1)).cast("long")
-    return df.select("changeset_id", F.lit(type_).alias("type"), F.lit(category).alias("category"), *[v.cast("string").alias(k) for k, v in named.items()], n_files.alias("n_files"), fingerprint.alias("fingerprint"))
-
-
-def _count(files: str) -> Column:
-    return F.size(F.split(files, ","))
-
-
-# Type, category and the fingerprint's part between file and changes, by surface.
-SURFACE_TYPES = {
-    "docker": ("docker-change", "infra", "dockerfile:{breaking}"), "trpc": ("trpc-router", "api", "{router}:{breaking}"), "runes": ("svelte5-runes", "api", ""), "websocket": ("websocket-change", "api", "{library}:{breaking}"),
-    "i18n": ("i18n-change", "api", "{locale}:{breaking}"), "css": ("css-change", "config_env", "{style}:{breaking}"), "query": ("tanstack-query", "api", ""), "next-config": ("next-config-change", "config_env", ""),
-}
+# Expressions that Spark and other SQL engines read alike.
+_PATH = "replace(path, chr(92), '/')"
+_N_FILES = "length(files) - length(replace(files, ',', '')) + 1"
+_BREAKING = "cast(is_breaking as string)"
+_COMMAS = "replace(sections, '; ', ',')"
+_LABELS = "reasons"
+for _reason, _text in SECURITY_LABELS.items():
+    _LABELS = f"replace({_LABELS}, '{_reason}', '{_text}')"
+_SECURITY_TEXT = f"concat('Security-sensitive files changed (', replace({_LABELS}, ',', ', '), '): ', cast(n_files as string), ' file(s)')"
+_BUMP = "concat('Major version bump: ', name, ' ', from_version, ' → ', to_version)"
+_NEW_RISKY = "concat('New ', case risk_category when 'auth' then 'Authentication/Security' when 'database' then 'Database/ORM' when 'native' then 'Native Module' else 'Payment Processing' end, ' package: ', name)"
+_DEPENDENCY = "concat_ws(':', 'dependency-change', name, coalesce(nullif(from_version, ''), 'null'), coalesce(nullif(to_version, ''), 'null'), section)"
+_DEP_COLUMNS = {"file": "path", "name": "name", "detail": "risk_category", "change": "impact", "risk": "section"}
+_STEM = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[.][^.]+$', '')"
+_LOCALE = "regexp_extract(path, '(?i)(?:^|/)(?:locales?|i18n|lang|translations?|messages)/([^/.]+)', 1)"
+_STYLE = "case when path like '%.module.%' then 'css-module' when regexp_extract(path, '(?i)(theme|tokens|variables)[^/]*$', 1) <> '' then 'theme' else 'global' end"
+_SURFACE_TYPE = "case surface when 'trpc' then 'trpc-router' when 'runes' then 'svelte5-runes' when 'websocket' then 'websocket-change' when 'i18n' then 'i18n-change' when 'css' then 'css-change' when 'query' then 'tanstack-query' else 'next-config-change' end"
+_BREAKS = "cast(breaks as string)"
+_SURFACE_PRINT = f"""case surface when 'trpc' then concat_ws(':', 'trpc-router', path, {_STEM}, {_BREAKS}, told) when 'websocket' then concat_ws(':', 'websocket-change', path, 'unknown', {_BREAKS}, told)
+    when 'i18n' then concat_ws(':', 'i18n-change', path, {_LOCALE}, {_BREAKS}, told) when 'css' then concat_ws(':', 'css-change', path, {_STYLE}, {_BREAKS}, told)
+    when 'next-config' then concat_ws(':', 'next-config-change', path, status, names) else concat_ws(':', {_SURFACE_TYPE}, path, told) end"""
+_SCHEMA_TYPE = "case kind when 'graphql' then 'graphql-change' when 'prisma' then 'prisma-schema' when 'drizzle' then 'drizzle-schema' else 'typescript-config' end"
+_SCHEMA_PRINT = f"""case kind when 'graphql' then concat_ws(':', 'graphql-change', path, {_BREAKING}, removed, added) when 'tsconfig' then concat_ws(':', 'typescript-config', path, {_BREAKING}, concat('a=', added), concat('r=', removed), concat('m=', modified))
+    else concat_ws(':', {_SCHEMA_TYPE}, path, {_BREAKING}, added, removed) end"""
+_SCHEMA_TOLD = "concat_ws('; ', case when added <> '' then concat('added ', added) end, case when removed <> '' then concat('removed ', removed) end, case when modified <> '' then concat('modified ', modified) end, nullif(reasons, ''))"
+_CONFIG_PRINT = f"""case type when 'tailwind-config' then concat_ws(':', type, file, tool, {_BREAKING}, {_COMMAS}) when 'monorepo-config' then concat_ws(':', type, file, tool, {_COMMAS}) when 'vite-config' then concat_ws(':', type, file, {_BREAKING}, {_COMMAS}, replace(plugins, '; ', ','))
+    when 'linter-config' then concat_ws(':', type, file, tool, {_BREAKING}, {_COMMAS}) when 'docker-change' then concat_ws(':', type, file, tool, {_BREAKING}, images) else concat_ws(':', type, file, {_BREAKING}, {_COMMAS}) end"""
+_RSC_BREAKING = "case when reasons <> '' then 'true' else 'false' end"
+_TOLD_BREAKING = "case when is_breaking then 'breaking' end"
+#: Parts of the findings relation: query of diffloom.queries, type, category, fingerprint, further columns, and which rows.
+PARTS: list[tuple[str, str, str, str, dict[str, str], str]] = [
+    ("sql_risks", "'sql-risk'", "'database'", f"concat_ws(':', 'sql-risk', {_PATH}, risk)", {"file": "path", "risk": "risk"}, "true"),
+    ("ci_workflows", "'ci-workflow'", "'ci'", f"concat_ws(':', 'ci-workflow', {_PATH}, risk)", {"file": "path", "risk": "risk"}, "true"),
+    ("infra", "'infra-change'", "'infra'", "concat_ws(':', 'infra-change', infra_type, files)", {"name": "infra_type", "detail": "files", "n_files": _N_FILES}, "true"),
+    ("api_contracts", "'api-contract-change'", "'api'", "concat_ws(':', 'api-contract-change', files)", {"detail": "files", "n_files": _N_FILES}, "true"),
+    ("large_diff", "'large-diff'", "'unknown'", "concat_ws(':', 'large-diff', cast(files_changed as string), cast(lines_changed as string))", {"detail": "lines_changed", "n_files": "files_changed"}, "true"),
+    ("lockfile_mismatch", "'lockfile-mismatch'", "'dependencies'", "concat_ws(':', 'lockfile-mismatch', cast(manifest_changed as string), cast(lockfile_changed as string))", {"name": "manifest_changed", "detail": "lockfile_changed"}, "true"),
+    ("env_vars", "'env-var'", "'config_env'", "concat_ws(':', 'env-var', name, files)", {"name": "name", "detail": "files", "change": "'added'", "n_files": _N_FILES}, "true"),
+    ("security_files", "'security-file'", "'infra'", "concat_ws(':', 'security-file', files, reasons)", {"detail": "files", "name": "reasons", "n_files": "n_files"}, "true"),
+    ("security_files", "'risk-flag'", "'infra'", f"concat_ws(':', 'risk-flag', 'medium', {_SECURITY_TEXT})", {"name": _SECURITY_TEXT, "detail": "files", "risk": "'medium'", "n_files": "n_files"}, "true"),
+    ("cloudflare", "'cloudflare-change'", "'cloudflare'", "concat_ws(':', 'cloudflare-change', area, files)", {"name": "area", "detail": "files", "n_files": _N_FILES}, "true"),
+    ("test_changes", "'test-change'", "'tests'", "concat_ws(':', 'test-change', 'vitest', files)", {"name": "concat_ws(';', added, modified, deleted)", "detail": "files", "n_files": _N_FILES}, "true"),
+    ("supabase_migrations", "'db-migration'", "'database'", "concat_ws(':', 'db-migration', tool, files)", {"name": "tool", "detail": "reasons", "risk": "risk", "n_files": "n_files"}, "true"),
+    ("supabase_migrations", "'risk-flag'", "'database'", "concat('risk-flag:high:Destructive SQL detected: ', replace(reasons, ',', ', '))", {"name": "concat('Destructive SQL detected: ', replace(reasons, ',', ', '))", "detail": "files", "risk": "'high'", "n_files": "n_files"}, "risk = 'high'"),
+    ("python_migrations", "'python-migration'", "'database'", "concat_ws(':', 'python-migration', tool, risk, files)", {"name": "tool", "detail": "reasons", "risk": "risk", "n_files": "n_files"}, "true"),
+    ("python_migrations", "'risk-flag'", "'database'", "concat('risk-flag:high:Destructive migration detected: ', replace(reasons, ',', ', '))", {"name": "concat('Destructive migration detected: ', replace(reasons, ',', ', '))", "detail": "files", "risk": "'high'", "n_files": "n_files"}, "risk = 'high'"),
+    ("node_dependencies", "'dependency-change'", "'dependencies'", _DEPENDENCY, _DEP_COLUMNS, "true"),
+    ("python_dependencies", "'dependency-change'", "'dependencies'", _DEPENDENCY, _DEP_COLUMNS, "true"),
+    ("node_dependencies", "'risk-flag'", "'dependencies'", f"concat('risk-flag:high:', {_BUMP})", {"name": _BUMP, "detail": "path", "risk": "'high'"}, "name in ('@sveltejs/kit', 'svelte', 'vite') and impact = 'major'"),
+    ("node_dependencies", "'risk-flag'", "'dependencies'", f"concat('risk-flag:medium:', {_NEW_RISKY})", {"name": _NEW_RISKY, "detail": "path", "risk": "'medium'"}, "risk_category is not null and impact = 'new'"),
+    ("file_routes", "'route-change'", "'routes'", "concat_ws(':', 'route-change', route_id, change, route_type)", {"file": "path", "name": "route_id", "detail": "route_type", "change": "change"}, "true"),
+    ("python_routes", "'route-change'", "'routes'", "concat_ws(':', 'route-change', route_id, change, 'endpoint')", {"file": "path", "name": "route_id", "detail": "'endpoint'", "change": "change"}, "true"),
+    ("impact_radius", "'impact-analysis'", "'impact'", f"concat_ws(':', 'impact-analysis', {_PATH}, users)", {"file": "path", "detail": "users", "risk": "blast_radius", "n_files": "dependents"}, "true"),
+    ("config_files", "type", "category", _CONFIG_PRINT, {"file": "file", "name": "tool", "detail": "reasons", "change": "status", "risk": _TOLD_BREAKING}, "true"),
+    ("python_configs", "'python-config'", "'config_env'", f"concat_ws(':', 'python-config', path, config_type, {_BREAKING}, sections)", {"file": "path", "name": "config_type", "detail": "reasons", "change": "status", "risk": _TOLD_BREAKING}, "true"),
+    ("rsc_boundary", "'rsc-boundary'", "'routes'", f"concat_ws(':', 'rsc-boundary', path, boundary, coalesce(nullif(from_directive, ''), 'none'), coalesce(nullif(to_directive, ''), 'none'), {_RSC_BREAKING})", {"file": "path", "name": "boundary", "detail": "reasons", "risk": "case when reasons <> '' then 'breaking' end"}, "from_directive <> to_directive or reasons <> ''"),
+    ("schema_changes", _SCHEMA_TYPE, "case kind when 'graphql' then 'api' when 'tsconfig' then 'config_env' else 'database' end", _SCHEMA_PRINT, {"file": "path", "name": "kind", "detail": _SCHEMA_TOLD, "risk": _TOLD_BREAKING}, "true"),
+    ("surface_findings", _SURFACE_TYPE, "case when surface in ('css', 'next-config') then 'config_env' else 'api' end", _SURFACE_PRINT, {"file": "path", "name": "surface", "detail": "case surface when 'next-config' then names else told end", "change": "status", "risk": "case when breaks then 'breaking' end"}, "surface <> 'docker'"),
+]
+
+
+def part_columns(part: tuple[str, str, str, str, dict[str, str], str]) -> list[str]:
+    """The select list of one part."""
+    _, type_, category, fingerprint, more, _ = part
+    text = [f"cast({more.get(c, 'null')} as string) as {c}" for c in ("file", "name", "detail", "change", "risk")]
+    return ["changeset_id", f"{type_} as type", f"{category} as category", *text, f"cast({more.get('n_files', '1')} as bigint) as n_files", f"{fingerprint} as fingerprint"]
+
+
+def config_files(changes: Changes) -> DataFrame:
+    """config_findings with images: the base images that changed, of container files."""
+    images = A.surface_changes(changes).where("surface = 'docker'").groupBy("changeset_id", F.col("path").alias("file")).agg(A.listed("name").alias("images"))
+    return config_findings(changes).join(images, ["changeset_id", "file"], "left").withColumn("images", F.coalesce("images", F.lit("")))
 
 
 def surface_findings(changes: Changes) -> DataFrame:
-    """One finding per file and surface; removed names are breaking, for runes only state and props."""
-    c, lit = F.col, F.lit
-    breaks = F.when(c("surface") == "runes", (c("change") == "removed") & c("name").isin("$state", "$props")).when(c("surface") == "next-config", lit(False)).otherwise(c("change") == "removed")
-    told = F.concat_ws(":", "name", "kind", "change", breaks.cast("string"))
-    per_file = A.surface_changes(changes).groupBy("changeset_id", "path", "surface").agg(A.listed(told).alias("told"), A.listed("name").alias("names"), F.bool_or(breaks).alias("breaks"))
-    stem = F.regexp_replace(P.file_name(c("path")), r"\.[^.]+$", "")
-    fill = {
-        "{breaking}": c("breaks").cast("string"), "{router}": stem, "{library}": lit("unknown"),
-        "{locale}": F.regexp_extract("path", r"(?i)(?:^|/)(?:locales?|i18n|lang|translations?|messages)/([^/.]+)", 1),
-        "{style}": F.when(c("path").rlike(r"\.module\."), "css-module").when(c("path").rlike(r"(?i)(theme|tokens|variables)[^/]*$"), "theme").otherwise("global"),
-    }
-    listed = F.when(c("surface").isin("docker", "next-config"), c("names")).otherwise(c("told"))
-    of = lambda get: F.coalesce(*[F.when(c("surface") == k, get(*v)) for k, v in SURFACE_TYPES.items()])
-    fingerprint = of(lambda type_, _, between: F.concat_ws(":", lit(type_), "path", *[fill.get(x, lit(x)) for x in between.split(":") if x], listed))
-    return _rows(per_file, of(lambda t, *_: lit(t)), of(lambda _, category, __: lit(category)), fingerprint, file=c("path"), name=c("surface"), detail=listed, risk=F.when(c("breaks"), "breaking"))
-
-
-# Type and category by kind of schema file.
-SCHEMA_TYPES = {"graphql": ("graphql-change", "api"), "prisma": ("prisma-schema", "database"), "drizzle": ("drizzle-schema", "database"), "tsconfig": ("typescript-config", "config_env")}
-
-
-def schema_findings(changes: Changes) -> DataFrame:
-    """One finding per schema file, naming its added, removed and modified elements and the reasons that break."""
-    c, cat, lit = F.col, F.concat, F.lit
-    found = A.schema_changes(changes)
-    breaking = c("is_breaking").cast("string")
-    detail = F.concat_ws("; ", *[F.when(c(x) != "", cat(lit(x + " "), x)) for x in ("added", "removed", "modified")], F.nullif("reasons", lit("")))
-    special = {"graphql": [c("removed"), c("added")], "tsconfig": [cat(lit("a="), "added"), cat(lit("r="), "removed"), cat(lit("m="), "modified")]}
-    of = lambda get: F.coalesce(*[F.when(c("kind") == k, get(k, *v)) for k, v in SCHEMA_TYPES.items()])
-    fingerprint = of(lambda kind, type_, _: F.concat_ws(":", lit(type_), "path", breaking, *special.get(kind, [c("added"), c("removed")])))
-    return _rows(found, of(lambda _, t, __: lit(t)), of(lambda _, __, k: lit(k)), fingerprint, file=c("path"), name=c("kind"), detail=detail, risk=F.when(c("is_breaking"), "breaking"))
+    """surface_files with the status of the file."""
+    listed = changes.files.select("changeset_id", "path", "status")
+    return A.surface_files(changes).join(listed, ["changeset_id", "path"], "left").withColumn("status", F.coalesce("status", F.lit("modified")))
 
 
 def source_findings(sources: DataFrame) -> DataFrame:
     """Findings of source_changes: routes, decorated classes and their members, exports and translation keys."""
-    c, cat, lit = F.col, F.concat, F.lit
-    member = c("relation") == "member"
-    angular = c("path").rlike(r"\.(component|directive|service|module|pipe)\.ts$") | c("kind").isin("directive", "injectable", "ngmodule", "pipe", "input", "output")
-    change = F.when(c("change") == "removed", "deleted").when(c("change") == "changed", "modified").otherwise(c("change"))
-    owner, own = F.substring_index("name", ".", 1), F.expr("substring(name, instr(name, '.') + 1)")
-    is_part = c("kind").isin("prop", "event", "method", "slot", "state")
-    stencil = cat(lit("stencil-"), F.when(is_part, c("kind")).otherwise("component"), lit("-change"))
-    single = sources.where(c("relation").isin("route", "member")).withColumns({"is_route": c("relation") == "route", "angular": member & angular})
-    pick = lambda route, ng, st: F.when(c("is_route"), route).when(c("angular"), ng).otherwise(st)
-    fingerprint = pick(
-        cat(lit("route-change:"), "name", lit(":"), change, lit(":page")), F.concat_ws(":", lit("angular-component-change"), "path", change, "kind", "name"), F.concat_ws(":", stencil, owner, F.when(is_part, own), "change", "path")
-    )
-    removed = F.bool_or(c("change") == "removed")
-    told = F.concat_ws(":", "name", "change", (c("change") == "removed").cast("string"))
-    per_file = sources.where(c("relation").isin("key", "export")).groupBy("changeset_id", "path", "relation").agg(A.listed(told).alias("told"), A.listed("name", c("change") == "added").alias("added"), A.listed("name", c("change") == "removed").alias("removed"), removed.alias("breaks"))
-    text = lambda x: F.coalesce(c(x), lit(""))
-    locale = F.regexp_extract("path", r"(?i)(?:^|/)(?:locales?|i18n|lang|translations?|messages)/([^/.]+)", 1)
-    key = lambda x, y: F.when(c("relation") == "key", x).otherwise(y)
-    breaks = c("breaks").cast("string")
-    prints = key(F.concat_ws(":", lit("i18n-change"), "path", locale, breaks, "told"), F.concat_ws(":", lit("package-exports"), breaks, cat(lit("a="), text("added")), cat(lit("r="), text("removed"))))
-    return _rows(single, pick(lit("route-change"), lit("angular-component-change"), stencil), pick(lit("routes"), lit("api"), lit("api")), fingerprint, file=c("path"), name=c("name"), detail=pick(lit("page"), c("kind"), c("kind")), change=F.when(c("is_route") | c("angular"), change).otherwise(c("change"))).unionByName(
-        _rows(per_file, key(lit("i18n-change"), lit("package-exports")), lit("api"), prints, file=c("path"), name=key(lit("i18n"), lit(None)), detail=c("told"), risk=F.when(c("breaks"), "breaking"))
-    )
+    told = "case change when 'removed' then 'deleted' when 'changed' then 'modified' else change end"
+    angular = "relation = 'member' and (path rlike '[.](component|directive|service|module|pipe)[.]ts$' or kind in ('directive', 'injectable', 'ngmodule', 'pipe', 'input', 'output'))"
+    part = "kind in ('prop', 'event', 'method', 'slot', 'state')"
+    stencil = f"concat('stencil-', case when {part} then kind else 'component' end, '-change')"
+    owner, own = "substring_index(name, '.', 1)", "substring(name, instr(name, '.') + 1)"
+    pick = lambda route, ng, st: f"case when relation = 'route' then {route} when {angular} then {ng} else {st} end"
+    single = ("", pick("'route-change'", "'angular-component-change'", stencil), pick("'routes'", "'api'", "'api'"), pick(f"concat('route-change:', name, ':', {told}, ':page')", f"concat_ws(':', 'angular-component-change', path, {told}, kind, name)", f"concat_ws(':', {stencil}, {owner}, case when {part} then {own} end, change, path)"),
+              {"file": "path", "name": "name", "detail": pick("'page'", "kind", "kind"), "change": pick(told, told, "change")}, "true")
+    one = sources.where("relation in ('route', 'member')").selectExpr(*part_columns(single))
+    removed = F.col("change") == "removed"
+    line = F.concat_ws(":", "name", "change", removed.cast("string"))
+    per_file = sources.where("relation in ('key', 'export')").groupBy("changeset_id", "path", "relation").agg(A.listed(line).alias("told"), A.listed("name", F.col("change") == "added").alias("added"), A.listed("name", removed).alias("removed"), F.bool_or(removed).alias("breaks"))
+    key = lambda x, y: f"case when relation = 'key' then {x} else {y} end"
+    many = ("", key("'i18n-change'", "'package-exports'"), "'api'", key(f"concat_ws(':', 'i18n-change', path, {_LOCALE}, {_BREAKS}, told)", f"concat_ws(':', 'package-exports', {_BREAKS}, concat('a=', added), concat('r=', removed))"),
+            {"file": "path", "name": key("'i18n'", "null"), "detail": "told", "risk": "case when breaks then 'breaking' end"}, "true")
+    return one.union(per_file.selectExpr(*part_columns(many)))
 
 
 def findings(files: DataFrame, changes: Changes, sources: DataFrame | None = None) -> DataFrame:
     """Findings of all analyzers with their ids; sources: what source_changes read, if source texts are at hand."""
-    c, cat = F.col, F.concat
-    lit = F.lit
-    parts = [
-        _rows(A.sql_risks(changes), "sql-risk", "database", cat(lit("sql-risk:"), c("path"), lit(":"), c("risk")), file=c("path"), risk=c("risk")),
-        _rows(A.ci_workflows(changes), "ci-workflow", "ci", cat(lit("ci-workflow:"), c("path"), lit(":"), c("risk")), file=c("path"), risk=c("risk")),
-        _rows(A.infra_changes(files), "infra-change", "infra", cat(lit("infra-change:"), c("infra_type"), lit(":"), c("files")), name=c("infra_type"), detail=c("files"), n_files=_count("files")),
-        _rows(A.api_contracts(files), "api-contract-change", "api", cat(lit("api-contract-change:"), c("files")), detail=c("files"), n_files=_count("files")),
-        _rows(A.large_diffs(files, changes), "large-diff", "unknown", cat(lit("large-diff:"), c("files_changed"), lit(":"), c("lines_changed")), detail=c("lines_changed"), n_files=c("files_changed")),
-        _rows(A.lockfile_mismatches(files, changes), "lockfile-mismatch", "dependencies", cat(lit("lockfile-mismatch:"), c("manifest_changed").cast("string"), lit(":"), c("lockfile_changed").cast("string")), name=c("manifest_changed").cast("string"), detail=c("lockfile_changed").cast("string")),
-        _rows(A.env_vars(changes), "env-var", "config_env", cat(lit("env-var:"), c("name"), lit(":"), c("files")), name=c("name"), detail=c("files"), change=lit("added"), n_files=_count("files")),
-        _rows(A.security_files(files), "security-file", "infra", cat(lit("security-file:"), c("files"), lit(":"), c("reasons")), detail=c("files"), name=c("reasons"), n_files=c("n_files")),
-        _rows(A.security_files(files), "risk-flag", "infra", cat(lit("risk-flag:medium:"), c("reasons"), lit(":"), c("n_files")), name=c("reasons"), risk=lit("medium"), n_files=c("n_files")),
-        _rows(A.cloudflare_changes(files, changes), "cloudflare-change", "cloudflare", cat(lit("cloudflare-change:"), c("area"), lit(":"), c("files")), name=c("area"), detail=c("files"), n_files=_count("files")),
-        _rows(A.test_changes(files), "test-change", "tests", cat(lit("test-change:vitest:"), c("files")), name=lit("vitest"), detail=c("files"), n_files=_count("files")),
-        _rows(A.supabase_migrations(files, changes), "db-migration", "database", cat(lit("db-migration:"), c("tool"), lit(":"), c("files")), name=c("tool"), detail=c("reasons"), risk=c("risk"), n_files=c("n_files")),
-        _rows(A.python_migrations(files, changes), "python-migration", "database", cat(lit("python-migration:"), c("tool"), lit(":"), c("risk"), lit(":"), c("files")), name=c("tool"), detail=c("reasons"), risk=c("risk"), n_files=c("n_files")),
-        _rows(A.node_dependencies(changes).unionByName(A.python_dependencies(changes)), "dependency-change", "dependencies", cat(lit("dependency-change:"), c("name"), lit(":"), F.coalesce(F.nullif(c("from_version"), lit("")), lit("null")), lit(":"), F.coalesce(F.nullif(c("to_version"), lit("")), lit("null")), lit(":dependencies")), file=c("path"), name=c("name"), detail=c("risk_category"), change=c("impact")),
-        _rows(A.file_routes(files, changes), "route-change", "routes", cat(lit("route-change:"), c("route_id"), lit(":"), c("change"), lit(":"), c("route_type")), file=c("path"), name=c("route_id"), detail=c("route_type"), change=c("change")),
-        _rows(A.impact_radius(files, changes), "impact-analysis", "impact", cat(lit("impact-analysis:"), c("path"), lit(":"), c("dependents")), file=c("path"), risk=c("blast_radius"), n_files=c("dependents")),
-        config_findings(changes).select("changeset_id", "type", "category", "file", F.col("tool").alias("name"), F.col("reasons").alias("detail"), F.col("status").alias("change"), F.lit(None).cast("string").alias("risk"), F.lit(1).cast("long").alias("n_files"), cat(c("type"), lit(":"), c("file"), lit(":"), c("is_breaking").cast("string"), lit(":"), c("sections")).alias("fingerprint")),
-    ]
-    rsc = A.rsc_boundaries(changes).where("from_directive <> to_directive or reasons <> ''")
-    none = lambda x: F.coalesce(F.nullif(c(x), lit("")), lit("none"))
-    parts += [
-        _rows(A.python_routes(changes), "route-change", "routes", cat(lit("route-change:"), c("route_id"), lit(":"), c("change"), lit(":endpoint")), file=c("path"), name=c("route_id"), detail=lit("endpoint"), change=c("change")),
-        _rows(rsc, "rsc-boundary", "routes", F.concat_ws(":", lit("rsc-boundary"), "path", "boundary", none("from_directive"), none("to_directive"), (c("reasons") != "").cast("string")), file=c("path"), name=c("boundary"), detail=c("reasons"), risk=F.when(c("reasons") != "", "breaking")),
-        schema_findings(changes),
-        surface_findings(changes),
-        *([source_findings(sources)] if sources is not None else []),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("finding_id", finding_id(F.col("type"), F.col("fingerprint")))
+    over = {
+        "sql_risks": A.sql_risks(changes), "ci_workflows": A.ci_workflows(changes), "infra": A.infra_changes(files), "api_contracts": A.api_contracts(files), "large_diff": A.large_diffs(files, changes), "lockfile_mismatch": A.lockfile_mismatches(files, changes),
+        "env_vars": A.env_vars(changes), "security_files": A.security_files(files), "cloudflare": A.cloudflare_changes(files, changes), "test_changes": A.test_changes(files), "supabase_migrations": A.supabase_migrations(files, changes),
+        "python_migrations": A.python_migrations(files, changes), "node_dependencies": A.node_dependencies(changes), "python_dependencies": A.python_dependencies(changes), "file_routes": A.file_routes(files, changes), "python_routes": A.python_routes(changes),
+        "impact_radius": A.impact_radius(files, changes), "config_files": config_files(changes), "python_configs": A.python_configs(files, changes), "rsc_boundary": A.rsc_boundaries(changes), "schema_changes": A.schema_changes(changes), "surface_findings": surface_findings(changes),
+    }
+    parts = [over[p[0]].where(p[5]).selectExpr(*part_columns(p)) for p in PARTS]
+    if sources is not None:
+        parts.append(source_findings(sources))
+    while len(parts) > 1:
+        parts = [a.union(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+    return parts[0].withColumn("finding_id", finding_id(F.col("type"), F.col("fingerprint")))
+
+
+_DETAILS = "concat(',', detail, ',')"
+# Weight of a finding in the additive score; place is the category of its file.
+WEIGHT = f"""case type when 'risk-flag' then case risk when 'high' then 40 when 'medium' then 20 else 5 end
+    when 'db-migration' then case risk when 'high' then 30 when 'medium' then 15 else 0 end
+    when 'route-change' then case change when 'added' then 5 when 'deleted' then 10 else 0 end
+    when 'dependency-change' then case change when 'major' then 15 when 'minor' then 5 else 0 end + case when detail is not null and change = 'new' then 10 else 0 end
+    when 'env-var' then 5 when 'security-file' then 15
+    when 'convention-violation' then case when n_files > 5 then 10 else 0 end
+    when 'large-diff' then case when cast(detail as bigint) > 1000 then 15 when cast(detail as bigint) > 500 then 10 else 5 end
+    when 'next-config-change' then case when {_DETAILS} like '%,experimental,%' then 15 when {_DETAILS} like '%,output,%' then 10 else 5 end
+    when 'impact-analysis' then case when place in ('docs', 'tests', 'config') then 0 when risk = 'high' then 20 when risk = 'medium' then 10 else 0 end
+    else 0 end"""
+KIND = """case type when 'risk-flag' then concat('risk-', risk) when 'route-change' then concat('route-', change) when 'dependency-change' then concat('dependency-', change)
+    when 'env-var' then 'env-var-added' when 'convention-violation' then 'test-coverage-gap' when 'impact-analysis' then concat(risk, '-blast-radius') else type end"""
 
 
 def risk_factors(found: DataFrame, files: DataFrame) -> DataFrame:
     """changeset_id, kind, weight, category, finding_id of the additive score's factors."""
     c = F.col
-    major = F.when(c("change") == "major", 15).when(c("change") == "minor", 5).otherwise(0) + F.when(c("detail").isNotNull() & (c("change") == "new"), 10).otherwise(0)
-    weight = (
-        F.when(c("type") == "risk-flag", F.when(c("risk") == "high", 40).when(c("risk") == "medium", 20).otherwise(5))
-        .when(c("type") == "db-migration", F.when(c("risk") == "high", 30).when(c("risk") == "medium", 15).otherwise(0))
-        .when(c("type") == "route-change", F.when(c("change") == "added", 5).when(c("change") == "deleted", 10).otherwise(0))
-        .when(c("type") == "dependency-change", major)
-        .when(c("type") == "env-var", 5)
-        .when(c("type") == "security-file", 15)
-        .when(c("type") == "large-diff", F.when(c("detail").cast("long") > 1000, 15).when(c("detail").cast("long") > 500, 10).otherwise(5))
-        .when(c("type") == "next-config-change", F.when(F.array_contains(F.split("detail", ","), "experimental"), 15).when(F.array_contains(F.split("detail", ","), "output"), 10).otherwise(5))
-        .when((c("type") == "impact-analysis") & ~P.category(c("file")).isin("docs", "tests", "config"), F.when(c("risk") == "high", 20).when(c("risk") == "medium", 10).otherwise(0))
-        .otherwise(0)
-    )
-    kind = (
-        F.when(c("type") == "risk-flag", F.concat(F.lit("risk-"), c("risk")))
-        .when(c("type") == "route-change", F.concat(F.lit("route-"), c("change")))
-        .when(c("type") == "dependency-change", F.concat(F.lit("dependency-"), c("change")))
-        .when(c("type") == "env-var", "env-var-added")
-        .when(c("type") == "impact-analysis", F.concat(c("risk"), F.lit("-blast-radius")))
-        .otherwise(c("type"))
-    )
-    scored = found.select("changeset_id", kind.alias("kind"), weight.alias("weight"), "category", "finding_id").where("weight <> 0")
+    placed = found.withColumn("place", P.category(F.coalesce("file", F.lit(""))))
+    scored = placed.selectExpr("changeset_id", f"{KIND} as kind", f"{WEIGHT} as weight", "category", "finding_id").where("weight <> 0")
     group = P.category(c("path"))
     kinds = files.groupBy("changeset_id").agg(*[F.bool_or(group == k).alias(k) for k in ("docs", "tests", "config", "product", "infra", "ci", "dependencies")], F.bool_or((c("status") == "modified") & c("path").rlike(r"/types\.ts$|/core/.*\.ts$|/index\.ts$")).alias("core"))
     only = F.when(c("product") | c("infra") | c("ci") | c("dependencies"), 0).when(c("docs") & ~c("tests") & ~c("config"), -15).when(c("tests") & ~c("docs") & ~c("config"), -10).when(c("config") & ~c("docs") & ~c("tests"), -5).when(c("docs") | c("tests") | c("config"), -10).otherwise(0)
@@ -187,13 +181,21 @@ FLAG_RULES = [
     ("db.destructive_sql", "db", 45, 0.9, "row", "type = 'sql-risk' and risk = 'destructive'"),
     ("db.schema_change_risky", "db", 30, 0.85, "row", "type = 'sql-risk' and risk = 'schema_change'"),
     ("db.unscoped_data_modification", "db", 35, 0.75, "row", "type = 'sql-risk' and risk = 'unscoped_modification'"),
+    ("stencil.tag_changed", "api", 45, 0.95, "row", "type = 'stencil-component-change' and change = 'tag-changed'"),
+    ("stencil.shadow_changed", "api", 25, 0.9, "row", "type = 'stencil-component-change' and change = 'shadow-changed'"),
+    ("stencil.prop_removed", "api", 40, 0.95, "row", "type = 'stencil-prop-change' and change = 'removed'"),
+    ("stencil.prop_changed", "api", 35, 0.9, "row", "type = 'stencil-prop-change' and change = 'changed'"),
+    ("stencil.event_removed", "api", 40, 0.95, "row", "type = 'stencil-event-change' and change = 'removed'"),
+    ("stencil.event_changed", "api", 35, 0.9, "row", "type = 'stencil-event-change' and change = 'changed'"),
+    ("stencil.method_removed", "api", 40, 0.95, "row", "type = 'stencil-method-change' and change = 'removed'"),
+    ("stencil.slot_removed", "api", 35, 0.9, "row", "type = 'stencil-slot-change' and change = 'removed'"),
     ("infra.dockerfile_changed", "infra", 20, 0.8, "row", "type = 'infra-change' and name = 'dockerfile'"),
     ("infra.terraform_changed", "infra", 20, 0.8, "row", "type = 'infra-change' and name = 'terraform'"),
     ("infra.k8s_changed", "infra", 20, 0.8, "row", "type = 'infra-change' and name = 'k8s'"),
     ("api.contract_changed", "api", 25, 0.85, "all", "type = 'api-contract-change'"),
     ("churn.large_diff", "churn", 15, 0.9, "all", "type = 'large-diff'"),
     ("deps.lockfile_without_manifest", "deps", 20, 0.9, "row", "type = 'lockfile-mismatch' and name = 'false' and detail = 'true'"),
-    ("deps.new_prod_dependency", "deps", 15, 0.85, "all", "type = 'dependency-change' and change = 'new'"),
+    ("deps.new_prod_dependency", "deps", 15, 0.85, "all", "type = 'dependency-change' and change = 'new' and risk = 'dependencies'"),
     ("deps.major_version_bump", "deps", 25, 0.9, "all", "type = 'dependency-change' and change = 'major'"),
     ("db.migrations_changed", "db", 12, 0.8, "all", "type = 'db-migration'"),
     ("tests.changed", "tests", 5, 0.8, "all", "type = 'test-change'"),
@@ -244,36 +246,19 @@ TOP_TYPES = ["risk-flag", "db-migration", "sql-risk", "ci-workflow", "route-chan
 
 
 def top_findings(found: DataFrame, k: int = 5) -> DataFrame:
-    """changeset_id, place, type, findings, examples: the k first types of a change set with up to five examples."""
-    order = F.coalesce(*[F.when(F.col("type") == t, F.lit(i)) for i, t in enumerate(TOP_TYPES)])
-    of = F.coalesce("file", "name", "detail", F.lit(""))
-    grouped = found.withColumn("o", order).where("o is not null").groupBy("changeset_id", "type", "o").agg(F.count("*").alias("findings"), F.array_join(F.slice(F.array_sort(F.collect_set(of)), 1, 5), ",").alias("examples"))
+    """changeset_id, place, type, findings, examples, rest: the k first types of a change set with up to five examples, and how many more there are."""
+    order = F.expr("case type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(TOP_TYPES)) + " end")
+    of = F.collect_set(F.coalesce("file", "name", "detail", F.lit("")))
+    grouped = found.withColumn("o", order).where("o is not null").groupBy("changeset_id", "type", "o").agg(F.count("*").alias("findings"), F.array_join(F.slice(F.array_sort(of), 1, 5), ",").alias("examples"), F.greatest(F.lit(0), F.size(of) - 5).alias("rest"))
     return grouped.withColumn("place", F.row_number().over(Window.partitionBy("changeset_id").orderBy("o"))).where(F.col("place") <= k).drop("o")
 
 
-def dependency_overview(found: DataFrame) -> DataFrame:
-    """changeset_id, impact, packages, names (first five by name), risky."""
-    deps = found.where("type = 'dependency-change'")
-    return deps.groupBy("changeset_id", F.col("change").alias("impact")).agg(F.count_distinct("name").alias("packages"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 5), ",").alias("names"), F.count("detail").alias("risky"))
-
-
-# Rule ids of the result log by finding type and condition.
-LOG_RULES = [
-    ("CS001", "error", "type = 'db-migration' and risk = 'high'"),
-    ("CS002", "warning", "type = 'dependency-change' and change = 'major'"),
-    ("CS003", "note", "type = 'env-var'"),
-    ("CS004", "note", "type = 'cloudflare-change'"),
-    ("CS005", "note", "type = 'route-change'"),
-    ("CS006", "warning", "type = 'ci-workflow' and risk <> 'pipeline_changed'"),
-    ("CS007", "warning", "type = 'security-file'"),
-    ("CS008", "error", "type = 'sql-risk'"),
-    ("CS009", "note", "type = 'infra-change'"),
-    ("CS010", "note", "type = 'large-diff'"),
-]
+def findings_by_type(found: DataFrame) -> DataFrame:
+    """changeset_id, type, findings."""
+    return found.groupBy("changeset_id", "type").agg(F.count("*").alias("findings"))
 
 
-def log_results(found: DataFrame) -> DataFrame:
-    """changeset_id, rule_id, level, uri, finding_id: findings as results of a result log."""
-    rules = F.array(*[F.when(F.expr(where), F.struct(F.lit(rule).alias("rule_id"), F.lit(level).alias("level"))) for rule, level, where in LOG_RULES])
-    hits = found.select("changeset_id", "finding_id", F.coalesce("file", F.element_at(F.split(F.coalesce("detail", F.lit("")), ","), 1)).alias("uri"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))
-    return hits.select("changeset_id", "r.rule_id", "r.level", "uri", "finding_id").distinct()
+def dependency_overview(found: DataFrame) -> DataFrame:
+    """changeset_id, section, impact, packages, names (first five by name), risky."""
+    deps = found.where("type = 'dependency-change'")
+    return deps.groupBy("changeset_id", F.col("risk").alias("section"), F.col("change").alias("impact")).agg(F.count_distinct("name").alias("packages"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 5), ",").alias("names"), F.count("detail").alias("risky"))

@@ -11,16 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diffloom.operators import paths as P
+from diffloom.plans.reports import ACTIONS, HIGHLIGHTS, actions, highlights
 
-# Recommended actions: id, category, blocking, reason, when a change set has such findings.
-ACTIONS = [
-    ("apply-migrations", "database", None, "Apply the migrations in a safe environment first", "type = 'db-migration'"),
-    ("backup-db", "database", True, "Create a database backup before destructive migrations", "type = 'db-migration' and risk = 'high'"),
-    ("review-dependencies", "dependencies", False, "Review major dependency changes", "type = 'dependency-change' and change = 'major'"),
-    ("run-tests", "tests", True, "Run the test suite", "true"),
-    ("update-env-docs", "environment", False, "Document new environment variables", "type = 'env-var'"),
-    ("verify-cloudflare-config", "cloudflare", False, "Check the edge configuration in every environment", "type = 'cloudflare-change'"),
-]
 # Markers of a project's framework in the order they are tried.
 PROFILES = [
     ("sveltekit", [r"^src/routes/"], "high"),
@@ -34,32 +26,6 @@ PROFILES = [
 ]
 
 
-def actions(found: DataFrame) -> DataFrame:
-    """changeset_id, action, category, blocking, reason, triggers (number of findings), place: blocking first, then by id."""
-    rules = F.array(*[
-        F.when(F.expr(where), F.struct(F.lit(i).alias("action"), F.lit(cat).alias("category"), (F.col("risk") == "high" if blocking is None else F.lit(blocking)).alias("blocking"), F.lit(reason).alias("reason")))
-        for i, cat, blocking, reason, where in ACTIONS
-    ])
-    hits = found.select("changeset_id", F.explode(F.array_compact(rules)).alias("a")).select("changeset_id", "a.*")
-    grouped = hits.groupBy("changeset_id", "action", "category", "reason").agg(F.coalesce(F.bool_or("blocking"), F.lit(False)).alias("blocking"), F.count("*").alias("triggers"))
-    return grouped.withColumn("place", F.row_number().over(Window.partitionBy("changeset_id").orderBy(F.desc("blocking"), "action")))
-
-
-def highlights(found: DataFrame) -> DataFrame:
-    """changeset_id, highlight, priority: one sentence per kind of finding of a change set."""
-    n = lambda where: F.count_if(F.expr(where))
-    # Sentences by priority.
-    rules = [
-        (100, "risk flag(s) raised", "type = 'risk-flag'"), (95, "destructive SQL change(s)", "type = 'sql-risk' and risk = 'destructive'"), (90, "high-risk migration(s)", "type = 'db-migration' and risk = 'high'"),
-        (85, "risky workflow change(s)", "type = 'ci-workflow' and risk <> 'pipeline_changed'"), (80, "breaking configuration change(s)", "fingerprint like '%:true:%' and type like '%-config'"), (70, "major dependency update(s)", "type = 'dependency-change' and change = 'major'"),
-        (60, "new dependency(ies)", "type = 'dependency-change' and change = 'new'"), (55, "route(s) deleted", "type = 'route-change' and change = 'deleted'"), (50, "route(s) added", "type = 'route-change' and change = 'added'"),
-        (45, "environment variable(s) added", "type = 'env-var'"), (40, "file(s) with a wide blast radius", "type = 'impact-analysis' and risk <> 'low'"), (30, "test change(s)", "type = 'test-change'"),
-    ]
-    counted = found.groupBy("changeset_id").agg(*[n(where).alias(f"n{p}") for p, _, where in rules])
-    rows = F.array(*[F.when(F.col(f"n{p}") > 0, F.struct(F.concat_ws(" ", F.col(f"n{p}").cast("string"), F.lit(text)).alias("highlight"), F.lit(p).alias("priority"))) for p, text, _ in rules])
-    return counted.select("changeset_id", F.explode(F.array_compact(rows)).alias("h")).select("changeset_id", "h.*")
-
-
 def profiles(files: DataFrame) -> DataFrame:
     """changeset_id, profile, confidence: the first framework a change set has a marker of, else auto."""
     flags = files.groupBy("changeset_id").agg(*[F.bool_or(P.any_of(F.col("path"), markers)).alias(name) for name, markers, _ in PROFILES])
@@ -86,7 +52,7 @@ def facts_documents(files: DataFrame, found: DataFrame, scores: DataFrame, aggre
     parts = [
         _bounded(aggregates, F.struct("category", "findings", F.col("risk_weight").alias("riskWeight")), [c("place")], 13, "categories"),
         _bounded(actions(found), F.struct("action", "category", "blocking", "reason"), [c("place")], len(ACTIONS), "actions"),
-        _bounded(highlights(found), c("highlight"), [F.desc("priority")], 20, "highlights"),
+        _bounded(highlights(found), c("highlight"), [F.col("place")], len(HIGHLIGHTS), "highlights"),
         _bounded(found, F.struct(c("finding_id").alias("findingId"), "type", "category", "file", "name"), [c("type"), F.coalesce("file", F.lit("")), c("finding_id")], first, "firstFindings"),
     ]
     out = stats.join(n, "changeset_id", "left").join(scores, "changeset_id", "left")
@@ -100,7 +66,7 @@ def markdown(files: DataFrame, found: DataFrame, scores: DataFrame) -> DataFrame
     """changeset_id, markdown: title, files by category, highlights and score."""
     by_category = files.groupBy("changeset_id", P.category(F.col("path")).alias("category")).agg(F.count("*").alias("n"))
     cats = _bounded(by_category, F.format_string("| %s | %d |", "category", "n"), [F.desc("n"), F.col("category")], 10, "rows")
-    tops = _bounded(highlights(found), F.concat(F.lit("- "), F.col("highlight")), [F.desc("priority")], 20, "tops")
+    tops = _bounded(highlights(found), F.concat(F.lit("- "), F.col("highlight")), [F.col("place")], len(HIGHLIGHTS), "tops")
     joined = cats.join(tops, "changeset_id", "left").join(scores, "changeset_id", "left")
     empty = F.array().cast("array<string>")
     text = F.concat_ws(

@@ -19,6 +19,8 @@ from diffloom.operators.nested_tables import flat_children, linked_results, node
 from diffloom.operators.snapshot_delta import relative_path, snapshot_changes
 from diffloom.oracle import any_sql, first_sql, prelude, q
 from diffloom.plans import documents as D
+from diffloom.plans import reports as R
+from diffloom import report_sql as RS
 from diffloom.operators.labels import Changes, listed_files
 from diffloom.runtime import cut_lineage, table
 from diffloom.sources import changesets as C
@@ -57,7 +59,7 @@ def _rule(name: str, sql: str | None = None):
 def _findings(changes: Changes) -> DataFrame:
     """Findings of all analyzers from one pass over the hunks; they are few and are written as a table for what reads them."""
     kept = changes.keep()
-    return cut_lineage(S.findings(kept.files, kept, source_changes(A.source_sides(changes))))
+    return cut_lineage(S.findings(kept.files, kept, source_changes(A.source_sides(changes)) if changes.with_sources else None))
 
 
 def _hunks(s: SparkSession, d: str) -> DataFrame:
@@ -441,16 +443,18 @@ def _risky_sql(table_: dict[str, list[str]]) -> str:
     return "case " + " ".join(f"when list_contains({names!r}, name) then {q(k)}" for k, names in table_.items()) + " end"
 
 
-def _versions_sql(gate: str, pattern: str, skip: str) -> str:
-    rows = " union all ".join(f"select changeset_id, path, {q(mark)} as side, unnest({column}) as line from chg where regexp_matches(path, {q(gate)})" for column, mark in (("additions", "to"), ("deletions", "from")))
-    return f"""select changeset_id, path, name, max(version) filter (where side = 'from') as from_version, max(version) filter (where side = 'to') as to_version from (
-        select changeset_id, path, side, lower(regexp_extract(line, {q(pattern)}, 1)) as name, trim(regexp_extract(line, {q(pattern)}, 2)) as version from ({rows})
-        where regexp_matches(line, {q(pattern)}) and not regexp_matches(line, {q(skip)})) group by 1, 2, 3"""
+def _versions_sql(gate: str, pattern: str, skip: str, sections: bool = False) -> str:
+    rows = " union all ".join(f"select changeset_id, path, {q(mark)} as side, row_number() over () as list, {column} as lines from chg where regexp_matches(path, {q(gate)})" for column, mark in (("additions", "to"), ("deletions", "from")))
+    above = f"coalesce(last_value(case when regexp_matches(line, {q(A.MANIFEST_SECTION)}) then regexp_extract(line, {q(A.MANIFEST_SECTION)}, 1) end ignore nulls) over (partition by side, list order by pos rows between unbounded preceding and 1 preceding), 'dependencies')" if sections else "'dependencies'"
+    return f"""select changeset_id, path, name, section, max(version) filter (where side = 'from') as from_version, max(version) filter (where side = 'to') as to_version from (
+        select changeset_id, path, side, section, lower(regexp_extract(line, {q(pattern)}, 1)) as name, trim(regexp_extract(line, {q(pattern)}, 2)) as version from (
+            select *, {above} as section from (select changeset_id, path, side, list, unnest(lines) as line, unnest(range(len(lines))) as pos from ({rows})))
+        where regexp_matches(line, {q(pattern)}) and not regexp_matches(line, {q(skip)}) and section in ('dependencies', 'devDependencies')) group by 1, 2, 3, 4"""
 
 
 @_rule(
     "python_dependencies",
-    f"""select changeset_id, path, name, from_version, to_version, case when to_version is null then 'removed' when from_version is null then 'new' when from_version = '' or to_version = '' then 'unknown'
+    f"""select changeset_id, path, name, section, from_version, to_version, case when to_version is null then 'removed' when from_version is null then 'new' when from_version = '' or to_version = '' then 'unknown'
         when coalesce(nullif(regexp_extract(to_version, '(\\d+)', 1), '')::int, 0) > coalesce(nullif(regexp_extract(from_version, '(\\d+)', 1), '')::int, 0) then 'major' else 'minor' end as impact,
         {_risky_sql(A.RISKY_PYTHON)} as risk_category from ({_versions_sql(A.REQUIREMENTS_FILE, A.REQUIREMENT, '^[ ]*(#|-|$)')})""",
 )
@@ -468,7 +472,7 @@ def _semver_sql(a: str, b: str) -> str:
 
 @_rule(
     "node_dependencies",
-    f"""select changeset_id, path, name, from_version, to_version, case when to_version is null then 'removed' when from_version is null then 'new' {_semver_sql('from_version', 'to_version')} else 'unknown' end as impact,
+    f"""select changeset_id, path, name, section, from_version, to_version, case when to_version is null then 'removed' when from_version is null then 'new' {_semver_sql('from_version', 'to_version')} else 'unknown' end as impact,
         {_risky_sql(A.RISKY_NODE)} as risk_category from ({_versions_sql('(^|/)package[.]json$', A.MANIFEST_LINE, A.FIELD_NAME.replace('([^' + chr(92) + '"]+)', '(' + '|'.join(A.NO_DEPENDENCY) + ')'))})
         where from_version is null or to_version is null or from_version <> to_version""",
 )
@@ -529,7 +533,7 @@ def rsc_boundary(changes: Changes) -> DataFrame:
 
 @_rule(
     "impact_radius",
-    f"""select s.changeset_id, s.path, count(distinct u.path) as dependents, case when count(distinct u.path) > 10 then 'high' when count(distinct u.path) > 3 then 'medium' else 'low' end as blast_radius
+    f"""select s.changeset_id, s.path, count(distinct u.path) as dependents, string_agg(distinct u.path, ',' order by u.path) as users, case when count(distinct u.path) > 10 then 'high' when count(distinct u.path) > 3 then 'medium' else 'low' end as blast_radius
         from (select changeset_id, path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') as name from allf where status in ('modified', 'renamed') and regexp_matches(path, {q(A.CODE_FILE)})) s
         join (select changeset_id, path, unnest(regexp_extract_all(all_text, '["''](?:[^"''\\s]*/)?([\\w.@-]+?)(?:\\.(?:ts|tsx|js|jsx|mjs|cjs|svelte|vue|astro))?["'']', 1)) as name from chg where regexp_matches(path, {q(A.CODE_FILE)})) u
         on s.changeset_id = u.changeset_id and s.name = u.name and s.path <> u.path group by s.changeset_id, s.path""",
@@ -607,28 +611,73 @@ def scope_warnings(s: SparkSession, d: str) -> DataFrame:
 # --- scores and reports ------------------------------------------------------------------------------------
 
 
-@_rule("findings")
+_STATUS = "coalesce((select status from allf f where f.changeset_id = x.changeset_id and f.path = x.path), 'modified')"
+
+
+@_rule("surface_files", f"""select changeset_id, path, surface, {_agg('name')} as names, {_agg('told')} as told, bool_or(breaks) as breaks from (
+        select *, concat_ws(':', name, kind, change, cast(breaks as string)) as told from (select *, change = 'removed' and surface <> 'next-config' and (surface <> 'runes' or name in ('$state', '$props')) as breaks
+            from ({_sides_sql(A.SURFACES, "surface", "kind")}))) group by 1, 2, 3""")
+def surface_files(changes: Changes) -> DataFrame:
+    return A.surface_files(changes)
+
+
+@_rule("surface_findings", f"select x.*, {_STATUS} as status from {RS.subquery(RULE_QUERIES['surface_files'][1])} x")
+def surface_findings(changes: Changes) -> DataFrame:
+    return S.surface_findings(changes)
+
+
+@_rule("config_files", f"""select x.*, coalesce((select string_agg(distinct name, ',' order by name) from ({_sides_sql(A.SURFACES, "surface", "kind")}) i where i.surface = 'docker' and i.changeset_id = x.changeset_id and i.path = x.file), '') as images from {RS.subquery(config_sql())} x""")
+def config_files(changes: Changes) -> DataFrame:
+    return S.config_files(changes)
+
+
+_PY_BREAKS = "list_filter([" + ", ".join(f"case when regexp_matches(add_text, {q(p)}) then {q(n)} end" for n, p in A.PYPROJECT_BREAKS.items()) + "], lambda x: x is not null)"
+
+
+@_rule("python_configs", f""", g as (select changeset_id, path, status, {first_sql('path', A.PYTHON_CONFIGS)} as kind from allf where {any_sql('path', [g for _, gs in A.PYTHON_CONFIGS for g in gs])}),
+        sec as (select changeset_id, path, {_agg('trim(s)')} as sections from (select changeset_id, path, unnest(regexp_extract_all(add_text, {q(A.CONFIG_SECTION)}, 1)) as s from chg) group by 1, 2),
+        brk as (select changeset_id, path, {_agg('s')} as reasons from (select changeset_id, path, unnest({_PY_BREAKS}) as s from chg where regexp_matches(path, '(^|/)pyproject\.toml$')) group by 1, 2)
+        select g.changeset_id, g.path, status, split_part(kind, ':', 1) as config_type, split_part(kind, ':', 2) as config_category, coalesce(sections, '') as sections, coalesce(reasons, '') as reasons, coalesce(reasons, '') <> '' as is_breaking
+        from g left join sec on g.changeset_id = sec.changeset_id and g.path = sec.path left join brk on g.changeset_id = brk.changeset_id and g.path = brk.path""")
+def python_configs(changes: Changes) -> DataFrame:
+    return A.python_configs(changes.files, changes)
+
+
+@_rule("strictness_changes", f"select changeset_id, path, name, change from ({_sides_sql(A.SCHEMA_ELEMENTS, 'kind', 'element')}) where kind = 'tsconfig' and list_contains({A.STRICTNESS_OPTIONS!r}, name)")
+def strictness_changes(changes: Changes) -> DataFrame:
+    return A.strictness_changes(changes)
+
+
+_FND = RS.findings_ctes({name: sql for name, (_, sql) in RULE_QUERIES.items() if sql})
+_FACTORS, _FLAGS = _FND + RS.factors_cte(), _FND + RS.flags_cte()
+
+
+@_rule("findings", f"{_FND} select * from fnd")
 def findings(changes: Changes) -> DataFrame:
     return _findings(changes)
 
 
-@_rule("risk_factors")
+@_rule("findings_by_type", f"{_FND} {RS.BY_TYPE}")
+def findings_by_type(changes: Changes) -> DataFrame:
+    return S.findings_by_type(_findings(changes))
+
+
+@_rule("risk_factors", f"{_FACTORS} select * from factors")
 def risk_factors(changes: Changes) -> DataFrame:
     return S.risk_factors(_findings(changes), changes.files)
 
 
-@_rule("risk_score")
+@_rule("risk_score", f"{_FACTORS} {RS.SCORES}")
 def risk_score(changes: Changes) -> DataFrame:
-    files = changes.files
-    return S.risk_scores(S.risk_factors(_findings(changes), files), files)
+    return S.risk_scores(S.risk_factors(_findings(changes), changes.files), changes.files)
 
 
-@_rule("risk_flags")
+@_rule("risk_flags", f"{_FLAGS} select * from flags")
 def risk_flags(changes: Changes) -> DataFrame:
     return S.risk_flags(_findings(changes))
 
 
-@_rule("category_scores")
+@_rule("category_scores", f"{_FLAGS} select * from cats")
 def category_scores(changes: Changes) -> DataFrame:
     return S.category_scores(S.risk_flags(_findings(changes)))
 
@@ -645,34 +694,39 @@ def _sql_score() -> str:
 @_rule("sql_risk_report", _sql_score())
 def sql_risk_report(changes: Changes) -> DataFrame:
     """Flagship: hunks to SQL risks, identities, flags, category scores and the overall score."""
-    risks = S._rows(A.sql_risks(changes), "sql-risk", "database", F.concat(F.lit("sql-risk:"), "path", F.lit(":"), "risk"), file=F.col("path"), risk=F.col("risk"))
+    risks = A.sql_risks(changes).selectExpr(*S.part_columns(S.PARTS[0]))
     return S.risk_report(S.risk_flags(risks.withColumn("finding_id", I.finding_id(F.col("type"), F.col("fingerprint")))))
 
 
-@_rule("risk_report")
+@_rule("risk_report", f"{_FLAGS} {RS.REPORT}")
 def risk_report(changes: Changes) -> DataFrame:
     return S.risk_report(S.risk_flags(_findings(changes)))
 
 
-@_rule("category_aggregates")
+@_rule("category_aggregates", f"{_FACTORS} {RS.AGGREGATES}")
 def category_aggregates(changes: Changes) -> DataFrame:
     found = _findings(changes)
     return S.category_aggregates(found, S.risk_factors(found, changes.files))
 
 
-@_rule("top_findings")
+@_rule("top_findings", f"{_FND} {RS.TOP}")
 def top_findings(changes: Changes) -> DataFrame:
     return S.top_findings(_findings(changes))
 
 
-@_rule("dependency_overview")
+@_rule("dependency_overview", f"{_FND} {RS.DEPENDENCIES}")
 def dependency_overview(changes: Changes) -> DataFrame:
     return S.dependency_overview(_findings(changes))
 
 
-@_rule("log_results")
+@_rule("log_results", f"{_FND} {RS.results_sql()}")
 def log_results(changes: Changes) -> DataFrame:
-    return S.log_results(_findings(changes))
+    return R.log_results(_findings(changes))
+
+
+@_rule("result_logs")
+def result_logs(changes: Changes) -> DataFrame:
+    return R.result_logs(R.log_results(_findings(changes)))
 
 
 @_rule("source_changes")
@@ -681,16 +735,6 @@ def source_change_rows(changes: Changes) -> DataFrame:
     return source_changes(A.source_sides(changes))
 
 
-@_rule("actions")
-def actions(changes: Changes) -> DataFrame:
-    return D.actions(_findings(changes))
-
-
-@_rule("highlights")
-def highlights(changes: Changes) -> DataFrame:
-    return D.highlights(_findings(changes))
-
-
 @_rule(
     "profile_detect",
     "select changeset_id, coalesce(" + ", ".join(f"case when bool_or({any_sql('path', m)}) then {q(n)} end" for n, m, _ in D.PROFILES) + ", 'auto') as profile, coalesce(" + ", ".join(f"case when bool_or({any_sql('path', m)}) then {q(c)} end" for _, m, c in D.PROFILES) + ", 'low') as confidence from allf group by changeset_id",
@@ -699,6 +743,16 @@ def profile_detect(changes: Changes) -> DataFrame:
     return D.profiles(changes.files)
 
 
+@_rule("actions", _FND + RS.actions_sql(RULE_QUERIES["profile_detect"][1]))
+def actions(changes: Changes) -> DataFrame:
+    return R.actions(_findings(changes), D.profiles(changes.files))
+
+
+@_rule("highlights", _FND + RS.highlights_sql())
+def highlights(changes: Changes) -> DataFrame:
+    return R.highlights(_findings(changes))
+
+
 @_rule("finding_lines")
 def finding_lines(changes: Changes) -> DataFrame:
     return D.finding_lines(_findings(changes))
@@ -719,7 +773,7 @@ def markdown(changes: Changes) -> DataFrame:
 
 @_rule("result_lines")
 def result_lines(changes: Changes) -> DataFrame:
-    return D.result_lines(S.log_results(_findings(changes)))
+    return D.result_lines(R.log_results(_findings(changes)))
 
 
 BUDGET = 20_000
