@@ -18,6 +18,13 @@ from diffloom.runtime import semi_join
 RULES: dict[str, Rule] = {"lines": Rule([""], f"array({label('lines', 'cast(size(additions) as string)', 'cast(size(deletions) as string)')})")}
 
 
+_TRIM = lit("^[\\s\u00a0\u2003]+|[\\s\u00a0\u2003]+$")
+_SHOWN = "transform(if(size(additions) > 0, additions, deletions), x -> regexp_replace(x, " + _TRIM + ", ''))"
+_PLAIN = "filter(shown, x -> x <> '' and not startswith(x, '//') and not startswith(x, '/*') and not startswith(x, '*') and not startswith(x, '#'))"
+_EXCERPT = f"transform(array({_SHOWN}), shown -> coalesce(get({_PLAIN}, 0), get(shown, 0), ''))[0]"
+RULES["excerpt"] = Rule([""], f"array({label('excerpt', 'cast(new_start as string)', _EXCERPT)})")
+
+
 def changes_of(files: DataFrame, hunks: DataFrame) -> Changes:
     """The hunks of delivered files under the rules of all analyzers."""
     return Changes(listed_files(files), hunks, RULES)

@@ -72,7 +72,8 @@ class Changes:
     def texts(self) -> DataFrame:
         """Hunks with their lines joined; null arrays are empty and null lines are left out of them."""
         lines = lambda c: f"coalesce(filter({c}, x -> x is not null), cast(array() as array<string>)) as {c}"
-        plain = self.hunks.where("changeset_id is not null and path is not null").selectExpr(*KEYS, "hunk_ord", lines("additions"), lines("deletions"))
+        start = "new_start" if "new_start" in self.hunks.columns else "cast(null as int) as new_start"
+        plain = self.hunks.where("changeset_id is not null and path is not null").selectExpr(*KEYS, "hunk_ord", start, lines("additions"), lines("deletions"))
         return plain.selectExpr("*", r"array_join(additions, '\n') as add_text", r"array_join(deletions, '\n') as del_text", r"array_join(concat(additions, deletions), '\n') as all_text")
 
     def _labelled(self, wanted: list[str]) -> DataFrame:

@@ -63,7 +63,7 @@ def one_pattern(patterns: list[str]) -> str:
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(one_pattern(patterns))
+    return text.rlike(one_pattern(patterns)) if patterns else F.lit(False)
 
 
 def first_of(text: Column, rules: list[tuple[str, list[str]]], otherwise: str | None = None) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from diffloom.functions import text as T
 from diffloom.functions.code_reader import source_changes
 from diffloom.operators import analyzers as A
+from diffloom.operators import deltas as DL
+from diffloom.operators import evidence as E
 from diffloom.operators import identity as I
 from diffloom.operators import paths as P
 from diffloom.operators import scoring as S
@@ -19,6 +21,9 @@ from diffloom.operators.nested_tables import flat_children, linked_results, node
 from diffloom.operators.snapshot_delta import relative_path, snapshot_changes
 from diffloom.oracle import any_sql, first_sql, prelude, q
 from diffloom.plans import documents as D
+from diffloom.plans import dumpdiff as DD
+from diffloom.plans import profiles as PR
+from diffloom.plans import sections as SE
 from diffloom.plans import reports as R
 from diffloom import report_sql as RS
 from diffloom.operators.labels import Changes, listed_files
@@ -144,21 +149,6 @@ def parse_hunk_body(s: SparkSession, d: str) -> DataFrame:
     return C.hunk_body(_hunks(s, d))
 
 
-@_register("parse_patch")
-def parse_patch(s: SparkSession, d: str) -> DataFrame:
-    """Patches written out from diff_lines, a line per row, and parsed again."""
-    lines = table(s, d, "diff_lines").dropDuplicates(["changeset_id", "path", "hunk_ord", "line_ord"])
-    at = lambda part, ord_: F.struct("path", part.alias("hunk_ord"), ord_.alias("line_ord"))
-    sign = F.when(F.col("kind") == "add", "+").when(F.col("kind") == "del", "-").otherwise(" ")
-    body = lines.select("changeset_id", at(F.col("hunk_ord"), F.col("line_ord")).alias("k"), F.concat(sign, F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ")).alias("text"))
-    first = lines.groupBy("changeset_id", "path", "hunk_ord").agg(F.coalesce(F.min("old_no"), F.lit(0)).alias("o"), F.coalesce(F.min("new_no"), F.lit(0)).alias("n"))
-    heads = first.select("changeset_id", at(F.col("hunk_ord"), F.lit(-1)).alias("k"), F.format_string("@@ -%d +%d @@", "o", "n").alias("text"))
-    paths = first.select("changeset_id", "path").distinct()
-    marks = F.array(F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"))
-    tops = paths.select("changeset_id", "path", F.posexplode(marks).alias("i", "text")).select("changeset_id", at(F.lit(-1), F.col("i")).alias("k"), "text")
-    return C.parse_patch(body.unionByName(heads).unionByName(tops).withColumnRenamed("k", "line_no"))
-
-
 @_register("untracked_hunks")
 def untracked_hunks(s: SparkSession, d: str) -> DataFrame:
     """Documents of source text read as new files."""
@@ -636,7 +626,7 @@ _PY_BREAKS = "list_filter([" + ", ".join(f"case when regexp_matches(add_text, {q
 
 @_rule("python_configs", f""", g as (select changeset_id, path, status, {first_sql('path', A.PYTHON_CONFIGS)} as kind from allf where {any_sql('path', [g for _, gs in A.PYTHON_CONFIGS for g in gs])}),
         sec as (select changeset_id, path, {_agg('trim(s)')} as sections from (select changeset_id, path, unnest(regexp_extract_all(add_text, {q(A.CONFIG_SECTION)}, 1)) as s from chg) group by 1, 2),
-        brk as (select changeset_id, path, {_agg('s')} as reasons from (select changeset_id, path, unnest({_PY_BREAKS}) as s from chg where regexp_matches(path, '(^|/)pyproject\.toml$')) group by 1, 2)
+        brk as (select changeset_id, path, {_agg('s')} as reasons from (select changeset_id, path, unnest({_PY_BREAKS}) as s from chg where regexp_matches(path, '(^|/)pyproject[.]toml$')) group by 1, 2)
         select g.changeset_id, g.path, status, split_part(kind, ':', 1) as config_type, split_part(kind, ':', 2) as config_category, coalesce(sections, '') as sections, coalesce(reasons, '') as reasons, coalesce(reasons, '') <> '' as is_breaking
         from g left join sec on g.changeset_id = sec.changeset_id and g.path = sec.path left join brk on g.changeset_id = brk.changeset_id and g.path = brk.path""")
 def python_configs(changes: Changes) -> DataFrame:
@@ -792,7 +782,182 @@ def chunk_budget(s: SparkSession, d: str) -> DataFrame:
     return chunk_by_budget(sizes, BUDGET)
 
 
-_SQL["chunk_by_budget"] = _SQL["chunk_by_budget"].replace("with files_c", "with recursive files_c", 1)
+
+
+# --- dumping patches ---------------------------------------------------------------------------------------
+
+_ENTRIES = f"""sized as (select changeset_id, path, count(*) filter (where kind = 'add') as additions, count(*) filter (where kind = 'del') as deletions, sum(length(text) + 2)::bigint as size from {_LINES} group by 1, 2),
+    entries as (select f.changeset_id, f.path, f.old_path, coalesce(f.status, 'modified') as status, case when {any_sql('f.path', _GLOBS)} then 'excluded-by-default' when list_contains({[*P.BINARY]!r}, lower(regexp_extract(f.path, '\\.([^./]*)$', 1))) then 'binary'
+        when s.size is null then 'diff-empty' else 'keep' end as decision, coalesce(additions, 0) as additions, coalesce(deletions, 0) as deletions, coalesce(size, 0)::bigint as size
+        from files_c f left join sized s on f.changeset_id = s.changeset_id and f.path = s.path)"""
+
+
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    return DD.dump_entries(table(s, d, "files"), table(s, d, "diff_lines"))
+
+
+@_register("dump_entries", f", {_ENTRIES} select * from entries")
+def dump_entries(s: SparkSession, d: str) -> DataFrame:
+    return _entries(s, d)
+
+
+@_register("name_only", f""", {_ENTRIES} select changeset_id, row_number() over (partition by changeset_id, decision in ('keep', 'diff-empty') order by path)::int as place, path, decision in ('keep', 'diff-empty') as kept, case when decision not in ('keep', 'diff-empty') then decision end as reason from entries""")
+def name_only(s: SparkSession, d: str) -> DataFrame:
+    return DD.name_only(_entries(s, d))
+
+
+@_register("dump_stat", f", {_ENTRIES} select changeset_id, path, additions, deletions, path || ' | +' || additions || ' -' || deletions as text from entries where decision in ('keep', 'diff-empty')")
+def dump_stat(s: SparkSession, d: str) -> DataFrame:
+    return DD.stat(_entries(s, d))
+
+
+_PATCH = f""", {_ENTRIES}, kept as (select changeset_id, path, status, coalesce(old_path, path) as before from entries where decision = 'keep'),
+    body as (select l.* from {_LINES} l join kept k on l.changeset_id = k.changeset_id and l.path = k.path),
+    patch as (select changeset_id, path, -1 as hunk_ord, unnest([0, 1, 2])::int as line_ord, unnest(['diff --git a/' || before || ' b/' || path, '--- ' || case when status = 'added' then '/dev/null' else 'a/' || before end, '+++ ' || case when status = 'deleted' then '/dev/null' else 'b/' || path end]) as text from kept
+        union all select changeset_id, path, hunk_ord, -1, '@@ -' || coalesce(min(old_no), 0) || ',' || count(*) filter (where kind <> 'add') || ' +' || coalesce(min(new_no), 0) || ',' || count(*) filter (where kind <> 'del') || ' @@' from body group by 1, 2, 3
+        union all select changeset_id, path, hunk_ord, line_ord, case kind when 'add' then '+' when 'del' then '-' else ' ' end || text from body)"""
+
+
+@_register("patch_lines", f"{_PATCH} select * from patch")
+def patch_lines(s: SparkSession, d: str) -> DataFrame:
+    return DD.patch_lines(_entries(s, d), table(s, d, "diff_lines"))
+
+
+@_register("patch_json", f"""{_PATCH} select changeset_id, path, hunk_ord, count(*)::int as n_lines, string_agg(text, chr(10) order by line_ord) as texts from body group by 1, 2, 3""")
+def patch_json(s: SparkSession, d: str) -> DataFrame:
+    """The JSON form of every hunk, read back."""
+    shape = "path string, hunk int, lines array<struct<kind:string,oldLine:int,newLine:int,text:string>>"
+    read = DD.json_hunks(_entries(s, d), table(s, d, "diff_lines")).withColumn("j", F.from_json("json", shape))
+    return read.select("changeset_id", "path", "hunk_ord", F.size("j.lines").alias("n_lines"), F.array_join(F.transform("j.lines", lambda x: x["text"]), "\n").alias("texts"))
+
+
+@_register("patch_markdown_heads", f""", {_ENTRIES} select changeset_id, 7 + row_number() over (partition by changeset_id order by path)::int as line_no, '- `' || path || '` (' || status || ')' as text from entries where decision = 'keep'
+    union all select changeset_id, unnest([0, 1, 2, 3, 4, 5, 6, 7])::int as line_no, unnest(['# Git Diff: main..HEAD', '', '**Mode:** branch', '**Unified context:** 3 lines', '**Files included:** ' || n, '', '## Files', '']) as text from (select changeset_id, count(*) as n from entries where decision = 'keep' group by 1)""")
+def patch_markdown_heads(s: SparkSession, d: str) -> DataFrame:
+    return DD.markdown_heads(_entries(s, d))
+
+
+@_register("patch_targets", """, fs as (select changeset_id, path, regexp_replace(path, '/+$', '') as name from files_c union select changeset_id, path, regexp_replace(old_path, '/+$', '') from files_c where old_path is not null),
+    w as (select distinct changeset_id, regexp_extract(path, '^([^/]*)', 1) as wanted from files_c union select distinct changeset_id, path from files_c where ord % 5 = 0 union select distinct changeset_id, './src/' from files_c),
+    s as (select changeset_id, wanted, regexp_replace(regexp_replace(wanted, '^\\./+', ''), '/+$', '') as at, ends_with(wanted, '/') as folder from w),
+    h as (select s.changeset_id, s.wanted, f.path, bool_or(f.name = s.at and not folder) as exact from s join fs f on s.changeset_id = f.changeset_id and (f.name = s.at or starts_with(f.name, s.at || '/')) group by 1, 2, 3)
+    select changeset_id, wanted, path, case when exact then 'file' else 'directory' end as target_kind from (select *, bool_or(exact) over (partition by changeset_id, wanted) as any_exact from h) where exact or not any_exact""")
+def patch_targets(s: SparkSession, d: str) -> DataFrame:
+    """Selectors made of the first folder of every path, of every fifth path, and of one folder."""
+    f = C.change_files(table(s, d, "files"))
+    wanted = f.select("changeset_id", F.regexp_extract("path", "^([^/]*)", 1).alias("wanted")).union(f.where("ord % 5 = 0").select("changeset_id", "path")).union(f.select("changeset_id", F.lit("./src/")))
+    return DD.patch_targets(table(s, d, "files"), wanted)
+
+
+@_register("chunk_files", f""", {_ENTRIES}, items as (select changeset_id, path, size, row_number() over (partition by changeset_id order by path) as k from entries where decision = 'keep'),
+        walk as (select changeset_id, path, size, k, 0 as chunk, size as used, size > {BUDGET} as solo from items where k = 1
+            union all select i.changeset_id, i.path, i.size, i.k, w.chunk + (w.solo or w.used + i.size > {BUDGET})::int, case when w.solo or w.used + i.size > {BUDGET} then i.size else w.used + i.size end, i.size > {BUDGET}
+            from walk w join items i on i.changeset_id = w.changeset_id and i.k = w.k + 1)
+        select changeset_id, path, size, chunk, 'patch-' || lpad((chunk + 1)::varchar, 3, '0') || '.diff' as file_name from walk""")
+def chunk_files(s: SparkSession, d: str) -> DataFrame:
+    return DD.chunk_files(_entries(s, d), BUDGET)
+
+
+@_register("parse_patch", f"""{_PATCH}, b as (select *, row_number() over (partition by changeset_id, path, hunk_ord order by line_ord) - 1 as nth, dense_rank() over (partition by changeset_id, path order by hunk_ord) - 1 as h,
+        coalesce(min(old_no) over (partition by changeset_id, path, hunk_ord), 0) as o, coalesce(min(new_no) over (partition by changeset_id, path, hunk_ord), 0) as n,
+        coalesce(sum((kind <> 'add')::int) over before_, 0) as so, coalesce(sum((kind <> 'del')::int) over before_, 0) as sn from body
+        window before_ as (partition by changeset_id, path, hunk_ord order by line_ord rows between unbounded preceding and 1 preceding))
+    select b.changeset_id, case when k.status = 'deleted' then k.before else b.path end as path, case when k.status not in ('added', 'deleted') and k.before <> b.path then k.before end as old_path,
+        case when k.status in ('added', 'deleted') then k.status when k.before <> b.path then 'renamed' else 'modified' end as status, h::int as hunk_ord, nth::int as line_ord, kind,
+        case when kind <> 'add' then o + so end::int as old_no, case when kind <> 'del' then n + sn end::int as new_no, text
+    from b join kept k on b.changeset_id = k.changeset_id and b.path = k.path""")
+def parse_patch(s: SparkSession, d: str) -> DataFrame:
+    """Patches written out line by line and parsed again; line ends inside a text part no line here."""
+    lines = DD.patch_lines(_entries(s, d), table(s, d, "diff_lines"))
+    order = Window.partitionBy("changeset_id").orderBy("path", "hunk_ord", "line_ord")
+    return C.parse_patch(lines.select("changeset_id", (F.row_number().over(order) - 1).alias("line_no"), "text"))
+
+
+@_register("deletions_with_line_no", f"select changeset_id, path, old_no as line, text from {_LINES} where kind = 'del'")
+def deletions_with_line_no(s: SparkSession, d: str) -> DataFrame:
+    return C.deletions_of(_lines(s, d))
+
+
+# --- evidence, deltas, profiles, sections ---------------------------------------------------------------------
+
+
+_SORTED = "list_sort(list_transform(list_filter(evidence, lambda e: e is not null), lambda e: {'k': lower(replace(e.file, chr(92), '/')), 'l': coalesce(e.line, 0), 'file': e.file, 'excerpt': e.excerpt, 'line': e.line}), 'ASC', 'NULLS FIRST')"
+
+
+@_register("sort_evidence", f"select row_id, to_json(list_transform({_SORTED}, lambda e: [e.file, e.excerpt, e.line::varchar]))::varchar as ordered from facts_findings where evidence is not null", False)
+def sort_evidence(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "facts_findings").where("evidence is not null").withColumn("evidence", F.filter("evidence", lambda e: e.isNotNull()))
+    ordered = rows.withColumn("e", E.sort_evidence("evidence"))
+    return ordered.select("row_id", F.to_json(F.transform("e", lambda e: F.array(e["file"], e["excerpt"], e["line"].cast("string")))).alias("ordered"))
+
+
+_CAP = "case finding_type " + " ".join(f"when '{t}' then {n}" for t, n in E.CAPS.items()) + " else len(evidence) end"
+
+
+@_register("evidence_caps", f"select row_id, len(evidence[1:{_CAP}])::int as kept from facts_findings where evidence is not null", False)
+def evidence_caps(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "facts_findings").where("evidence is not null")
+    return rows.select("row_id", F.size(E.capped("evidence", "finding_type")).alias("kept"))
+
+
+_POINTS = " + ".join(f"case when regexp_matches(lower(coalesce(excerpt, '')), '{p}') then {n} else 0 end" for p, n in E.SCORES)
+
+
+@_register("top_evidence", f"""select facts_path, category, place, file, excerpt from (select *, row_number() over (partition by facts_path, category order by s, file)::int as place from (
+        select facts_path, category, file, min(s) as s, arg_min(excerpt, (s, excerpt)) as excerpt from (select facts_path, category, file, coalesce(excerpt, '') as excerpt, -({_POINTS}) as s from (
+            select facts_path, category, unnest(evidence).file as file, unnest(evidence).excerpt as excerpt from facts_findings) where file is not null) group by 1, 2, 3)) where place <= 3""", False)
+def top_evidence(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "facts_findings").select("facts_path", "category", F.explode("evidence").alias("e")).select("facts_path", "category", "e.file", "e.excerpt")
+    return E.top_evidence(rows)
+
+
+@_rule("finding_evidence")
+def finding_evidence(changes: Changes) -> DataFrame:
+    return E.finding_evidence(_findings(changes), changes)
+
+
+_CONSECUTIVE = "select changeset_id as newer, lag(changeset_id) over (order by changeset_id) as older from (select distinct changeset_id from files_c) qualify older is not null"
+
+
+@_register("files_delta", f""", pairs as ({_CONSECUTIVE}), n as (select newer, older, path, coalesce(status, 'modified') as token from pairs join files_c on changeset_id = newer), o as (select newer, older, path, coalesce(status, 'modified') as token from pairs join files_c on changeset_id = older)
+    select newer, older, path, change from (select coalesce(n.newer, o.newer) as newer, coalesce(n.older, o.older) as older, coalesce(n.path, o.path) as path, case when o.newer is null then 'added' when n.newer is null then 'removed' when n.token <> o.token then 'changed' end as change
+        from n full join o on n.newer = o.newer and n.path = o.path) where change is not null""")
+def files_delta(s: SparkSession, d: str) -> DataFrame:
+    f = listed_files(table(s, d, "files"))
+    return DL.files_delta(f.withColumnRenamed("status", "token"), DL.consecutive(f))
+
+
+@_rule("risk_delta", f"""{_FLAGS}, rep as ({RS.REPORT}), pairs as (select changeset_id as newer, lag(changeset_id) over (order by changeset_id) as older from (select distinct changeset_id from allf) qualify older is not null),
+    d as (select coalesce(n.newer, o.newer) as newer, case when o.newer is null then 'added' when n.newer is null then 'removed' when n.effective_score <> o.effective_score then 'changed' end as change from
+        (select p.newer, g.flag_id, g.effective_score from pairs p join flags g on g.changeset_id = p.newer) n full join (select p.newer, g.flag_id, g.effective_score from pairs p join flags g on g.changeset_id = p.older) o on n.newer = o.newer and n.flag_id = o.flag_id),
+    c as (select newer, count(*) filter (where change = 'added') as added, count(*) filter (where change = 'removed') as removed, count(*) filter (where change = 'changed') as changed from d group by 1)
+    select p.newer, p.older, coalesce(o.overall, 0) as score_from, coalesce(n.overall, 0) as score_to, coalesce(n.overall, 0) - coalesce(o.overall, 0) as score_delta, coalesce(added, 0) as added, coalesce(removed, 0) as removed, coalesce(changed, 0) as changed
+    from pairs p left join rep o on o.changeset_id = p.older left join rep n on n.changeset_id = p.newer left join c on c.newer = p.newer""")
+def risk_delta(changes: Changes) -> DataFrame:
+    flags = cut_lineage(S.risk_flags(_findings(changes)))
+    return DL.risk_delta(flags, S.risk_report(flags), DL.consecutive(changes.files))
+
+
+@_register("delta_counts", _SQL["delta_confidence"].replace("select newer, finding_id, change from", "select newer, count(*) filter (where change = 'added') as added, count(*) filter (where change = 'removed') as removed, count(*) filter (where change = 'changed') as changed from") + " group by newer", False)
+def delta_counts(s: SparkSession, d: str) -> DataFrame:
+    return DL.delta_counts(delta_confidence(s, d), "newer")
+
+
+_REGISTRY = ", ".join("(" + ", ".join("null" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in PR.registry())
+
+
+@_rule("profile_findings", f"""{_FND}, reg(profile, place, analyzer, type, only_) as (values {_REGISTRY})
+    select f.*, p.profile, min(r.place)::int as place from fnd f join {RS.subquery(RULE_QUERIES['profile_detect'][1])} p on f.changeset_id = p.changeset_id join reg r on r.profile = p.profile and r.type = f.type and (r.only_ is null or r.only_ = f.category)
+    group by all""")
+def profile_findings(changes: Changes) -> DataFrame:
+    return PR.profile_findings(_findings(changes), D.profiles(changes.files))
+
+
+@_rule("section_lines", f"""{_FND}, l as (select distinct changeset_id, finding_id, {SE.SECTION_OF} as section, coalesce({SE.LINE_OF}, '') as line from fnd),
+    n as (select *, row_number() over (partition by changeset_id, section order by line, finding_id)::int as place, count(*) over (partition by changeset_id, section) as n from l where section is not null)
+    select changeset_id, section, {SE.TITLE_OF} as title, place, case when place > 10 then '(+' || (n - 10) || ' more)' else line end as line from n where place <= 11""")
+def section_lines(changes: Changes) -> DataFrame:
+    return SE.section_lines(_findings(changes))
 
 
 def queries() -> dict[str, Query]:
@@ -800,4 +965,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    walks = ("chunk_by_budget", "chunk_files")
+    return {name: sql.replace("with files_c", "with recursive files_c", 1) if name in walks else sql for name, sql in _SQL.items()}

@@ -121,8 +121,7 @@ def parse_patch(lines: DataFrame) -> DataFrame:
     its old path. Result: changeset_id, path, old_path, status, hunk_ord, line_ord, kind,
     old_no, new_no, text.
     """
-    by_set = Window.partitionBy("changeset_id").orderBy("line_no")
-    filed = lines.withColumn("file_ord", F.sum(F.col("text").startswith("diff --git ").cast("int")).over(by_set)).where("file_ord > 0")
+    filed = split_patch(lines)
     by_file = Window.partitionBy("changeset_id", "file_ord").orderBy("line_no")
     is_header = F.col("text").rlike(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@")
     hunked = filed.withColumn("hunk", F.sum(is_header.cast("int")).over(by_file))
@@ -189,3 +188,114 @@ def with_status(hunks: DataFrame, files: DataFrame) -> DataFrame:
 def change_stats(hunks: DataFrame) -> DataFrame:
     """changeset_id, path, hunks, additions, deletions."""
     return hunks.groupBy("changeset_id", "path").agg(F.count("*").alias("hunks"), F.sum(F.size("additions")).alias("additions"), F.sum(F.size("deletions")).alias("deletions"))
+
+
+# --- whole change sets ------------------------------------------------------------------
+
+#: Modes of a change set and what stands for base and head where they are not refs.
+MODES = {"branch": (None, None), "unstaged": ("INDEX", "WORKING"), "staged": ("HEAD", "INDEX"), "all": ("HEAD", "WORKING")}
+
+
+def resolve_refs(mode: str, base: str | None = None, head: str | None = None, default_branch: str | None = None) -> tuple[str, str]:
+    """Base and head of a mode; in branch mode they default to the default branch, else main, and HEAD. Other modes take no refs."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}, expected one of {', '.join(MODES)}")
+    if mode == "branch":
+        return base or default_branch or "main", head or "HEAD"
+    return MODES[mode]
+
+
+def collect_change_set(spark: SparkSession, folder: str, mode: str = "branch", base: str | None = None, head: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files and hunks of the change sets whose texts lie in a folder.
+
+    name-status/*.txt and patch/*.diff hold one change set per file name; in the modes
+    unstaged and all untracked.parquet (changeset_id, path, content) adds new files.
+    Files: changeset_id, ord, path, status, old_path, base, head. Hunks: changeset_id,
+    path, hunk_ord, status, additions, deletions.
+    """
+    at, to = resolve_refs(mode, base, head)
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("changeset_id")
+    rows = spark.read.text(f"{folder}/name-status", wholetext=True).select(stem, F.posexplode(F.split("value", "\n", -1)).alias("line_no", "text"))
+    listed = parse_name_status(rows).withColumnRenamed("line_no", "ord")
+    lines = spark.read.text(f"{folder}/patch", wholetext=True).select(stem, F.posexplode(F.split("value", "\n", -1)).alias("line_no", "text"))
+    hunks = hunks_of_lines(parse_patch(lines))
+    if mode in ("unstaged", "all"):
+        extra = spark.read.parquet(f"{folder}/untracked.parquet").where("path is not null")
+        binary = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+        from diffloom.operators.paths import BINARY
+
+        listed = listed.unionByName(extra.select("changeset_id", F.lit(2**31 - 1).alias("ord"), F.lit("added").alias("status"), "path", F.lit(None).cast("string").alias("old_path")))
+        hunks = merge_extra(hunks, untracked_hunks(extra.where(~binary.isin(*BINARY))))
+    return listed.withColumns({"base": F.lit(at), "head": F.lit(to)}), hunks
+
+
+def hunks_of_lines(lines: DataFrame) -> DataFrame:
+    """changeset_id, path, hunk_ord, status, additions, deletions from typed diff lines; each hunk is gathered by itself."""
+    side = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("line_ord", "text")))), lambda x: x["text"])
+    return lines.groupBy("changeset_id", "path", "hunk_ord").agg(F.first("status").alias("status"), side("add").alias("additions"), side("del").alias("deletions"))
+
+
+def merge_extra(hunks: DataFrame, extra: DataFrame) -> DataFrame:
+    """Hunks and the all-added hunks of untracked files as one bag."""
+    columns = ["changeset_id", "path", "hunk_ord", "status", "additions", "deletions"]
+    return hunks.select(*columns).unionByName(extra.withColumn("status", F.lit("added")).select(*columns))
+
+
+#: Lines of a patch that are numbered in one task.
+PATCH_BLOCK = 4096
+
+
+def split_patch(lines: DataFrame) -> DataFrame:
+    """Lines of whole patches (changeset_id, line_no, text) with file_ord, the place of their file; lines before the first file are left out.
+
+    File starts, few beside all lines, are numbered by change set, and lines find theirs by
+    the last start at or before them within blocks of line numbers, so no change set is
+    sorted in one task.
+    """
+    block = F.floor(F.col("line_no") / F.lit(PATCH_BLOCK))
+    marked = lines.withColumn("b", block).withColumn("is_start", F.col("text").startswith("diff --git "))
+    per_block = marked.groupBy("changeset_id", "b").agg(F.count_if("is_start").alias("n"))
+    before = Window.partitionBy("changeset_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.withColumn("files_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy("changeset_id", "b").orderBy("line_no")
+    counted = marked.withColumn("here", F.sum(F.col("is_start").cast("int")).over(inside)).join(offsets, ["changeset_id", "b"])
+    return counted.withColumn("file_ord", F.col("files_before") + F.col("here")).where("file_ord > 0").drop("b", "is_start", "here", "files_before")
+
+
+def content_lookup(requests: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Requests (changeset_id, ref, path) with their content; those without are left out."""
+    return requests.select("changeset_id", "ref", "path").distinct().join(blobs.select("changeset_id", "ref", "path", "content"), ["changeset_id", "ref", "path"]).where("content is not null")
+
+
+def parse_ls_files(outputs: DataFrame) -> DataFrame:
+    """changeset_id, ord, path of NUL-separated file lists (changeset_id, text); empty entries are left out."""
+    return outputs.select("changeset_id", F.posexplode(F.split("text", "\x00", -1)).alias("ord", "path")).where("path <> ''")
+
+
+def deletions_of(lines: DataFrame) -> DataFrame:
+    """changeset_id, path, line (in the old file), text of deleted lines."""
+    return lines.where("kind = 'del'").select("changeset_id", "path", F.col("old_no").alias("line"), "text")
+
+
+# --- manifests -----------------------------------------------------------------------------
+
+_MANIFEST = "struct<dependencies:map<string,string>,devDependencies:map<string,string>>"
+
+
+def manifest_entries(manifests: DataFrame) -> DataFrame:
+    """changeset_id, side, section, name, version of package manifests (changeset_id, side, json); unreadable ones hold nothing."""
+    parsed = manifests.select("changeset_id", "side", F.from_json("json", _MANIFEST).alias("m"))
+    sections = [parsed.select("changeset_id", "side", F.lit(s).alias("section"), F.explode(f"m.{s}").alias("name", "version")) for s in ("dependencies", "devDependencies")]
+    return sections[0].unionByName(sections[1]).where("version is not null")
+
+
+def compare_manifests(manifests: DataFrame) -> DataFrame:
+    """changeset_id, section, name, from_version, to_version of packages that differ between base and head."""
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("version")))
+    both = manifest_entries(manifests).groupBy("changeset_id", "section", "name").agg(at("base").alias("from_version"), at("head").alias("to_version"))
+    return both.where("not (from_version <=> to_version)")
+
+
+def dependency_gate(manifests: DataFrame, names: list[str]) -> DataFrame:
+    """changeset_id of change sets whose head manifest depends on one of the packages, in either section."""
+    return manifest_entries(manifests).where(F.col("side") == "head").where(F.col("name").isin(*names)).select("changeset_id").distinct()
