@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODE_SCHEMA = "log_id string, pre int, post int, depth int, node_type string, ord int, name string, is_null boolean, value string"
+from diffloom.runtime import semi_join
+
+NODE_SCHEMA = "log_id string, pre int, post int, depth int, node_type string, ord int, name string, is_null boolean, value string, fields map<string,string>"
 
 
 def read_json(text: str | None):
@@ -41,13 +43,17 @@ def is_readable(texts: pd.Series) -> pd.Series:
 
 
 def latest_readable(logs: DataFrame) -> DataFrame:
-    """Per log_id the text of its latest readable delivery (delivered_at, null earliest, then delivery_id)."""
-    return (
-        logs.where("log_id is not null and log_json is not null")
-        .where(is_readable("log_json"))
-        .groupBy("log_id")
-        .agg(F.max_by("log_json", F.struct("delivered_at", "delivery_id")).alias("log_json"))
-    )
+    """log_id, log_json of the latest readable delivery of each log (delivered_at, null earliest, then delivery_id).
+
+    Deliveries are chosen by their keys, aggregated on the map side, and only chosen texts
+    go on. A log delivered once needs no test, as it has nothing to fall back on.
+    """
+    keys = logs.where("log_id is not null and log_json is not null").select("log_id", "delivery_id", "delivered_at", "log_json")
+    latest = F.max(F.struct("delivered_at", "delivery_id")).getField("delivery_id").alias("delivery_id")
+    per_log = keys.groupBy("log_id").agg(F.count_distinct("delivery_id").alias("n"), latest)
+    several = semi_join(keys, per_log.where("n > 1"), ["log_id"]).where(is_readable("log_json")).groupBy("log_id").agg(latest)
+    chosen = per_log.where("n = 1").select("log_id", "delivery_id").unionByName(several)
+    return semi_join(keys, chosen, ["log_id", "delivery_id"]).dropDuplicates(["log_id", "delivery_id"]).select("log_id", "log_json")
 
 
 def _as_runs(value):
@@ -62,6 +68,8 @@ def _as_runs(value):
 #: (type of the parent, key) -> type of the entries below it.
 _TYPES = {("log", "runs"): "run", ("run", "results"): "result", ("result", "locations"): "location", ("result", "partialFingerprints"): "fingerprint"}
 
+_TYPED = {*_TYPES.values()}
+
 
 def label(log_id: str, value) -> list[tuple]:
     """All nodes of one record as rows of NODE_SCHEMA, in pre-order."""
@@ -75,7 +83,8 @@ def label(log_id: str, value) -> list[tuple]:
             clock += 1
             continue
         scalar = not isinstance(node, (dict, list))
-        rows.append([log_id, len(rows), 0, depth, kind, ord_, name, node is None, json.dumps(node) if scalar else None])
+        own = {k: v if isinstance(v, str) else json.dumps(v) for k, v in node.items() if not isinstance(v, (dict, list)) and v is not None} if isinstance(node, dict) and kind in _TYPED else None
+        rows.append([log_id, len(rows), 0, depth, kind, ord_, name, node is None, json.dumps(node) if scalar else None, own])
         stack.append((len(rows) - 1, kind, ord_, name, depth, True))
         below: list[tuple] = []
         if isinstance(node, dict):
@@ -101,7 +110,8 @@ def node_table(logs: DataFrame, types: tuple[str, ...] | None = None) -> DataFra
 
     node_type is log, run, result, location, fingerprint, or value for anything else;
     a type ending in * is the container of such nodes. types keeps only those types.
-    Null entries are nodes of their own with is_null set; they keep their place.
+    Null entries are nodes of their own with is_null set; they keep their place. fields
+    holds the scalar members of runs, results, locations and fingerprints.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,10 +149,31 @@ def linked_results(nodes: DataFrame) -> DataFrame:
         .withColumn("in_result", last("result"))
         .withColumn("run_ord", F.when(inside("in_run"), F.col("in_run.ord")))
         .withColumn("result_ord", F.when(inside("in_result"), F.col("in_result.ord")))
+        .withColumn("run_pre", F.when(inside("in_run"), F.col("in_run.pre")))
+        .withColumn("result_pre", F.when(inside("in_result"), F.col("in_result.pre")))
         .drop("in_run", "in_result")
     )
 
 
+def typed_tables(logs: DataFrame) -> dict[str, DataFrame]:
+    """One table per type (run, result, location, fingerprint) of log_id, pre, post, ord, fields and what is its own.
+
+    A row's parent is the one of the table above whose interval holds its own: run_pre and
+    result_pre name it, so the tables join on (log_id, pre). Results have rule_id, level
+    and run_pre, locations result_pre, fingerprints result_pre, name and value.
+    """
+    nodes = node_table(logs, ("run", "result", "location", "fingerprint"))
+    linked = linked_results(nodes.where("not is_null or node_type in ('run', 'result')")).where("not is_null")
+    of = lambda kind, *more: linked.where(F.col("node_type") == kind).select("log_id", "pre", "post", "ord", *more, "fields")
+    member = lambda name: F.element_at("fields", F.lit(name))
+    return {
+        "run": of("run"),
+        "result": of("result", "run_pre", member("ruleId").alias("rule_id"), member("level").alias("level")).where("run_pre is not null"),
+        "location": of("location", "result_pre").where("result_pre is not null"),
+        "fingerprint": of("fingerprint", "result_pre", "name", F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v").alias("value")).where("result_pre is not null"),
+    }
+
+
 def flat_children(logs: DataFrame) -> DataFrame:
     """log_id, run_ord, result_ord, child_kind, child_key of every result, location and fingerprint.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from diffloom.operators import paths as P
 from diffloom.plans.reports import ACTIONS, HIGHLIGHTS, actions, highlights
+from diffloom.plans.sections import section_lines, section_texts
 
 # Markers of a project's framework in the order they are tried.
 PROFILES = [
@@ -58,21 +59,21 @@ def facts_documents(files: DataFrame, found: DataFrame, scores: DataFrame, aggre
     out = stats.join(n, "changeset_id", "left").join(scores, "changeset_id", "left")
     for p in parts:
         out = out.join(p, "changeset_id", "left")
-    body = F.struct(F.lit("2.1").alias("schemaVersion"), F.struct("files", F.coalesce("findings", F.lit(0)).alias("findings")).alias("summary"), F.struct("score", "level").alias("risk"), "categories", "actions", "highlights", "firstFindings")
+    body = F.struct(F.lit("2.1").alias("schemaVersion"), F.struct("files", F.coalesce("findings", F.lit(0)).alias("findings")).alias("summary"), F.struct("score", "level").alias("risk"), "categories", "actions", "highlights", "firstFindings", F.greatest(F.lit(0), F.coalesce("findings", F.lit(0)) - first).alias("findingsNotListed"))
     return out.select("changeset_id", F.to_json(body).alias("json"))
 
 
 def markdown(files: DataFrame, found: DataFrame, scores: DataFrame) -> DataFrame:
-    """changeset_id, markdown: title, files by category, highlights and score."""
+    """changeset_id, markdown: title, files by category, highlights, every section of findings and the score."""
     by_category = files.groupBy("changeset_id", P.category(F.col("path")).alias("category")).agg(F.count("*").alias("n"))
-    cats = _bounded(by_category, F.format_string("| %s | %d |", "category", "n"), [F.desc("n"), F.col("category")], 10, "rows")
+    cats = _bounded(by_category, F.format_string("| %s | %d |", "category", "n"), [F.desc("n"), F.col("category")], len(P.CATEGORIES) + 1, "rows")
     tops = _bounded(highlights(found), F.concat(F.lit("- "), F.col("highlight")), [F.col("place")], len(HIGHLIGHTS), "tops")
-    joined = cats.join(tops, "changeset_id", "left").join(scores, "changeset_id", "left")
+    joined = cats.join(tops, "changeset_id", "left").join(section_texts(section_lines(found)), "changeset_id", "left").join(scores, "changeset_id", "left")
     empty = F.array().cast("array<string>")
     text = F.concat_ws(
         "\n",
         F.lit("## Summary"), F.lit(""), F.lit("| category | files |"), F.lit("|-|-|"), F.array_join("rows", "\n"), F.lit(""), F.lit("## What to look at"), F.lit(""),
-        F.array_join(F.coalesce("tops", empty), "\n"), F.lit(""), F.format_string("**Risk:** %s (%d/100)", "level", "score"),
+        F.array_join(F.coalesce("tops", empty), "\n"), F.lit(""), F.concat("text", F.lit("\n")), F.format_string("**Risk:** %s (%d/100)", "level", "score"),
     )
     return joined.select("changeset_id", text.alias("markdown"))
 
@@ -84,6 +85,27 @@ def result_lines(results: DataFrame) -> DataFrame:
     return results.select("changeset_id", F.to_json(body).alias("json"))
 
 
-def zoom(found: DataFrame, ids: DataFrame) -> DataFrame:
-    """Findings by their ids (column finding_id); an id that names none comes out with null fields."""
-    return ids.select("finding_id").distinct().join(found, "finding_id", "left")
+class UnknownId(LookupError):
+    """An id names no finding or flag."""
+
+
+def zoom(rows: DataFrame, ids: DataFrame, key: str = "finding_id") -> DataFrame:
+    """Findings (or, with key flag_id, flags) by their ids; an id that names none raises UnknownId with the first such ids."""
+    wanted = ids.select(key).distinct()
+    lost = [r[key] for r in wanted.join(rows.select(key), key, "left_anti").limit(10).collect()]
+    if lost:
+        raise UnknownId(f"unknown {key}: {', '.join(map(str, lost))}")
+    return rows.join(wanted, key, "left_semi")
+
+
+def risk_documents(report: DataFrame, flags: DataFrame, k: int = 50) -> DataFrame:
+    """changeset_id, json, markdown, text of the categorical score: overall, level and the k weightiest flags, with how many more there are."""
+    item = F.struct(F.col("rule_key").alias("ruleKey"), F.col("flag_category").alias("category"), F.col("effective_score").alias("effectiveScore"), F.col("flag_id").alias("flagId"), "findings")
+    first = _bounded(flags, item, [F.desc("effective_score"), F.col("flag_category"), F.col("rule_key"), F.col("flag_id")], k, "first")
+    rows = report.join(first, "changeset_id", "left").withColumn("more", F.greatest(F.lit(0), F.col("flags") - k))
+    body = F.struct(F.lit("1.0").alias("schemaVersion"), F.col("overall").alias("riskScore"), F.col("level").alias("riskLevel"), F.col("first").alias("flags"), F.col("more").alias("flagsNotListed"))
+    lines = F.transform("first", lambda x: F.format_string("- **%s** (%s): +%d", x["ruleKey"], x["category"], x["effectiveScore"]))
+    more = F.when(F.col("more") > 0, F.format_string("- (+%d more)", "more"))
+    md = F.concat_ws("\n", F.format_string("# Risk: %d/100 (%s)", "overall", "level"), F.lit(""), F.array_join(lines, "\n"), more)
+    text = F.concat_ws("\n", F.format_string("%s %d/100", F.upper("level"), "overall"), F.array_join(F.transform("first", lambda x: F.format_string("  %s +%d", x["ruleKey"], x["effectiveScore"])), "\n"), more)
+    return rows.select("changeset_id", F.to_json(body).alias("json"), md.alias("markdown"), text.alias("text"))

@@ -17,7 +17,7 @@ from diffloom.operators import paths as P
 from diffloom.operators import scoring as S
 from diffloom.operators.chunks import chunk_by_budget
 from diffloom.operators.config_rules import RULES, config_findings, config_sql
-from diffloom.operators.nested_tables import flat_children, linked_results, node_table
+from diffloom.operators.nested_tables import flat_children, linked_results, node_table, typed_tables
 from diffloom.operators.snapshot_delta import relative_path, snapshot_changes
 from diffloom.oracle import any_sql, first_sql, prelude, q
 from diffloom.plans import documents as D
@@ -86,7 +86,15 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 @_register("p4_nodes")
 def p4_nodes(s: SparkSession, d: str) -> DataFrame:
-    return linked_results(node_table(table(s, d, "sarif_logs"), ("run", "result", "location", "fingerprint")))
+    return linked_results(node_table(table(s, d, "sarif_logs"), ("run", "result", "location", "fingerprint"))).drop("fields")
+
+
+def _typed(kind: str):
+    return lambda s, d: typed_tables(table(s, d, "sarif_logs"))[kind]
+
+
+for _kind in ("run", "result", "location", "fingerprint"):
+    _register(f"p4_{_kind}s")(_typed(_kind))
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -149,10 +157,10 @@ def parse_hunk_body(s: SparkSession, d: str) -> DataFrame:
     return C.hunk_body(_hunks(s, d))
 
 
-@_register("untracked_hunks")
+@_register("untracked_hunks", "select 'doc-' || doc_id as changeset_id, 'file.txt' as path, 0 as hunk_ord, len(string_split(text, chr(10)))::int as new_lines, len(string_split(text, chr(10)))::int as n_additions from documents where text is not null", False)
 def untracked_hunks(s: SparkSession, d: str) -> DataFrame:
-    """Documents of source text read as new files."""
-    texts = table(s, d, "documents").where("source = 'source_file'").select(F.concat_ws("-", F.lit("doc"), "doc_id").alias("changeset_id"), F.lit("file.txt").alias("path"), F.col("text").alias("content"))
+    """Every document read as a new file."""
+    texts = table(s, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("changeset_id"), F.lit("file.txt").alias("path"), F.col("text").alias("content"))
     return C.untracked_hunks(texts).select("changeset_id", "path", "hunk_ord", "new_lines", F.size("additions").alias("n_additions"))
 
 
@@ -234,7 +242,16 @@ def category_counts(changes: Changes) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------
 
 
-@_register("redact_line")
+def _redact_line_sql(text: str) -> str:
+    out = f"regexp_replace({text}, '(ghp_[a-zA-Z0-9]{{36}}|github_pat_[a-zA-Z0-9_]+)', '<redacted-github-token>', 'g')"
+    for key in T.SECRET_KEYS:
+        for pattern, to in ((rf"(?i)({key})\s*=\s*['\"]?([^'\"\s}}<]+)['\"]?", r"\1=<redacted>"), (rf"(?i)({key})\s*:\s*['\"]?([^'\"\s,}}<]+)['\"]?", r"\1: <redacted>")):
+            out = f"regexp_replace({out}, {q(pattern)}, {q(to)}, 'g')"
+    return out
+
+
+@_register("redact_line", f"""select changeset_id, path, hunk_ord, line_ord, case when contains(t, '<redacted') or contains(t, 'hash') or contains(t, 'checksum') then t else regexp_replace(t, '\\b[a-zA-Z0-9+/=]{{32,}}\\b', '<redacted-value>', 'g') end as text
+    from (select changeset_id, path, hunk_ord, line_ord, {_redact_line_sql('text')} as t from {_LINES})""")
 def redact_line(s: SparkSession, d: str) -> DataFrame:
     return _lines(s, d).select("changeset_id", "path", "hunk_ord", "line_ord", T.redact_line(F.col("text")).alias("text"))
 
@@ -743,9 +760,12 @@ def highlights(changes: Changes) -> DataFrame:
     return R.highlights(_findings(changes))
 
 
-@_rule("finding_lines")
+@_rule("finding_lines", f"{_FND} select changeset_id, finding_id, type, category, file, name, detail, change, risk from fnd")
 def finding_lines(changes: Changes) -> DataFrame:
-    return D.finding_lines(_findings(changes))
+    """The JSON line of every finding, read back."""
+    shape = "findingId string, type string, category string, file string, name string, detail string, change string, risk string"
+    read = D.finding_lines(_findings(changes)).select("changeset_id", F.from_json("json", shape).alias("j")).select("changeset_id", "j.*")
+    return read.withColumnRenamed("findingId", "finding_id")
 
 
 @_rule("facts_documents")
@@ -755,15 +775,24 @@ def facts_documents(changes: Changes) -> DataFrame:
     return D.facts_documents(files, found, S.risk_scores(factors, files), S.category_aggregates(found, factors))
 
 
+@_rule("risk_documents")
+def risk_documents(changes: Changes) -> DataFrame:
+    flags = S.risk_flags(_findings(changes))
+    return D.risk_documents(S.risk_report(flags), flags)
+
+
 @_rule("markdown")
 def markdown(changes: Changes) -> DataFrame:
     found, files = _findings(changes), changes.files
     return D.markdown(files, found, S.risk_scores(S.risk_factors(found, files), files))
 
 
-@_rule("result_lines")
+@_rule("result_lines", f"{_FND} select changeset_id, rule_id, level, uri, finding_id from ({RS.results_sql()})")
 def result_lines(changes: Changes) -> DataFrame:
-    return D.result_lines(R.log_results(_findings(changes)))
+    """The JSON line of every result, read back."""
+    shape = "ruleId string, level string, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>, partialFingerprints struct<findingId:string>"
+    read = D.result_lines(R.log_results(_findings(changes))).select("changeset_id", F.from_json("json", shape).alias("j"))
+    return read.selectExpr("changeset_id", "j.ruleId as rule_id", "j.level as level", "j.locations[0].physicalLocation.artifactLocation.uri as uri", "j.partialFingerprints.findingId as finding_id")
 
 
 BUDGET = 20_000
