@@ -358,7 +358,7 @@ def _versions(rows: DataFrame) -> DataFrame:
 
 
 RULES["requirement"] = _version_rule("requirement", REQUIREMENTS_FILE, REQUIREMENT, r"^\s*(#|-|$)")
-RULES["manifest-line"] = _manifest_rule("manifest-line", r"(^|/)package\.json$", MANIFEST_LINE, FIELD_NAME.replace("([^\"]+)", "(" + "|".join(NO_DEPENDENCY) + ")"))
+RULES["manifest-line"] = _manifest_rule("manifest-line", r"(^|/)package\.json$", MANIFEST_LINE, FIELD_NAME.replace(r"([^\"]+)", "(" + "|".join(NO_DEPENDENCY) + ")"))
 
 
 def _risky(table: dict[str, list[str]]) -> Column:

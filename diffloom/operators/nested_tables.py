@@ -46,14 +46,15 @@ def latest_readable(logs: DataFrame) -> DataFrame:
     """log_id, log_json of the latest readable delivery of each log (delivered_at, null earliest, then delivery_id).
 
     Deliveries are chosen by their keys, aggregated on the map side, and only chosen texts
-    go on. A log delivered once needs no test, as it has nothing to fall back on.
+    go on. A log delivered once needs no test, as it has nothing to fall back on. A
+    repeated delivery is kept as often as it is delivered.
     """
     keys = logs.where("log_id is not null and log_json is not null").select("log_id", "delivery_id", "delivered_at", "log_json")
     latest = F.max(F.struct("delivered_at", "delivery_id")).getField("delivery_id").alias("delivery_id")
     per_log = keys.groupBy("log_id").agg(F.count_distinct("delivery_id").alias("n"), latest)
     several = semi_join(keys, per_log.where("n > 1"), ["log_id"]).where(is_readable("log_json")).groupBy("log_id").agg(latest)
     chosen = per_log.where("n = 1").select("log_id", "delivery_id").unionByName(several)
-    return semi_join(keys, chosen, ["log_id", "delivery_id"]).dropDuplicates(["log_id", "delivery_id"]).select("log_id", "log_json")
+    return semi_join(keys, chosen, ["log_id", "delivery_id"]).select("log_id", "log_json")
 
 
 def _as_runs(value):
@@ -143,8 +144,10 @@ def linked_results(nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy("log_id").orderBy("pre")
     last = lambda kind: F.last(F.when(F.col("node_type") == kind, F.struct("pre", "post", "ord")), ignorenulls=True).over(order)
     inside = lambda c: (F.col(f"{c}.pre") <= F.col("pre")) & (F.col("post") <= F.col(f"{c}.post"))
+    # A delivery that is repeated has every node twice; one exchange by log serves both steps.
+    once = nodes.where(F.col("node_type").isin("run", "result", "location", "fingerprint")).repartition("log_id").dropDuplicates(["log_id", "pre"])
     return (
-        nodes.where(F.col("node_type").isin("run", "result", "location", "fingerprint"))
+        once
         .withColumn("in_run", last("run"))
         .withColumn("in_result", last("result"))
         .withColumn("run_ord", F.when(inside("in_run"), F.col("in_run.ord")))

@@ -85,7 +85,7 @@ def test_findings_hold_every_analyzer(spark):
     from diffloom.functions.code_reader import source_changes
     from diffloom.operators import analyzers as A
     from diffloom.operators import scoring as S
-    from diffloom.sources.blobs import template_blobs
+    from diffloom.checks.blobs import template_blobs
 
     lines = {
         "api/routes.py": (["from fastapi import APIRouter", "@router.get('/items')"], []), "a/schema.graphql": (["type Item {"], ["enum Old {"]), "prisma/schema.prisma": (["model A {"], []), "db/x.schema.ts": (["export const t = pgTable('t'"], []),
@@ -94,8 +94,7 @@ def test_findings_hold_every_analyzer(spark):
     }
     schema = "changeset_id string, path string, hunk_ord int, status string, additions array<string>, deletions array<string>"
     rows = spark.createDataFrame([("c", p, 0, "modified", a, d) for p, (a, d) in lines.items()], schema)
-    text = lambda *cols: F.concat_ws("\n", *cols)
-    changes = rows.withColumns({"add_text": text("additions"), "del_text": text("deletions"), "all_text": text("additions", "deletions")})
+    changes = A.Changes(rows.select("changeset_id", "path", "status"), rows, A.RULES)
     files = rows.select("changeset_id", "path", "status", F.lit(None).cast("string").alias("old_path"))
     found = S.findings(files, changes, source_changes(template_blobs(files.crossJoin(spark.range(40).select(F.col("id").cast("string").alias("n"))).withColumn("changeset_id", F.col("n"))))).select("type", "fingerprint", "finding_id").collect()
     wanted = {"graphql-change", "prisma-schema", "drizzle-schema", "typescript-config", "docker-change", "trpc-router", "tanstack-query", "svelte5-runes", "websocket-change", "i18n-change", "css-change", "next-config-change", "rsc-boundary",

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from diffloom.plans import documents as D
+from diffloom.plans import reports as R
+from diffloom.plans import sections as SE
 from diffloom.operators import scoring as S
 from diffloom.streaming.changes import analyze_batches, windowed_stats
 
@@ -21,10 +23,15 @@ def found(spark):
 
 
 def test_actions_and_highlights(spark, found):
-    rows = sorted((r.changeset_id, r.place, r.action, r.blocking) for r in D.actions(found).collect())
+    rows = sorted((r.changeset_id, r.place, r.action, r.blocking) for r in R.actions(found).collect())
     assert rows == [("c", 1, "apply-migrations", True), ("c", 2, "backup-db", True), ("c", 3, "run-tests", True), ("c", 4, "review-dependencies", False), ("c", 5, "update-env-docs", False), ("e", 1, "run-tests", True)]
-    assert {(r.changeset_id, r.highlight) for r in D.highlights(found).collect()} == {("c", "1 high-risk migration(s)"), ("c", "1 environment variable(s) added"), ("c", "1 major dependency update(s)"), ("e", "1 risk flag(s) raised"), ("e", "1 destructive SQL change(s)")}
-    assert D.actions(found.where("false")).count() == 0 and D.highlights(found.where("false")).count() == 0
+    kit = R.actions(found, spark.createDataFrame([("e", "sveltekit")], "changeset_id string, profile string"))
+    assert ("e", "sveltekit-check") in {(r.changeset_id, r.action) for r in kit.collect()}
+    told = {(r.changeset_id, r.place): r.highlight for r in R.highlights(found).collect()}
+    assert told == {("c", 1): "Database migrations (HIGH RISK)", ("c", 2): "1 major dependency update(s)", ("c", 3): "1 new environment variable(s)", ("e", 1): "Destructive SQL detected in 1 file(s)"}
+    assert R.actions(found.where("false")).count() == 0 and R.highlights(found.where("false")).count() == 0
+    plain = found.where("type = 'risk-flag'")
+    assert [r.highlight for r in R.highlights(plain).collect()] == ["1 finding(s) detected"]
 
 
 def test_scores_flags_and_documents(spark, found):
@@ -41,10 +48,24 @@ def test_scores_flags_and_documents(spark, found):
     assert one["c"]["categories"][0]["category"] == "database"
     text = {r.changeset_id: r.markdown for r in D.markdown(files, found, S.risk_scores(factors, files)).collect()}
     assert "| product | 1 |" in text["c"] and "**Risk:** high (50/100)" in text["c"]
-    results = S.log_results(found)
-    assert {r.rule_id for r in results.collect()} == {"CS001", "CS002", "CS003", "CS008"}
+    assert "## Database migrations" in text["c"] and "## SQL risks" in text["e"]
+    results = R.log_results(found)
+    assert {r.rule_id for r in results.collect()} == {"CS001", "CS003", "CS004", "CS014"}
     assert all("ruleId" in json.loads(r.json) for r in D.result_lines(results).collect())
-    assert [(r.finding_id, r.type) for r in D.zoom(found, spark.createDataFrame([("f5",), ("none",)], "finding_id string")).orderBy("finding_id").collect()] == [("f5", "sql-risk"), ("none", None)]
+    logs = {r.changeset_id: json.loads(r.json) for r in R.result_logs(results).collect()}
+    run = logs["c"]["runs"][0]
+    assert [x["id"] for x in run["tool"]["driver"]["rules"]] == ["CS001", "CS003", "CS004"] and len(run["results"]) == 3
+    assert [(r.finding_id, r.type) for r in D.zoom(found, spark.createDataFrame([("f5",)], "finding_id string")).collect()] == [("f5", "sql-risk")]
+    with pytest.raises(D.UnknownId, match="none"):
+        D.zoom(found, spark.createDataFrame([("f5",), ("none",)], "finding_id string"))
+    report = {r.changeset_id: r for r in D.risk_documents(S.risk_report(flags), flags, k=1).collect()}
+    assert json.loads(report["c"].json)["flagsNotListed"] == 1 and "(+1 more)" in report["c"].markdown and report["e"].text.startswith("MODERATE 30/100")
+
+
+def test_sections_keep_a_count_of_the_rest(spark):
+    rows = [("c", "env-var", "config_env", None, f"K{i:02}", "x.ts", "added", None, 1, "b", f"f{i}") for i in range(14)]
+    lines = SE.section_lines(spark.createDataFrame(rows, FOUND)).orderBy("place").collect()
+    assert len(lines) == 11 and lines[-1].line == "(+4 more)" and lines[0].line == "`K00` in x.ts" and lines[0].title == "Config / Env"
 
 
 def test_streaming(spark, tmp_path):

@@ -1,7 +1,7 @@
 import json
 from datetime import datetime
 
-from diffloom.operators.nested_tables import flat_children, label, node_table, read_json
+from diffloom.operators.nested_tables import flat_children, label, node_table, read_json, typed_tables
 
 SCHEMA = "delivery_id long, log_id string, delivered_at timestamp, log_json string, pre int, name string"
 
@@ -50,3 +50,14 @@ def test_deep_and_long_texts(spark):
     many = json.dumps({"results": [{"locations": [{}] * 3}] * 5000})
     assert flat_children(spark.createDataFrame(rows(deep, many), SCHEMA)).count() == 20_000
     assert node_table(spark.createDataFrame(rows(many), SCHEMA), ("run",)).count() == 1
+
+
+def test_tables_by_type_join_by_intervals(spark):
+    log = {"runs": [{"results": [{"ruleId": "R1", "level": "note", "locations": [{"x": 1}], "partialFingerprints": {"a": "f\"1"}}, {"ruleId": "R2"}]}]}
+    tables = typed_tables(spark.createDataFrame(rows(json.dumps(log)) * 2, SCHEMA))
+    run, results = tables["run"].collect(), {r.rule_id: r for r in tables["result"].collect()}
+    assert len(run) == 1 and {r.run_pre for r in results.values()} == {run[0].pre} and results["R1"].level == "note"
+    place, prints = tables["location"].collect(), tables["fingerprint"].collect()
+    assert [(r.result_pre, r.fields) for r in place] == [(results["R1"].pre, {"x": "1"})]
+    assert [(r.result_pre, r.name, r.value) for r in prints] == [(results["R1"].pre, "a", 'f"1')]
+    assert found(spark, rows(json.dumps(log)) * 2) == [("a", 0, 0, "fingerprint", "a"), ("a", 0, 0, "location", "0"), ("a", 0, 0, "result", "-"), ("a", 0, 1, "result", "-")]

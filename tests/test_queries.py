@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 from diffloom import queries as core
+from diffloom.checks import queries as checks
 
 DATA = Path("/root/testdata/sf0.001")
+#: Reports whose made-up form is checked through findings, flags and highlights.
+REPORTS = {"findings_by_type", "risk_factors", "category_scores", "risk_report", "category_aggregates", "top_findings", "dependency_overview", "finding_lines", "result_lines", "risk_delta", "profile_findings", "section_lines"}
 
 
 def norm(v):
@@ -23,12 +26,12 @@ def duck():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
-@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
+@pytest.mark.parametrize("name", sorted({**core.oracle_sql(), **{n: s for n, s in checks.oracle_sql().items() if n.removeprefix("made_up_") not in REPORTS}}))
 def test_against_sql(spark, duck, name):
-    df = core.queries()[name](spark, str(DATA))
+    df = {**core.queries(), **checks.queries()}[name](spark, str(DATA))
     names = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in names) for r in df.collect()), key=repr)
-    result = duck.execute(core.oracle_sql()[name])
+    result = duck.execute({**core.oracle_sql(), **checks.oracle_sql()}[name])
     columns = [c[0] for c in result.description]
     assert sorted(columns) == names
     want = sorted((tuple(norm(r[columns.index(c)]) for c in names) for r in result.fetchall()), key=repr)
@@ -55,3 +58,17 @@ def test_scores_stay_in_range(spark):
     assert rows and all(0 <= r.score <= 100 and r.level in ("low", "medium", "high") for r in rows)
     report = core.queries()["risk_report"](spark, str(DATA)).collect()
     assert report and all(0 <= r.overall <= 100 for r in report)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_findings_name_delivered_files_only(spark):
+    rows = core.queries()["findings"](spark, str(DATA)).collect()
+    files = {(r.changeset_id, r.path) for t in ("files", "hunks") for r in spark.read.parquet(f"{DATA}/{t}.parquet").select("changeset_id", "path").distinct().collect()}
+    assert rows and all((r.changeset_id, r.file) in files for r in rows if r.file)
+
+
+def test_no_product_module_reads_made_up_hunks():
+    root = Path(__file__).resolve().parents[1] / "diffloom"
+    for path in root.rglob("*.py"):
+        if "checks" not in path.parts:
+            assert "diffloom.checks" not in path.read_text(), path
