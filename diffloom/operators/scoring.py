@@ -215,6 +215,12 @@ def risk_flags(found: DataFrame) -> DataFrame:
     return grouped.select("changeset_id", "rule_key", "flag_category", "score", F.round(F.col("score") * F.col("confidence")).cast("int").alias("effective_score"), F.size("ids").alias("findings"), flag_id(F.col("rule_key"), F.col("ids")).alias("flag_id"))
 
 
+def filter_flags(flags: DataFrame, only: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Flags of the categories named by only (all, if none are), then without those named by exclude."""
+    kept = flags.where(F.col("flag_category").isin(*only)) if only else flags
+    return kept.where(~F.col("flag_category").isin(*exclude)) if exclude else kept
+
+
 def category_scores(flags: DataFrame) -> DataFrame:
     """changeset_id, flag_category, category_score: effective scores, at most 100, for every category."""
     each = flags.groupBy("changeset_id").agg(*[F.least(F.lit(100), F.coalesce(F.sum(F.when(F.col("flag_category") == k, F.col("effective_score"))), F.lit(0))).alias(k) for k in FLAG_CATEGORIES])
@@ -262,3 +268,24 @@ def dependency_overview(found: DataFrame) -> DataFrame:
     """changeset_id, section, impact, packages, names (first five by name), risky."""
     deps = found.where("type = 'dependency-change'")
     return deps.groupBy("changeset_id", F.col("risk").alias("section"), F.col("change").alias("impact")).agg(F.count_distinct("name").alias("packages"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 5), ",").alias("names"), F.count("detail").alias("risky"))
+
+
+#: Finding types that describe a change set and stand outside its findings.
+META_TYPES = ["file-summary", "file-category", "large-diff", "lockfile-mismatch"]
+
+
+def domain_findings(found: DataFrame) -> DataFrame:
+    """Findings without those that only describe the change set."""
+    return found.where(~F.col("type").isin(*META_TYPES))
+
+
+def limit_findings(found: DataFrame, k: int) -> DataFrame:
+    """The first k findings of every change set by type, file (none first) and id, as the reader asked for."""
+    order = Window.partitionBy("changeset_id").orderBy("type", F.lower(F.coalesce("file", F.lit(""))), "finding_id", "fingerprint")
+    return found.withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= k).drop("_p")
+
+
+def summary_by_area(found: DataFrame) -> DataFrame:
+    """changeset_id, areas: a map from category to its number of findings."""
+    counted = found.groupBy("changeset_id", "category").agg(F.count("*").alias("n"))
+    return counted.groupBy("changeset_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("areas"))

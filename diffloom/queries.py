@@ -989,6 +989,33 @@ def section_lines(changes: Changes) -> DataFrame:
     return SE.section_lines(_findings(changes))
 
 
+@_rule("domain_findings", f"{_FND} select changeset_id, type, finding_id from fnd where type not in ('large-diff', 'lockfile-mismatch', 'file-summary', 'file-category')")
+def domain_findings(changes: Changes) -> DataFrame:
+    return S.domain_findings(_findings(changes)).select("changeset_id", "type", "finding_id")
+
+
+@_rule("first_findings", f"{_FND} select changeset_id, finding_id from fnd qualify row_number() over (partition by changeset_id order by type, lower(coalesce(file, '')), finding_id, fingerprint) <= 3")
+def first_findings(changes: Changes) -> DataFrame:
+    """The limit is the feature: three findings of a change set in their order."""
+    return S.limit_findings(_findings(changes), 3).select("changeset_id", "finding_id")
+
+
+@_rule("flags_filtered", f"{_FLAGS} select changeset_id, flag_id from flags where flag_category in ('security', 'ci', 'db', 'deps') and flag_category not in ('ci')")
+def flags_filtered(changes: Changes) -> DataFrame:
+    return S.filter_flags(S.risk_flags(_findings(changes)), ["security", "ci", "db", "deps"], ["ci"]).select("changeset_id", "flag_id")
+
+
+@_rule("summary_by_area", f"{_FND} select changeset_id, string_agg(category || '=' || n, ',' order by category) as areas from (select changeset_id, category, count(*) as n from fnd group by 1, 2) group by 1")
+def summary_by_area(changes: Changes) -> DataFrame:
+    areas = F.array_join(F.transform(F.map_entries("areas"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return S.summary_by_area(_findings(changes)).select("changeset_id", areas.alias("areas"))
+
+
+@_rule("facts_globs", f"select changeset_id, path, {any_sql('path', [P.glob_regex(g) for g in P.FACTS_GLOBS])} as excluded from allf")
+def facts_globs(changes: Changes) -> DataFrame:
+    return changes.files.select("changeset_id", "path", P.any_of(F.col("path"), [P.glob_regex(g) for g in P.FACTS_GLOBS]).alias("excluded"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -25,6 +25,23 @@ def duck():
     return con
 
 
+_FOUND: dict[tuple, object] = {}
+
+
+@pytest.fixture(autouse=True)
+def findings_once(monkeypatch):
+    """The findings of the same tables are computed once for all tests that read them."""
+    real = core._findings
+
+    def once(changes):
+        key = (changes.with_sources, tuple(sorted(changes.hunks.inputFiles())))
+        if key not in _FOUND:
+            _FOUND[key] = real(changes)
+        return _FOUND[key]
+
+    monkeypatch.setattr(core, "_findings", once)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
 @pytest.mark.parametrize("name", sorted({**core.oracle_sql(), **{n: s for n, s in checks.oracle_sql().items() if n.removeprefix("made_up_") not in REPORTS}}))
 def test_against_sql(spark, duck, name):
