@@ -228,7 +228,7 @@ def config_findings(changes: Changes, rules: list[ConfigRule] = RULES) -> DataFr
         .where("found = needs")
     )
     joined = lambda role: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("label")))), "; ")
-    named = spark.createDataFrame([(k, r.analyzer, r.type, r.category, r.tool, r.quiet, r.graded, r.required is not None) for k, r in enumerate(rules)], "rule int, analyzer string, type string, category string, tool string, quiet boolean, graded boolean, needs_more boolean")
+    named = spark.createDataFrame([(k, r.analyzer, r.type, r.category, r.tool, r.quiet, r.graded, r.required is not None) for k, r in enumerate(RULES) if k in wanted], "rule int, analyzer string, type string, category string, tool string, quiet boolean, graded boolean, needs_more boolean")
     found = met.groupBy("changeset_id", "file", "rule").agg(
         joined("section").alias("sections"), joined("reason").alias("reasons"), joined("plugin").alias("plugins"), F.max((F.col("role") == "required").cast("int")).alias("has_required")
     )
