@@ -49,7 +49,7 @@ def _register(name: str, sql: str | None = None, with_prelude: bool = True):
 
 
 def _rule(name: str, sql: str | None = None):
-    """A query over the files and hunks of change sets; diffloom.checks runs the same over made-up hunks."""
+    """A query over the files and hunks of change sets; the checks subpackage runs the same over made-up hunks."""
 
     def add(query: RuleQuery) -> RuleQuery:
         RULE_QUERIES[name] = (query, sql)
